@@ -12,15 +12,18 @@ from pyspark.sql import functions as F
 from tabsense.plans.catalog import table
 
 
-def lineitem_missing(spark: SparkSession, sf: str) -> DataFrame:
+def lineitem_missing(spark: SparkSession, sf: str, extra: bool = False) -> DataFrame:
     li = table(spark, sf, "lineitem")
+    more = [F.col("l_partkey").cast("string").alias("l_partkey_txt"),
+            F.date_format("l_shipdate", "yyyy-MM-dd").alias("l_shipdate_txt"),
+            F.when(F.col("l_orderkey") % 15 == 0, F.lit(1000000.0)).otherwise(F.col("l_quantity")).alias("l_spiky")]
     return li.select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice",
         F.when(F.col("l_orderkey") % 7 == 0, None).otherwise(F.col("l_tax")).alias("l_tax"),
         F.when(F.col("l_orderkey") % 3 != 0, None).otherwise(F.col("l_discount")).alias("l_discount"),
         F.when(F.col("l_linenumber") > 2, None).otherwise(F.col("l_shipdate")).alias("l_shipdate"),
         F.when(F.col("l_orderkey") % 5 == 0, None).otherwise(F.col("l_returnflag")).alias("l_returnflag"),
-        "l_linestatus")
+        "l_linestatus", *(more if extra else []))
 
 
 def orders_as_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,3 +57,14 @@ def labeled_documents(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("doc_id", F.col("quality").alias("label"),
                     F.when(F.col("n_chars") >= 2000, 1).otherwise(0).alias("prediction"),
                     score.alias("score"), "lang", "n_chars")
+
+
+def lineitem_dirty(spark: SparkSession, sf: str) -> DataFrame:
+    """lineitem_missing plus text columns that parse as numbers / dates and a spiky column."""
+    return lineitem_missing(spark, sf, extra=True)
+
+
+def lineitem_features(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                     "l_returnflag")

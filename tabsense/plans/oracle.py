@@ -298,3 +298,334 @@ UNION ALL
 SELECT 'correlation', 'No strong correlations found' WHERE (SELECT count(*) FROM hp) = 0
 UNION ALL
 SELECT 'missing', 'High missing data: ' || string_agg(col, ', ' ORDER BY position) || ' (>50%)' FROM hm HAVING count(*) > 0"""
+
+
+# ------------------------------------------------------------------ 2.5 cleaning
+
+LD = LM.replace("         l_linestatus\n  FROM lineitem)", """         l_linestatus,
+         CAST(l_partkey AS VARCHAR) AS l_partkey_txt,
+         strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate_txt,
+         CASE WHEN l_orderkey % 15 = 0 THEN 1000000.0 ELSE l_quantity END AS l_spiky
+  FROM lineitem)""").replace("lm AS (", "ld AS (", 1)
+LD_COLS = LM_COLS + ["l_partkey_txt", "l_shipdate_txt", "l_spiky"]
+LD_STRINGS = ["l_returnflag", "l_linestatus", "l_partkey_txt", "l_shipdate_txt"]
+LD_NUMERIC = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_tax", "l_discount", "l_spiky"]
+LD_DOUBLES = ["l_quantity", "l_extendedprice", "l_tax", "l_discount", "l_spiky"]
+
+
+def _suggest(cte, tab, cols, strings, nums, limit=10):
+    cands = []
+    for i, c in enumerate(cols):
+        share = f"(SELECT CAST(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS DOUBLE) / count(*) FROM {tab})"
+        cands.append(f"SELECT 'drop_column' AS type, '{c}' AS col, 'Drop {c} (missing: ' || printf('%.1f', {share} * 100) || '%)' AS description, "
+                     f"'high' AS severity, 0 AS sev, {i} AS pos, 0 AS tr WHERE {share} > 0.5")
+        cands.append(f"SELECT 'impute', '{c}', 'Impute {c} (missing: ' || printf('%.1f', {share} * 100) || '%)', "
+                     f"'medium', 1, {i}, 0 WHERE {share} > 0.1 AND {share} <= 0.5")
+        if c in strings:
+            nn = f"(SELECT count({c}) FROM {tab})"
+            isnum = f"(SELECT count(*) FROM {tab} WHERE regexp_matches({c}, '{INT_PATTERN}') OR regexp_matches({c}, '{FLOAT_PATTERN}'))"
+            isdt = f"(SELECT count(*) FROM {tab} WHERE regexp_matches({c}, '{DATE_PATTERN}'))"
+            cands.append(f"SELECT 'convert_numeric', '{c}', 'Convert {c} to numeric', 'low', 2, {i}, 1 "
+                         f"WHERE {nn} > 0 AND {isnum} = {nn}")
+            cands.append(f"SELECT 'convert_datetime', '{c}', 'Convert {c} to datetime', 'low', 2, {i}, 2 "
+                         f"WHERE {nn} > 0 AND {isdt} = {nn}")
+        if c in nums:
+            zs = (f"(SELECT CAST(sum(CASE WHEN abs((CAST({c} AS DOUBLE) - m) / s) > 3.0 THEN 1 ELSE 0 END) AS DOUBLE) / count({c}) "
+                  f"FROM {tab}, (SELECT avg(CAST({c} AS DOUBLE)) m, stddev_pop(CAST({c} AS DOUBLE)) s FROM {tab}) st WHERE s > 0)")
+            cands.append(f"SELECT 'handle_outliers', '{c}', 'Handle outliers in {c} (' || printf('%.1f', {zs} * 100) || '% extreme values)', "
+                         f"'medium', 1, {i}, 3 WHERE {zs} > 0.05")
+    return f"""WITH {cte}, cand AS ({union(cands)})
+SELECT CAST(row_number() OVER (ORDER BY sev, pos, tr) AS INTEGER) AS rank, type, col AS "column", description, severity
+FROM cand ORDER BY sev, pos, tr LIMIT {limit}"""
+
+
+ORACLE["suggest_cleaning"] = _suggest(LD, "ld", LD_COLS, LD_STRINGS, LD_NUMERIC)
+ORACLE["drop_column"] = f"WITH {LM} SELECT * EXCLUDE (l_discount) FROM lm"
+
+
+def _select_rounded(cols, doubles, replace=None, d=6):
+    out = []
+    for c in cols:
+        e = (replace or {}).get(c, c)
+        out.append(f"{R(e, d)} AS {c}" if c in doubles else f"{e} AS {c}")
+    return ", ".join(out)
+
+
+LM_DOUBLES = ["l_quantity", "l_extendedprice", "l_tax", "l_discount"]
+ORACLE["impute_median"] = f"WITH {LM} SELECT " + _select_rounded(
+    LM_COLS, LM_DOUBLES, {c: f"coalesce({c}, (SELECT median({c}) FROM lm))" for c in ("l_tax", "l_discount", "l_quantity")}) \
+    + " FROM lm"
+ORACLE["impute_mean"] = f"WITH {LM} SELECT " + _select_rounded(
+    LM_COLS, LM_DOUBLES, {c: f"coalesce({c}, (SELECT avg({c}) FROM lm))" for c in ("l_tax", "l_discount", "l_quantity")}) \
+    + " FROM lm"
+_MODE = "(SELECT v FROM (SELECT {c} AS v, count(*) AS f FROM lm WHERE {c} IS NOT NULL GROUP BY {c}) ORDER BY f DESC, v LIMIT 1)"
+ORACLE["impute_mode"] = f"WITH {LM} SELECT " + _select_rounded(
+    LM_COLS, [], {c: f"coalesce({c}, {_MODE.format(c=c)}, 'Unknown')" for c in ("l_returnflag", "l_linestatus")}) + " FROM lm"
+ORACLE["impute_constant"] = f"WITH {LM} SELECT " + _select_rounded(
+    LM_COLS, [], {c: f"coalesce({c}, 0.0)" for c in ("l_tax", "l_discount")}) + " FROM lm"
+
+EG = """eg AS (SELECT event_id, ts, user_id, event_type,
+  CASE WHEN event_id % 4 = 0 OR event_id % 9 = 0 THEN NULL ELSE value END AS value FROM events)"""
+ORACLE["fill_forward"] = f"""WITH {EG}
+SELECT event_id, ts, user_id, event_type,
+  last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value
+FROM eg"""
+ORACLE["fill_backward"] = f"""WITH {EG}
+SELECT event_id, ts, user_id, event_type,
+  first_value(value IGNORE NULLS) OVER (ORDER BY ts, event_id
+                                        ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS value
+FROM eg"""
+OT_COLS = ["o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority", "o_custkey", "o_orderstatus"]
+ORACLE["convert_numeric"] = f"WITH {OT} SELECT " + _select_rounded(
+    OT_COLS, [], {c: f"TRY_CAST({c} AS DOUBLE)" for c in ("o_totalprice", "o_custkey")}) + " FROM ot"
+ORACLE["convert_datetime"] = f"WITH {OT} SELECT " + _select_rounded(
+    OT_COLS, [], {"o_orderdate": f"CASE WHEN regexp_matches(o_orderdate, '{DATE_PATTERN}') "
+                                 f"THEN TRY_CAST(trim(o_orderdate) AS TIMESTAMP) END"}) + " FROM ot"
+
+
+def _clip(c, tab):
+    q = f"(SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM {tab})"
+    return (f"CASE WHEN {c} IS NULL THEN {c} ELSE least(greatest(CAST({c} AS DOUBLE), "
+            f"(SELECT a - 1.5 * (b - a) FROM {q})), (SELECT b + 1.5 * (b - a) FROM {q})) END")
+
+
+ORACLE["clip_iqr"] = f"WITH {LD} SELECT " + _select_rounded(
+    LD_COLS, LD_DOUBLES, {c: _clip(c, "ld") for c in ("l_spiky", "l_extendedprice")}) + " FROM ld"
+ORACLE["drop_duplicates"] = "SELECT DISTINCT l_returnflag, l_linestatus, l_quantity FROM lineitem"
+
+# ------------------------------------------------------------------ 2.6 anomalies
+
+LI_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+           "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+LI_DOUBLES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+AF = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _zscore_cte(feats, tab="lineitem"):
+    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in feats)
+    zs = ", ".join(f"abs(({c} - m_{c}) / s_{c}) AS z_{c}" for c in feats)
+    return f"st AS (SELECT {stats} FROM {tab}), z AS (SELECT t.*, {zs} FROM {tab} t, st)"
+
+
+def _flag_select(cols, doubles, feats, prefix, threshold):
+    score = f"greatest({', '.join(f'{prefix}{c}' for c in feats)})"
+    flag = " OR ".join(f"{prefix}{c} > {threshold}" for c in feats)
+    return _select_rounded(cols, doubles) + f", {R(score)} AS anomaly_score, coalesce({flag}, false) AS is_anomaly"
+
+
+ORACLE["anomaly_zscore"] = f"WITH {_zscore_cte(AF)} SELECT {_flag_select(LI_COLS, LI_DOUBLES, AF, 'z_', 3.0)} FROM z"
+
+_MED = ", ".join(f"median({c}) AS med_{c}" for c in AF)
+_MAD = ", ".join(f"median(abs({c} - med_{c})) AS mad_{c}" for c in AF)
+_MZ = ", ".join(f"abs(0.6745 * ({c} - med_{c}) / mad_{c}) AS mz_{c}" for c in AF)
+ORACLE["anomaly_modified_zscore"] = f"""WITH md AS (SELECT {_MED} FROM lineitem),
+ma AS (SELECT {_MAD} FROM lineitem, md),
+z AS (SELECT t.*, {_MZ} FROM lineitem t, md, ma)
+SELECT {_flag_select(LI_COLS, LI_DOUBLES, AF, 'mz_', 3.5)} FROM z"""
+
+_IQ_F = ["l_spiky", "l_extendedprice"]
+_IQ_COLS = ["l_orderkey", "l_partkey", "l_quantity", "l_spiky", "l_extendedprice"]
+_IQ_Q = ", ".join(f"quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS lo_{c}, "
+                  f"quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS hi_{c}"
+                  for c in _IQ_F)
+ORACLE["anomaly_iqr"] = f"""WITH {LD}, b AS (SELECT {_IQ_Q} FROM ld)
+SELECT {_select_rounded(_IQ_COLS, ['l_quantity', 'l_spiky', 'l_extendedprice'])},
+  {R('greatest(greatest(' + ', '.join(f'lo_{c} - {c}' for c in _IQ_F) + '), greatest(' + ', '.join(f'{c} - hi_{c}' for c in _IQ_F) + '))')} AS anomaly_score,
+  ({' OR '.join(f'{c} < lo_{c} OR {c} > hi_{c}' for c in _IQ_F)}) AS is_anomaly
+FROM ld, b"""
+
+ORACLE["anomaly_summary"] = f"""WITH {_zscore_cte(AF)},
+f AS (SELECT coalesce({' OR '.join(f'z_{c} > 3.0' for c in AF)}, false) AS a FROM z)
+SELECT 'Z-Score' AS method, CAST(sum(CASE WHEN a THEN 1 ELSE 0 END) AS BIGINT) AS anomaly_count,
+       {R('sum(CASE WHEN a THEN 1 ELSE 0 END) * 100.0 / count(*)')} AS anomaly_rate_pct,
+       count(*) AS rows, '{', '.join(AF)}' AS features FROM f"""
+
+ORACLE["remove_outliers_iqr"] = f"""WITH {LD},
+d0 AS (SELECT l_orderkey, l_partkey, l_spiky, l_extendedprice, l_quantity FROM ld),
+q1 AS (SELECT quantile_cont(l_spiky, 0.25) AS a, quantile_cont(l_spiky, 0.75) AS b FROM d0),
+d1 AS (SELECT d0.* FROM d0, q1 WHERE l_spiky >= a - 1.5 * (b - a) AND l_spiky <= b + 1.5 * (b - a)),
+q2 AS (SELECT quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.75) AS b FROM d1),
+d2 AS (SELECT d1.* FROM d1, q2 WHERE l_extendedprice >= a - 1.5 * (b - a) AND l_extendedprice <= b + 1.5 * (b - a))
+SELECT * FROM d2"""
+
+# ------------------------------------------------------------------ 2.7 features
+
+LF = "lf AS (SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag FROM lineitem)"
+LF_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"]
+LF_DOUBLES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _poly(cols):
+    return ", ".join(f"{R(f'{c} * {c}', 2)} AS {c}_squared, {R(f'ln(1 + abs({c}))')} AS {c}_log" for c in cols)
+
+
+def _inter(cols):
+    out = []
+    for i, a in enumerate(cols[:3]):
+        for b in cols[i + 1:4]:
+            out.append(f"{R(f'{a} * {b}')} AS {a}_x_{b}")
+    return ", ".join(out)
+
+
+def _bins(cols, tab):
+    out = []
+    for c in cols:
+        st = f"(SELECT min({c}) AS lo, (max({c}) - min({c})) / 5 AS w FROM {tab})"
+        idx = f"CAST(least(5, greatest(1, CAST(ceil(({c} - (SELECT lo FROM {st})) / (SELECT w FROM {st})) AS INTEGER))) AS INTEGER)"
+        out.append(f"['Low', 'Low-Med', 'Medium', 'Med-High', 'High'][{idx}] AS {c}_binned")
+    return ", ".join(out)
+
+
+ORACLE["feat_polynomial"] = f"WITH {LF} SELECT {_select_rounded(LF_COLS, LF_DOUBLES)}, " \
+                            f"{_poly(['l_quantity', 'l_extendedprice', 'l_discount'])} FROM lf"
+ORACLE["feat_interactions"] = f"WITH {LF} SELECT {_select_rounded(LF_COLS, LF_DOUBLES)}, {_inter(LF_DOUBLES)} FROM lf"
+ORACLE["feat_bins"] = f"WITH {LF} SELECT {_select_rounded(LF_COLS, LF_DOUBLES)}, {_bins(LF_DOUBLES, 'lf')} FROM lf"
+_FE = ["l_quantity", "l_extendedprice", "l_discount"]
+ORACLE["feature_engineering"] = f"WITH {LF} SELECT {_select_rounded(LF_COLS, LF_DOUBLES)}, {_poly(_FE)}, " \
+                                f"{_inter(_FE)}, {_bins(_FE, 'lf')} FROM lf"
+
+
+def _label_map(c, tab):
+    return (f"(SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS idx "
+            f"FROM (SELECT DISTINCT coalesce(CAST({c} AS VARCHAR), 'nan') AS v FROM {tab}))")
+
+
+ORACLE["label_encode"] = f"""WITH {LM}
+SELECT l_orderkey, l_partkey, m1.idx AS l_returnflag, m2.idx AS l_linestatus
+FROM lm JOIN {_label_map('l_returnflag', 'lm')} m1 ON coalesce(lm.l_returnflag, 'nan') = m1.v
+        JOIN {_label_map('l_linestatus', 'lm')} m2 ON coalesce(lm.l_linestatus, 'nan') = m2.v"""
+
+_SS = ["l_quantity", "l_extendedprice", "l_discount"]
+ORACLE["standard_scale"] = "SELECT " + _select_rounded(
+    ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"],
+    LF_DOUBLES, {c: f"({c} - (SELECT avg({c}) FROM lineitem)) / (SELECT CASE WHEN stddev_pop({c}) > 0 "
+                    f"THEN stddev_pop({c}) ELSE 1.0 END FROM lineitem)" for c in _SS}) + " FROM lineitem"
+
+# ------------------------------------------------------------------ 2.11 charts
+
+ORACLE["chart_line"] = "SELECT ts, value, event_type FROM events"
+ORACLE["chart_bar"] = f"""SELECT l_returnflag, l_linestatus, {R('sum(l_quantity)', 2)} AS sum_l_quantity
+FROM lineitem GROUP BY l_returnflag, l_linestatus"""
+ORACLE["chart_histogram"] = f"""WITH mm AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
+w AS (SELECT lo, CASE WHEN hi > lo THEN (hi - lo) / 20 ELSE 1.0 END AS width FROM mm),
+c AS (SELECT CAST(least(19, floor((l_extendedprice - lo) / width)) AS INTEGER) AS bin, count(*) AS n
+      FROM lineitem, w GROUP BY 1)
+SELECT CAST(b.i AS INTEGER) AS bin, {R('lo + b.i * width', 4)} AS bin_lo, {R('lo + (b.i + 1) * width', 4)} AS bin_hi,
+       CAST(coalesce(c.n, 0) AS BIGINT) AS count
+FROM range(20) b(i) CROSS JOIN w LEFT JOIN c ON c.bin = b.i"""
+ORACLE["chart_box"] = f"""WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS q1,
+    quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.75) AS q3
+  FROM lineitem GROUP BY l_returnflag),
+f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM q)
+SELECT f.l_returnflag, {R('q1', 4)} AS q1, {R('median', 4)} AS median, {R('q3', 4)} AS q3,
+  {R('lower_fence', 4)} AS lower_fence, {R('upper_fence', 4)} AS upper_fence,
+  {R('min(CASE WHEN l_extendedprice >= lower_fence AND l_extendedprice <= upper_fence THEN l_extendedprice END)', 4)} AS whisker_low,
+  {R('max(CASE WHEN l_extendedprice >= lower_fence AND l_extendedprice <= upper_fence THEN l_extendedprice END)', 4)} AS whisker_high,
+  CAST(sum(CASE WHEN l_extendedprice >= lower_fence AND l_extendedprice <= upper_fence THEN 0 ELSE 1 END) AS BIGINT) AS outliers
+FROM lineitem l JOIN f ON l.l_returnflag = f.l_returnflag
+GROUP BY f.l_returnflag, q1, median, q3, lower_fence, upper_fence"""
+ORACLE["chart_violin"] = f"""WITH st AS (SELECT l_linestatus, min(l_discount) AS lo, max(l_discount) AS hi,
+    stddev_samp(l_discount) AS sd, count(*) AS n FROM lineitem GROUP BY l_linestatus),
+st2 AS (SELECT *, sd * pow(CAST(n AS DOUBLE), -0.2) AS h FROM st WHERE sd * pow(CAST(n AS DOUBLE), -0.2) > 0),
+g AS (SELECT st2.*, p.point, lo + p.point * ((hi - lo) / 49) AS y FROM st2, range(50) p(point))
+SELECT g.l_linestatus, CAST(g.point AS INTEGER) AS point, {R('g.y')} AS y,
+  {R('sum(exp(-0.5 * ((g.y - l.l_discount) / g.h) * ((g.y - l.l_discount) / g.h)) / sqrt(2 * pi())) / (g.n * g.h)')} AS density
+FROM g JOIN lineitem l ON l.l_linestatus = g.l_linestatus
+GROUP BY g.l_linestatus, g.point, g.y, g.n, g.h"""
+ORACLE["chart_pie"] = f"""SELECT l_returnflag, {R('sum(l_extendedprice)', 2)} AS value,
+  {R('sum(l_extendedprice) / (SELECT sum(l_extendedprice) FROM lineitem)')} AS share
+FROM lineitem GROUP BY l_returnflag"""
+ORACLE["chart_corr_heatmap"] = f"SELECT * FROM ({_corr_matrix('lineitem', LINEITEM_NUMERIC)}) WHERE pos1 >= pos2"
+ORACLE["chart_anomaly"] = f"""WITH {_zscore_cte(AF)}
+SELECT {R('l_quantity')} AS l_quantity, {R('l_extendedprice')} AS l_extendedprice,
+  coalesce({' OR '.join(f'z_{c} > 3.0' for c in AF)}, false) AS is_anomaly,
+  {R('greatest(' + ', '.join(f'z_{c}' for c in AF) + ')')} AS anomaly_score FROM z"""
+
+# ------------------------------------------------------------------ 2.10 evaluation
+
+RP = "rp AS (SELECT l_extendedprice AS y, l_quantity * 950.0 AS p FROM lineitem)"
+ORACLE["eval_regression"] = f"""WITH {RP}, e AS (SELECT y, p, y - p AS e, abs(y - p) AS ae FROM rp)
+SELECT {R('avg(ae)', 4)} AS mae, {R('avg(e * e)', 2)} AS mse, {R('sqrt(avg(e * e))', 4)} AS rmse,
+  {R('1.0 - avg(e * e) / var_pop(y)')} AS r2, {R('1.0 - var_pop(e) / var_pop(y)')} AS explained_variance,
+  {R('median(ae)', 4)} AS median_ae, {R('max(ae)', 4)} AS max_error FROM e"""
+ORACLE["eval_residuals"] = f"""WITH {RP}, e AS (SELECT y, p, y - p AS e FROM rp),
+s AS (SELECT avg(e) AS m, stddev_pop(e) AS sd, avg(CASE WHEN y <> 0 THEN abs(e) / abs(y) END) AS mape FROM e)
+SELECT {R('mape', 4)} AS mape, {R('m', 4)} AS residual_mean, {R('sd', 4)} AS residual_std,
+  {R('avg(CASE WHEN abs(e) <= 1.28 * sd THEN 1.0 ELSE 0.0 END)', 4)} AS coverage_80pct,
+  {R('avg(CASE WHEN abs(e) <= 1.96 * sd THEN 1.0 ELSE 0.0 END)', 4)} AS coverage_95pct FROM e, s GROUP BY mape, m, sd"""
+
+LDOC = """ldoc AS (SELECT l.doc_id, l.quality AS label, CASE WHEN d.n_chars >= 2000 THEN 1 ELSE 0 END AS prediction,
+  d.n_chars / (d.n_chars + 2000.0) AS score FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
+ORACLE["eval_classification"] = f"""WITH {LDOC},
+cm AS (SELECT CAST(label AS VARCHAR) AS y, CAST(prediction AS VARCHAR) AS p, CAST(count(*) AS DOUBLE) AS n FROM ldoc GROUP BY 1, 2),
+t AS (SELECT y AS c, sum(n) AS t FROM cm GROUP BY 1), q AS (SELECT p AS c, sum(n) AS q FROM cm GROUP BY 1),
+tp AS (SELECT y AS c, n AS tp FROM cm WHERE y = p),
+per AS (SELECT coalesce(t.c, q.c) AS c, coalesce(t.t, 0) AS t, coalesce(q.q, 0) AS q FROM t FULL JOIN q ON t.c = q.c),
+per1 AS (SELECT per.*, coalesce(tp.tp, 0) AS tp FROM per LEFT JOIN tp ON per.c = tp.c),
+per2 AS (SELECT *, CASE WHEN q > 0 THEN tp / q ELSE 0.0 END AS prec, CASE WHEN t > 0 THEN tp / t ELSE 0.0 END AS rec FROM per1),
+per3 AS (SELECT *, CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END AS f1 FROM per2),
+a AS (SELECT sum(t) AS s, sum(tp) AS c, sum(t * prec) AS wp, sum(t * rec) AS wr, sum(t * f1) AS wf,
+        avg(CASE WHEN t > 0 THEN rec END) AS ba, sum(t * q) AS pt, sum(q * q) AS pp, sum(t * t) AS tt FROM per3)
+SELECT {R('c / s')} AS accuracy, {R('wp / s')} AS precision, {R('wr / s')} AS recall, {R('wf / s')} AS f1,
+  {R('ba')} AS balanced_accuracy,
+  {R('CASE WHEN sqrt((s * s - pp) * (s * s - tt)) > 0 THEN (c * s - pt) / sqrt((s * s - pp) * (s * s - tt)) ELSE 0.0 END')} AS mcc,
+  {R('CASE WHEN pt / (s * s) < 1 THEN (c / s - pt / (s * s)) / (1 - pt / (s * s)) ELSE 0.0 END')} AS cohen_kappa
+FROM a"""
+_HIST = """h AS (SELECT score AS s, sum(CASE WHEN CAST(label AS VARCHAR) = '1' THEN 1.0 ELSE 0.0 END) AS npos,
+  sum(CASE WHEN CAST(label AS VARCHAR) = '1' THEN 0.0 ELSE 1.0 END) AS nneg FROM ldoc GROUP BY score)"""
+ORACLE["eval_roc_auc"] = f"""WITH {LDOC}, {_HIST},
+c AS (SELECT *, sum(nneg) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING) AS cum FROM h)
+SELECT {R('CASE WHEN sum(npos) > 0 AND sum(nneg) > 0 THEN sum(npos * (cum - nneg + 0.5 * nneg)) / (sum(npos) * sum(nneg)) END')} AS roc_auc
+FROM c"""
+ORACLE["eval_pr_auc"] = f"""WITH {LDOC}, {_HIST},
+c AS (SELECT *, sum(npos) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS cp,
+               sum(nneg) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS cn FROM h)
+SELECT {R('sum(CASE WHEN npos > 0 THEN npos / (SELECT sum(npos) FROM h) * (cp / (cp + cn)) ELSE 0.0 END)')} AS pr_auc FROM c"""
+ORACLE["eval_log_loss"] = f"""WITH {LDOC}
+SELECT {R("avg(-ln(least(greatest(CASE WHEN CAST(label AS VARCHAR) = '1' THEN score ELSE 1 - score END, 2.220446049250313e-16), 1 - 2.220446049250313e-16)))")} AS log_loss
+FROM ldoc"""
+ORACLE["predict_vs_actual"] = f"""WITH {RP}, r AS (SELECT regr_slope(p, y) AS slope, regr_intercept(p, y) AS intercept FROM rp)
+SELECT {R('y', 4)} AS actual, {R('p', 4)} AS predicted, {R('intercept + slope * y', 4)} AS trend,
+  {R('slope', 4)} AS slope, {R('intercept', 4)} AS intercept FROM rp, r"""
+
+# ------------------------------------------------------------------ 2.8 cluster metrics
+
+ORACLE["cluster_sizes"] = f"""WITH s AS (SELECT c_mktsegment, count(*) AS size FROM customer GROUP BY c_mktsegment)
+SELECT c_mktsegment, size, {R('(SELECT stddev_pop(size) / avg(size) FROM s)')} AS balance FROM s"""
+EMB = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+d AS (SELECT vec_id, label, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM e),
+cs AS (SELECT label, i, sum(v) AS s FROM d GROUP BY label, i),
+cn AS (SELECT label, count(*) AS n, sum(list_sum(list_transform(x, lambda t: t * t))) AS q FROM e GROUP BY label),
+tot AS (SELECT i, sum(s) AS s FROM cs GROUP BY i),
+nn AS (SELECT sum(n) AS n, count(*) AS k FROM cn),
+wc AS (SELECT sum(q) - (SELECT sum(ss / n) FROM (SELECT cs.label, sum(s * s) AS ss FROM cs GROUP BY cs.label) x
+                          JOIN cn ON x.label = cn.label) AS wcss FROM cn),
+bc AS (SELECT sum(cn.n * (cs.s / cn.n - tot.s / nn.n) * (cs.s / cn.n - tot.s / nn.n)) AS bcss
+       FROM cs JOIN cn ON cs.label = cn.label JOIN tot ON cs.i = tot.i CROSS JOIN nn)"""
+ORACLE["cluster_wcss_ratio"] = f"""WITH {EMB}
+SELECT {R('wcss', 4)} AS wcss, {R('bcss', 4)} AS bcss,
+  {R('CASE WHEN wcss + bcss > 0 THEN bcss / (wcss + bcss) ELSE 0.0 END', 4)} AS variance_ratio FROM wc, bc"""
+ORACLE["cluster_calinski_harabasz"] = f"""WITH {EMB}
+SELECT {R('(bcss / (k - 1)) / (wcss / (n - k))')} AS calinski_harabasz FROM wc, bc, nn"""
+ORACLE["cluster_davies_bouldin"] = f"""WITH {EMB},
+cent AS (SELECT cs.label, cs.i, cs.s / cn.n AS mu FROM cs JOIN cn ON cs.label = cn.label),
+pd AS (SELECT d.vec_id, d.label, sqrt(sum((d.v - cent.mu) * (d.v - cent.mu))) AS dist
+       FROM d JOIN cent ON d.label = cent.label AND d.i = cent.i GROUP BY d.vec_id, d.label),
+sp AS (SELECT label, avg(dist) AS s FROM pd GROUP BY label),
+cd AS (SELECT a.label AS la, b.label AS lb, sqrt(sum((a.mu - b.mu) * (a.mu - b.mu))) AS dd
+       FROM cent a JOIN cent b ON a.i = b.i AND a.label <> b.label GROUP BY a.label, b.label),
+w AS (SELECT la, max((sa.s + sb.s) / dd) AS worst FROM cd JOIN sp sa ON cd.la = sa.label JOIN sp sb ON cd.lb = sb.label GROUP BY la)
+SELECT {R('avg(worst)')} AS davies_bouldin FROM w"""
+ORACLE["cluster_silhouette"] = f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+n AS (SELECT label, count(*) AS n FROM e GROUP BY label),
+pr AS (SELECT a.vec_id, a.label AS la, b.label AS lb,
+         sum(list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS sd
+       FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY a.vec_id, a.label, b.label),
+m AS (SELECT pr.vec_id, pr.la, pr.lb,
+        CASE WHEN pr.la = pr.lb THEN pr.sd / (n.n - 1) ELSE pr.sd / n.n END AS md FROM pr JOIN n ON pr.lb = n.label),
+ab AS (SELECT vec_id, la, max(CASE WHEN la = lb THEN md END) AS a, min(CASE WHEN la <> lb THEN md END) AS b
+       FROM m GROUP BY vec_id, la),
+s AS (SELECT ab.vec_id, CASE WHEN n.n <= 1 THEN 0.0 ELSE (b - a) / greatest(a, b) END AS s
+      FROM ab JOIN n ON ab.la = n.label)
+SELECT {R('avg(s)')} AS silhouette FROM s"""

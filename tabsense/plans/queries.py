@@ -213,3 +213,289 @@ def q_eda_insights(spark, sf):
 def q_profile_report(spark, sf):
     df = lineitem_missing(spark, sf).drop("l_shipdate")
     return rounded(prof.profile_report(df), 4)
+
+
+# ------------------------------------------------------------------ 2.5 cleaning
+
+from tabsense.operators import anomaly as anom  # noqa: E402
+from tabsense.operators import charts as ch  # noqa: E402
+from tabsense.operators import clean as cln  # noqa: E402
+from tabsense.operators import clustering as clu  # noqa: E402
+from tabsense.operators import features as fe  # noqa: E402
+from tabsense.operators import metrics as met  # noqa: E402
+from tabsense.plans.fixtures import (events_gappy, labeled_documents, lineitem_dirty,  # noqa: E402
+                                     lineitem_features)
+
+LM_NUMERIC = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_tax", "l_discount"]
+ANOMALY_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("suggest_cleaning")
+def q_suggest_cleaning(spark, sf):
+    return cln.suggest_cleaning(lineitem_dirty(spark, sf))
+
+
+@register("drop_column")
+def q_drop_column(spark, sf):
+    return cln.drop_column(lineitem_missing(spark, sf), "l_discount")
+
+
+@register("impute_median")
+def q_impute_median(spark, sf):
+    return rounded(cln.impute_median(lineitem_missing(spark, sf), ["l_tax", "l_discount", "l_quantity"]))
+
+
+@register("impute_mean")
+def q_impute_mean(spark, sf):
+    return rounded(cln.impute_mean(lineitem_missing(spark, sf), ["l_tax", "l_discount", "l_quantity"]))
+
+
+@register("impute_mode")
+def q_impute_mode(spark, sf):
+    return cln.impute_mode(lineitem_missing(spark, sf))
+
+
+@register("impute_constant")
+def q_impute_constant(spark, sf):
+    return cln.impute_constant(lineitem_missing(spark, sf), 0.0, ["l_tax", "l_discount"])
+
+
+@register("fill_forward")
+def q_fill_forward(spark, sf):
+    return cln.fill_forward(events_gappy(spark, sf), ["value"], ["ts", "event_id"], partition_by=["user_id"])
+
+
+@register("fill_backward")
+def q_fill_backward(spark, sf):
+    return cln.fill_backward(events_gappy(spark, sf), ["value"], ["ts", "event_id"])
+
+
+@register("convert_numeric")
+def q_convert_numeric(spark, sf):
+    return cln.convert_numeric(orders_as_text(spark, sf), ["o_totalprice", "o_custkey"])
+
+
+@register("convert_datetime")
+def q_convert_datetime(spark, sf):
+    return cln.convert_datetime(orders_as_text(spark, sf), ["o_orderdate"])
+
+
+@register("clip_iqr")
+def q_clip_iqr(spark, sf):
+    return rounded(cln.clip_iqr(lineitem_dirty(spark, sf), ["l_spiky", "l_extendedprice"]))
+
+
+@register("drop_duplicates")
+def q_drop_duplicates(spark, sf):
+    return cln.drop_duplicates(table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity"))
+
+
+# ------------------------------------------------------------------ 2.6 anomalies
+
+@register("anomaly_zscore")
+def q_anomaly_zscore(spark, sf):
+    return rounded(anom.anomaly_zscore(table(spark, sf, "lineitem"), ANOMALY_FEATURES))
+
+
+@register("anomaly_modified_zscore")
+def q_anomaly_modified_zscore(spark, sf):
+    return rounded(anom.anomaly_modified_zscore(table(spark, sf, "lineitem"), ANOMALY_FEATURES))
+
+
+@register("anomaly_iqr")
+def q_anomaly_iqr(spark, sf):
+    df = lineitem_dirty(spark, sf).select("l_orderkey", "l_partkey", "l_quantity", "l_spiky", "l_extendedprice")
+    return rounded(anom.anomaly_iqr(df, ["l_spiky", "l_extendedprice"]))
+
+
+@register("anomaly_summary")
+def q_anomaly_summary(spark, sf):
+    flagged = anom.anomaly_zscore(table(spark, sf, "lineitem"), ANOMALY_FEATURES)
+    return rounded(anom.anomaly_summary(flagged, "Z-Score", ANOMALY_FEATURES))
+
+
+@register("remove_outliers_iqr")
+def q_remove_outliers_iqr(spark, sf):
+    df = lineitem_dirty(spark, sf).select("l_orderkey", "l_partkey", "l_spiky", "l_extendedprice", "l_quantity")
+    return anom.remove_outliers_iqr(df, ["l_spiky", "l_extendedprice"])
+
+
+# ------------------------------------------------------------------ 2.7 features
+
+SQUARED_DIGITS = {f"{c}_squared": 2 for c in ("l_quantity", "l_extendedprice", "l_discount")}
+
+
+@register("feat_polynomial")
+def q_feat_polynomial(spark, sf):
+    df = lineitem_features(spark, sf).drop("l_orderkey", "l_linenumber")
+    return rounded(fe.feat_polynomial(df), **SQUARED_DIGITS)
+
+
+@register("feat_interactions")
+def q_feat_interactions(spark, sf):
+    df = lineitem_features(spark, sf).drop("l_orderkey", "l_linenumber")
+    return rounded(fe.feat_interactions(df))
+
+
+@register("feat_bins")
+def q_feat_bins(spark, sf):
+    df = lineitem_features(spark, sf).drop("l_orderkey", "l_linenumber")
+    return rounded(fe.feat_bins(df))
+
+
+@register("feature_engineering")
+def q_feature_engineering(spark, sf):
+    df = lineitem_features(spark, sf).drop("l_orderkey", "l_linenumber")
+    return rounded(fe.feature_engineering(df, target="l_tax"), **SQUARED_DIGITS)
+
+
+@register("label_encode")
+def q_label_encode(spark, sf):
+    df = lineitem_missing(spark, sf).select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus")
+    return fe.label_encode(df, ["l_returnflag", "l_linestatus"])
+
+
+@register("standard_scale")
+def q_standard_scale(spark, sf):
+    df = lineitem_features(spark, sf)
+    return rounded(fe.standard_scale(df, ["l_quantity", "l_extendedprice", "l_discount"]))
+
+
+@register("select_k_best")
+def q_select_k_best(spark, sf):
+    df = table(spark, sf, "lineitem")
+    return fe.select_k_best(df, ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey"],
+                            "l_linenumber", k=2, min_features=2)
+
+
+@register("train_test_split")
+def q_train_test_split(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    return fe.train_test_split(df, ["l_orderkey", "l_linenumber"], 0.2, 42, stratify="l_returnflag")
+
+
+# ------------------------------------------------------------------ 2.11 charts
+
+@register("chart_scatter")
+def q_chart_scatter(spark, sf):
+    return ch.chart_scatter(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag",
+                            key_cols=["l_orderkey", "l_linenumber"]).drop("l_orderkey", "l_linenumber")
+
+
+@register("chart_line")
+def q_chart_line(spark, sf):
+    return ch.chart_line(table(spark, sf, "events"), "ts", "value", "event_type")
+
+
+@register("chart_bar")
+def q_chart_bar(spark, sf):
+    return rounded(ch.chart_bar(table(spark, sf, "lineitem"), "l_returnflag", "l_quantity", "l_linestatus"), 2)
+
+
+@register("chart_histogram")
+def q_chart_histogram(spark, sf):
+    return rounded(ch.chart_histogram(table(spark, sf, "lineitem"), "l_extendedprice", 20), 4)
+
+
+@register("chart_box")
+def q_chart_box(spark, sf):
+    return rounded(ch.chart_box(table(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag"), 4)
+
+
+@register("chart_violin")
+def q_chart_violin(spark, sf):
+    return rounded(ch.chart_violin(table(spark, sf, "lineitem"), "l_discount", "l_linestatus"))
+
+
+@register("chart_pie")
+def q_chart_pie(spark, sf):
+    return rounded(ch.chart_pie(table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice"), 2, share=6)
+
+
+@register("chart_corr_heatmap")
+def q_chart_corr_heatmap(spark, sf):
+    return rounded(ch.chart_corr_heatmap(table(spark, sf, "lineitem")))
+
+
+@register("chart_map")
+def q_chart_map(spark, sf):
+    c = table(spark, sf, "customer")
+    geo = c.select("c_custkey", ((F.col("c_custkey") % 180) - 90).cast("double").alias("latitude"),
+                   ((F.col("c_nationkey") * 14) - 175).cast("double").alias("longitude"), "c_acctbal")
+    return ch.chart_map(geo, key_cols=["c_custkey"])
+
+
+@register("chart_anomaly")
+def q_chart_anomaly(spark, sf):
+    flagged = anom.anomaly_zscore(table(spark, sf, "lineitem"), ANOMALY_FEATURES)
+    return rounded(ch.chart_anomaly(flagged, "l_quantity", "l_extendedprice"))
+
+
+# ------------------------------------------------------------------ 2.10 evaluation
+
+def _regression_pairs(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return li.select(F.col("l_extendedprice").alias("label"), (F.col("l_quantity") * 950.0).alias("prediction"))
+
+
+@register("eval_regression")
+def q_eval_regression(spark, sf):
+    return rounded(met.eval_regression(_regression_pairs(spark, sf), "label", "prediction"), 6,
+                   mse=2, mae=4, rmse=4, median_ae=4, max_error=4)
+
+
+@register("eval_residuals")
+def q_eval_residuals(spark, sf):
+    return rounded(met.eval_residuals(_regression_pairs(spark, sf), "label", "prediction"), 4)
+
+
+@register("eval_classification")
+def q_eval_classification(spark, sf):
+    return rounded(met.eval_classification(labeled_documents(spark, sf), "label", "prediction"))
+
+
+@register("eval_roc_auc")
+def q_eval_roc_auc(spark, sf):
+    return rounded(met.eval_roc_auc(labeled_documents(spark, sf), "label", "score"))
+
+
+@register("eval_pr_auc")
+def q_eval_pr_auc(spark, sf):
+    return rounded(met.eval_pr_auc(labeled_documents(spark, sf), "label", "score"))
+
+
+@register("eval_log_loss")
+def q_eval_log_loss(spark, sf):
+    return rounded(met.eval_log_loss(labeled_documents(spark, sf), "label", "score"))
+
+
+@register("predict_vs_actual")
+def q_predict_vs_actual(spark, sf):
+    return rounded(met.predict_vs_actual(_regression_pairs(spark, sf), "label", "prediction"), 4)
+
+
+# ------------------------------------------------------------------ 2.8 cluster metrics
+
+@register("cluster_sizes")
+def q_cluster_sizes(spark, sf):
+    return rounded(clu.cluster_sizes(table(spark, sf, "customer"), "c_mktsegment"))
+
+
+@register("cluster_wcss_ratio")
+def q_cluster_wcss_ratio(spark, sf):
+    return rounded(clu.cluster_wcss_ratio(table(spark, sf, "embeddings"), "embedding", "label"), 4)
+
+
+@register("cluster_davies_bouldin")
+def q_cluster_davies_bouldin(spark, sf):
+    return rounded(clu.cluster_davies_bouldin(table(spark, sf, "embeddings"), "embedding", "label"))
+
+
+@register("cluster_calinski_harabasz")
+def q_cluster_calinski_harabasz(spark, sf):
+    return rounded(clu.cluster_calinski_harabasz(table(spark, sf, "embeddings"), "embedding", "label"))
+
+
+@register("cluster_silhouette")
+def q_cluster_silhouette(spark, sf):
+    return rounded(clu.cluster_silhouette(table(spark, sf, "embeddings"), "embedding", "label"))
