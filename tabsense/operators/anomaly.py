@@ -6,12 +6,15 @@ a single projection with those values as literals (whole-stage codegen, no join)
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabsense.functions.quantiles import quantile_table
 from tabsense.functions.schema import numeric_columns, require_columns
 from tabsense.functions.stats import count_if, greatest_of, stats_row
+from tabsense.session import checkpoint_dir
 
 # Default thresholds of the reference's methods.
 Z_THRESHOLD = 3.0
@@ -110,3 +113,131 @@ def remove_outliers_iqr(df: DataFrame, features, multiplier: float = IQR_MULTIPL
         lo, hi = q1 - multiplier * (q3 - q1), q3 + multiplier * (q3 - q1)
         data = data.where((_x(c) >= F.lit(lo)) & (_x(c) <= F.lit(hi)))
     return data
+
+
+# ----------------------------------------------------------------------------- isolation forest
+
+def _c(n):
+    """Average path length of an unsuccessful BST search over n points (Liu et al. 2008)."""
+    n = np.asarray(n, dtype=float)
+    out = np.zeros_like(n)
+    big = n > 2
+    out[big] = 2.0 * (np.log(n[big] - 1.0) + 0.5772156649015329) - 2.0 * (n[big] - 1.0) / n[big]
+    out[n == 2] = 1.0
+    return out
+
+
+def _grow_tree(x: np.ndarray, rng, max_depth: int):
+    """Random isolation tree as parallel arrays (feature, threshold, left, right, size)."""
+    feat, thr, left, right, size = [], [], [], [], []
+
+    def node(idx, depth):
+        k = len(feat)
+        feat.append(-1); thr.append(0.0); left.append(-1); right.append(-1); size.append(len(idx))
+        if depth >= max_depth or len(idx) <= 1:
+            return k
+        sub = x[idx]
+        lo, hi = sub.min(axis=0), sub.max(axis=0)
+        candidates = np.flatnonzero(hi > lo)
+        if candidates.size == 0:
+            return k
+        f = int(rng.choice(candidates))
+        t = float(rng.uniform(lo[f], hi[f]))
+        feat[k], thr[k] = f, t
+        go_left = sub[:, f] < t
+        left[k] = node(idx[go_left], depth + 1)
+        right[k] = node(idx[~go_left], depth + 1)
+        return k
+
+    node(np.arange(len(x)), 0)
+    return feat, thr, left, right, size
+
+
+def anomaly_isolation_forest(df: DataFrame, features=None, contamination: float = CONTAMINATION,
+                             n_trees: int = N_TREES, subsample: int = SUBSAMPLE, key_cols=None,
+                             seed: int = 42) -> DataFrame:
+    """Isolation Forest (Liu, Ting, Zhou 2008) as Spark jobs.
+
+    1. Each tree's subsample: rows whose seeded hash for that tree falls under ~2x the target
+       share are emitted once per selecting tree (about 2 x subsample x n_trees rows in total),
+       and each tree keeps the ``subsample`` smallest hashes.
+    2. ``groupBy(tree).applyInPandas`` grows one tree per group (bounded by ``subsample``).
+    3. The forest (n_trees x < 2 x subsample nodes, independent of the data size) is broadcast
+       and every row is scored in ``mapInPandas``: s = 2^(-E[h(x)] / c(subsample)).
+    4. ``is_anomaly`` = s above the exact (1 - contamination) quantile of s.
+    """
+    import pandas as pd
+    data, feats = _prepare(df, features)
+    keys = list(key_cols) if key_cols else list(data.columns)
+    spark = data.sparkSession
+    n = data.count()
+    if n == 0:
+        return data.withColumn("anomaly_score", F.lit(None).cast("double")).withColumn("is_anomaly", F.lit(False))
+    psi = int(min(subsample, n))
+    share = min(1.0, 2.0 * psi / n)
+    limit = int(share * 1_000_000)
+    key_exprs = [F.col(f"`{k}`") for k in keys]
+
+    def u(t):
+        return F.pmod(F.xxhash64(*key_exprs, F.lit(seed), t), F.lit(1_000_000))
+
+    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: u(t) < F.lit(limit)) if share < 1.0 \
+        else F.sequence(F.lit(0), F.lit(n_trees - 1))
+    picked = data.select(F.explode(trees).alias("_tree"), *[_x(c).alias(f"f{i}") for i, c in enumerate(feats)],
+                         *key_exprs)
+    picked = picked.withColumn("_h", F.xxhash64(*key_exprs, F.lit(seed), F.col("_tree")))
+    picked = picked.select("_tree", "_h", *[f"f{i}" for i in range(len(feats))])
+    max_depth = int(np.ceil(np.log2(max(psi, 2))))
+    fcols = [f"f{i}" for i in range(len(feats))]
+
+    def grow(pdf):
+        pdf = pdf.sort_values("_h").head(psi)
+        t = int(pdf["_tree"].iloc[0])
+        rng = np.random.default_rng([seed, t])
+        ft, th, le, ri, sz = _grow_tree(pdf[fcols].to_numpy(dtype=float), rng, max_depth)
+        return pd.DataFrame({"tree": t, "node": np.arange(len(ft)), "feature": ft, "threshold": th,
+                             "left": le, "right": ri, "size": sz})
+
+    nodes = picked.groupBy("_tree").applyInPandas(
+        grow, "tree int, node int, feature int, threshold double, left int, right int, size long").collect()
+    forest = {}
+    for r in nodes:
+        forest.setdefault(r["tree"], []).append(r)
+    packed = []
+    for t in sorted(forest):
+        rows = sorted(forest[t], key=lambda r: r["node"])
+        packed.append((np.array([r["feature"] for r in rows]), np.array([r["threshold"] for r in rows]),
+                       np.array([r["left"] for r in rows]), np.array([r["right"] for r in rows]),
+                       np.array([r["size"] for r in rows], dtype=float)))
+    bc = spark.sparkContext.broadcast((packed, float(_c([psi])[0])))
+    in_cols = data.columns
+    out_schema = T.StructType(list(data.schema.fields) + [T.StructField("anomaly_score", T.DoubleType())])
+
+    def score(batches):
+        forest_arrays, c_psi = bc.value
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            x = pdf[feats].to_numpy(dtype=float)
+            total = np.zeros(len(x))
+            for ft, th, le, ri, sz in forest_arrays:
+                nodeid = np.zeros(len(x), dtype=int)
+                depth = np.zeros(len(x))
+                active = ft[nodeid] >= 0
+                while active.any():
+                    idx = np.flatnonzero(active)
+                    cur = nodeid[idx]
+                    go_left = x[idx, ft[cur]] < th[cur]
+                    nodeid[idx] = np.where(go_left, le[cur], ri[cur])
+                    depth[idx] += 1
+                    active = ft[nodeid] >= 0
+                total += depth + _c(sz[nodeid])
+            out = pdf[in_cols].copy()
+            out["anomaly_score"] = np.power(2.0, -(total / len(forest_arrays)) / c_psi) if c_psi > 0 else 0.5
+            yield out
+
+    scored = data.mapInPandas(score, out_schema)
+    checkpoint_dir(spark)
+    scored = scored.checkpoint(eager=True)  # scored once; the quantile passes read the checkpoint
+    cut = quantile_table(scored, ["anomaly_score"], [1.0 - contamination])["anomaly_score"][0]
+    return scored.withColumn("is_anomaly", F.col("anomaly_score") > F.lit(cut))

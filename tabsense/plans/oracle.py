@@ -629,3 +629,20 @@ ab AS (SELECT vec_id, la, max(CASE WHEN la = lb THEN md END) AS a, min(CASE WHEN
 s AS (SELECT ab.vec_id, CASE WHEN n.n <= 1 THEN 0.0 ELSE (b - a) / greatest(a, b) END AS s
       FROM ab JOIN n ON ab.la = n.label)
 SELECT {R('avg(s)')} AS silhouette FROM s"""
+
+
+# ------------------------------------------------------------------ 2.1 sources and sinks
+
+ORACLE["scan_csv"] = "SELECT * FROM part"
+ORACLE["scan_json"] = "SELECT * FROM customer"
+ORACLE["sink_csv"] = ORACLE["filter_conjunction"]
+ORACLE["sink_json"] = ORACLE["describe_all"]
+_LI_CELLS = " + ".join(f"(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)" for c in LI_COLS if c != "l_returnflag")
+ORACLE["scan_batch"] = f"""WITH g AS (
+  SELECT l_returnflag, count(*) AS rows, sum({_LI_CELLS}) AS missing_cells,
+         count(DISTINCT l_linestatus) AS u_ls FROM lineitem GROUP BY l_returnflag),
+d AS (SELECT l_returnflag, sum(n - 1) AS dups FROM (
+        SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL_COLS) GROUP BY l_returnflag)
+SELECT g.l_returnflag, g.rows,
+  {R('greatest(0.0, least(100.0, 100.0 - missing_cells / (rows * 11) * 30 - dups / rows * 20 + ((10 + (CASE WHEN u_ls < rows * 0.8 THEN 1 ELSE 0 END)) / 11.0) * 10))')} AS quality_score
+FROM g JOIN d ON g.l_returnflag = d.l_returnflag""".replace("ALL_COLS", ", ".join(LI_COLS))

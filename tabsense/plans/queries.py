@@ -499,3 +499,137 @@ def q_cluster_calinski_harabasz(spark, sf):
 @register("cluster_silhouette")
 def q_cluster_silhouette(spark, sf):
     return rounded(clu.cluster_silhouette(table(spark, sf, "embeddings"), "embedding", "label"))
+
+
+@register("anomaly_isolation_forest")
+def q_anomaly_isolation_forest(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *ANOMALY_FEATURES)
+    return anom.anomaly_isolation_forest(li, ANOMALY_FEATURES, key_cols=["l_orderkey", "l_linenumber"])
+
+
+# ------------------------------------------------------------------ 2.1 sources and sinks
+
+from tabsense.session import scratch_path  # noqa: E402
+from tabsense.sources import io as sio  # noqa: E402
+
+
+@register("scan_csv")
+def q_scan_csv(spark, sf):
+    part = table(spark, sf, "part")
+    path = sio.sink_csv(part, scratch_path(spark, "part-csv"))
+    return sio.scan_csv(spark, path, schema=part.schema)
+
+
+@register("scan_json")
+def q_scan_json(spark, sf):
+    cust = table(spark, sf, "customer")
+    path = sio.sink_json(cust, scratch_path(spark, "customer-json"))
+    return sio.scan_json(spark, path, schema=cust.schema, multi_line=False)
+
+
+@register("scan_batch")
+def q_scan_batch(spark, sf):
+    li = table(spark, sf, "lineitem")
+    base = scratch_path(spark, "lineitem-batch")
+    li.repartition("l_returnflag").write.partitionBy("l_returnflag").parquet(base)
+    _, per_file = sio.scan_batch(spark, [base])
+    flag = F.regexp_extract("source_file", r"l_returnflag=([^/]+)", 1).alias("l_returnflag")
+    return rounded(per_file.select(flag, "rows", "quality_score"))
+
+
+@register("sink_csv")
+def q_sink_csv(spark, sf):
+    li = table(spark, sf, "lineitem")
+    out = flt.filter_conjunction(li, FILTER_STATE)
+    path = sio.sink_csv(out, scratch_path(spark, "filtered-csv"))
+    return sio.scan_csv(spark, path, schema=li.schema)
+
+
+@register("sink_json")
+def q_sink_json(spark, sf):
+    rep = prof.describe_all(table(spark, sf, "part"))
+    path = sio.sink_json(rep, scratch_path(spark, "describe-json"))
+    return sio.scan_json(spark, path, schema=rep.schema, multi_line=False)
+
+
+# ------------------------------------------------------------------ 2.8 / 2.9 models
+
+from tabsense.operators import models as mdl  # noqa: E402
+
+PART_FEATURES = ["p_size", "p_brand", "p_type"]
+
+
+def _docs(spark, sf):
+    lab = table(spark, sf, "labels")
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source")
+    return lab.join(docs, "doc_id")
+
+
+@register("rf_regression")
+def q_rf_regression(spark, sf):
+    metrics, _, _ = mdl.random_forest(table(spark, sf, "part"), PART_FEATURES, "p_retailprice", "regression",
+                                      n_trees=50, key_cols=["p_partkey"])
+    return metrics
+
+
+@register("rf_classification")
+def q_rf_classification(spark, sf):
+    metrics, _, _ = mdl.random_forest(_docs(spark, sf), ["n_chars", "lang", "source"], "quality", "classification",
+                                      n_trees=50, key_cols=["doc_id"])
+    return metrics
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf):
+    _, model, feats = mdl.random_forest(table(spark, sf, "part"), PART_FEATURES, "p_retailprice", "regression",
+                                        n_trees=50, key_cols=["p_partkey"])
+    return mdl.feature_importance(model, feats)
+
+
+@register("rf_tuned")
+def q_rf_tuned(spark, sf):
+    return mdl.rf_tuned(_docs(spark, sf), ["n_chars", "lang", "source"], "quality", "classification",
+                        key_cols=["doc_id"])
+
+
+@register("mlp_classification")
+def q_mlp_classification(spark, sf):
+    metrics, _ = mdl.mlp_classification(_docs(spark, sf), ["n_chars", "lang", "source"], "quality",
+                                        key_cols=["doc_id"])
+    return metrics
+
+
+@register("mlp_regression")
+def q_mlp_regression(spark, sf):
+    metrics, _, _ = mdl.mlp_regression(table(spark, sf, "part"), PART_FEATURES, "p_retailprice",
+                                       key_cols=["p_partkey"])
+    return metrics
+
+
+@register("model_comparison")
+def q_model_comparison(spark, sf):
+    return mdl.model_comparison(_docs(spark, sf), ["n_chars", "lang", "source"], "quality", "classification",
+                                key_cols=["doc_id"], n_trees=50)
+
+
+@register("kmeans_fit")
+def q_kmeans_fit(spark, sf):
+    scored, _ = clu.kmeans_fit(table(spark, sf, "customer"), ["c_acctbal", "c_nationkey"], k=3, scale=True,
+                               remove_outliers=True)
+    return scored
+
+
+@register("kmeans_elbow")
+def q_kmeans_elbow(spark, sf):
+    return clu.kmeans_elbow(table(spark, sf, "embeddings"), "embedding", range(2, 8))
+
+
+@register("kmeans_auto_k_silhouette")
+def q_kmeans_auto_k_silhouette(spark, sf):
+    return clu.kmeans_auto_k_silhouette(table(spark, sf, "embeddings"), "embedding", range(2, 9))
+
+
+@register("cluster_analysis")
+def q_cluster_analysis(spark, sf):
+    sweep, _ = clu.cluster_analysis(table(spark, sf, "customer"), ["c_acctbal", "c_nationkey"])
+    return sweep
