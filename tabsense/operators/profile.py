@@ -347,23 +347,64 @@ def categorical_profile(df: DataFrame, columns=None, limit: int = 10) -> DataFra
 
 
 def corr_matrix(df: DataFrame, columns=None) -> DataFrame:
-    """Pearson correlation over pairwise-complete rows, every ordered pair (column1, column2)."""
+    """Pearson correlation over pairwise-complete rows, every ordered pair (column1, column2).
+
+    Pass 1: count and mean per column.  Pass 2: one aggregate of centered sums (x - mean):
+    per column sum and sum of squares, per pair sum of products; a pair involving a column
+    with NULLs also gets its own masked count and sums, so NULL handling stays pairwise.
+    Centering keeps the sums-of-products formula numerically stable, and the buffer stays
+    narrow enough for whole-stage codegen (one ``corr`` per pair would need 6 fields each).
+    """
     cols = list(columns) if columns else numeric_columns(df)
     if len(cols) < 2:
         raise ValueError("need two numeric columns")
-    aggs = []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            aggs.append(F.corr(F.col(_q(a)).cast("double"), F.col(_q(b)).cast("double")).alias(f"{a}|{b}"))
-    wide = df.agg(*aggs)
-    structs = []
+    x = {c: F.col(_q(c)).cast("double") for c in cols}
+    first = stats_row(df, {"__rows": F.count(F.lit(1)), **{f"n|{c}": F.count(x[c]) for c in cols},
+                           **{f"m|{c}": F.avg(x[c]) for c in cols}})
+    rows = first["__rows"] or 0
+    nullable = {c for c in cols if (first[f"n|{c}"] or 0) < rows}
+    xc = {c: x[c] - F.lit(first[f"m|{c}"] if first[f"m|{c}"] is not None else 0.0) for c in cols}
+    aggs = {}
+    for c in cols:
+        aggs[f"s|{c}"] = F.sum(xc[c])
+        aggs[f"q|{c}"] = F.sum(xc[c] * xc[c])
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    for a, b in pairs:
+        aggs[f"p|{a}|{b}"] = F.sum(xc[a] * xc[b])
+        if a in nullable or b in nullable:
+            both = x[a].isNotNull() & x[b].isNotNull()
+            aggs[f"n|{a}|{b}"] = count_if(both)
+            for name, c in (("a", a), ("b", b)):
+                v = F.when(both, xc[c])
+                aggs[f"{name}s|{a}|{b}"] = F.sum(v)
+                aggs[f"{name}q|{a}|{b}"] = F.sum(v * v)
+    st = stats_row(df, aggs) if rows else {}
+
+    def corr(a, b):
+        if not rows:
+            return None
+        if a == b:
+            n, sa, sb, qa, qb, p = first[f"n|{a}"], st[f"s|{a}"], st[f"s|{a}"], st[f"q|{a}"], st[f"q|{a}"], st[f"q|{a}"]
+        elif a in nullable or b in nullable:
+            n = st[f"n|{a}|{b}"]
+            sa, qa, sb, qb = st[f"as|{a}|{b}"], st[f"aq|{a}|{b}"], st[f"bs|{a}|{b}"], st[f"bq|{a}|{b}"]
+            p = st[f"p|{a}|{b}"]
+        else:
+            n, sa, sb, qa, qb, p = rows, st[f"s|{a}"], st[f"s|{b}"], st[f"q|{a}"], st[f"q|{b}"], st[f"p|{a}|{b}"]
+        if not n or sa is None or sb is None:
+            return None
+        vxx, vyy, vxy = qa - sa * sa / n, qb - sb * sb / n, p - sa * sb / n
+        if vxx <= 0 or vyy <= 0:
+            return None
+        return vxy / (vxx * vyy) ** 0.5
+
+    out = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
-            key = f"{a}|{b}" if i <= j else f"{b}|{a}"
-            structs.append(F.struct(F.lit(a).alias("column1"), F.lit(b).alias("column2"),
-                                    F.lit(i).alias("pos1"), F.lit(j).alias("pos2"),
-                                    F.col(f"`{key}`").alias("correlation")))
-    return wide.select(F.explode(F.array(*structs)).alias("_c")).select("_c.*")
+            key = (a, b) if i <= j else (b, a)
+            out.append((a, b, i, j, corr(*key)))
+    return df.sparkSession.createDataFrame(
+        out, "column1 string, column2 string, pos1 int, pos2 int, correlation double")
 
 
 def corr_high_pairs(df: DataFrame, columns=None, threshold: float = HIGH_CORR_P, top: int | None = 3,

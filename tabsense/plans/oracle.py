@@ -646,3 +646,41 @@ d AS (SELECT l_returnflag, sum(n - 1) AS dups FROM (
 SELECT g.l_returnflag, g.rows,
   {R('greatest(0.0, least(100.0, 100.0 - missing_cells / (rows * 11) * 30 - dups / rows * 20 + ((10 + (CASE WHEN u_ls < rows * 0.8 THEN 1 ELSE 0 END)) / 11.0) * 10))')} AS quality_score
 FROM g JOIN d ON g.l_returnflag = d.l_returnflag""".replace("ALL_COLS", ", ".join(LI_COLS))
+
+
+def _profile_report(d=4):
+    cols = [c for c in LM_COLS if c != "l_shipdate"]
+    nums = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_tax", "l_discount"]
+    cats = ["l_returnflag", "l_linestatus"]
+    cells = " + ".join(f"(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)" for c in cols)
+    nul = "CAST(NULL AS VARCHAR)"
+    parts = [
+        f"SELECT 'basic_info' AS section, {nul} AS \"column\", 'rows' AS metric, {R('count(*)', d)} AS num_value, {nul} AS str_value FROM p",
+        f"SELECT 'basic_info', {nul}, 'columns', {R(str(len(cols)), d)}, {nul}",
+        f"SELECT 'basic_info', {nul}, 'missing_values', {R(f'sum({cells})', d)}, {nul} FROM p",
+        f"SELECT 'basic_info', {nul}, 'duplicates', {R('sum(n - 1)', d)}, {nul} FROM "
+        f"(SELECT count(*) AS n FROM p GROUP BY {', '.join(cols)})",
+    ]
+    for c in nums:
+        x = f"CAST({c} AS DOUBLE)"
+        q = f"(SELECT quantile_cont({x}, 0.25) AS q1, quantile_cont({x}, 0.75) AS q3 FROM p)"
+        outl = (f"(SELECT count(*) FROM p, {q} qq WHERE {x} < qq.q1 - 1.5 * (qq.q3 - qq.q1) "
+                f"OR {x} > qq.q3 + 1.5 * (qq.q3 - qq.q1))")
+        for m, e in (("mean", f"avg({x})"), ("std", f"stddev_samp({x})"), ("skewness", f"skewness({x})"),
+                     ("kurtosis", f"kurtosis({x})"), ("outliers_count", outl)):
+            src = "" if m == "outliers_count" else " FROM p"
+            parts.append(f"SELECT 'numeric_analysis', '{c}', '{m}', {R(e, d)}, {nul}{src}")
+    for c in cats:
+        vc = f"(SELECT {c} AS v, count(*) AS f FROM p WHERE {c} IS NOT NULL GROUP BY {c})"
+        parts.append(f"SELECT 'categorical_analysis', '{c}', 'unique_values', {R('count(*)', d)}, {nul} FROM {vc}")
+        parts.append(f"SELECT 'categorical_analysis', '{c}', 'most_frequent', CAST(NULL AS DOUBLE), "
+                     f"(SELECT v FROM {vc} ORDER BY f DESC, v LIMIT 1)")
+        parts.append(f"SELECT 'categorical_analysis', '{c}', 'cardinality_ratio', {R('count(*) / sum(f)', d)}, {nul} FROM {vc}")
+    pairs = union([f"SELECT '{a}' AS c1, '{b}' AS c2, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS r FROM p"
+                   for i, a in enumerate(nums) for b in nums[i + 1:]])
+    parts.append(f"SELECT 'correlations', c1 || ' | ' || c2, 'correlation', {R('r', d)}, {nul} FROM ({pairs}) "
+                 f"WHERE abs(r) > 0.7 AND r <> 1.0")
+    return f"WITH {LM}, p AS (SELECT * EXCLUDE (l_shipdate) FROM lm)\n" + union(parts)
+
+
+ORACLE["profile_report"] = _profile_report()
