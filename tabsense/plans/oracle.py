@@ -518,10 +518,10 @@ ORACLE["chart_box"] = f"""WITH q AS (SELECT l_returnflag, quantile_cont(l_extend
     quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.75) AS q3
   FROM lineitem GROUP BY l_returnflag),
 f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM q)
-SELECT f.l_returnflag, {R('q1', 4)} AS q1, {R('median', 4)} AS median, {R('q3', 4)} AS q3,
-  {R('lower_fence', 4)} AS lower_fence, {R('upper_fence', 4)} AS upper_fence,
-  {R('min(CASE WHEN l_extendedprice >= lower_fence AND l_extendedprice <= upper_fence THEN l_extendedprice END)', 4)} AS whisker_low,
-  {R('max(CASE WHEN l_extendedprice >= lower_fence AND l_extendedprice <= upper_fence THEN l_extendedprice END)', 4)} AS whisker_high,
+SELECT f.l_returnflag, {R('q1')} AS q1, {R('median')} AS median, {R('q3')} AS q3,
+  {R('lower_fence')} AS lower_fence, {R('upper_fence')} AS upper_fence,
+  {R('min(CASE WHEN l_extendedprice >= lower_fence AND l_extendedprice <= upper_fence THEN l_extendedprice END)')} AS whisker_low,
+  {R('max(CASE WHEN l_extendedprice >= lower_fence AND l_extendedprice <= upper_fence THEN l_extendedprice END)')} AS whisker_high,
   CAST(sum(CASE WHEN l_extendedprice >= lower_fence AND l_extendedprice <= upper_fence THEN 0 ELSE 1 END) AS BIGINT) AS outliers
 FROM lineitem l JOIN f ON l.l_returnflag = f.l_returnflag
 GROUP BY f.l_returnflag, q1, median, q3, lower_fence, upper_fence"""

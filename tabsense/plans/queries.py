@@ -399,7 +399,7 @@ def q_chart_histogram(spark, sf):
 
 @register("chart_box")
 def q_chart_box(spark, sf):
-    return rounded(ch.chart_box(table(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag"), 4)
+    return rounded(ch.chart_box(table(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag"), 6)
 
 
 @register("chart_violin")
