@@ -8,6 +8,7 @@ k centroids as a literal array (bounded by k x d), never a pairwise join of rows
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,7 @@ from tabsense.functions.schema import numeric_columns
 from tabsense.functions.stats import stats_row
 
 DEFAULT_SEED = 42
+FIT_THREADS = 4  # concurrent Spark jobs for the independent fits of a k sweep
 
 
 # ----------------------------------------------------------------------------- vectors
@@ -211,16 +213,19 @@ def kmeans_sweep(df: DataFrame, features, k_values, scale: bool = True, seed: in
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import vector_to_array
     data = _assemble(df, features, scale).persist()
-    rows = []
+
+    def fit_one(k):
+        model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol="_pred").fit(data)
+        inertia = float(model.summary.trainingCost)
+        sil = None
+        if with_silhouette:
+            pred = model.transform(data).select(vector_to_array("_features").alias("_arr"), "_pred")
+            sil = cluster_silhouette(pred, "_arr", "_pred").first()["silhouette"]
+        return int(k), inertia, None if sil is None else float(sil)
+
     try:
-        for k in k_values:
-            model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol="_pred").fit(data)
-            inertia = float(model.summary.trainingCost)
-            sil = None
-            if with_silhouette:
-                pred = model.transform(data).select(vector_to_array("_features").alias("_arr"), "_pred")
-                sil = cluster_silhouette(pred, "_arr", "_pred").first()["silhouette"]
-            rows.append((int(k), inertia, None if sil is None else float(sil)))
+        with ThreadPoolExecutor(max_workers=FIT_THREADS) as pool:
+            rows = list(pool.map(fit_one, list(k_values)))
     finally:
         data.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")

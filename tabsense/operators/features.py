@@ -17,6 +17,7 @@ N_INTERACT = 4
 N_BINS_COLS = 5
 NULL_TEXT = "nan"
 BROADCAST_MAX_ROWS = 1_000_000
+LOCAL_INDEX_MAX = 100_000  # distinct values numbered on the driver (proven by a bounded probe)
 
 
 def _x(c):
@@ -102,15 +103,19 @@ def feature_engineering(df: DataFrame, target=None, columns=None) -> DataFrame:
     return feat_bins(out, target, cols, minmax)
 
 
-def label_index(df: DataFrame, column: str) -> DataFrame:
+def label_index(df: DataFrame, column: str, max_local: int = LOCAL_INDEX_MAX) -> DataFrame:
     """(value, index): alphabetical 0-based index of the distinct values, NULL as 'nan'.
 
-    Distinct values are numbered by a range-partitioned running count (no single-partition
-    window), so the mapping scales with the number of distinct values.
+    A bounded probe (``orderBy(value).limit(max_local + 1)``, at most that many rows per task)
+    decides the strategy: up to ``max_local`` values are numbered from the probe itself;
+    beyond that the distinct values are numbered by a range-partitioned running count (no
+    single-partition window), so the mapping scales with the number of distinct values.
     """
-    vals = df.select(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(NULL_TEXT)).alias("value")).distinct() \
-             .withColumn("_one", F.lit(1))
-    numbered = cumulative_sums(vals, "value", ["_one"])
+    vals = df.select(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(NULL_TEXT)).alias("value")).distinct()
+    head = [r["value"] for r in vals.orderBy("value").limit(max_local + 1).collect()]
+    if len(head) <= max_local:
+        return df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(head)], "value string, index int")
+    numbered = cumulative_sums(vals.withColumn("_one", F.lit(1)), "value", ["_one"])
     return numbered.select("value", (F.col("cum__one") - 1).cast("int").alias("index"))
 
 

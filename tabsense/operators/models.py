@@ -9,6 +9,7 @@ All rows are used (no training-size cap).
 from __future__ import annotations
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,7 @@ from tabsense.functions.schema import is_string
 from tabsense.functions.stats import stats_row
 from tabsense.operators import metrics as met
 from tabsense.operators.features import label_encode, train_test_split
+from tabsense.session import checkpoint_dir
 
 DEFAULT_SEED = 42
 # The reference's model settings.
@@ -32,6 +34,8 @@ VALIDATION_FRACTION = 0.1
 TUNE_GRID = {"numTrees": [50, 100], "maxDepth": [5, 10, 20], "minInstancesPerNode": [1, 2]}
 TUNE_DRAWS = 5
 TUNE_FOLDS = 3
+MLP_TOL = 1e-4
+FIT_THREADS = 4  # concurrent Spark jobs for independent fits (CV folds, compared models)
 
 
 def prepare(df: DataFrame, features, label: str, task: str, key_cols=None, seed: int = DEFAULT_SEED,
@@ -56,6 +60,9 @@ def prepare(df: DataFrame, features, label: str, task: str, key_cols=None, seed:
     else:
         data = data.withColumn("_label", F.col(f"`{label}`").cast("double"))
         data = train_test_split(data, keys, test_fraction, seed)
+    # Training reads this frame many times: materialize it once in the shared checkpoint dir.
+    checkpoint_dir(data.sparkSession)
+    data = data.select(*keys, *[c for c in feats if c not in keys], "_label", "split").checkpoint(eager=True)
     return data, feats
 
 
@@ -125,18 +132,23 @@ def rf_tuned(df: DataFrame, features, label: str, task: str = "regression", draw
                  if task == "regression" else
                  MulticlassClassificationEvaluator(labelCol="_label", predictionCol="prediction", metricName="f1"))
     est_cls = RandomForestRegressor if task == "regression" else RandomForestClassifier
-    rows = []
+    def fold_score(args):
+        (t, d, m), k = args
+        est = est_cls(featuresCol="_features", labelCol="_label", numTrees=t, maxDepth=d,
+                      minInstancesPerNode=m, seed=seed)
+        model = Pipeline(stages=_assemble(train, feats) + [est]).fit(train.where(F.col("_fold") != k))
+        return float(evaluator.evaluate(model.transform(train.where(F.col("_fold") == k))))
+
+    jobs = [(p, k) for p in picks for k in range(folds)]
     try:
-        for t, d, m in picks:
-            scores = []
-            for k in range(folds):
-                est = est_cls(featuresCol="_features", labelCol="_label", numTrees=t, maxDepth=d,
-                              minInstancesPerNode=m, seed=seed)
-                model = Pipeline(stages=_assemble(train, feats) + [est]).fit(train.where(F.col("_fold") != k))
-                scores.append(float(evaluator.evaluate(model.transform(train.where(F.col("_fold") == k)))))
-            rows.append((t, d, m, float(np.mean(scores)), float(np.std(scores)), float(np.min(scores))))
+        with ThreadPoolExecutor(max_workers=FIT_THREADS) as pool:
+            scores = list(pool.map(fold_score, jobs))
     finally:
         train.unpersist()
+    rows = []
+    for i, (t, d, m) in enumerate(picks):
+        sc = scores[i * folds:(i + 1) * folds]
+        rows.append((t, d, m, float(np.mean(sc)), float(np.std(sc)), float(np.min(sc))))
     spark = df.sparkSession
     return spark.createDataFrame(rows, "num_trees int, max_depth int, min_instances int, cv_mean double, "
                                        "cv_std double, cv_min double")
@@ -151,7 +163,8 @@ def mlp_classification(df: DataFrame, features, label: str, hidden=MLP_HIDDEN, m
     data, feats = prepare(df, features, label, "classification", key_cols, seed)
     n_classes = int(data.agg(F.max("_label")).first()[0]) + 1
     est = MultilayerPerceptronClassifier(featuresCol="_features", labelCol="_label",
-                                         layers=[len(feats), *hidden, max(n_classes, 2)], maxIter=max_iter, seed=seed)
+                                         layers=[len(feats), *hidden, max(n_classes, 2)], maxIter=max_iter,
+                                         tol=MLP_TOL, seed=seed)
     model = Pipeline(stages=_assemble(data, feats, scale=True) + [est]).fit(data.where("split = 'train'"))
     pred = model.transform(data.where("split = 'test'"))
     return met.metrics_long(_evaluate(pred, "classification", n_classes), "MLP"), model
@@ -301,13 +314,18 @@ def model_comparison(df: DataFrame, features, label: str, task: str = "regressio
                      key_cols=None, n_trees: int = RF_TREES, max_iter: int = MLP_MAX_ITER) -> DataFrame:
     """Random forest vs MLP on the same split; (model, metric, value, is_best) with the best
     model by r2 (regression) or weighted f1 (classification)."""
-    rf, _, _ = random_forest(df, features, label, task, n_trees=n_trees, seed=seed, key_cols=key_cols)
-    if task == "regression":
-        mlp, _, _ = mlp_regression(df, features, label, max_iter=max_iter, seed=seed, key_cols=key_cols)
-        key = "r2"
-    else:
-        mlp, _ = mlp_classification(df, features, label, max_iter=max_iter, seed=seed, key_cols=key_cols)
-        key = "f1"
+    def run_rf():
+        return random_forest(df, features, label, task, n_trees=n_trees, seed=seed, key_cols=key_cols)[0]
+
+    def run_mlp():
+        if task == "regression":
+            return mlp_regression(df, features, label, max_iter=max_iter, seed=seed, key_cols=key_cols)[0]
+        return mlp_classification(df, features, label, max_iter=max_iter, seed=seed, key_cols=key_cols)[0]
+
+    key = "r2" if task == "regression" else "f1"
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        rf_f, mlp_f = pool.submit(run_rf), pool.submit(run_mlp)
+        rf, mlp = rf_f.result(), mlp_f.result()
     both = rf.unionByName(mlp)
     scores = {r["model"]: r["value"] for r in both.where(F.col("metric") == key).collect()}
     best = max(scores, key=lambda m: scores[m] if scores[m] is not None else float("-inf"))
