@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,22 +30,20 @@ from tabsense.session import checkpoint_dir
 MAX_DISTINCT_FOR_AGGREGATE = 1_000_000
 
 
-def _positions(n: int, probs) -> list[tuple[int, int, float]]:
+def _positions(n: int, probs) -> list[tuple[int, int, float, float]]:
+    """Per prob: lower rank, upper rank and their weights, as Spark's ``percentile`` computes
+    them: value = (ceil(h) - h) * v[floor(h)] + (h - floor(h)) * v[ceil(h)], h = p * (n - 1)."""
     out = []
     for p in probs:
-        h = (n - 1) * float(p)
-        lo = int(math.floor(h))
-        hi = min(lo + 1, n - 1)
-        out.append((lo, hi, h - lo))
+        h = float(p) * (n - 1)
+        lo, hi = int(math.floor(h)), int(math.ceil(h))
+        if lo == hi:
+            out.append((lo, lo, 1.0, 0.0))
+        else:
+            out.append((lo, hi, hi - h, h - lo))
     return out
 
 
-def _interp(lo_v, hi_v, frac):
-    if lo_v is None or hi_v is None:
-        return None
-    return float(lo_v) + (float(hi_v) - float(lo_v)) * frac
-
-
 def _long_form(df: DataFrame, cols, by) -> DataFrame:
     parts = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols]
     return (df.select(*[F.col(b) for b in by], F.explode(F.array(*parts)).alias("_kv"))
@@ -53,67 +52,98 @@ def _long_form(df: DataFrame, cols, by) -> DataFrame:
 
 
 def distributed_quantiles(df: DataFrame, cols, probs, by=()) -> DataFrame:
-    """Exact quantiles without a one-task merge. Returns rows (*by, column, prob, quantile)."""
+    """Exact quantiles without a one-task merge. Returns rows (*by, column, prob, quantile).
+
+    Rows collapse to (key, v, w) with map-side combine; each row gets its key's total count n
+    (a join on the per-key totals that AQE broadcasts when small and skew-splits when large);
+    the rows are range-partitioned on (key, v).  A partition then holds whole keys except the
+    first and last key it contains; only those boundary keys (at most two per partition) need
+    a global offset, taken from one summary row per (partition, edge).  Tasks emit only the
+    values at the two ranks around each wanted position, and interpolation is a final
+    group-by, so the result stays distributed for any number of groups.
+    """
     spark = df.sparkSession
     by = list(by)
     keys = by + ["column"]
+    probs = [float(p) for p in probs]
     weighted = _long_form(df, cols, by).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("w"))
+    totals = weighted.groupBy(*keys).agg(F.sum("w").alias("_n")) \
+        .select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)], "_n")
+    cond = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_t{i}")) for i, k in enumerate(keys)])
+    weighted = weighted.join(totals, cond).drop(*[f"_t{i}" for i in range(len(keys))])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (weighted.repartitionByRange(parts, *[F.col(k) for k in keys], F.col("v"))
                       .sortWithinPartitions(*keys, "v")
                       .withColumn("_pid", F.spark_partition_id()))
     checkpoint_dir(spark)
     ranged = ranged.checkpoint(eager=True)
+    key_types = {f.name: f.dataType.simpleString() for f in ranged.schema.fields if f.name in keys}
+
+    def key_tuple(frame):
+        return list(zip(*[frame[k].tolist() for k in keys]))
 
-    # Per (partition, key) weight totals: at most partitions x keys rows.
-    totals = ranged.groupBy("_pid", *keys).agg(F.sum("w").alias("w")).collect()
-    n_by_key: dict = defaultdict(int)
-    per_pid: dict = defaultdict(dict)
-    for r in totals:
-        key = tuple(r[k] for k in keys)
-        n_by_key[key] += int(r["w"])
-        per_pid[key][int(r["_pid"])] = int(r["w"])
-    offsets: dict = {}
-    wanted: dict = {}
-    for key, by_pid in per_pid.items():
+    def edges(batches):
+        first_key, last_key, first_w, last_w, pid = None, None, 0, 0, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            pid = int(pdf["_pid"].iloc[0])
+            for k, wi in zip(key_tuple(pdf), pdf["w"].to_numpy(dtype=np.int64)):
+                if first_key is None:
+                    first_key = k
+                if k == first_key:
+                    first_w += int(wi)
+                if k != last_key:
+                    last_key, last_w = k, 0
+                last_w += int(wi)
+        if pid is not None:
+            rows = [[pid, "first"] + list(first_key) + [first_w], [pid, "last"] + list(last_key) + [last_w]]
+            yield pd.DataFrame(rows, columns=["_pid", "edge"] + keys + ["w"])
+
+    edge_schema = ", ".join(["_pid int", "edge string"] + [f"`{k}` {key_types[k]}" for k in keys] + ["w long"])
+    spans: dict = defaultdict(dict)
+    for r in ranged.mapInPandas(edges, edge_schema).collect():  # two rows per partition
+        spans[tuple(r[k] for k in keys)][int(r["_pid"])] = int(r["w"])
+    offsets = {}  # (pid, key) -> rows of that key in earlier partitions
+    for key, by_pid in spans.items():
         acc = 0
         for pid in sorted(by_pid):
-            offsets[(pid,) + key] = acc
+            offsets[(pid, key)] = acc
             acc += by_pid[pid]
-        wanted[key] = sorted({r for lo, hi, _ in _positions(n_by_key[key], probs) for r in (lo, hi)})
-
-    key_types = {f.name: f.dataType.simpleString() for f in ranged.schema.fields if f.name in keys}
-    out_schema = ", ".join([f"`{k}` {key_types[k]}" for k in keys] + ["rank long", "v double"])
 
     def pick(batches):
-        running: dict = {}
+        last_key, last_end = None, 0
         for pdf in batches:
             if pdf.empty:
                 continue
+            pid = int(pdf["_pid"].iloc[0])
+            pdf = pdf.assign(_k=key_tuple(pdf))
             rows = []
-            for key_vals, g in pdf.groupby(keys, sort=False, dropna=False):
-                key = key_vals if isinstance(key_vals, tuple) else (key_vals,)
-                pid = int(g["_pid"].iloc[0])
-                start = running.get(key, offsets.get((pid,) + key, 0))
-                ends = start + np.cumsum(g["w"].to_numpy(dtype=np.int64))
-                running[key] = int(ends[-1])
-                targets = np.asarray([t for t in wanted.get(key, []) if start <= t < ends[-1]], dtype=np.int64)
-                if targets.size:
-                    idx = np.searchsorted(ends, targets, side="right")
-                    vals = g["v"].to_numpy()[idx]
-                    for t, v in zip(targets, vals):
-                        rows.append(list(key) + [int(t), float(v)])
+            for key, g in pdf.groupby("_k", sort=False):
+                w = g["w"].to_numpy(dtype=np.int64)
+                n = int(g["_n"].iloc[0])
+                offset = last_end if key == last_key else offsets.get((pid, key), 0)
+                ends = offset + np.cumsum(w)
+                last_key, last_end = key, int(ends[-1])
+                vals = g["v"].to_numpy()
+                for p, (lo, hi, wl, wh) in zip(probs, _positions(n, probs)):
+                    for which, r, wt in (("lo", lo, wl), ("hi", hi, wh)):
+                        if offset <= r < ends[-1]:
+                            v = float(vals[np.searchsorted(ends, r, side="right")])
+                            rows.append(list(key) + [p, which, v, float(wt)])
             if rows:
-                yield pd.DataFrame(rows, columns=keys + ["rank", "v"])
-
-    picked = {tuple(r[k] for k in keys) + (int(r["rank"]),): r["v"]
-              for r in ranged.mapInPandas(pick, out_schema).collect()}
-    out_rows = []
-    for key, n in n_by_key.items():
-        for p, (lo, hi, frac) in zip(probs, _positions(n, probs)):
-            out_rows.append(key + (float(p), _interp(picked.get(key + (lo,)), picked.get(key + (hi,)), frac)))
-    schema = ", ".join([f"`{k}` {key_types[k]}" for k in keys] + ["prob double", "quantile double"])
-    return spark.createDataFrame(out_rows, schema)
+                yield pd.DataFrame(rows, columns=keys + ["prob", "which", "v", "wt"])
+
+    pick_schema = ", ".join([f"`{k}` {key_types[k]}" for k in keys] +
+                            ["prob double", "which string", "v double", "wt double"])
+    picked = ranged.mapInPandas(pick, pick_schema)
+
+    def part(which, col):
+        return F.max(F.when(F.col("which") == which, F.col(col)))
+    return picked.groupBy(*keys, "prob").agg(part("lo", "v").alias("_lo"), part("hi", "v").alias("_hi"),
+                                             part("lo", "wt").alias("_wl"), part("hi", "wt").alias("_wh")) \
+        .select(*keys, "prob", F.when(F.col("_wh") == 0, F.col("_lo"))
+                .otherwise(F.col("_wl") * F.col("_lo") + F.col("_wh") * F.col("_hi")).alias("quantile"))
 
 
 def _aggregate_quantiles(df: DataFrame, cols, probs, by, accuracy) -> DataFrame:
