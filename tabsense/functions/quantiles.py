@@ -163,11 +163,12 @@ def _aggregate_quantiles(df: DataFrame, cols, probs, by, accuracy) -> DataFrame:
 
 
 def quantiles(df: DataFrame, cols, probs, by=(), accuracy: int | None = None,
-              method: str = "auto") -> DataFrame:
+              method: str = "auto", ndv: int | None = None) -> DataFrame:
     """Quantiles of ``cols`` (per group of ``by``) as rows (*by, column, prob, quantile).
 
     method: ``auto`` (HyperLogLog pass decides), ``aggregate``, ``distributed``; ``accuracy``
-    given means approximate (``percentile_approx``) regardless of method.
+    given means approximate (``percentile_approx``) regardless of method.  ``ndv``: a distinct
+    count estimate the caller already has (skips the HyperLogLog pass).
     """
     cols, probs, by = list(cols), [float(p) for p in probs], list(by)
     if not cols:
@@ -175,17 +176,18 @@ def quantiles(df: DataFrame, cols, probs, by=(), accuracy: int | None = None,
     if accuracy:
         return _aggregate_quantiles(df, cols, probs, by, accuracy)
     if method == "auto":
-        ndv = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-        method = "aggregate" if max(int(ndv[c] or 0) for c in cols) <= MAX_DISTINCT_FOR_AGGREGATE \
-            else "distributed"
+        if ndv is None:
+            row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
+            ndv = max(int(row[c] or 0) for c in cols)
+        method = "aggregate" if ndv <= MAX_DISTINCT_FOR_AGGREGATE else "distributed"
     if method == "aggregate":
         return _aggregate_quantiles(df, cols, probs, by, None)
     return distributed_quantiles(df, cols, probs, by)
 
 
-def quantile_table(df: DataFrame, cols, probs, accuracy=None, method="auto") -> dict:
+def quantile_table(df: DataFrame, cols, probs, accuracy=None, method="auto", ndv: int | None = None) -> dict:
     """Global quantiles collected as {column: [q(p) for p in probs]} (bounded: cols x probs)."""
-    rows = quantiles(df, cols, probs, (), accuracy, method).collect()
+    rows = quantiles(df, cols, probs, (), accuracy, method, ndv).collect()
     out = {c: [None] * len(probs) for c in cols}
     idx = {float(p): i for i, p in enumerate(probs)}
     for r in rows:

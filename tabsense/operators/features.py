@@ -147,7 +147,12 @@ def standard_scale(df: DataFrame, columns=None) -> DataFrame:
     return df.withColumns(new)
 
 
-def train_test_split(df: DataFrame, key_cols, test_fraction: float = 0.2, seed: int = 42,
+def adaptive_test_fraction(n_rows: int) -> float:
+    """Test share min(0.3, max(0.1, 1000 / n)) used by the reference's forest trainer."""
+    return min(0.3, max(0.1, 1000.0 / n_rows)) if n_rows else 0.2
+
+
+def train_test_split(df: DataFrame, key_cols, test_fraction: float | str = 0.2, seed: int = 42,
                      stratify: str | None = None) -> DataFrame:
     """Add ``split`` ('train' / 'test') from a seeded hash of the key columns.
 
@@ -156,6 +161,8 @@ def train_test_split(df: DataFrame, key_cols, test_fraction: float = 0.2, seed:
     holding a third of the rows is split over many tasks).
     """
     keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
+    if test_fraction == "adaptive":
+        test_fraction = adaptive_test_fraction(df.count())
     u = (F.xxhash64(*[F.col(f"`{k}`") for k in keys], F.lit(seed)).cast("double") + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64)
     tagged = df.withColumn("_u", u)
     if not stratify:

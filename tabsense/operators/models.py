@@ -38,12 +38,21 @@ MLP_TOL = 1e-4
 FIT_THREADS = 4  # concurrent Spark jobs for independent fits (CV folds, compared models)
 
 
+MIN_ROWS = 10
+
+
 def prepare(df: DataFrame, features, label: str, task: str, key_cols=None, seed: int = DEFAULT_SEED,
-            test_fraction: float = 0.2) -> tuple[DataFrame, list[str]]:
-    """Returns (frame with ``_label`` double, numeric features, ``split``; feature names)."""
+            test_fraction: float | str = 0.2) -> tuple[DataFrame, list[str]]:
+    """Returns (frame with ``_label`` double, numeric features, ``split``; feature names).
+    Raises when fewer than 10 labelled rows (or, for classification, fewer than 2 classes)."""
     feats = list(features)
     keys = list(key_cols) if key_cols else feats + [label]
     data = df.where(F.col(f"`{label}`").isNotNull())
+    check = data.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(f"`{label}`").alias("k")).first()
+    if check["n"] < MIN_ROWS:
+        raise ValueError(f"need at least {MIN_ROWS} rows with a target, got {check['n']}")
+    if task == "classification" and check["k"] < 2:
+        raise ValueError("need at least two classes")
     strings = [c for c in feats if is_string(data.schema[c].dataType)]
     if strings:
         data = label_encode(data, strings)

@@ -80,8 +80,9 @@ def describe_all(df: DataFrame, columns=None, digits: int = 3) -> DataFrame:
             aggs[f"std|{c}"] = F.stddev_samp(x)
             aggs[f"min|{c}"] = F.min(x)
             aggs[f"max|{c}"] = F.max(x)
+            aggs[f"ndv|{c}"] = F.approx_count_distinct(x)
         row = stats_row(df, aggs)
-        qt = quantile_table(df, nums, [0.25, 0.5, 0.75])
+        qt = quantile_table(df, nums, [0.25, 0.5, 0.75], ndv=max(int(row[f"ndv|{c}"] or 0) for c in nums))
         recs = []
         for c in nums:
             q = qt[c]
@@ -312,8 +313,9 @@ def numeric_profile(df: DataFrame, columns=None, limit: int = 10) -> DataFrame:
         mom[f"std|{c}"] = F.stddev_samp(x[c])
         mom[f"skew|{c}"] = sample_skewness(x[c])
         mom[f"kurt|{c}"] = sample_kurtosis(x[c])
+        mom[f"ndv|{c}"] = F.approx_count_distinct(x[c])
     row = stats_row(df, mom)
-    qt = quantile_table(df, cols, [0.25, 0.75])
+    qt = quantile_table(df, cols, [0.25, 0.75], ndv=max(int(row[f"ndv|{c}"] or 0) for c in cols))
     counts = {}
     for c in cols:
         q1, q3 = qt[c]

@@ -123,3 +123,33 @@ def test_sample_rows_exact_and_stable(spark):
     a = sorted(r["id"] for r in normalize.sample_rows(df, 37, ["id"]).collect())
     b = sorted(r["id"] for r in normalize.sample_rows(df.repartition(7), 37, ["id"]).collect())
     assert len(a) == 37 and a == b
+
+
+def test_multiclass_roc_auc_weighted(spark):
+    rows = [(0, 0.8, 0.1, 0.1), (0, 0.6, 0.3, 0.1), (1, 0.2, 0.7, 0.1), (1, 0.3, 0.3, 0.4),
+            (2, 0.1, 0.2, 0.7), (2, 0.3, 0.3, 0.4), (2, 0.5, 0.2, 0.3)]
+    df = spark.createDataFrame(rows, "y int, p0 double, p1 double, p2 double")
+    got = metrics.eval_roc_auc(df, "y", {0: "p0", 1: "p1", 2: "p2"}).first()["roc_auc"]
+
+    def auc(pos, scores):
+        p = [s for yy, s in zip([r[0] for r in rows], scores) if yy == pos]
+        n = [s for yy, s in zip([r[0] for r in rows], scores) if yy != pos]
+        return sum((a > b) + 0.5 * (a == b) for a in p for b in n) / (len(p) * len(n))
+    expected = sum(auc(c, [r[c + 1] for r in rows]) * sum(r[0] == c for r in rows) for c in range(3)) / len(rows)
+    assert got == pytest.approx(expected)
+
+
+def test_adaptive_split_fraction():
+    assert features.adaptive_test_fraction(100) == 0.3
+    assert features.adaptive_test_fraction(5000) == 0.2
+    assert features.adaptive_test_fraction(1_000_000) == 0.1
+
+
+def test_forest_needs_rows_and_classes(spark):
+    from tabsense.operators import models
+    tiny = spark.createDataFrame([(float(i), 1) for i in range(5)], "x double, y int")
+    with pytest.raises(ValueError):
+        models.random_forest(tiny, ["x"], "y", "classification")
+    one_class = spark.createDataFrame([(float(i), 1) for i in range(20)], "x double, y int")
+    with pytest.raises(ValueError):
+        models.random_forest(one_class, ["x"], "y", "classification")
