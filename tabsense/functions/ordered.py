@@ -68,90 +68,101 @@ def cumulative_sums(df: DataFrame, order, sum_cols, descending: bool = False) ->
     return ranged.mapInPandas(run, out_schema)
 
 
+def _key_list(pdf: pd.DataFrame, keys) -> list:
+    """Row keys as tuples (NaN normalised to None so NULL keys compare equal)."""
+    if not keys:
+        return [()] * len(pdf)
+    cols = [[None if isinstance(x, float) and np.isnan(x) else x for x in pdf[k].tolist()] for k in keys]
+    return list(zip(*cols))
+
+
+def _last_valid(values: pd.Series):
+    nn = values.dropna()
+    return nn.iloc[-1] if len(nn) else None
+
+
 def ordered_fill(df: DataFrame, columns, order, partition_by=(), backward: bool = False) -> DataFrame:
     """Forward (or backward) fill of ``columns`` in ``order`` within groups of ``partition_by``.
 
-    Each range partition fills locally; the first group of a partition starts from the carry
-    (last non-null value of that group in earlier partitions), computed from one summary row
-    per partition.
+    Range partitioning on (partition keys, order) splits even a key that holds a third of all
+    rows over several partitions.  One pass emits a summary row per partition (first key, last
+    key, last non-null values of the last key); the driver chains them into the carry each
+    partition starts from (bounded: one row per partition); a second pass fills locally.
     """
     columns, keys = list(columns), list(partition_by)
     order = [order] if isinstance(order, str) else list(order)
     ranged = range_sorted(df, keys + order, descending=backward)
     fields = [f for f in ranged.schema.fields if f.name != "_pid"]
     names = [f.name for f in fields]
+    types = {f.name: f.dataType.simpleString() for f in fields}
 
-    # Per partition: first key, last key and last non-null value (per column) of the last key.
-    kcol = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
-    tagged = ranged.withColumn("_k", kcol)
-    pos = F.monotonically_increasing_id()
-    tagged = tagged.withColumn("_pos", pos)  # increasing inside a partition, in sorted order
-    aggs = [F.min_by("_k", "_pos").alias("first_key"), F.max_by("_k", "_pos").alias("last_key")]
-    summary = tagged.groupBy("_pid").agg(*aggs)
-    last_rows = tagged.join(summary.select("_pid", "last_key"), "_pid") \
-        .where(F.col("_k").eqNullSafe(F.col("last_key")))
-    lastvals = last_rows.groupBy("_pid").agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_pos"))).alias(c) for c in columns])
-    summaries = summary.join(lastvals, "_pid").collect()  # one row per partition
-    info = {int(r["_pid"]): r for r in summaries}
+    def summarize(batches):
+        pid, first_key, last_key, last_vals = None, None, None, {}
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            pid = int(pdf["_pid"].iloc[0])
+            ks = _key_list(pdf, keys)
+            if first_key is None:
+                first_key = ks[0]
+            tail = pdf[[k == ks[-1] for k in ks]]
+            if ks[-1] != last_key:
+                last_key, last_vals = ks[-1], {c: None for c in columns}
+            for c in columns:
+                v = _last_valid(tail[c])
+                if v is not None:
+                    last_vals[c] = v
+        if pid is not None:
+            yield pd.DataFrame({"_pid": [pid], "first_key": [repr(first_key)], "last_key": [repr(last_key)],
+                                **{c: [last_vals[c]] for c in columns}})
+
+    summary_schema = ", ".join(["_pid int", "first_key string", "last_key string"] +
+                               [f"`{c}` {types[c]}" for c in columns])
+    info = {int(r["_pid"]): r for r in ranged.mapInPandas(summarize, summary_schema).collect()}  # one row per partition
 
     carries = {}
     prev = []  # (last_key, values) of earlier partitions, most recent last
     for pid in sorted(info):
         r = info[pid]
-        first = r["first_key"]
         vals = {}
         for c in columns:
             v = None
             for lk, lv in reversed(prev):
-                if lk != first:
+                if lk != r["first_key"]:
                     break
                 if lv[c] is not None:
                     v = lv[c]
                     break
             vals[c] = v
-        carries[pid] = (first, vals)
+        carries[pid] = (r["first_key"], vals)
         prev.append((r["last_key"], {c: r[c] for c in columns}))
 
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-
-    def key_of(pdf):
-        if not keys:
-            return pd.Series([0] * len(pdf), index=pdf.index)
-        return pd.Series(list(zip(*[pdf[k] for k in keys])), index=pdf.index).map(tuple)
-
-    def as_key(row_key):
-        if not keys:
-            return 0
-        return tuple(row_key[k] for k in keys) if row_key is not None else None
+    out_schema = ", ".join(f"`{f.name}` {types[f.name]}" for f in fields)
 
     def run(batches):
-        state_key, state_vals = None, {}
-        started = False
+        state_key, state_vals, started = None, {}, False
         for pdf in batches:
             if pdf.empty:
                 continue
+            ks = _key_list(pdf, keys)
+            reprs = [repr(k) for k in ks]
             if not started:
-                ck, cv = carries.get(int(pdf["_pid"].iloc[0]), (None, {}))
-                state_key, state_vals, started = as_key(ck), dict(cv), True
-            ks = key_of(pdf)
+                state_key, state_vals = carries.get(int(pdf["_pid"].iloc[0]), (None, {}))
+                started = True
             out = pdf[names].copy()
-            if keys:
-                filled = out.groupby(ks, sort=False)[columns].ffill()
-            else:
-                filled = out[columns].ffill()
-            head = ks.map(lambda k: k == state_key).astype(bool)
+            group = pd.Series(reprs, index=pdf.index)
+            filled = out.groupby(group, sort=False)[columns].ffill() if keys else out[columns].ffill()
+            head = (group == state_key).to_numpy()
             for c in columns:
                 if state_vals.get(c) is not None:
                     filled.loc[head, c] = filled.loc[head, c].fillna(state_vals[c])
                 out[c] = filled[c]
-            last_key = ks.iloc[-1]
-            tail = out[ks.map(lambda k: k == last_key).astype(bool)]
+            tail = out[(group == reprs[-1]).to_numpy()]
             new_vals = {}
             for c in columns:
-                nn = tail[c].dropna()
-                new_vals[c] = nn.iloc[-1] if len(nn) else (state_vals.get(c) if last_key == state_key else None)
-            state_key, state_vals = last_key, new_vals
+                v = _last_valid(tail[c])
+                new_vals[c] = v if v is not None else (state_vals.get(c) if reprs[-1] == state_key else None)
+            state_key, state_vals = reprs[-1], new_vals
             yield out
 
     return ranged.mapInPandas(run, out_schema)

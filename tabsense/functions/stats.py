@@ -85,3 +85,71 @@ def unpivot(df: DataFrame, ids: list[str], columns: list[str], var: str = "colum
     vals = [(F.col(c).cast(cast) if cast else F.col(c)).alias(c) for c in columns]
     wide = df.select(*[F.col(i) for i in ids], *vals)
     return wide.unpivot(ids, columns, var, value)
+
+
+# Whole-stage codegen is disabled for an aggregate whose buffer exceeds
+# spark.sql.codegen.maxFields (default 100); plain sums keep one buffer field per value, so
+# chunks of this many sums stay compiled.
+SUMS_PER_PASS = 90
+
+
+def _sum_passes(df: DataFrame, exprs: dict[str, Column]) -> dict:
+    """Sum-like aggregates in chunks narrow enough for whole-stage codegen.  Chunks follow the
+    order of ``exprs`` (grouped by column), so each pass reads only its own columns."""
+    out: dict = {}
+    items = list(exprs.items())
+    for i in range(0, len(items), SUMS_PER_PASS):
+        out.update(stats_row(df, dict(items[i:i + SUMS_PER_PASS])))
+    return out
+
+
+def central_moments(df: DataFrame, cols) -> dict:
+    """Per column: n, mean and central sums M2, M3, M4 from two narrow passes.
+
+    Pass 1: count and sum.  Pass 2: sums of d, d^2, d^3, d^4 with d = x - mean (centering keeps
+    the power sums accurate); the exact central sums follow by the binomial shift identities.
+    """
+    x = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    first = _sum_passes(df, {k: e for c in cols for k, e in ((f"n|{c}", F.count(x[c])), (f"s|{c}", F.sum(x[c])))})
+    means = {c: (first[f"s|{c}"] / first[f"n|{c}"]) if first[f"n|{c}"] else None for c in cols}
+    second = {}
+    for c in cols:
+        if means[c] is None:
+            continue
+        d = x[c] - F.lit(means[c])
+        second.update({f"1|{c}": F.sum(d), f"2|{c}": F.sum(d * d), f"3|{c}": F.sum(d * d * d),
+                       f"4|{c}": F.sum(d * d * d * d)})
+    sums = _sum_passes(df, second) if second else {}
+    out = {}
+    for c in cols:
+        n = first[f"n|{c}"] or 0
+        if not n:
+            out[c] = {"n": 0, "mean": None, "m2": None, "m3": None, "m4": None}
+            continue
+        s1, s2, s3, s4 = (sums[f"{k}|{c}"] for k in (1, 2, 3, 4))
+        m2 = s2 - s1 * s1 / n
+        m3 = s3 - 3 * s1 * s2 / n + 2 * s1 ** 3 / n ** 2
+        m4 = s4 - 4 * s1 * s3 / n + 6 * s1 * s1 * s2 / n ** 2 - 3 * s1 ** 4 / n ** 3
+        # the reported mean is sum / n (what ``avg`` returns); s1 only corrects the central sums
+        out[c] = {"n": n, "mean": means[c], "m2": max(m2, 0.0), "m3": m3, "m4": m4}
+    return out
+
+
+def describe_moments(m: dict) -> dict:
+    """std (sample), population std, bias-corrected skewness G1 and excess kurtosis G2 (pandas /
+    DuckDB conventions) from ``central_moments`` output."""
+    n, m2, m3, m4 = m["n"], m["m2"], m["m3"], m["m4"]
+    out = {"mean": m["mean"], "std": None, "std_pop": None, "skewness": None, "kurtosis": None}
+    if not n:
+        return out
+    out["std_pop"] = (m2 / n) ** 0.5
+    if n > 1:
+        out["std"] = (m2 / (n - 1)) ** 0.5
+    if m2 > 0:
+        g1 = (n ** 0.5) * m3 / m2 ** 1.5
+        g2 = n * m4 / (m2 * m2) - 3.0
+        if n > 2:
+            out["skewness"] = g1 * (n * (n - 1)) ** 0.5 / (n - 2)
+        if n > 3:
+            out["kurtosis"] = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
+    return out

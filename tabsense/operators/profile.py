@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabsense.functions.quantiles import quantile_table, quantiles
+from tabsense.functions.quantiles import MAX_DISTINCT_FOR_AGGREGATE, quantile_table, quantiles
 from tabsense.functions.schema import (categorical_columns, datetime_columns, dtype_name,
                                        is_numeric, numeric_columns, require_columns)
-from tabsense.functions.stats import count_if, sample_kurtosis, sample_skewness, stats_row
+from tabsense.functions.stats import central_moments, count_if, describe_moments, stats_row
 
 # Fixed values of the reference's profile rules.
 HIGH_MISSING_SHARE = 0.5
@@ -72,17 +72,17 @@ def describe_all(df: DataFrame, columns=None, digits: int = 3) -> DataFrame:
     cats = [c for c in categorical_columns(df) if c in cols]
     out = []
     if nums:
-        aggs = {}
+        moments = central_moments(df, nums)
+        mm = stats_row(df, {k: e for c in nums for k, e in ((f"min|{c}", F.min(F.col(_q(c)).cast("double"))),
+                                                             (f"max|{c}", F.max(F.col(_q(c)).cast("double"))))})
+        row = {}
         for c in nums:
-            x = F.col(_q(c)).cast("double")
-            aggs[f"count|{c}"] = F.count(x).cast("double")
-            aggs[f"mean|{c}"] = F.avg(x)
-            aggs[f"std|{c}"] = F.stddev_samp(x)
-            aggs[f"min|{c}"] = F.min(x)
-            aggs[f"max|{c}"] = F.max(x)
-            aggs[f"ndv|{c}"] = F.approx_count_distinct(x)
-        row = stats_row(df, aggs)
-        qt = quantile_table(df, nums, [0.25, 0.5, 0.75], ndv=max(int(row[f"ndv|{c}"] or 0) for c in nums))
+            d = describe_moments(moments[c])
+            row.update({f"count|{c}": float(moments[c]["n"]), f"mean|{c}": d["mean"], f"std|{c}": d["std"],
+                        f"min|{c}": mm[f"min|{c}"], f"max|{c}": mm[f"max|{c}"]})
+        n_max = max(moments[c]["n"] for c in nums)
+        qt = quantile_table(df, nums, [0.25, 0.5, 0.75],
+                            ndv=n_max if n_max <= MAX_DISTINCT_FOR_AGGREGATE else None)
         recs = []
         for c in nums:
             q = qt[c]
@@ -306,16 +306,11 @@ def numeric_profile(df: DataFrame, columns=None, limit: int = 10) -> DataFrame:
     if not cols:
         raise ValueError("no numeric columns")
     x = {c: F.col(_q(c)).cast("double") for c in cols}
-    mom = {}
-    for c in cols:
-        mom[f"n|{c}"] = F.count(x[c])
-        mom[f"mean|{c}"] = F.avg(x[c])
-        mom[f"std|{c}"] = F.stddev_samp(x[c])
-        mom[f"skew|{c}"] = sample_skewness(x[c])
-        mom[f"kurt|{c}"] = sample_kurtosis(x[c])
-        mom[f"ndv|{c}"] = F.approx_count_distinct(x[c])
-    row = stats_row(df, mom)
-    qt = quantile_table(df, cols, [0.25, 0.75], ndv=max(int(row[f"ndv|{c}"] or 0) for c in cols))
+    moments = central_moments(df, cols)
+    desc = {c: describe_moments(moments[c]) for c in cols}
+    n_max = max(moments[c]["n"] for c in cols)
+    # the non-null count bounds the distinct count: no sketch pass needed below the threshold
+    qt = quantile_table(df, cols, [0.25, 0.75], ndv=n_max if n_max <= MAX_DISTINCT_FOR_AGGREGATE else None)
     counts = {}
     for c in cols:
         q1, q3 = qt[c]
@@ -325,8 +320,8 @@ def numeric_profile(df: DataFrame, columns=None, limit: int = 10) -> DataFrame:
         iqr = q3 - q1
         counts[f"o|{c}"] = count_if((x[c] < F.lit(q1 - 1.5 * iqr)) | (x[c] > F.lit(q3 + 1.5 * iqr)))
     orow = stats_row(df, counts)
-    recs = [(c, i, row[f"mean|{c}"], row[f"std|{c}"], row[f"skew|{c}"], row[f"kurt|{c}"], int(orow[f"o|{c}"] or 0))
-            for i, c in enumerate(cols) if (row[f"n|{c}"] or 0) > 0]
+    recs = [(c, i, desc[c]["mean"], desc[c]["std"], desc[c]["skewness"], desc[c]["kurtosis"], int(orow[f"o|{c}"] or 0))
+            for i, c in enumerate(cols) if moments[c]["n"] > 0]
     return df.sparkSession.createDataFrame(
         recs, "column string, position int, mean double, std double, skewness double, kurtosis double, outliers_count long")
 
