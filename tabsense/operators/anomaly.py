@@ -158,9 +158,8 @@ def anomaly_isolation_forest(df: DataFrame, features=None, contamination: float
                              seed: int = 42) -> DataFrame:
     """Isolation Forest (Liu, Ting, Zhou 2008) as Spark jobs.
 
-    1. Each tree's subsample: rows whose seeded hash for that tree falls under ~2x the target
-       share are emitted once per selecting tree (about 2 x subsample x n_trees rows in total),
-       and each tree keeps the ``subsample`` smallest hashes.
+    1. Each tree's subsample: about 2 x ``subsample`` rows chosen by a seeded hash (about
+       2 x subsample x n_trees rows in total); each tree keeps the ``subsample`` smallest hashes.
     2. ``groupBy(tree).applyInPandas`` grows one tree per group (bounded by ``subsample``).
     3. The forest (n_trees x < 2 x subsample nodes, independent of the data size) is broadcast
        and every row is scored in ``mapInPandas``: s = 2^(-E[h(x)] / c(subsample)).
@@ -174,18 +173,30 @@ def anomaly_isolation_forest(df: DataFrame, features=None, contamination: float
     if n == 0:
         return data.withColumn("anomaly_score", F.lit(None).cast("double")).withColumn("is_anomaly", F.lit(False))
     psi = int(min(subsample, n))
-    share = min(1.0, 2.0 * psi / n)
-    limit = int(share * 1_000_000)
     key_exprs = [F.col(f"`{k}`") for k in keys]
-
-    def u(t):
-        return F.pmod(F.xxhash64(*key_exprs, F.lit(seed), t), F.lit(1_000_000))
-
-    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: u(t) < F.lit(limit)) if share < 1.0 \
-        else F.sequence(F.lit(0), F.lit(n_trees - 1))
-    picked = data.select(F.explode(trees).alias("_tree"), *[_x(c).alias(f"f{i}") for i, c in enumerate(feats)],
-                         *key_exprs)
-    picked = picked.withColumn("_h", F.xxhash64(*key_exprs, F.lit(seed), F.col("_tree")))
+    feat_cols = [_x(c).alias(f"f{i}") for i, c in enumerate(feats)]
+    if n >= 2 * n_trees * psi:
+        # Large input: one hash per row.  Its low 20 bits select ~2 x subsample rows per tree,
+        # its high bits assign the selected row to one tree (disjoint subsamples; with
+        # n >= 2 x trees x subsample independent draws would hardly overlap anyway).
+        h = F.xxhash64(*key_exprs, F.lit(seed))
+        limit = int(2.0 * psi * n_trees / n * (1 << 20))
+        picked = data.select(h.alias("_h"), *feat_cols) \
+            .where(F.col("_h").bitwiseAND(F.lit((1 << 20) - 1)) < F.lit(limit)) \
+            .withColumn("_tree", F.pmod(F.shiftright(F.col("_h"), 20), F.lit(n_trees)).cast("int"))
+    else:
+        # Small input: an independent seeded hash per (row, tree); a row is emitted only for
+        # the trees that select it.
+        share = min(1.0, 2.0 * psi / n)
+        limit = int(share * 1_000_000)
+
+        def u(t):
+            return F.pmod(F.xxhash64(*key_exprs, F.lit(seed), t), F.lit(1_000_000))
+
+        trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: u(t) < F.lit(limit)) \
+            if share < 1.0 else F.sequence(F.lit(0), F.lit(n_trees - 1))
+        picked = data.select(F.explode(trees).alias("_tree"), *feat_cols, *key_exprs)
+        picked = picked.withColumn("_h", F.xxhash64(*key_exprs, F.lit(seed), F.col("_tree")))
     picked = picked.select("_tree", "_h", *[f"f{i}" for i in range(len(feats))])
     max_depth = int(np.ceil(np.log2(max(psi, 2))))
     fcols = [f"f{i}" for i in range(len(feats))]
@@ -236,8 +247,13 @@ def anomaly_isolation_forest(df: DataFrame, features=None, contamination: float
             out["anomaly_score"] = np.power(2.0, -(total / len(forest_arrays)) / c_psi) if c_psi > 0 else 0.5
             yield out
 
-    scored = data.mapInPandas(score, out_schema)
+    # Scoring is per-row numpy work; an input scanned as fewer partitions than cores (e.g. one
+    # parquet row group) is spread round-robin first so every core scores.
+    cores = spark.sparkContext.defaultParallelism
+    to_score = data.repartition(cores) if data.rdd.getNumPartitions() < cores else data
+    scored = to_score.mapInPandas(score, out_schema)
     checkpoint_dir(spark)
     scored = scored.checkpoint(eager=True)  # scored once; the quantile passes read the checkpoint
-    cut = quantile_table(scored, ["anomaly_score"], [1.0 - contamination])["anomaly_score"][0]
+    # n bounds the number of distinct scores, which picks the exact quantile strategy
+    cut = quantile_table(scored, ["anomaly_score"], [1.0 - contamination], ndv=n)["anomaly_score"][0]
     return scored.withColumn("is_anomaly", F.col("anomaly_score") > F.lit(cut))

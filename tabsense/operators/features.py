@@ -111,28 +111,33 @@ def label_index(df: DataFrame, column: str, max_local: int = LOCAL_INDEX_MAX) ->
     beyond that the distinct values are numbered by a range-partitioned running count (no
     single-partition window), so the mapping scales with the number of distinct values.
     """
+    return _label_mapping(df, column, max_local)[0]
+
+
+def _label_mapping(df: DataFrame, column: str, max_local: int = LOCAL_INDEX_MAX):
+    """(mapping DataFrame (value, index), number of values if it was numbered locally)."""
     vals = df.select(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(NULL_TEXT)).alias("value")).distinct()
     head = [r["value"] for r in vals.orderBy("value").limit(max_local + 1).collect()]
     if len(head) <= max_local:
-        return df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(head)], "value string, index int")
+        local = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(head)], "value string, index int")
+        return local, len(head)
     numbered = cumulative_sums(vals.withColumn("_one", F.lit(1)), "value", ["_one"])
-    return numbered.select("value", (F.col("cum__one") - 1).cast("int").alias("index"))
+    return numbered.select("value", (F.col("cum__one") - 1).cast("int").alias("index")), None
 
 
 def label_encode(df: DataFrame, columns=None, suffix: str = "") -> DataFrame:
-    """Replace (or add with ``suffix``) each string column by its alphabetical index."""
+    """Replace (or add with ``suffix``) each string column by its alphabetical index.
+    Mappings numbered locally (bounded by the probe) are broadcast; larger ones shuffle."""
     cols = list(columns) if columns else categorical_columns(df)
     out = df
     for c in cols:
-        mapping = label_index(df, c)
-        n = mapping.count()
+        mapping, n = _label_mapping(df, c)
         m = mapping.withColumnRenamed("value", "_v").withColumnRenamed("index", f"_i_{c}")
-        m = F.broadcast(m) if n <= BROADCAST_MAX_ROWS else m
+        m = F.broadcast(m) if n is not None and n <= BROADCAST_MAX_ROWS else m
         key = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(NULL_TEXT))
         out = out.withColumn("_k", key).join(m, F.col("_k") == F.col("_v"), "left").drop("_k", "_v")
         name = f"{c}{suffix}" if suffix else c
-        out = out.withColumn(name, F.col(f"_i_{c}")).drop(f"_i_{c}") if suffix else \
-            out.withColumn(c, F.col(f"_i_{c}")).drop(f"_i_{c}")
+        out = out.withColumn(name, F.col(f"_i_{c}")).drop(f"_i_{c}")
     return out
 
 
@@ -153,23 +158,26 @@ def adaptive_test_fraction(n_rows: int) -> float:
 
 
 def train_test_split(df: DataFrame, key_cols, test_fraction: float | str = 0.2, seed: int = 42,
-                     stratify: str | None = None) -> DataFrame:
+                     stratify: str | None = None, n_rows: int | None = None) -> DataFrame:
     """Add ``split`` ('train' / 'test') from a seeded hash of the key columns.
 
     Unstratified: hash bucket below the fraction.  Stratified: per class, the exact
     ``test_fraction`` quantile of the hash is the cut (distributed exact quantile, so a class
-    holding a third of the rows is split over many tasks).
+    holding a third of the rows is split over many tasks); the per-class cuts join back as a
+    small aggregate (AQE broadcasts it when it is small).
     """
     keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
     if test_fraction == "adaptive":
-        test_fraction = adaptive_test_fraction(df.count())
+        n_rows = df.count() if n_rows is None else n_rows
+        test_fraction = adaptive_test_fraction(n_rows)
     u = (F.xxhash64(*[F.col(f"`{k}`") for k in keys], F.lit(seed)).cast("double") + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64)
     tagged = df.withColumn("_u", u)
     if not stratify:
         return tagged.withColumn("split", F.when(F.col("_u") < test_fraction, "test").otherwise("train")).drop("_u")
-    cuts = quantiles(tagged, ["_u"], [test_fraction], by=[stratify]).select(stratify, F.col("quantile").alias("_cut"))
-    joined = tagged.join(F.broadcast(cuts), tagged[stratify].eqNullSafe(cuts[stratify]), "left") \
-        .drop(cuts[stratify])
+    # n_rows (when known) bounds the distinct hash count, which picks the quantile strategy
+    cuts = quantiles(tagged, ["_u"], [test_fraction], by=[stratify], ndv=n_rows) \
+        .select(F.col(stratify).alias("_s"), F.col("quantile").alias("_cut"))
+    joined = tagged.join(cuts, tagged[stratify].eqNullSafe(cuts["_s"]), "left").drop("_s")
     return joined.withColumn("split", F.when(F.col("_u") <= F.col("_cut"), "test").otherwise("train")) \
         .drop("_u", "_cut")
 

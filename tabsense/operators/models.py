@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from tabsense.functions.schema import is_string
 from tabsense.functions.stats import stats_row
 from tabsense.operators import metrics as met
-from tabsense.operators.features import label_encode, train_test_split
+from tabsense.operators.features import adaptive_test_fraction, label_encode, label_index, train_test_split
 from tabsense.session import checkpoint_dir
 
 DEFAULT_SEED = 42
@@ -36,41 +36,47 @@ TUNE_DRAWS = 5
 TUNE_FOLDS = 3
 MLP_TOL = 1e-4
 FIT_THREADS = 4  # concurrent Spark jobs for independent fits (CV folds, compared models)
-
-
 MIN_ROWS = 10
 
 
 def prepare(df: DataFrame, features, label: str, task: str, key_cols=None, seed: int = DEFAULT_SEED,
             test_fraction: float | str = 0.2) -> tuple[DataFrame, list[str]]:
     """Returns (frame with ``_label`` double, numeric features, ``split``; feature names).
-    Raises when fewer than 10 labelled rows (or, for classification, fewer than 2 classes)."""
+    Raises when fewer than 10 labelled rows (or, for classification, fewer than 2 classes).
+
+    The needed columns of the labelled rows are materialized once (checkpoint in the shared
+    folder); the statistics passes, encodings and the final training frame read from it.
+    """
     feats = list(features)
     keys = list(key_cols) if key_cols else feats + [label]
-    data = df.where(F.col(f"`{label}`").isNotNull())
-    check = data.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(f"`{label}`").alias("k")).first()
-    if check["n"] < MIN_ROWS:
-        raise ValueError(f"need at least {MIN_ROWS} rows with a target, got {check['n']}")
-    if task == "classification" and check["k"] < 2:
+    needed = list(dict.fromkeys(keys + feats + [label]))
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    base = df.where(F.col(f"`{label}`").isNotNull()).select(*[F.col(f"`{c}`") for c in needed]) \
+        .checkpoint(eager=True)
+    strings = [c for c in feats if is_string(base.schema[c].dataType)]
+    nums = [c for c in feats if c not in strings]
+    check = base.agg(F.count(F.lit(1)).alias("__n"), F.approx_count_distinct(f"`{label}`").alias("__k"),
+                     *[F.avg(F.col(f"`{c}`").cast("double")).alias(c) for c in nums]).first()
+    if check["__n"] < MIN_ROWS:
+        raise ValueError(f"need at least {MIN_ROWS} rows with a target, got {check['__n']}")
+    if task == "classification" and check["__k"] < 2:
         raise ValueError("need at least two classes")
-    strings = [c for c in feats if is_string(data.schema[c].dataType)]
-    if strings:
-        data = label_encode(data, strings)
-    row = stats_row(data, {c: F.avg(F.col(f"`{c}`").cast("double")) for c in feats})
+    data = label_encode(base, strings) if strings else base
+    fill = {c: (check[c] if c in nums and check[c] is not None else 0.0) for c in feats}
     data = data.select(*[F.col(f"`{c}`") for c in data.columns if c not in feats],
-                       *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(row[c] if row[c] is not None else 0.0))
-                         .alias(c) for c in feats])
+                       *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(fill[c])).alias(c) for c in feats])
+    if test_fraction == "adaptive":
+        test_fraction = adaptive_test_fraction(check["__n"])
     if task == "classification":
-        from tabsense.operators.features import label_index
-        idx = label_index(data, label).withColumnRenamed("value", "_lv")
+        idx = label_index(base, label).withColumnRenamed("value", "_lv")
         data = data.join(F.broadcast(idx), F.col(f"`{label}`").cast("string") == F.col("_lv")) \
                    .withColumn("_label", F.col("index").cast("double")).drop("_lv", "index")
-        data = train_test_split(data, keys, test_fraction, seed, stratify="_label")
+        data = train_test_split(data, keys, test_fraction, seed, stratify="_label", n_rows=check["__n"])
     else:
         data = data.withColumn("_label", F.col(f"`{label}`").cast("double"))
         data = train_test_split(data, keys, test_fraction, seed)
     # Training reads this frame many times: materialize it once in the shared checkpoint dir.
-    checkpoint_dir(data.sparkSession)
     data = data.select(*keys, *[c for c in feats if c not in keys], "_label", "split").checkpoint(eager=True)
     return data, feats
 

@@ -71,3 +71,15 @@ def test_random_forest_metrics_bounds(spark):
     out = {r["metric"]: r["value"] for r in E.queries()["rf_classification"](spark, SF_SMALL).collect()}
     for m in ("accuracy", "precision", "recall", "f1", "balanced_accuracy"):
         assert 0.0 <= out[m] <= 1.0
+
+
+def test_isolation_forest_large_input_path(spark):
+    # n >= 2 x trees x 256 takes the one-hash-per-row subsample path
+    base = spark.range(30000).select(F.col("id"), (F.col("id") % 97).cast("double").alias("a"),
+                                     (F.col("id") % 89).cast("double").alias("b"))
+    planted = spark.createDataFrame([(100000 + i, 5000.0 + i, -3000.0) for i in range(5)], "id long, a double, b double")
+    out = anomaly.anomaly_isolation_forest(base.unionByName(planted), ["a", "b"], contamination=0.05, key_cols=["id"])
+    top = {r["id"] for r in out.orderBy(F.desc("anomaly_score")).limit(5).collect()}
+    assert top == {100000 + i for i in range(5)}
+    share = out.where("is_anomaly").count() / 30005
+    assert abs(share - 0.05) < 0.005
