@@ -31,6 +31,8 @@ MLP_HIDDEN = (50, 50)
 MLP_MAX_ITER = 200
 MLP_ALPHA = 0.001
 VALIDATION_FRACTION = 0.1
+# Features tried per split, as the reference's forests do: all for regression, sqrt for classes.
+FEATURE_SUBSET = {"regression": "all", "classification": "sqrt"}
 TUNE_GRID = {"numTrees": [50, 100], "maxDepth": [5, 10, 20], "minInstancesPerNode": [1, 2]}
 TUNE_DRAWS = 5
 TUNE_FOLDS = 3
@@ -90,17 +92,29 @@ def _assemble(data: DataFrame, feats, scale: bool = False):
 
 
 def _evaluate(pred: DataFrame, task: str, n_classes: int | None = None) -> DataFrame:
+    """One wide metrics row: regression metrics plus residual analysis, or classification
+    metrics plus ROC-AUC, PR-AUC (binary) and log-loss from the probability vector."""
     if task == "regression":
-        wide = met.eval_regression(pred, "_label", "prediction")
-        return wide
-    wide = met.eval_classification(pred, "_label", "prediction")
-    if n_classes == 2 and "probability" in pred.columns:
-        from pyspark.ml.functions import vector_to_array
-        p1 = pred.withColumn("_p1", vector_to_array("probability")[1])
-        auc = met.eval_roc_auc(p1, "_label", "_p1", positive="1.0")
-        auc_value = auc.first()["roc_auc"]  # one aggregate row
-        wide = wide.withColumn("roc_auc", F.lit(auc_value).cast("double"))
-    return wide
+        reg = met.eval_regression(pred, "_label", "prediction").first()
+        res = met.eval_residuals(pred, "_label", "prediction").first()
+        values = {**reg.asDict(), **res.asDict()}  # two aggregate rows
+    else:
+        values = met.eval_classification(pred, "_label", "prediction").first().asDict()
+        if n_classes and "probability" in pred.columns:
+            from pyspark.ml.functions import vector_to_array
+            probs = pred.withColumn("_pv", vector_to_array("probability")).select(
+                "_label", *[F.col("_pv")[k].alias(f"_p{k}") for k in range(n_classes)])
+            if n_classes == 2:
+                values["roc_auc"] = met.eval_roc_auc(probs, "_label", "_p1", positive="1.0").first()["roc_auc"]
+                values["pr_auc"] = met.eval_pr_auc(probs, "_label", "_p1", positive="1.0").first()["pr_auc"]
+                values["log_loss"] = met.eval_log_loss(probs, "_label", "_p1", positive="1.0").first()["log_loss"]
+            else:
+                cols = {f"{float(k)}": f"_p{k}" for k in range(n_classes)}
+                values["roc_auc"] = met.eval_roc_auc(probs, "_label", cols).first()["roc_auc"]
+                values["log_loss"] = met.eval_log_loss(probs, "_label", cols).first()["log_loss"]
+    spark = pred.sparkSession
+    return spark.createDataFrame([tuple(float(v) if v is not None else None for v in values.values())],
+                                 ", ".join(f"{k} double" for k in values))
 
 
 def random_forest(df: DataFrame, features, label: str, task: str = "regression", n_trees: int = RF_TREES,
@@ -113,7 +127,7 @@ def random_forest(df: DataFrame, features, label: str, task: str = "regression",
     data, feats = prepare(df, features, label, task, key_cols, seed)
     est_cls = RandomForestRegressor if task == "regression" else RandomForestClassifier
     est = est_cls(featuresCol="_features", labelCol="_label", numTrees=n_trees, maxDepth=max_depth,
-                  minInstancesPerNode=min_instances, seed=seed)
+                  minInstancesPerNode=min_instances, featureSubsetStrategy=FEATURE_SUBSET[task], seed=seed)
     model = Pipeline(stages=_assemble(data, feats) + [est]).fit(data.where("split = 'train'"))
     pred = model.transform(data.where("split = 'test'"))
     n_classes = None if task == "regression" else int(model.stages[-1].numClasses)
@@ -150,7 +164,7 @@ def rf_tuned(df: DataFrame, features, label: str, task: str = "regression", draw
     def fold_score(args):
         (t, d, m), k = args
         est = est_cls(featuresCol="_features", labelCol="_label", numTrees=t, maxDepth=d,
-                      minInstancesPerNode=m, seed=seed)
+                      minInstancesPerNode=m, featureSubsetStrategy=FEATURE_SUBSET[task], seed=seed)
         model = Pipeline(stages=_assemble(train, feats) + [est]).fit(train.where(F.col("_fold") != k))
         return float(evaluator.evaluate(model.transform(train.where(F.col("_fold") == k))))
 
@@ -321,7 +335,7 @@ def mlp_regression(df: DataFrame, features, label: str, hidden=MLP_HIDDEN, max_i
             yield pd.DataFrame({"_label": pdf["_label"].to_numpy(dtype=float), "prediction": out})
 
     pred = prepared.where("role = 'test'").select("x", "_label").mapInPandas(predict, "_label double, prediction double")
-    metrics = met.metrics_long(met.eval_regression(pred, "_label", "prediction"), "MLP")
+    metrics = met.metrics_long(_evaluate(pred, "regression"), "MLP")
     return metrics, pred, {"params": final, "iterations": it, "converged": it < max_iter}
 
 

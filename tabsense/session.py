@@ -22,6 +22,8 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Arrow batches for pandas UDFs: bounded memory per Python worker.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
+    # Remove checkpoint files once the DataFrames that own them are garbage-collected.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

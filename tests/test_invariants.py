@@ -84,3 +84,19 @@ def test_isolation_forest_large_input_path(spark):
     assert {100000 + i for i in range(5)} <= flagged
     share = len(flagged) / 30005
     assert abs(share - 0.05) < 0.005
+
+
+def test_models_learn_a_real_relation(spark):
+    from tabsense.operators import models
+    df = spark.range(3000).select(
+        F.col("id"), (F.col("id") % 100 / 10.0).alias("x1"), ((F.col("id") * 7) % 13).cast("double").alias("x2"),
+        F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("g"))
+    df = df.withColumn("y", 3 * F.col("x1") - 2 * F.col("x2") + F.when(F.col("g") == "a", 5.0).otherwise(0.0))
+    mlp, _, info = models.mlp_regression(df, ["x1", "x2", "g"], "y", key_cols=["id"])
+    r2 = {r["metric"]: r["value"] for r in mlp.collect()}["r2"]
+    assert r2 > 0.95, r2
+    rf, _, _ = models.random_forest(df, ["x1", "x2", "g"], "y", "regression", n_trees=20, key_cols=["id"])
+    assert {r["metric"]: r["value"] for r in rf.collect()}["r2"] > 0.9
+    df2 = df.withColumn("cls", F.when(F.col("y") > 5, "hi").otherwise("lo"))
+    mc, _ = models.mlp_classification(df2, ["x1", "x2", "g"], "cls", key_cols=["id"], max_iter=100)
+    assert {r["metric"]: r["value"] for r in mc.collect()}["accuracy"] > 0.9
