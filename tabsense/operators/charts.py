@@ -22,6 +22,8 @@ SCATTER_MAX_POINTS = 10_000
 MAP_MAX_POINTS = 1_000
 HIST_BINS = 20
 VIOLIN_GRID = 50
+VIOLIN_BINS_PER_BANDWIDTH = 10
+VIOLIN_MAX_BINS = 100_000
 LAT_PATTERN = re.compile(r".*(lat|latitude).*", re.IGNORECASE)
 LON_PATTERN = re.compile(r".*(lon|lng|long|longitude).*", re.IGNORECASE)
 BROADCAST_MAX_GROUPS = 100_000
@@ -89,31 +91,39 @@ def chart_box(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
         count_if(~inside).alias("outliers"))
 
 
-def chart_violin(df: DataFrame, value: str, by: str | None = None, grid: int = VIOLIN_GRID) -> DataFrame:
+def chart_violin(df: DataFrame, value: str, by: str | None = None, grid: int = VIOLIN_GRID,
+                 bins_per_bandwidth: int = VIOLIN_BINS_PER_BANDWIDTH, max_bins: int = VIOLIN_MAX_BINS) -> DataFrame:
     """Gaussian kernel density per group on ``grid`` points from the group min to max.
 
-    Bandwidth: Scott's rule, h = std * n^(-1/5) (sample std).  Every row contributes to each
-    grid point of its group (``grid`` terms per row, summed with map-side combine), so the
-    work is linear in the rows and the output is groups x grid.
+    Bandwidth: Scott's rule, h = std * n^(-1/5) (sample std).  Binned KDE: one pass builds a
+    per-group histogram with bins of h / ``bins_per_bandwidth`` (at most ``max_bins``), then
+    each grid point sums the kernel over bin centres weighted by counts.  After the histogram
+    pass the work is groups x bins x grid, independent of the number of rows.
     """
     keys = [by] if by else []
     data = df.where(_x(value).isNotNull()).select(*keys, _x(value).alias("_v"))
     st = data.groupBy(*keys).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"),
                                  F.stddev_samp("_v").alias("sd"), F.count(F.lit(1)).alias("n"))
-    st = st.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
+    st = st.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).where(F.col("h") > 0)
+    nb = F.least(F.lit(max_bins), F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo")) / F.col("h")
+                                                                * F.lit(bins_per_bandwidth)))).cast("int")
+    st = st.withColumn("nb", nb).withColumn("w", (F.col("hi") - F.col("lo")) / F.col("nb"))
     if keys:
         n_groups = st.count()
         side = F.broadcast(st) if n_groups <= BROADCAST_MAX_GROUPS else st
         j = data.join(side, data[by].eqNullSafe(st[by])).drop(st[by])
     else:
         s = st.first()
-        j = data.withColumns({c: F.lit(s[c]) for c in ("lo", "hi", "sd", "n", "h")})
-    j = j.where(F.col("h") > 0)
-    step = (F.col("hi") - F.col("lo")) / F.lit(grid - 1)
-    pts = j.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
-    pts = pts.withColumn("y", F.col("lo") + F.col("point") * step)
-    u = (F.col("y") - F.col("_v")) / F.col("h")
-    kern = F.exp(-0.5 * u * u) / F.lit(math.sqrt(2 * math.pi))
+        if s is None:
+            return df.sparkSession.createDataFrame([], "point int, y double, density double")
+        j = data.withColumns({c: F.lit(s[c]) for c in ("lo", "hi", "sd", "n", "h", "nb", "w")})
+    b = F.least(F.col("nb") - 1, F.floor((F.col("_v") - F.col("lo")) / F.col("w")).cast("int"))
+    hist = j.groupBy(*keys, "lo", "hi", "n", "h", "nb", "w", b.alias("bin")).agg(F.count(F.lit(1)).alias("cnt"))
+    centre = F.col("lo") + (F.col("bin") + 0.5) * F.col("w")
+    pts = hist.withColumn("c", centre).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+    pts = pts.withColumn("y", F.col("lo") + F.col("point") * ((F.col("hi") - F.col("lo")) / F.lit(grid - 1)))
+    u = (F.col("y") - F.col("c")) / F.col("h")
+    kern = F.col("cnt") * F.exp(-0.5 * u * u) / F.lit(math.sqrt(2 * math.pi))
     return pts.groupBy(*keys, "point", "y", "n", "h").agg(F.sum(kern).alias("_k")).select(
         *keys, "point", "y", (F.col("_k") / (F.col("n") * F.col("h"))).alias("density"))
 

@@ -528,11 +528,17 @@ GROUP BY f.l_returnflag, q1, median, q3, lower_fence, upper_fence"""
 ORACLE["chart_violin"] = f"""WITH st AS (SELECT l_linestatus, min(l_discount) AS lo, max(l_discount) AS hi,
     stddev_samp(l_discount) AS sd, count(*) AS n FROM lineitem GROUP BY l_linestatus),
 st2 AS (SELECT *, sd * pow(CAST(n AS DOUBLE), -0.2) AS h FROM st WHERE sd * pow(CAST(n AS DOUBLE), -0.2) > 0),
-g AS (SELECT st2.*, p.point, lo + p.point * ((hi - lo) / 49) AS y FROM st2, range(50) p(point))
-SELECT g.l_linestatus, CAST(g.point AS INTEGER) AS point, {R('g.y')} AS y,
-  {R('sum(exp(-0.5 * ((g.y - l.l_discount) / g.h) * ((g.y - l.l_discount) / g.h)) / sqrt(2 * pi())) / (g.n * g.h)')} AS density
-FROM g JOIN lineitem l ON l.l_linestatus = g.l_linestatus
-GROUP BY g.l_linestatus, g.point, g.y, g.n, g.h"""
+st3 AS (SELECT *, CAST(least(100000, greatest(1, ceil((hi - lo) / h * 10))) AS INTEGER) AS nb FROM st2),
+st4 AS (SELECT *, (hi - lo) / nb AS w FROM st3),
+hist AS (SELECT s.l_linestatus, s.lo, s.hi, s.n, s.h, s.w,
+           CAST(least(s.nb - 1, floor((l.l_discount - s.lo) / s.w)) AS INTEGER) AS bin, count(*) AS cnt
+         FROM lineitem l JOIN st4 s ON l.l_linestatus = s.l_linestatus
+         GROUP BY s.l_linestatus, s.lo, s.hi, s.n, s.h, s.w, s.nb, bin),
+g AS (SELECT hist.*, lo + (bin + 0.5) * w AS c, p.point, lo + p.point * ((hi - lo) / 49) AS y
+      FROM hist, range(50) p(point))
+SELECT l_linestatus, CAST(point AS INTEGER) AS point, {R('y')} AS y,
+  {R('sum(cnt * exp(-0.5 * ((y - c) / h) * ((y - c) / h)) / sqrt(2 * pi())) / (n * h)')} AS density
+FROM g GROUP BY l_linestatus, point, y, n, h"""
 ORACLE["chart_pie"] = f"""SELECT l_returnflag, {R('sum(l_extendedprice)', 2)} AS value,
   {R('sum(l_extendedprice) / (SELECT sum(l_extendedprice) FROM lineitem)')} AS share
 FROM lineitem GROUP BY l_returnflag"""

@@ -153,3 +153,18 @@ def test_forest_needs_rows_and_classes(spark):
     one_class = spark.createDataFrame([(float(i), 1) for i in range(20)], "x double, y int")
     with pytest.raises(ValueError):
         models.random_forest(one_class, ["x"], "y", "classification")
+
+
+def test_binned_violin_close_to_exact_kde(spark):
+    import numpy as np
+    from tabsense.operators import charts
+    rng = np.random.default_rng(3)
+    vals = np.concatenate([rng.normal(0, 1, 700), rng.normal(4, 0.5, 300)])
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    got = charts.chart_violin(df, "x").orderBy("point").toPandas()
+    n, sd = len(vals), vals.std(ddof=1)
+    h = sd * n ** -0.2
+    grid = np.linspace(vals.min(), vals.max(), 50)
+    exact = np.exp(-0.5 * ((grid[:, None] - vals[None, :]) / h) ** 2).sum(axis=1) / (n * h * np.sqrt(2 * np.pi))
+    np.testing.assert_allclose(got["y"].to_numpy(), grid, rtol=1e-9, atol=1e-9)
+    assert np.max(np.abs(got["density"].to_numpy() - exact)) < 0.01 * exact.max()
