@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsense.session import checkpoint_dir
+from tabsense.functions.schema import qcol
 
 
 def _order_cols(order, descending: bool) -> list[Column]:
-    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    cols = [qcol(c) if isinstance(c, str) else c for c in order]
     return [c.desc_nulls_last() if descending else c.asc_nulls_first() for c in cols]
 
 

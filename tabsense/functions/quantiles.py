@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsense.session import checkpoint_dir
+from tabsense.functions.schema import qcol
 
 # Above this many distinct values in one group the one-task ``percentile`` merge is avoided.
 MAX_DISTINCT_FOR_AGGREGATE = 1_000_000
@@ -45,9 +46,9 @@ def _positions(n: int, probs) -> list[tuple[int, int, float, float]]:
 
 
 def _long_form(df: DataFrame, cols, by) -> DataFrame:
-    parts = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols]
-    return (df.select(*[F.col(b) for b in by], F.explode(F.array(*parts)).alias("_kv"))
-              .select(*[F.col(b) for b in by], F.col("_kv.column").alias("column"), F.col("_kv.v").alias("v"))
+    parts = [F.struct(F.lit(c).alias("column"), qcol(c).cast("double").alias("v")) for c in cols]
+    return (df.select(*[qcol(b) for b in by], F.explode(F.array(*parts)).alias("_kv"))
+              .select(*[qcol(b) for b in by], F.col("_kv.column").alias("column"), F.col("_kv.v").alias("v"))
               .where(F.col("v").isNotNull()))
 
 
@@ -68,11 +69,11 @@ def distributed_quantiles(df: DataFrame, cols, probs, by=()) -> DataFrame:
     probs = [float(p) for p in probs]
     weighted = _long_form(df, cols, by).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("w"))
     totals = weighted.groupBy(*keys).agg(F.sum("w").alias("_n")) \
-        .select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)], "_n")
-    cond = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_t{i}")) for i, k in enumerate(keys)])
+        .select(*[qcol(k).alias(f"_t{i}") for i, k in enumerate(keys)], "_n")
+    cond = reduce(lambda x, y: x & y, [qcol(k).eqNullSafe(F.col(f"_t{i}")) for i, k in enumerate(keys)])
     weighted = weighted.join(totals, cond).drop(*[f"_t{i}" for i in range(len(keys))])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (weighted.repartitionByRange(parts, *[F.col(k) for k in keys], F.col("v"))
+    ranged = (weighted.repartitionByRange(parts, *[qcol(k) for k in keys], F.col("v"))
                       .sortWithinPartitions(*keys, "v")
                       .withColumn("_pid", F.spark_partition_id()))
     checkpoint_dir(spark)
@@ -149,14 +150,14 @@ def distributed_quantiles(df: DataFrame, cols, probs, by=()) -> DataFrame:
 def _aggregate_quantiles(df: DataFrame, cols, probs, by, accuracy) -> DataFrame:
     probs_arr = F.array(*[F.lit(float(p)) for p in probs])
     if accuracy:
-        aggs = [F.percentile_approx(F.col(c).cast("double"), probs_arr, accuracy).alias(c) for c in cols]
+        aggs = [F.percentile_approx(qcol(c).cast("double"), probs_arr, accuracy).alias(c) for c in cols]
     else:
-        aggs = [F.percentile(F.col(c).cast("double"), probs_arr).alias(c) for c in cols]
+        aggs = [F.percentile(qcol(c).cast("double"), probs_arr).alias(c) for c in cols]
     wide = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-    stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("qs")) for c in cols]))
-    long = wide.select(*[F.col(b) for b in by], stacked.alias("_s")).select(
-        *[F.col(b) for b in by], F.col("_s.column").alias("column"), F.col("_s.qs").alias("qs"))
-    return long.select(*[F.col(b) for b in by], "column",
+    stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), qcol(c).alias("qs")) for c in cols]))
+    long = wide.select(*[qcol(b) for b in by], stacked.alias("_s")).select(
+        *[qcol(b) for b in by], F.col("_s.column").alias("column"), F.col("_s.qs").alias("qs"))
+    return long.select(*[qcol(b) for b in by], "column",
                        F.posexplode(F.coalesce("qs", F.array_repeat(F.lit(None).cast("double"), len(probs))))
                        .alias("_i", "quantile")) \
                .withColumn("prob", F.element_at(probs_arr, F.col("_i") + 1)).drop("_i")

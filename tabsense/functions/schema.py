@@ -17,6 +17,12 @@ EMPTY_NAME = "unknown_column"
 DATETIME_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
+def qcol(name: str):
+    """Column by exact name (backtick-quoted, so spaces, dots and symbols are literal)."""
+    from pyspark.sql import functions as F
+    return F.col("`" + str(name).replace("`", "``") + "`")
+
+
 def is_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.NumericType)
 

@@ -11,11 +11,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsense.functions.schema import is_float
+from tabsense.functions.schema import is_float, qcol
 
 
 def col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    return qcol(c) if isinstance(c, str) else c
 
 
 def nan_to_null(c, dtype=None) -> Column:
@@ -82,8 +82,8 @@ def stats_row(df: DataFrame, exprs: dict[str, Column]) -> dict:
 def unpivot(df: DataFrame, ids: list[str], columns: list[str], var: str = "column",
             value: str = "value", cast: str | None = "double") -> DataFrame:
     """Wide -> long with ``stack`` semantics (one output row per input row and column)."""
-    vals = [(F.col(c).cast(cast) if cast else F.col(c)).alias(c) for c in columns]
-    wide = df.select(*[F.col(i) for i in ids], *vals)
+    vals = [(qcol(c).cast(cast) if cast else qcol(c)).alias(c) for c in columns]
+    wide = df.select(*[qcol(i) for i in ids], *vals)
     return wide.unpivot(ids, columns, var, value)
 
 

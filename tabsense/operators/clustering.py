@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsense.functions.quantiles import quantile_table
-from tabsense.functions.schema import numeric_columns
+from tabsense.functions.schema import numeric_columns, qcol
 from tabsense.functions.stats import stats_row
 
 DEFAULT_SEED = 42
@@ -167,11 +167,11 @@ def _assemble(df: DataFrame, features, scale: bool):
     cols = [features] if isinstance(features, str) else list(features)
     data = df.na.drop(subset=cols)
     if scale:
-        stats = stats_row(data, {**{f"m|{c}": F.avg(F.col(c).cast("double")) for c in cols},
-                                 **{f"s|{c}": F.stddev_pop(F.col(c).cast("double")) for c in cols}})
-        arr = F.array(*[(F.col(c).cast("double") - F.lit(stats[f"m|{c}"])) / F.lit(stats[f"s|{c}"] or 1.0) for c in cols])
+        stats = stats_row(data, {**{f"m|{c}": F.avg(qcol(c).cast("double")) for c in cols},
+                                 **{f"s|{c}": F.stddev_pop(qcol(c).cast("double")) for c in cols}})
+        arr = F.array(*[(qcol(c).cast("double") - F.lit(stats[f"m|{c}"])) / F.lit(stats[f"s|{c}"] or 1.0) for c in cols])
     else:
-        arr = F.array(*[F.col(c).cast("double") for c in cols])
+        arr = F.array(*[qcol(c).cast("double") for c in cols])
     return data.withColumn("_features", array_to_vector(arr))
 
 
@@ -190,7 +190,7 @@ def kmeans_fit(df: DataFrame, features, k: int = 3, scale: bool = False, remove_
         for c in cols:
             q1, q3 = quantile_table(data, [c], [0.25, 0.75])[c]
             lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-            pred = (F.col(c) >= F.lit(lo)) & (F.col(c) <= F.lit(hi))
+            pred = (qcol(c) >= F.lit(lo)) & (qcol(c) <= F.lit(hi))
             data = data.where(pred)
             keep = keep & pred
     flagged = df.withColumn("_keep", F.coalesce(keep, F.lit(False)))

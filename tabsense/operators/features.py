@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabsense.functions.ordered import cumulative_sums
 from tabsense.functions.quantiles import quantiles
-from tabsense.functions.schema import categorical_columns, numeric_columns, require_columns
+from tabsense.functions.schema import categorical_columns, numeric_columns, qcol, require_columns
 from tabsense.functions.stats import stats_row
 
 # The reference's bin labels and feature limits.
@@ -132,12 +132,11 @@ def label_encode(df: DataFrame, columns=None, suffix: str = "") -> DataFrame:
     out = df
     for c in cols:
         mapping, n = _label_mapping(df, c)
-        m = mapping.withColumnRenamed("value", "_v").withColumnRenamed("index", f"_i_{c}")
+        m = mapping.withColumnRenamed("value", "_v").withColumnRenamed("index", "_idx")
         m = F.broadcast(m) if n is not None and n <= BROADCAST_MAX_ROWS else m
-        key = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(NULL_TEXT))
+        key = F.coalesce(qcol(c).cast("string"), F.lit(NULL_TEXT))
         out = out.withColumn("_k", key).join(m, F.col("_k") == F.col("_v"), "left").drop("_k", "_v")
-        name = f"{c}{suffix}" if suffix else c
-        out = out.withColumn(name, F.col(f"_i_{c}")).drop(f"_i_{c}")
+        out = out.withColumn(f"{c}{suffix}" if suffix else c, F.col("_idx")).drop("_idx")
     return out
 
 
@@ -176,7 +175,7 @@ def train_test_split(df: DataFrame, key_cols, test_fraction: float | str = 0.2,
         return tagged.withColumn("split", F.when(F.col("_u") < test_fraction, "test").otherwise("train")).drop("_u")
     # n_rows (when known) bounds the distinct hash count, which picks the quantile strategy
     cuts = quantiles(tagged, ["_u"], [test_fraction], by=[stratify], ndv=n_rows) \
-        .select(F.col(stratify).alias("_s"), F.col("quantile").alias("_cut"))
+        .select(qcol(stratify).alias("_s"), F.col("quantile").alias("_cut"))
     joined = tagged.join(cuts, tagged[stratify].eqNullSafe(cuts["_s"]), "left").drop("_s")
     return joined.withColumn("split", F.when(F.col("_u") <= F.col("_cut"), "test").otherwise("train")) \
         .drop("_u", "_cut")
@@ -196,6 +195,6 @@ def select_k_best(df: DataFrame, features, label: str, k: int = 20, min_features
                                     outputCol="_selected")
     sel.setFeatureType("continuous").setLabelType("categorical" if classification else "continuous")
     sel.setSelectionThreshold(k)
-    model = sel.fit(va.transform(df.select(*feats, F.col(label).cast("double").alias(label))))
+    model = sel.fit(va.transform(df.select(*feats, qcol(label).cast("double").alias(label))))
     chosen = set(model.selectedFeatures)
     return spark.createDataFrame([(f, i in chosen) for i, f in enumerate(feats)], "feature string, selected boolean")

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tabsense.functions.schema import (categorical_columns, datetime_columns, is_numeric,
-                                       numeric_columns, require_columns)
+from tabsense.functions.schema import (categorical_columns, datetime_columns, is_numeric, numeric_columns,
+                                       qcol, require_columns)
 from tabsense.functions.stats import all_of, count_if
 
 # Per-kind limits of the reference's filter builder.
@@ -40,9 +40,9 @@ def _is_null_like(v) -> bool:
 def in_predicate(column: str, values, max_values: int = MAX_FILTER_VALUES) -> Column:
     vals = list(values)[:max_values]
     keep = [v for v in vals if not _is_null_like(v)]
-    pred = F.col(column).isin([str(v) for v in keep]) if keep else F.lit(False)
+    pred = qcol(column).isin([str(v) for v in keep]) if keep else F.lit(False)
     if len(keep) < len(vals):
-        pred = pred | F.col(column).isNull()
+        pred = pred | qcol(column).isNull()
     return pred
 
 
@@ -50,7 +50,7 @@ def range_predicate(column: str, lo, hi) -> Column | None:
     """BETWEEN lo AND hi; None (no filter) when a bound is missing or lo == hi."""
     if lo is None or hi is None or _is_null_like(lo) or _is_null_like(hi) or lo == hi:
         return None
-    return F.col(column).between(F.lit(lo), F.lit(hi))
+    return qcol(column).between(F.lit(lo), F.lit(hi))
 
 
 def _ts(v, dtype=None):
@@ -62,7 +62,7 @@ def _ts(v, dtype=None):
 
 
 def datetime_predicate(column: str, start, end, dtype=None) -> Column:
-    c = F.col(column)
+    c = qcol(column)
     return (c >= _ts(start, dtype)) & (c <= _ts(end, dtype))
 
 
@@ -123,7 +123,7 @@ def compare_predicate(df: DataFrame, column: str, op: str, value) -> Column:
     if sym is None:
         raise ValueError(f"unsupported operator {op!r}; use one of {sorted(COMPARE_OPS)}")
     dtype = df.schema[column].dataType
-    c = F.col(column)
+    c = qcol(column)
     v = F.lit(float(value)) if is_numeric(dtype) else F.lit(str(value))
     return {"=": c == v, ">": c > v, "<": c < v, ">=": c >= v, "<=": c <= v}[sym]
 
@@ -157,7 +157,7 @@ def filter_options(df: DataFrame, categorical_cols=None, numeric_cols=None,
     nums = list(numeric_cols if numeric_cols is not None else numeric_columns(df))
     out = None
     if cats:
-        parts = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in cats]
+        parts = [F.struct(F.lit(c).alias("column"), qcol(c).cast("string").alias("v")) for c in cats]
         pairs = (df.select(F.explode(F.array(*parts)).alias("_kv"))
                    .select("_kv.column", "_kv.v").where(F.col("v").isNotNull()).distinct())
         ndv = pairs.groupBy("column").agg(F.count(F.lit(1)).alias("ndv"))
@@ -170,7 +170,7 @@ def filter_options(df: DataFrame, categorical_cols=None, numeric_cols=None,
     if nums:
         aggs = []
         for c in nums:
-            aggs += [F.min(F.col(c).cast("double")).alias(f"min__{c}"), F.max(F.col(c).cast("double")).alias(f"max__{c}")]
+            aggs += [F.min(qcol(c).cast("double")).alias(f"min__{c}"), F.max(qcol(c).cast("double")).alias(f"max__{c}")]
         mm = df.agg(*aggs)
         parts = []
         for c in nums:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tabsense.functions.ordered import cumulative_sums
 from tabsense.functions.quantiles import quantile_table
 from tabsense.functions.stats import count_if, stats_row
+from tabsense.functions.schema import qcol
 
 # Coverage multipliers of the reference's residual analysis; log-loss clip.
 COVER_80 = 1.28
@@ -155,5 +156,5 @@ def metrics_long(wide: DataFrame, model: str) -> DataFrame:
     """One metrics row -> (model, metric, value)."""
     cols = wide.columns
     return wide.select(F.explode(F.array(*[F.struct(F.lit(model).alias("model"), F.lit(c).alias("metric"),
-                                                    F.col(c).cast("double").alias("value")) for c in cols]))
+                                                    qcol(c).cast("double").alias("value")) for c in cols]))
                        .alias("_m")).select("_m.*")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsense.functions.schema import is_string
+from tabsense.functions.schema import is_string, qcol
 from tabsense.functions.stats import stats_row
 from tabsense.operators import metrics as met
 from tabsense.operators.features import adaptive_test_fraction, label_encode, label_index, train_test_split
@@ -249,7 +249,7 @@ def mlp_regression(df: DataFrame, features, label: str, hidden=MLP_HIDDEN, max_i
     stats = stats_row(data.where("split = 'train'"),
                       {**{f"m|{c}": F.avg(c) for c in feats}, **{f"s|{c}": F.stddev_pop(c) for c in feats},
                        "ym": F.avg("_label"), "ys": F.stddev_pop("_label")})
-    xs = F.array(*[(F.col(c) - F.lit(stats[f"m|{c}"])) / F.lit(stats[f"s|{c}"] or 1.0) for c in feats])
+    xs = F.array(*[(qcol(c) - F.lit(stats[f"m|{c}"])) / F.lit(stats[f"s|{c}"] or 1.0) for c in feats])
     ym, ys = stats["ym"] or 0.0, stats["ys"] or 1.0
     vsplit = (F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys], F.lit(seed + 7)), F.lit(1000)) < VALIDATION_FRACTION * 1000)
     prepared = data.select(xs.alias("x"), ((F.col("_label") - F.lit(ym)) / F.lit(ys)).alias("y"), "split",

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabsense.functions.quantiles import MAX_DISTINCT_FOR_AGGREGATE, quantile_table, quantiles
-from tabsense.functions.schema import (categorical_columns, datetime_columns, dtype_name,
-                                       is_numeric, numeric_columns, require_columns)
+from tabsense.functions.schema import (categorical_columns, datetime_columns, dtype_name, is_numeric,
+                                       numeric_columns, qcol, require_columns)
 from tabsense.functions.stats import central_moments, count_if, describe_moments, stats_row
 
 # Fixed values of the reference's profile rules.
@@ -55,7 +55,7 @@ def agg_basic(df: DataFrame, by, value: str) -> DataFrame:
     """mean, sum, median, count, min, max of ``value`` per group of ``by``."""
     by = [by] if isinstance(by, str) else list(by)
     require_columns(df, by + [value])
-    v = F.col(value).cast("double")
+    v = qcol(value).cast("double")
     base = df.groupBy(*by).agg(F.avg(v).alias("mean"), F.sum(v).alias("sum"),
                                F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"))
     med = quantiles(df, [value], [0.5], by=by).select(*by, F.col("quantile").alias("median"))
@@ -117,7 +117,7 @@ def describe_all(df: DataFrame, columns=None, digits: int = 3) -> DataFrame:
 def value_counts_top(df: DataFrame, column: str, n: int = 5) -> DataFrame:
     """Top-n values by frequency (ties by value ascending)."""
     require_columns(df, [column])
-    return (df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("count"))
+    return (df.where(qcol(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("count"))
               .orderBy(F.desc("count"), F.asc(column)).limit(n))
 
 
@@ -457,7 +457,7 @@ def profile_report(df: DataFrame, num_limit: int = 10, cat_limit: int = 10, corr
     if numeric_columns(df):
         npf = numeric_profile(df, limit=num_limit)
         parts.append(npf.select(F.lit("numeric_analysis").alias("section"), "column", F.explode(F.array(
-            *[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("num_value"),
+            *[F.struct(F.lit(m).alias("metric"), qcol(m).cast("double").alias("num_value"),
                        F.lit(None).cast("string").alias("str_value"))
               for m in ("mean", "std", "skewness", "kurtosis", "outliers_count")])).alias("_m")).select(
             "section", "column", "_m.*"))

@@ -168,3 +168,21 @@ def test_binned_violin_close_to_exact_kde(spark):
     exact = np.exp(-0.5 * ((grid[:, None] - vals[None, :]) / h) ** 2).sum(axis=1) / (n * h * np.sqrt(2 * np.pi))
     np.testing.assert_allclose(got["y"].to_numpy(), grid, rtol=1e-9, atol=1e-9)
     assert np.max(np.abs(got["density"].to_numpy() - exact)) < 0.01 * exact.max()
+
+
+def test_awkward_column_names(spark):
+    from tabsense.functions.quantiles import quantile_table
+    df = spark.createDataFrame([(1.0, "a", 2.0), (2.0, "b", None), (3.0, "a", 4.0), (10.0, None, 1.0)],
+                               "`unit price` double, `seg.name` string, `q (x)` double")
+    assert filters.filter_in(df, "seg.name", ["a"]).count() == 2
+    assert filters.filter_range(df, "unit price", 1.5, 3).count() == 2
+    assert quantile_table(df, ["unit price"], [0.5])["unit price"] == [2.5]
+    assert quantile_table(df, ["unit price"], [0.5], method="distributed")["unit price"] == [2.5]
+    npf = {r["column"] for r in profile.numeric_profile(df).collect()}
+    assert npf == {"unit price", "q (x)"}
+    assert profile.categorical_profile(df).first()["most_frequent"] == "a"
+    cm = profile.corr_matrix(df).count()
+    assert cm == 4
+    assert anomaly.anomaly_iqr(df, ["unit price"]).where("is_anomaly").count() == 1
+    assert clean.impute_median(df, ["q (x)"]).where("`q (x)` IS NULL").count() == 0
+    assert features.label_encode(df, ["seg.name"]).where("`seg.name` = 2").count() == 1
