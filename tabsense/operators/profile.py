@@ -422,7 +422,8 @@ def corr_high_pairs(df: DataFrame, columns=None, threshold: float = HIGH_CORR_P,
 
 
 def eda_insights(df: DataFrame, threshold: float = HIGH_CORR_P) -> DataFrame:
-    """Insight text rows (kind, insight): high correlations (top 3) or none, high missing."""
+    """Insight text rows (kind, insight): high correlations (top 3) or none, high-missing
+    columns, the number of numeric features, and a missing-data flag."""
     spark = df.sparkSession
     rows = []
     nums = numeric_columns(df)
@@ -433,9 +434,14 @@ def eda_insights(df: DataFrame, threshold: float = HIGH_CORR_P) -> DataFrame:
                 rows.append(("correlation", f"High correlation: {r['column1']} ↔ {r['column2']} ({r['correlation']:.3f})"))
         else:
             rows.append(("correlation", "No strong correlations found"))
-    hm = [r["column"] for r in high_missing_columns(df, limit=3).collect()]
+    missing = missing_by_column(df).orderBy("position").collect()  # one row per column
+    hm = [r["column"] for r in missing if r["missing_pct"] is not None and r["missing_pct"] > HIGH_MISSING_SHARE * 100][:3]
     if hm:
         rows.append(("missing", f"High missing data: {', '.join(hm)} (>50%)"))
+    if nums:
+        rows.append(("numeric", f"Dataset contains {len(nums)} numeric features suitable for ML"))
+    if sum(r["missing_count"] for r in missing) > 0:
+        rows.append(("missing_flag", "Missing data detected - auto-cleaning suggestions available"))
     if not rows:
         rows.append(("basic", "Basic analysis completed"))
     return spark.createDataFrame(rows, "kind string, insight string")
