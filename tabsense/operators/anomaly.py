@@ -57,9 +57,12 @@ def anomaly_zscore(df: DataFrame, features=None, threshold: float = Z_THRESHOLD)
 def anomaly_modified_zscore(df: DataFrame, features=None, threshold: float = MODIFIED_Z_THRESHOLD) -> DataFrame:
     """|0.6745 (x - median) / MAD|; MAD = 0: x == median -> NULL score, otherwise +inf."""
     data, feats = _prepare(df, features)
-    med = quantile_table(data, feats, [0.5])
+    row = stats_row(data, {c: F.approx_count_distinct(_x(c)) for c in feats})
+    ndv = max(int(row[c] or 0) for c in feats)
+    med = quantile_table(data, feats, [0.5], ndv=ndv)
+    # |x - median| takes at most as many distinct values as x: the same estimate bounds it
     dev = data.select(*[F.abs(_x(c) - F.lit(med[c][0])).alias(c) for c in feats])
-    mad = quantile_table(dev, feats, [0.5])
+    mad = quantile_table(dev, feats, [0.5], ndv=ndv)
     zs = []
     for c in feats:
         m, d = med[c][0], mad[c][0]
