@@ -71,12 +71,28 @@ def least_of(cols) -> Column:
     return cols[0] if len(cols) == 1 else F.least(*cols)
 
 
-def stats_row(df: DataFrame, exprs: dict[str, Column]) -> dict:
-    """Run one aggregate pass and return its single row as a dict (bounded: one value per expr)."""
+# Whole-stage codegen is disabled for an aggregate whose buffer exceeds
+# spark.sql.codegen.maxFields (default 100 fields).  Common aggregates keep 1-3 buffer fields
+# (sum/count/min/max 1, avg 2, stddev/variance 3), so up to this many expressions share a pass.
+STATS_EXPRS_PER_PASS = 30
+
+
+def stats_row(df: DataFrame, exprs: dict[str, Column], per_pass: int = STATS_EXPRS_PER_PASS) -> dict:
+    """Run aggregate passes and return their single row as a dict (bounded: one value per expr).
+
+    Expressions are split into passes of ``per_pass`` in the given order; callers list them
+    column by column, so each pass reads only its own columns (same I/O as one wide pass) while
+    every pass stays inside whole-stage codegen.
+    """
     if not exprs:
         return {}
-    row = df.agg(*[e.alias(k) for k, e in exprs.items()]).first()
-    return row.asDict() if row is not None else {k: None for k in exprs}
+    items = list(exprs.items())
+    out: dict = {}
+    for i in range(0, len(items), per_pass):
+        chunk = items[i:i + per_pass]
+        row = df.agg(*[e.alias(k) for k, e in chunk]).first()
+        out.update(row.asDict() if row is not None else {k: None for k, _ in chunk})
+    return out
 
 
 def unpivot(df: DataFrame, ids: list[str], columns: list[str], var: str = "column",
@@ -87,20 +103,12 @@ def unpivot(df: DataFrame, ids: list[str], columns: list[str], var: str = "colum
     return wide.unpivot(ids, columns, var, value)
 
 
-# Whole-stage codegen is disabled for an aggregate whose buffer exceeds
-# spark.sql.codegen.maxFields (default 100); plain sums keep one buffer field per value, so
-# chunks of this many sums stay compiled.
-SUMS_PER_PASS = 90
+SUMS_PER_PASS = 90  # plain sums keep one buffer field each
 
 
 def _sum_passes(df: DataFrame, exprs: dict[str, Column]) -> dict:
-    """Sum-like aggregates in chunks narrow enough for whole-stage codegen.  Chunks follow the
-    order of ``exprs`` (grouped by column), so each pass reads only its own columns."""
-    out: dict = {}
-    items = list(exprs.items())
-    for i in range(0, len(items), SUMS_PER_PASS):
-        out.update(stats_row(df, dict(items[i:i + SUMS_PER_PASS])))
-    return out
+    """Sum-like aggregates (one buffer field each) in passes narrow enough for codegen."""
+    return stats_row(df, exprs, per_pass=SUMS_PER_PASS)
 
 
 def central_moments(df: DataFrame, cols) -> dict:

@@ -129,15 +129,15 @@ def _missing_row(df: DataFrame) -> tuple[dict, int]:
 
 
 def missing_by_column(df: DataFrame) -> DataFrame:
-    """Null count and % per column (one aggregate pass, then unpivot)."""
-    exprs = [count_if(F.col(_q(c)).isNull()).alias(c) for c in df.columns]
-    wide = df.agg(F.count(F.lit(1)).alias("__rows"), *exprs)
-    long = wide.unpivot(["__rows"], list(df.columns), "column", "missing_count")
-    pos = F.create_map(*[x for i, c in enumerate(df.columns) for x in (F.lit(c), F.lit(i))])
-    return long.select("column", F.element_at(pos, F.col("column")).alias("position"),
-                       F.col("missing_count").cast("long").alias("missing_count"),
-                       F.when(F.col("__rows") > 0, F.col("missing_count") * 100.0 / F.col("__rows"))
-                        .alias("missing_pct"))
+    """Null count and % per column (aggregate passes of one counter per column, then one row
+    per column built from that bounded result)."""
+    cols = list(df.columns)
+    row = stats_row(df, {"__rows": F.count(F.lit(1)), **{f"m|{c}": count_if(qcol(c).isNull()) for c in cols}},
+                    per_pass=90)
+    n = row["__rows"] or 0
+    recs = [(c, i, int(row[f"m|{c}"] or 0), (row[f"m|{c}"] or 0) * 100.0 / n if n else None)
+            for i, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(recs, "column string, position int, missing_count long, missing_pct double")
 
 
 def missing_total(df: DataFrame) -> DataFrame:
@@ -375,7 +375,7 @@ def corr_matrix(df: DataFrame, columns=None) -> DataFrame:
                 v = F.when(both, xc[c])
                 aggs[f"{name}s|{a}|{b}"] = F.sum(v)
                 aggs[f"{name}q|{a}|{b}"] = F.sum(v * v)
-    st = stats_row(df, aggs) if rows else {}
+    st = stats_row(df, aggs, per_pass=90) if rows else {}  # sums: one buffer field each
 
     def corr(a, b):
         if not rows:
