@@ -186,3 +186,27 @@ def test_awkward_column_names(spark):
     assert anomaly.anomaly_iqr(df, ["unit price"]).where("is_anomaly").count() == 1
     assert clean.impute_median(df, ["q (x)"]).where("`q (x)` IS NULL").count() == 0
     assert features.label_encode(df, ["seg.name"]).where("`seg.name` = 2").count() == 1
+
+
+def test_wide_table_profiles(spark):
+    """120 numeric + 2 string columns: statistics passes are chunked and results stay right."""
+    import numpy as np
+    rng = np.random.default_rng(11)
+    n_num = 120
+    data = rng.normal(size=(200, n_num))
+    data[::7, 5] = np.nan
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) + (f"s{i % 3}", None if i % 4 else "x")
+            for i, r in enumerate(data)]
+    schema = ", ".join([f"c{i} double" for i in range(n_num)] + ["g string", "h string"])
+    df = spark.createDataFrame(rows, schema)
+    m = {r["column"]: r["missing_count"] for r in profile.missing_by_column(df).collect()}
+    assert m["c5"] == len(range(0, 200, 7)) and m["h"] == 150 and m["c0"] == 0
+    npf = {r["column"]: r for r in profile.numeric_profile(df, limit=n_num).collect()}
+    assert len(npf) == n_num
+    assert npf["c7"]["mean"] == pytest.approx(float(np.mean(data[:, 7])))
+    assert npf["c7"]["std"] == pytest.approx(float(np.std(data[:, 7], ddof=1)))
+    sugg = clean.suggest_cleaning(df).collect()
+    assert any(r["type"] == "drop_column" and r["column"] == "h" for r in sugg)
+    cm = profile.corr_matrix(df, [f"c{i}" for i in range(40)])
+    r = {(x["column1"], x["column2"]): x["correlation"] for x in cm.collect()}
+    assert r[("c1", "c2")] == pytest.approx(float(np.corrcoef(data[:, 1], data[:, 2])[0, 1]))
