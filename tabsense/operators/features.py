@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabsense.functions.ordered import cumulative_sums
 from tabsense.functions.quantiles import quantiles
-from tabsense.functions.schema import categorical_columns, numeric_columns, qcol, require_columns
+from tabsense.functions.schema import categorical_columns, numeric_columns, qcol
 from tabsense.functions.stats import stats_row
 
 # The reference's bin labels and feature limits.

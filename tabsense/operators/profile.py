@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabsense.functions.quantiles import MAX_DISTINCT_FOR_AGGREGATE, quantile_table, quantiles
-from tabsense.functions.schema import (categorical_columns, datetime_columns, dtype_name, is_numeric,
-                                       numeric_columns, qcol, require_columns)
+from tabsense.functions.schema import (categorical_columns, dtype_name, is_numeric, numeric_columns, qcol,
+                                       require_columns)
 from tabsense.functions.stats import central_moments, count_if, describe_moments, stats_row
 
 # Fixed values of the reference's profile rules.
