@@ -54,15 +54,16 @@ def anomaly_zscore(df: DataFrame, features=None, threshold: float = Z_THRESHOLD)
     return data.withColumn("anomaly_score", score).withColumn("is_anomaly", flag)
 
 
-def anomaly_modified_zscore(df: DataFrame, features=None, threshold: float = MODIFIED_Z_THRESHOLD) -> DataFrame:
+def anomaly_modified_zscore(df: DataFrame, features=None, threshold: float = MODIFIED_Z_THRESHOLD,
+                            accuracy: int | None = None) -> DataFrame:
     """|0.6745 (x - median) / MAD|; MAD = 0: x == median -> NULL score, otherwise +inf."""
     data, feats = _prepare(df, features)
     row = stats_row(data, {c: F.approx_count_distinct(_x(c)) for c in feats})
     ndv = max(int(row[c] or 0) for c in feats)
-    med = quantile_table(data, feats, [0.5], ndv=ndv)
+    med = quantile_table(data, feats, [0.5], accuracy=accuracy, ndv=ndv)
     # |x - median| takes at most as many distinct values as x: the same estimate bounds it
     dev = data.select(*[F.abs(_x(c) - F.lit(med[c][0])).alias(c) for c in feats])
-    mad = quantile_table(dev, feats, [0.5], ndv=ndv)
+    mad = quantile_table(dev, feats, [0.5], accuracy=accuracy, ndv=ndv)
     zs = []
     for c in feats:
         m, d = med[c][0], mad[c][0]
@@ -75,11 +76,12 @@ def anomaly_modified_zscore(df: DataFrame, features=None, threshold: float = MOD
     return data.withColumn("anomaly_score", score).withColumn("is_anomaly", flag)
 
 
-def anomaly_iqr(df: DataFrame, features=None, multiplier: float = IQR_MULTIPLIER) -> DataFrame:
+def anomaly_iqr(df: DataFrame, features=None, multiplier: float = IQR_MULTIPLIER,
+                accuracy: int | None = None) -> DataFrame:
     """Outside [Q1 - m IQR, Q3 + m IQR] in any feature; score = max over features of
     max(lo - x, x - hi) (negative for inliers)."""
     data, feats = _prepare(df, features)
-    qt = quantile_table(data, feats, [0.25, 0.75])
+    qt = quantile_table(data, feats, [0.25, 0.75], accuracy=accuracy)
     below, above, out = [], [], []
     for c in feats:
         q1, q3 = qt[c]
@@ -102,7 +104,8 @@ def anomaly_summary(flagged: DataFrame, method: str, features) -> DataFrame:
         "rows", F.lit(feats).alias("features"))
 
 
-def remove_outliers_iqr(df: DataFrame, features, multiplier: float = IQR_MULTIPLIER) -> DataFrame:
+def remove_outliers_iqr(df: DataFrame, features, multiplier: float = IQR_MULTIPLIER,
+                        accuracy: int | None = None) -> DataFrame:
     """Sequential per-feature IQR row removal; quartiles are recomputed after each feature.
 
     Each step's bounds are literals, so the final plan is one scan with a chain of range
@@ -110,7 +113,7 @@ def remove_outliers_iqr(df: DataFrame, features, multiplier: float = IQR_MULTIPL
     """
     data, feats = _prepare(df, features)
     for c in feats:
-        q1, q3 = quantile_table(data, [c], [0.25, 0.75])[c]
+        q1, q3 = quantile_table(data, [c], [0.25, 0.75], accuracy=accuracy)[c]
         if q1 is None:
             break
         lo, hi = q1 - multiplier * (q3 - q1), q3 + multiplier * (q3 - q1)

@@ -67,11 +67,11 @@ def chart_histogram(df: DataFrame, column: str, bins: int = HIST_BINS) -> DataFr
         "bin", "bin_lo", "bin_hi", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
-def chart_box(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
+def chart_box(df: DataFrame, value: str, by: str | None = None, accuracy: int | None = None) -> DataFrame:
     """Per group: Q1, median, Q3, fences (1.5 IQR), whiskers (furthest points inside the
     fences) and the number of points outside them."""
     keys = [by] if by else []
-    q = quantiles(df, [value], [0.25, 0.5, 0.75], by=keys)
+    q = quantiles(df, [value], [0.25, 0.5, 0.75], by=keys, accuracy=accuracy)
     wide = q.groupBy(*keys).agg(*[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n)
                                   for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
     wide = wide.withColumn("lower_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \

@@ -181,10 +181,10 @@ def iqr_bounds(df: DataFrame, columns, multiplier: float = 1.5, accuracy=None) -
     return out
 
 
-def clip_iqr(df: DataFrame, columns=None, multiplier: float = 1.5) -> DataFrame:
+def clip_iqr(df: DataFrame, columns=None, multiplier: float = 1.5, accuracy: int | None = None) -> DataFrame:
     """Winsorize to [Q1 - 1.5 IQR, Q3 + 1.5 IQR]; NULL stays NULL."""
     cols = list(columns) if columns else numeric_columns(df)
-    b = iqr_bounds(df, cols, multiplier)
+    b = iqr_bounds(df, cols, multiplier, accuracy)
     out = []
     for c in df.columns:
         x = F.col(_q(c))

@@ -27,12 +27,12 @@ def _pairs(df, label, prediction):
              .na.drop()
 
 
-def eval_regression(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """mae, mse, rmse, r2, explained_variance, median_ae, max_error."""
+def eval_regression(df: DataFrame, label: str, prediction: str, accuracy: int | None = None) -> DataFrame:
+    """mae, mse, rmse, r2, explained_variance, median_ae, max_error (``accuracy``: approximate median)."""
     d = _pairs(df, label, prediction).withColumn("e", F.col("y") - F.col("p")).withColumn("ae", F.abs("e"))
     base = d.agg(F.avg("ae").alias("mae"), F.avg(F.col("e") * F.col("e")).alias("mse"),
                  F.var_pop("y").alias("var_y"), F.var_pop("e").alias("var_e"), F.max("ae").alias("max_error"))
-    med = quantile_table(d, ["ae"], [0.5])["ae"][0]
+    med = quantile_table(d, ["ae"], [0.5], accuracy=accuracy)["ae"][0]
     return base.select(
         "mae", "mse", F.sqrt("mse").alias("rmse"),
         (F.lit(1.0) - F.col("mse") / F.col("var_y")).alias("r2"),

@@ -51,18 +51,18 @@ def _join_null_safe(a: DataFrame, b: DataFrame, keys) -> DataFrame:
 
 # ----------------------------------------------------------------------------- aggregates
 
-def agg_basic(df: DataFrame, by, value: str) -> DataFrame:
+def agg_basic(df: DataFrame, by, value: str, accuracy: int | None = None) -> DataFrame:
     """mean, sum, median, count, min, max of ``value`` per group of ``by``."""
     by = [by] if isinstance(by, str) else list(by)
     require_columns(df, by + [value])
     v = qcol(value).cast("double")
     base = df.groupBy(*by).agg(F.avg(v).alias("mean"), F.sum(v).alias("sum"),
                                F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"))
-    med = quantiles(df, [value], [0.5], by=by).select(*by, F.col("quantile").alias("median"))
+    med = quantiles(df, [value], [0.5], by=by, accuracy=accuracy).select(*by, F.col("quantile").alias("median"))
     return _join_null_safe(base, med, by).select(*by, "mean", "sum", "median", "count", "min", "max")
 
 
-def describe_all(df: DataFrame, columns=None, digits: int = 3) -> DataFrame:
+def describe_all(df: DataFrame, columns=None, digits: int = 3, accuracy: int | None = None) -> DataFrame:
     """pandas ``describe(include='all')`` as a long table (column, stat, num_value, str_value).
 
     Numeric: count, mean, std, min, 25%, 50%, 75%, max.  String: count, unique, top, freq.
@@ -81,7 +81,7 @@ def describe_all(df: DataFrame, columns=None, digits: int = 3) -> DataFrame:
             row.update({f"count|{c}": float(moments[c]["n"]), f"mean|{c}": d["mean"], f"std|{c}": d["std"],
                         f"min|{c}": mm[f"min|{c}"], f"max|{c}": mm[f"max|{c}"]})
         n_max = max(moments[c]["n"] for c in nums)
-        qt = quantile_table(df, nums, [0.25, 0.5, 0.75],
+        qt = quantile_table(df, nums, [0.25, 0.5, 0.75], accuracy=accuracy,
                             ndv=n_max if n_max <= MAX_DISTINCT_FOR_AGGREGATE else None)
         recs = []
         for c in nums:
@@ -212,7 +212,7 @@ def nunique_ratio(df: DataFrame, columns=None, approx: bool = False) -> DataFram
         "unique_ratio", F.when(F.col("non_null") > 0, F.col("unique_count") / F.col("non_null")))
 
 
-def column_preview(df: DataFrame, max_cols: int = 20, with_samples: bool = False, n_samples: int = 3,
+def column_preview(df: DataFrame, max_cols: int = 20, with_samples: bool = False, n_samples: int = 3, approx: bool = False,
                    sample_rows_n: int = 50, key_cols=None) -> DataFrame:
     """Per column (first ``max_cols``): dtype, missing count/%, unique count, mean/std if numeric.
 
@@ -222,7 +222,8 @@ def column_preview(df: DataFrame, max_cols: int = 20, with_samples: bool = False
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for c in cols:
         x = F.col(_q(c))
-        aggs += [count_if(x.isNull()).alias(f"m|{c}"), F.count_distinct(x).alias(f"u|{c}")]
+        distinct = F.approx_count_distinct(x) if approx else F.count_distinct(x)
+        aggs += [count_if(x.isNull()).alias(f"m|{c}"), distinct.alias(f"u|{c}")]
         if is_numeric(df.schema[c].dataType):
             aggs += [F.avg(x.cast("double")).alias(f"a|{c}"), F.stddev_samp(x.cast("double")).alias(f"s|{c}")]
     wide = df.agg(*aggs)
@@ -248,7 +249,7 @@ def column_preview(df: DataFrame, max_cols: int = 20, with_samples: bool = False
     return res
 
 
-def quality_score(df: DataFrame) -> DataFrame:
+def quality_score(df: DataFrame, approx: bool = False) -> DataFrame:
     """100 - 30*missing_ratio - 20*duplicate_ratio + 10*consistent_share, clamped to [0, 100].
 
     A column is consistent when it is not a string column or its distinct count is below
@@ -261,7 +262,8 @@ def quality_score(df: DataFrame) -> DataFrame:
     aggs.append(F.sum(cells).alias("missing_cells"))
     for c in cols:
         if c in strings:
-            aggs.append(F.count_distinct(F.col(_q(c))).alias(f"u|{c}"))
+            distinct = F.approx_count_distinct(F.col(_q(c))) if approx else F.count_distinct(F.col(_q(c)))
+            aggs.append(distinct.alias(f"u|{c}"))
     base = df.agg(*aggs)
     n_dup = duplicate_rows(df).first()["duplicate_rows"]  # one aggregate row
     consistent = [F.lit(1) if c not in strings else F.when(F.col(f"`u|{c}`") < F.col("rows") * 0.8, 1).otherwise(0)
@@ -296,7 +298,7 @@ def quality_issues(df: DataFrame, limit: int = 3) -> DataFrame:
     return spark.createDataFrame(rows, "issue string, detail string")
 
 
-def numeric_profile(df: DataFrame, columns=None, limit: int = 10) -> DataFrame:
+def numeric_profile(df: DataFrame, columns=None, limit: int = 10, accuracy: int | None = None) -> DataFrame:
     """mean, sample std, bias-corrected skewness and excess kurtosis, IQR-outlier count.
 
     Pass 1: moments and quartiles for every column; pass 2: one aggregate counts values
@@ -310,7 +312,8 @@ def numeric_profile(df: DataFrame, columns=None, limit: int = 10) -> DataFrame:
     desc = {c: describe_moments(moments[c]) for c in cols}
     n_max = max(moments[c]["n"] for c in cols)
     # the non-null count bounds the distinct count: no sketch pass needed below the threshold
-    qt = quantile_table(df, cols, [0.25, 0.75], ndv=n_max if n_max <= MAX_DISTINCT_FOR_AGGREGATE else None)
+    qt = quantile_table(df, cols, [0.25, 0.75], accuracy=accuracy,
+                        ndv=n_max if n_max <= MAX_DISTINCT_FOR_AGGREGATE else None)
     counts = {}
     for c in cols:
         q1, q3 = qt[c]

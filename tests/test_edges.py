@@ -210,3 +210,19 @@ def test_wide_table_profiles(spark):
     cm = profile.corr_matrix(df, [f"c{i}" for i in range(40)])
     r = {(x["column1"], x["column2"]): x["correlation"] for x in cm.collect()}
     assert r[("c1", "c2")] == pytest.approx(float(np.corrcoef(data[:, 1], data[:, 2])[0, 1]))
+
+
+def test_approximate_modes_close_to_exact(spark):
+    from tabsense.plans.catalog import table
+    from tests.conftest import SF_SMALL
+    li = table(spark, SF_SMALL, "lineitem")
+    exact = {(r["column"], r["stat"]): r["num_value"] for r in profile.describe_all(li, ["l_extendedprice"]).collect()}
+    approx = {(r["column"], r["stat"]): r["num_value"] for r in
+              profile.describe_all(li, ["l_extendedprice"], accuracy=10000).collect()}
+    for stat in ("25%", "50%", "75%"):
+        assert approx[("l_extendedprice", stat)] == pytest.approx(exact[("l_extendedprice", stat)], rel=0.01)
+    e = anomaly.anomaly_iqr(li, ["l_extendedprice"]).where("is_anomaly").count()
+    a = anomaly.anomaly_iqr(li, ["l_extendedprice"], accuracy=10000).where("is_anomaly").count()
+    assert abs(e - a) <= max(3, 0.05 * e)
+    qs = profile.quality_score(li, approx=True).first()["quality_score"]
+    assert qs == pytest.approx(profile.quality_score(li).first()["quality_score"], abs=0.5)
