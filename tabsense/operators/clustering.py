@@ -21,6 +21,7 @@ from tabsense.functions.stats import stats_row
 
 DEFAULT_SEED = 42
 FIT_THREADS = 4  # concurrent Spark jobs for the independent fits of a k sweep
+FALLBACK_K = 3
 
 
 # ----------------------------------------------------------------------------- vectors
@@ -243,9 +244,12 @@ def kmeans_elbow(df: DataFrame, features, k_values=range(2, 8), scale: bool = Fa
 
 def kmeans_auto_k_silhouette(df: DataFrame, features, k_values=range(2, 9), scale: bool = True,
                              seed: int = DEFAULT_SEED) -> DataFrame:
-    """Silhouette per k; ``is_best`` marks the argmax (first on ties)."""
+    """Silhouette per k; ``is_best`` marks the argmax (first on ties), or k = 3 when no
+    silhouette is positive (the reference's fallback)."""
     sweep = kmeans_sweep(df, features, list(k_values), scale, seed).orderBy("k").collect()
     best = max(sweep, key=lambda r: (r["silhouette"] if r["silhouette"] is not None else -2, -r["k"]))["k"]
+    if all((r["silhouette"] is None or r["silhouette"] <= 0) for r in sweep):
+        best = FALLBACK_K
     rows = [(r["k"], r["inertia"], r["silhouette"], r["k"] == best) for r in sweep]
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, is_best boolean")
 

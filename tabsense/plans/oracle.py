@@ -646,7 +646,6 @@ SELECT {R('avg(s)')} AS silhouette FROM s"""
 ORACLE["scan_csv"] = "SELECT * FROM part"
 ORACLE["scan_json"] = "SELECT * FROM customer"
 ORACLE["sink_csv"] = ORACLE["filter_conjunction"]
-ORACLE["sink_json"] = ORACLE["describe_all"]
 _LI_CELLS = " + ".join(f"(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)" for c in LI_COLS if c != "l_returnflag")
 ORACLE["scan_batch"] = f"""WITH g AS (
   SELECT l_returnflag, count(*) AS rows, sum({_LI_CELLS}) AS missing_cells,
@@ -694,3 +693,4 @@ def _profile_report(d=4):
 
 
 ORACLE["profile_report"] = _profile_report()
+ORACLE["sink_json"] = ORACLE["profile_report"]

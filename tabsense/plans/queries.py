@@ -547,8 +547,8 @@ def q_sink_csv(spark, sf):
 
 @register("sink_json")
 def q_sink_json(spark, sf):
-    rep = prof.describe_all(table(spark, sf, "part"))
-    path = sio.sink_json(rep, scratch_path(spark, "describe-json"))
+    rep = q_profile_report(spark, sf)
+    path = sio.sink_json(rep, scratch_path(spark, "report-json"))
     return sio.scan_json(spark, path, schema=rep.schema, multi_line=False)
 
 
