@@ -8,18 +8,20 @@ Outputs are one row per metric set, wide, so SQL twins can name every column.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsense.functions.ordered import cumulative_sums
 from tabsense.functions.quantiles import quantile_table
-from tabsense.functions.stats import stats_row
 from tabsense.functions.schema import qcol
+from tabsense.functions.stats import stats_row
 
 # Coverage multipliers of the reference's residual analysis; log-loss clip.
 COVER_80 = 1.28
 COVER_95 = 1.96
 EPS = 2.220446049250313e-16
+LOCAL_HISTOGRAM_MAX = 100_000  # score histograms up to this size are summed on the driver
 
 
 def _pairs(df, label, prediction):
@@ -94,29 +96,59 @@ def _score_histogram(df, label, score, positive):
              .groupBy("s").agg(F.sum("pos").alias("npos"), F.sum(1 - F.col("pos")).alias("nneg"))
 
 
+def _local_histogram(h: DataFrame):
+    """The score histogram as arrays when it has at most LOCAL_HISTOGRAM_MAX rows (the bounded
+    probe proves the size), else None."""
+    rows = h.limit(LOCAL_HISTOGRAM_MAX + 1).collect()
+    if len(rows) > LOCAL_HISTOGRAM_MAX:
+        return None
+    rows.sort(key=lambda r: r["s"])
+    return (np.array([r["s"] for r in rows], dtype=float), np.array([r["npos"] for r in rows], dtype=float),
+            np.array([r["nneg"] for r in rows], dtype=float))
+
+
 def _binary_auc(df, label, score, positive):
+    """(auc, P): tie-exact rank-sum AUC from the per-score histogram."""
     h = _score_histogram(df, label, score, positive)
+    local = _local_histogram(h)
+    if local is not None:
+        _, npos, nneg = local
+        P, N = float(npos.sum()), float(nneg.sum())
+        below = np.cumsum(nneg) - nneg  # negatives with a strictly lower score
+        auc = float((npos * (below + 0.5 * nneg)).sum() / (P * N)) if P > 0 and N > 0 else None
+        return auc, P
     c = cumulative_sums(h, "s", ["nneg"])  # ascending: negatives with score <= s
-    agg = c.agg(F.sum(F.col("npos") * (F.col("cum_nneg") - F.col("nneg") + 0.5 * F.col("nneg"))).alias("u"),
-                F.sum("npos").alias("P"), F.sum("nneg").alias("N"))
-    return agg.select(F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("u") / (F.col("P") * F.col("N"))).alias("auc"),
-                      F.col("P").alias("P"))
+    r = c.agg(F.sum(F.col("npos") * (F.col("cum_nneg") - F.col("nneg") + 0.5 * F.col("nneg"))).alias("u"),
+              F.sum("npos").alias("P"), F.sum("nneg").alias("N")).first()
+    P, N = r["P"] or 0.0, r["N"] or 0.0
+    return (r["u"] / (P * N) if P > 0 and N > 0 else None), P
 
 
 def eval_roc_auc(df: DataFrame, label: str, score_cols, positive=1) -> DataFrame:
     """ROC AUC, exact with ties (rank-sum).  ``score_cols`` is one score column (binary,
     positive class ``positive``) or a dict {class: score column} for one-vs-rest weighted."""
+    spark = df.sparkSession
     if isinstance(score_cols, str):
-        return _binary_auc(df, label, score_cols, positive).select(F.col("auc").alias("roc_auc"))
-    parts = [_binary_auc(df, label, col, cls).select("auc", "P") for cls, col in score_cols.items()]
-    from functools import reduce
-    u = reduce(lambda a, b: a.unionByName(b), parts)
-    return u.agg((F.sum(F.col("auc") * F.col("P")) / F.sum("P")).alias("roc_auc"))
+        auc, _ = _binary_auc(df, label, score_cols, positive)
+    else:
+        parts = [_binary_auc(df, label, col, cls) for cls, col in score_cols.items()]
+        total = sum(p for _, p in parts)
+        auc = sum(a * p for a, p in parts if a is not None) / total if total else None
+    return spark.createDataFrame([(auc,)], "roc_auc double")
 
 
 def eval_pr_auc(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
     """Average precision: sum over descending score thresholds of (R_k - R_{k-1}) * P_k."""
+    spark = df.sparkSession
     h = _score_histogram(df, label, score, positive)
+    local = _local_histogram(h)
+    if local is not None:
+        _, npos, nneg = local
+        npos, nneg = npos[::-1], nneg[::-1]  # descending scores
+        total = float(npos.sum())
+        tp, fp = np.cumsum(npos), np.cumsum(nneg)
+        ap = float(np.where(npos > 0, npos / total * (tp / (tp + fp)), 0.0).sum()) if total > 0 else None
+        return spark.createDataFrame([(ap,)], "pr_auc double")
     c = cumulative_sums(h, "s", ["npos", "nneg"], descending=True)
     total = stats_row(h, {"P": F.sum("npos")})["P"] or 0.0
     prec = F.col("cum_npos") / (F.col("cum_npos") + F.col("cum_nneg"))

@@ -72,3 +72,25 @@ def test_cumulative_sums(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     np.testing.assert_allclose(out["cum_w"].to_numpy(), np.cumsum((np.arange(1000) % 7).astype(float)))
+
+
+def test_auc_distributed_path_matches_local(spark, monkeypatch):
+    from tabsense.operators import metrics
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 2000)
+    s = np.round(rng.random(2000) * 0.5 + y * 0.3, 2)  # many ties
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "y int, s double")
+    local_auc = metrics.eval_roc_auc(df, "y", "s").first()["roc_auc"]
+    local_ap = metrics.eval_pr_auc(df, "y", "s").first()["pr_auc"]
+    monkeypatch.setattr(metrics, "LOCAL_HISTOGRAM_MAX", 1)
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    try:
+        dist_auc = metrics.eval_roc_auc(df, "y", "s").first()["roc_auc"]
+        dist_ap = metrics.eval_pr_auc(df, "y", "s").first()["pr_auc"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert dist_auc == pytest.approx(local_auc, abs=1e-12)
+    assert dist_ap == pytest.approx(local_ap, abs=1e-12)
+    pos, neg = s[y == 1], s[y == 0]
+    brute = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
+    assert local_auc == pytest.approx(brute, abs=1e-12)
