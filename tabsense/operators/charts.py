@@ -63,7 +63,7 @@ def chart_histogram(df: DataFrame, column: str, bins: int = HIST_BINS) -> DataFr
     edges = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     edges = edges.select("bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_lo"),
                          (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("bin_hi"))
-    return edges.join(F.broadcast(counts), "bin", "left").select(
+    return edges.join(F.broadcast(counts), "bin", "left").select(  # at most ``bins`` rows
         "bin", "bin_lo", "bin_hi", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 

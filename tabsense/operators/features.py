@@ -111,10 +111,10 @@ def label_index(df: DataFrame, column: str, max_local: int = LOCAL_INDEX_MAX) ->
     beyond that the distinct values are numbered by a range-partitioned running count (no
     single-partition window), so the mapping scales with the number of distinct values.
     """
-    return _label_mapping(df, column, max_local)[0]
+    return label_mapping(df, column, max_local)[0]
 
 
-def _label_mapping(df: DataFrame, column: str, max_local: int = LOCAL_INDEX_MAX):
+def label_mapping(df: DataFrame, column: str, max_local: int = LOCAL_INDEX_MAX):
     """(mapping DataFrame (value, index), number of values if it was numbered locally)."""
     vals = df.select(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(NULL_TEXT)).alias("value")).distinct()
     head = [r["value"] for r in vals.orderBy("value").limit(max_local + 1).collect()]
@@ -131,7 +131,7 @@ def label_encode(df: DataFrame, columns=None, suffix: str = "") -> DataFrame:
     cols = list(columns) if columns else categorical_columns(df)
     out = df
     for c in cols:
-        mapping, n = _label_mapping(df, c)
+        mapping, n = label_mapping(df, c)
         m = mapping.withColumnRenamed("value", "_v").withColumnRenamed("index", "_idx")
         m = F.broadcast(m) if n is not None and n <= BROADCAST_MAX_ROWS else m
         key = F.coalesce(qcol(c).cast("string"), F.lit(NULL_TEXT))

@@ -163,6 +163,7 @@ def filter_options(df: DataFrame, categorical_cols=None, numeric_cols=None,
         ndv = pairs.groupBy("column").agg(F.count(F.lit(1)).alias("ndv"))
         w = Window.partitionBy("column").orderBy("v")
         ranked = pairs.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= many_threshold + 1)
+        # ndv has one row per categorical column: bounded by the schema, safe to broadcast
         limited = ranked.join(F.broadcast(ndv), "column").where(
             (F.col("ndv") <= many_threshold) | (F.col("pos") <= cap))
         out = limited.select("column", F.lit("value").alias("kind"), F.col("pos").cast("long").alias("pos"),

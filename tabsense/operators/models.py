@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from tabsense.functions.schema import is_string, qcol
 from tabsense.functions.stats import stats_row
 from tabsense.operators import metrics as met
-from tabsense.operators.features import adaptive_test_fraction, label_encode, label_index, train_test_split
+from tabsense.operators.features import label_mapping, adaptive_test_fraction, label_encode, train_test_split
 from tabsense.session import checkpoint_dir
 
 DEFAULT_SEED = 42
@@ -71,8 +71,10 @@ def prepare(df: DataFrame, features, label: str, task: str, key_cols=None, seed:
     if test_fraction == "adaptive":
         test_fraction = adaptive_test_fraction(check["__n"])
     if task == "classification":
-        idx = label_index(base, label).withColumnRenamed("value", "_lv")
-        data = data.join(F.broadcast(idx), F.col(f"`{label}`").cast("string") == F.col("_lv")) \
+        idx, n_classes = label_mapping(base, label)
+        idx = idx.withColumnRenamed("value", "_lv")
+        idx = F.broadcast(idx) if n_classes is not None else idx  # size proven by the bounded probe
+        data = data.join(idx, F.col(f"`{label}`").cast("string") == F.col("_lv")) \
                    .withColumn("_label", F.col("index").cast("double")).drop("_lv", "index")
         data = train_test_split(data, keys, test_fraction, seed, stratify="_label", n_rows=check["__n"])
     else:

@@ -245,7 +245,7 @@ def column_preview(df: DataFrame, max_cols: int = 20, with_samples: bool = False
                             for c in cols])
         sv = vals.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(_q(c)).alias("sample_values"))
                                                for c in cols])).alias("_s")).select("_s.*")
-        res = res.join(F.broadcast(sv), "column", "left")
+        res = res.join(F.broadcast(sv), "column", "left")  # one row per column
     return res
 
 
