@@ -22,6 +22,7 @@ from tabsense.functions.stats import stats_row
 DEFAULT_SEED = 42
 FIT_THREADS = 4  # concurrent Spark jobs for the independent fits of a k sweep
 FALLBACK_K = 3
+KMEANS_IF_CONTAMINATION = 0.1
 
 
 # ----------------------------------------------------------------------------- vectors
@@ -176,17 +177,26 @@ def _assemble(df: DataFrame, features, scale: bool):
     return data.withColumn("_features", array_to_vector(arr))
 
 
-def kmeans_fit(df: DataFrame, features, k: int = 3, scale: bool = False, remove_outliers: bool = False,
-               seed: int = DEFAULT_SEED, max_iter: int = 20):
+def kmeans_fit(df: DataFrame, features, k: int = 3, scale: bool = False, remove_outliers=False,
+               seed: int = DEFAULT_SEED, max_iter: int = 20, key_cols=None):
     """Fit k-means; returns (rows with ``cluster``, -1 where excluded; model).
 
-    Excluded rows: nulls in a feature, or (``remove_outliers``) outside the sequential IQR
-    bounds of any feature.  The full data is used (no sampling).
+    Excluded rows: nulls in a feature, or with ``remove_outliers`` = True / "iqr" rows outside
+    the sequential IQR bounds of any feature, with "isolation_forest" the rows an Isolation
+    Forest (contamination 0.1) flags.  The full data is used (no sampling).
     """
     from pyspark.ml.clustering import KMeans
     keep = F.lit(True)
-    if remove_outliers and not (isinstance(features, str) and isinstance(df.schema[features].dataType, T.ArrayType)):
-        cols = [features] if isinstance(features, str) else list(features)
+    original = df
+    cols = [features] if isinstance(features, str) else list(features)
+    is_array = isinstance(features, str) and isinstance(df.schema[features].dataType, T.ArrayType)
+    if remove_outliers == "isolation_forest" and not is_array:
+        from tabsense.operators.anomaly import anomaly_isolation_forest
+        flagged_if = anomaly_isolation_forest(df, cols, contamination=KMEANS_IF_CONTAMINATION, key_cols=key_cols)
+        df = flagged_if.withColumn("_iso_keep", ~F.col("is_anomaly")).drop("is_anomaly", "anomaly_score")
+        keep = F.col("_iso_keep")
+        remove_outliers = False
+    if remove_outliers and not is_array:
         data = df.na.drop(subset=cols)
         for c in cols:
             q1, q3 = quantile_table(data, [c], [0.25, 0.75])[c]
@@ -201,9 +211,10 @@ def kmeans_fit(df: DataFrame, features, k: int = 3, scale: bool = False, remove_
     model = km.fit(train)
     scored = model.transform(assembled).withColumn(
         "cluster", F.when(F.col("_keep"), F.col("_pred")).otherwise(F.lit(-1))).drop("_pred", "_features", "_keep")
-    cols = [features] if isinstance(features, str) else list(features)
-    missing = df.where(F.greatest(*[F.col(f"`{c}`").isNull() for c in cols]) if len(cols) > 1
-                       else F.col(f"`{cols[0]}`").isNull()).withColumn("cluster", F.lit(-1))
+    if "_iso_keep" in scored.columns:
+        scored = scored.drop("_iso_keep")
+    any_null = F.greatest(*[qcol(c).isNull() for c in cols]) if len(cols) > 1 else qcol(cols[0]).isNull()
+    missing = original.where(any_null).withColumn("cluster", F.lit(-1))
     scored = scored.unionByName(missing)
     return scored, model
 

@@ -39,15 +39,19 @@ TUNE_FOLDS = 3
 MLP_TOL = 1e-4
 FIT_THREADS = 4  # concurrent Spark jobs for independent fits (CV folds, compared models)
 MIN_ROWS = 10
+OUTLIER_MIN_ROWS = 100
+OUTLIER_CONTAMINATION = 0.05
 
 
 def prepare(df: DataFrame, features, label: str, task: str, key_cols=None, seed: int = DEFAULT_SEED,
-            test_fraction: float | str = 0.2) -> tuple[DataFrame, list[str]]:
+            test_fraction: float | str = 0.2, remove_outliers: bool = False) -> tuple[DataFrame, list[str]]:
     """Returns (frame with ``_label`` double, numeric features, ``split``; feature names).
     Raises when fewer than 10 labelled rows (or, for classification, fewer than 2 classes).
 
     The needed columns of the labelled rows are materialized once (checkpoint in the shared
     folder); the statistics passes, encodings and the final training frame read from it.
+    ``remove_outliers``: above 100 rows, drop the rows an Isolation Forest (contamination 0.05)
+    flags on the prepared features, before the split.
     """
     feats = list(features)
     keys = list(key_cols) if key_cols else feats + [label]
@@ -68,6 +72,10 @@ def prepare(df: DataFrame, features, label: str, task: str, key_cols=None, seed:
     fill = {c: (check[c] if c in nums and check[c] is not None else 0.0) for c in feats}
     data = data.select(*[F.col(f"`{c}`") for c in data.columns if c not in feats],
                        *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(fill[c])).alias(c) for c in feats])
+    if remove_outliers and check["__n"] > OUTLIER_MIN_ROWS:
+        from tabsense.operators.anomaly import anomaly_isolation_forest
+        flagged = anomaly_isolation_forest(data, feats, contamination=OUTLIER_CONTAMINATION, key_cols=keys)
+        data = flagged.where(~F.col("is_anomaly")).drop("is_anomaly", "anomaly_score")
     if test_fraction == "adaptive":
         test_fraction = adaptive_test_fraction(check["__n"])
     if task == "classification":
@@ -120,13 +128,14 @@ def _evaluate(pred: DataFrame, task: str, n_classes: int | None = None) -> DataF
 
 
 def random_forest(df: DataFrame, features, label: str, task: str = "regression", n_trees: int = RF_TREES,
-                  max_depth: int = RF_DEPTH, min_instances: int = 1, seed: int = DEFAULT_SEED, key_cols=None):
+                  max_depth: int = RF_DEPTH, min_instances: int = 1, seed: int = DEFAULT_SEED, key_cols=None,
+                  remove_outliers: bool = False):
     """Fit on the train split, evaluate on the test split.
     Returns (metrics (model, metric, value), fitted PipelineModel, feature names)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.regression import RandomForestRegressor
-    data, feats = prepare(df, features, label, task, key_cols, seed)
+    data, feats = prepare(df, features, label, task, key_cols, seed, remove_outliers=remove_outliers)
     est_cls = RandomForestRegressor if task == "regression" else RandomForestClassifier
     est = est_cls(featuresCol="_features", labelCol="_label", numTrees=n_trees, maxDepth=max_depth,
                   minInstancesPerNode=min_instances, featureSubsetStrategy=FEATURE_SUBSET[task], seed=seed)

@@ -100,3 +100,17 @@ def test_models_learn_a_real_relation(spark):
     df2 = df.withColumn("cls", F.when(F.col("y") > 5, "hi").otherwise("lo"))
     mc, _ = models.mlp_classification(df2, ["x1", "x2", "g"], "cls", key_cols=["id"], max_iter=100)
     assert {r["metric"]: r["value"] for r in mc.collect()}["accuracy"] > 0.9
+
+
+def test_outlier_removal_options(spark):
+    from tabsense.operators import models
+    cust = table(spark, SF_SMALL, "customer")
+    out, _ = clustering.kmeans_fit(cust, ["c_acctbal", "c_nationkey"], k=3, remove_outliers="isolation_forest",
+                                   key_cols=["c_custkey"])
+    assert out.count() == cust.count()
+    excluded = out.where("cluster = -1").count()
+    assert abs(excluded - 0.1 * cust.count()) <= 2
+    part = table(spark, SF_SMALL, "part")
+    metrics, _, _ = models.random_forest(part, ["p_size", "p_brand"], "p_retailprice", n_trees=10,
+                                         key_cols=["p_partkey"], remove_outliers=True)
+    assert {r["metric"] for r in metrics.collect()} >= {"r2", "mae"}
