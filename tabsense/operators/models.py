@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 from tabsense.functions.schema import is_string, qcol
 from tabsense.functions.stats import stats_row
 from tabsense.operators import metrics as met
-from tabsense.operators.features import label_mapping, adaptive_test_fraction, label_encode, train_test_split
+from tabsense.operators.features import (adaptive_test_fraction, label_encode, label_mapping, select_k_best,
+                                         train_test_split)
 from tabsense.session import checkpoint_dir
 
 DEFAULT_SEED = 42
@@ -41,6 +42,8 @@ FIT_THREADS = 4  # concurrent Spark jobs for independent fits (CV folds, compare
 MIN_ROWS = 10
 OUTLIER_MIN_ROWS = 100
 OUTLIER_CONTAMINATION = 0.05
+SELECT_K = 20
+SELECT_MIN_FEATURES = 50
 
 
 def prepare(df: DataFrame, features, label: str, task: str, key_cols=None, seed: int = DEFAULT_SEED,
@@ -129,13 +132,19 @@ def _evaluate(pred: DataFrame, task: str, n_classes: int | None = None) -> DataF
 
 def random_forest(df: DataFrame, features, label: str, task: str = "regression", n_trees: int = RF_TREES,
                   max_depth: int = RF_DEPTH, min_instances: int = 1, seed: int = DEFAULT_SEED, key_cols=None,
-                  remove_outliers: bool = False):
-    """Fit on the train split, evaluate on the test split.
+                  remove_outliers: bool = False, select_k: int | None = SELECT_K):
+    """Fit on the train split, evaluate on the test split.  With more than 50 features, only the
+    ``select_k`` best by univariate F statistic (on the train split) are used.
     Returns (metrics (model, metric, value), fitted PipelineModel, feature names)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.regression import RandomForestRegressor
     data, feats = prepare(df, features, label, task, key_cols, seed, remove_outliers=remove_outliers)
+    if select_k and len(feats) > SELECT_MIN_FEATURES:
+        chosen = select_k_best(data.where("split = 'train'"), feats, "_label", k=select_k,
+                               min_features=SELECT_MIN_FEATURES, classification=task == "classification")
+        keep = {r["feature"] for r in chosen.where("selected").collect()}  # one row per feature
+        feats = [f for f in feats if f in keep]
     est_cls = RandomForestRegressor if task == "regression" else RandomForestClassifier
     est = est_cls(featuresCol="_features", labelCol="_label", numTrees=n_trees, maxDepth=max_depth,
                   minInstancesPerNode=min_instances, featureSubsetStrategy=FEATURE_SUBSET[task], seed=seed)
