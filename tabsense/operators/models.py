@@ -34,7 +34,10 @@ MLP_ALPHA = 0.001
 VALIDATION_FRACTION = 0.1
 # Features tried per split, as the reference's forests do: all for regression, sqrt for classes.
 FEATURE_SUBSET = {"regression": "all", "classification": "sqrt"}
-TUNE_GRID = {"numTrees": [50, 100], "maxDepth": [5, 10, 20], "minInstancesPerNode": [1, 2]}
+# The reference's grid: trees 50/100, depth unlimited/10/20, minimum split 2/5.  Spark's depth
+# limit is 30 (stands for unlimited); a split needing 2 rows is 1 row per child, one needing 5
+# is approximated by at least 3 rows per child.
+TUNE_GRID = {"numTrees": [50, 100], "maxDepth": [30, 10, 20], "minInstancesPerNode": [1, 3]}
 TUNE_DRAWS = 5
 TUNE_FOLDS = 3
 MLP_TOL = 1e-4
