@@ -34,3 +34,22 @@ def test_load_table_normalizes(spark):
     df = sio.load_table(spark, path, "csv")
     assert df.columns == ["Sales", "Region_Name"]
     assert sorted(r["Sales"] is None for r in df.collect()) == [False, True, True]
+
+
+def test_scan_batch_per_file_quality(spark):
+    import pytest
+    from tabsense.operators.profile import quality_score
+    d = tempfile.mkdtemp(prefix="tabsense-batch-")
+    a, b = os.path.join(d, "a.csv"), os.path.join(d, "b.csv")
+    with open(a, "w") as fh:
+        fh.write("x,y\n1,u\n2,v\n2,v\n,w\n")
+    with open(b, "w") as fh:
+        fh.write("x,y\n5,p\n6,q\n")
+    rows, per_file = sio.scan_batch(spark, [a, b], "csv")
+    got = {os.path.basename(r["source_file"]): (r["rows"], r["quality_score"]) for r in per_file.collect()}
+    assert got["a.csv"][0] == 4 and got["b.csv"][0] == 2
+    single = quality_score(sio.scan_csv(spark, a)).first()["quality_score"]
+    assert got["a.csv"][1] == pytest.approx(single)
+    summary = sio.batch_summary(per_file).first()
+    assert summary["files"] == 2 and summary["total_rows"] == 6
+    assert rows.count() == 6
