@@ -22,6 +22,7 @@ from tabsense.functions.stats import stats_row
 DEFAULT_SEED = 42
 FIT_THREADS = 4  # concurrent Spark jobs for the independent fits of a k sweep
 FALLBACK_K = 3
+LITERAL_MAX = 4096  # cluster statistics inlined as literals up to this many values
 KMEANS_IF_CONTAMINATION = 0.1
 
 
@@ -105,16 +106,20 @@ def _centroid_literal(stats: dict, order):
 def cluster_davies_bouldin(df: DataFrame, features, label: str) -> DataFrame:
     """Mean over clusters of the worst (S_i + S_j) / d(mu_i, mu_j); S = mean Euclidean
     distance of a cluster's points to its centroid."""
-    stats, _ = cluster_sums(df, features, label)
+    stats, dim = cluster_sums(df, features, label)
     order = sorted(stats)
     if len(order) < 2:
         return df.sparkSession.createDataFrame([(None,)], "davies_bouldin double")
-    idx = F.create_map(*[x for i, c in enumerate(order) for x in (F.lit(c), F.lit(i + 1))])
     vec, _ = vector_expr(df, features)
-    cents = _centroid_literal(stats, order)
-    data = df.select(F.col(f"`{label}`").alias("_c"), vec.alias("_x")).where(F.col("_c").isNotNull())
-    dist = F.sqrt(_sqdist(F.col("_x"), F.element_at(cents, F.element_at(idx, F.col("_c")))))
-    spread = {r["_c"]: float(r["s"]) for r in data.groupBy("_c").agg(F.avg(dist).alias("s")).collect()}
+    data = df.select(qcol(label).alias("_c"), vec.alias("_x")).where(F.col("_c").isNotNull())
+    if len(order) * max(dim, 1) > LITERAL_MAX:
+        dists = _centroid_distance_numpy(data, stats, order)
+    else:
+        idx = F.create_map(*[x for i, c in enumerate(order) for x in (F.lit(c), F.lit(i + 1))])
+        cents = _centroid_literal(stats, order)
+        dists = data.select("_c", F.sqrt(_sqdist(F.col("_x"), F.element_at(cents, F.element_at(idx, F.col("_c")))))
+                            .alias("_dist"))
+    spread = {r["_c"]: float(r["s"]) for r in dists.groupBy("_c").agg(F.avg("_dist").alias("s")).collect()}  # k rows
     mus = {c: stats[c]["s"] / stats[c]["n"] for c in order}
     worst = []
     for i in order:
@@ -128,17 +133,44 @@ def cluster_davies_bouldin(df: DataFrame, features, label: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(float(np.mean(worst)),)], "davies_bouldin double")
 
 
+def _centroid_distance_numpy(data: DataFrame, stats: dict, order) -> DataFrame:
+    """(_c, _dist): Euclidean distance of each row to its cluster centroid, centroids broadcast."""
+    import pandas as pd
+    pos = {c: i for i, c in enumerate(order)}
+    cents = np.stack([stats[c]["s"] / stats[c]["n"] for c in order])
+    bc = data.sparkSession.sparkContext.broadcast((pos, cents))
+    ctype = data.schema["_c"].dataType.simpleString()
+
+    def run(batches):
+        index, centroids = bc.value
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            x = np.stack(pdf["_x"].to_numpy()).astype(float)
+            own = np.array([index[v] for v in pdf["_c"].tolist()])
+            yield pd.DataFrame({"_c": pdf["_c"], "_dist": np.sqrt(((x - centroids[own]) ** 2).sum(axis=1))})
+
+    return data.mapInPandas(run, f"_c {ctype}, _dist double")
+
+
 def silhouette_values(df: DataFrame, features, label: str) -> DataFrame:
     """Per-row silhouette with squared Euclidean distance in O(rows x k):
-    mean distance from x to cluster C = |x|^2 - 2 x.S_C / n_C + Q_C / n_C."""
-    stats, _ = cluster_sums(df, features, label)
+    mean distance from x to cluster C = |x|^2 - 2 x.S_C / n_C + Q_C / n_C.
+
+    Up to LITERAL_MAX cluster-sum values are inlined as literal arrays (JVM expressions);
+    beyond that the sums (k x d values, independent of the row count) are broadcast and rows
+    are scored with numpy in ``mapInPandas``.
+    """
+    stats, dim = cluster_sums(df, features, label)
     order = sorted(stats)
     vec, _ = vector_expr(df, features)
+    if len(order) * max(dim, 1) > LITERAL_MAX:
+        return _silhouette_numpy(df, vec, label, stats, order)
     idx = F.create_map(*[x for i, c in enumerate(order) for x in (F.lit(c), F.lit(i + 1))])
     sums = F.array(*[F.array(*[F.lit(float(x)) for x in stats[c]["s"]]) for c in order])
     ns = F.array(*[F.lit(float(stats[c]["n"])) for c in order])
     qs = F.array(*[F.lit(float(stats[c]["q"])) for c in order])
-    data = df.withColumn("_x", vec).withColumn("_i", F.element_at(idx, F.col(f"`{label}`"))) \
+    data = df.withColumn("_x", vec).withColumn("_i", F.element_at(idx, qcol(label))) \
         .where(F.col("_i").isNotNull()).withColumn("_xx", _sqnorm(F.col("_x")))
     pos = F.sequence(F.lit(1), F.lit(len(order)))
     mean_d = F.transform(pos, lambda j: F.col("_xx") - 2 * _dot(F.col("_x"), F.element_at(sums, j)) / F.element_at(ns, j)
@@ -153,6 +185,41 @@ def silhouette_values(df: DataFrame, features, label: str) -> DataFrame:
     return data.withColumn("silhouette", s).drop("_x", "_i", "_xx", "_d")
 
 
+def _silhouette_numpy(df: DataFrame, vec, label: str, stats: dict, order) -> DataFrame:
+    import pandas as pd
+    spark = df.sparkSession
+    pos = {c: i for i, c in enumerate(order)}
+    sums = np.stack([stats[c]["s"] for c in order])
+    ns = np.array([float(stats[c]["n"]) for c in order])
+    qs = np.array([float(stats[c]["q"]) for c in order])
+    bc = spark.sparkContext.broadcast((pos, sums / ns[:, None], ns, qs / ns))
+    data = df.withColumn("_x", vec).where(qcol(label).isNotNull())
+    out_fields = [f for f in data.schema.fields if f.name != "_x"]
+    schema = T.StructType(out_fields + [T.StructField("silhouette", T.DoubleType())])
+    names = [f.name for f in out_fields]
+
+    def run(batches):
+        index, means, n, qbar = bc.value
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            x = np.stack(pdf["_x"].to_numpy()).astype(float)
+            own = np.array([index[v] for v in pdf[label].tolist()])
+            d = (x * x).sum(axis=1)[:, None] - 2.0 * x @ means.T + qbar[None, :]
+            rows = np.arange(len(x))
+            n_own = n[own]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                a = d[rows, own] * n_own / (n_own - 1)
+                d[rows, own] = np.inf
+                b = d.min(axis=1)
+                sil = np.where(n_own <= 1, 0.0, (b - a) / np.maximum(a, b))
+            out = pdf[names].copy()
+            out["silhouette"] = sil
+            yield out
+
+    return data.mapInPandas(run, schema)
+
+
 def cluster_silhouette(df: DataFrame, features, label: str) -> DataFrame:
     """Mean silhouette (squared Euclidean) over all rows."""
     return silhouette_values(df, features, label).agg(F.avg("silhouette").alias("silhouette"))

@@ -122,3 +122,14 @@ def test_forest_selects_k_best_when_many_features(spark):
     df = spark.range(400).select("id", *cols).withColumn("y", F.col("f0") * 2 + F.col("f1"))
     _, model, feats = models.random_forest(df, [f"f{i}" for i in range(55)], "y", n_trees=5, key_cols=["id"])
     assert len(feats) == 20 and "f0" in feats
+
+
+def test_cluster_metrics_numpy_path_matches_literal_path(spark, monkeypatch):
+    emb = table(spark, SF_SMALL, "embeddings")
+    lit_s = clustering.cluster_silhouette(emb, "embedding", "label").first()["silhouette"]
+    lit_db = clustering.cluster_davies_bouldin(emb, "embedding", "label").first()["davies_bouldin"]
+    monkeypatch.setattr(clustering, "LITERAL_MAX", 1)
+    np_s = clustering.cluster_silhouette(emb, "embedding", "label").first()["silhouette"]
+    np_db = clustering.cluster_davies_bouldin(emb, "embedding", "label").first()["davies_bouldin"]
+    assert np_s == pytest.approx(lit_s, abs=1e-9)
+    assert np_db == pytest.approx(lit_db, abs=1e-9)
