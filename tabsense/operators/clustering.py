@@ -186,7 +186,6 @@ def silhouette_values(df: DataFrame, features, label: str) -> DataFrame:
 
 
 def _silhouette_numpy(df: DataFrame, vec, label: str, stats: dict, order) -> DataFrame:
-    import pandas as pd
     spark = df.sparkSession
     pos = {c: i for i, c in enumerate(order)}
     sums = np.stack([stats[c]["s"] for c in order])
