@@ -49,21 +49,25 @@ def _sqdist(a: Column, b: Column) -> Column:
 
 
 def cluster_sums(df: DataFrame, features, label: str) -> tuple[dict, int]:
-    """Per cluster: n, sum vector, sum of squared norms (collected: k x d numbers)."""
+    """Per cluster: n, sum vector, sum of squared norms (collected: k x d numbers).
+
+    Vector sums use spark.ml's ``Summarizer`` (a JVM aggregate over vectors, partial per task),
+    so no per-element rows are created.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
     vec, _ = vector_expr(df, features)
-    data = df.select(F.col(f"`{label}`").alias("_c"), vec.alias("_x")).where(F.col("_c").isNotNull())
-    per_dim = data.select("_c", F.posexplode("_x").alias("_d", "_v")) \
-        .groupBy("_c", "_d").agg(F.sum("_v").alias("s"))
-    per_c = data.groupBy("_c").agg(F.count(F.lit(1)).alias("n"), F.sum(_sqnorm(F.col("_x"))).alias("q"))
+    data = df.select(qcol(label).alias("_c"), vec.alias("_x")).where(F.col("_c").isNotNull())
+    per_c = data.groupBy("_c").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(_sqnorm(F.col("_x"))).alias("q"),
+        Summarizer.metrics("sum").summary(array_to_vector("_x")).alias("_m"))
+    per_c = per_c.select("_c", "n", "q", vector_to_array(F.col("_m.sum")).alias("s"))
     out: dict = {}
-    for r in per_c.collect():
-        out[r["_c"]] = {"n": int(r["n"]), "q": float(r["q"]), "s": {}}
     dim = 0
-    for r in per_dim.collect():
-        out[r["_c"]]["s"][int(r["_d"])] = float(r["s"])
-        dim = max(dim, int(r["_d"]) + 1)
-    for v in out.values():
-        v["s"] = np.array([v["s"].get(i, 0.0) for i in range(dim)])
+    for r in per_c.collect():  # one row per cluster
+        s = np.asarray(r["s"], dtype=float)
+        out[r["_c"]] = {"n": int(r["n"]), "q": float(r["q"]), "s": s}
+        dim = max(dim, len(s))
     return out, dim
 
 
