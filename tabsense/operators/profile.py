@@ -178,23 +178,26 @@ def value_kind(c) -> "F.Column":
 
 
 def mixed_type_columns(df: DataFrame, columns=None) -> DataFrame:
-    """String columns whose non-null values fall in more than one kind (int/float/date/text)."""
+    """String columns whose non-null values fall in more than one kind (int/float/date/text).
+
+    One projection classifies every value once (at most three pattern tests); one aggregate
+    counts the kinds for all columns.
+    """
     cats = list(columns) if columns else categorical_columns(df)
-    aggs = []
-    for c in cats:
-        s = F.col(_q(c))
-        k = value_kind(s)
-        for kind in ("int", "float", "date", "text"):
-            aggs.append(count_if(s.isNotNull() & (k == kind)).alias(f"{kind}|{c}"))
-    if not aggs:
-        return df.sparkSession.createDataFrame([], "column string, n_int long, n_float long, n_date long, n_text long, n_kinds int")
-    wide = df.agg(*aggs)
+    kinds_all = ("int", "float", "date", "text")
+    if not cats:
+        return df.sparkSession.createDataFrame([], "column string, n_int long, n_float long, n_date long, "
+                                                   "n_text long, n_kinds int")
+    classified = df.select(*[F.when(qcol(c).isNotNull(), value_kind(qcol(c))).alias(f"k{i}")
+                             for i, c in enumerate(cats)])
+    aggs = [count_if(F.col(f"k{i}") == kind).alias(f"{kind}|{i}") for i in range(len(cats)) for kind in kinds_all]
+    wide = classified.agg(*aggs)
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"),
-                                        *[F.col(f"`{kind}|{c}`").alias(f"n_{kind}") for kind in ("int", "float", "date", "text")])
-                               for c in cats]))
+                                        *[F.col(f"`{kind}|{i}`").alias(f"n_{kind}") for kind in kinds_all])
+                               for i, c in enumerate(cats)]))
     long = wide.select(rows.alias("_r")).select("_r.*")
-    kinds = sum((F.col(f"n_{k}") > 0).cast("int") for k in ("int", "float", "date", "text"))
-    return long.withColumn("n_kinds", kinds).where(F.col("n_kinds") > 1)
+    n_kinds = sum((F.col(f"n_{k}") > 0).cast("int") for k in kinds_all)
+    return long.withColumn("n_kinds", n_kinds).where(F.col("n_kinds") > 1)
 
 
 def nunique_ratio(df: DataFrame, columns=None, approx: bool = False) -> DataFrame:
