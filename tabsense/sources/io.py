@@ -41,8 +41,17 @@ def scan_csv(spark: SparkSession, path, schema=None, header: bool = True, encodi
     return read(FALLBACK_ENCODING) if _has_replacement(df) else df
 
 
-def scan_json(spark: SparkSession, path, schema=None, multi_line: bool = True) -> DataFrame:
-    """JSON array of records (``multi_line``) or JSON lines."""
+def _starts_with_array(spark: SparkSession, path) -> bool:
+    """Probe one line of the input: a JSON array starts with '['."""
+    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+    return bool(first) and first[0]["value"].lstrip().startswith("[")
+
+
+def scan_json(spark: SparkSession, path, schema=None, multi_line: bool | None = None) -> DataFrame:
+    """JSON array of records (``multi_line``) or JSON lines; ``None`` detects which from the
+    first non-blank line."""
+    if multi_line is None:
+        multi_line = _starts_with_array(spark, path)
     r = spark.read.option("multiLine", multi_line)
     if schema is not None:
         r = r.schema(schema)

@@ -24,6 +24,7 @@ def test_json_array_and_lines(spark):
     with open(lines, "w") as fh:
         fh.write('{"a": 1}\n{"a": 2}\n{"a": 3}\n')
     assert sio.scan_json(spark, lines, multi_line=False).count() == 3
+    assert sio.scan_json(spark, lines).count() == 3  # detected as JSON lines
 
 
 def test_load_table_normalizes(spark):
