@@ -16,7 +16,7 @@ from tabsense.functions.schema import categorical_columns, numeric_columns, requ
 from tabsense.functions.stats import count_if, stats_row
 from tabsense.operators.profile import DATE_PATTERN, FLOAT_PATTERN, INT_PATTERN
 
-# Fixed values of the reference's cleaning rules.
+# The reference's cleaning rules and suggestion texts.
 DROP_SHARE = 0.5
 IMPUTE_SHARE = 0.1
 Z_LIMIT = 3.0
@@ -24,6 +24,11 @@ Z_SHARE = 0.05
 SEVERITY_ORDER = {"high": 0, "medium": 1, "low": 2}
 MAX_SUGGESTIONS = 10
 UNKNOWN = "Unknown"
+SUGGEST_DROP = "Drop {col} (missing: {pct:.1f}%)"
+SUGGEST_IMPUTE = "Impute {col} (missing: {pct:.1f}%)"
+SUGGEST_NUMERIC = "Convert {col} to numeric"
+SUGGEST_DATETIME = "Convert {col} to datetime"
+SUGGEST_OUTLIERS = "Handle outliers in {col} ({pct:.1f}% extreme values)"
 
 
 def _q(c):
@@ -65,18 +70,18 @@ def suggest_cleaning(df: DataFrame, limit: int = MAX_SUGGESTIONS) -> DataFrame:
     for c in cols:
         share = (row[f"null|{c}"] / n) if n else 0.0
         if share > DROP_SHARE:
-            recs.append(("drop_column", c, f"Drop {c} (missing: {share * 100:.1f}%)", "high"))
+            recs.append(("drop_column", c, SUGGEST_DROP.format(col=c, pct=share * 100), "high"))
         elif share > IMPUTE_SHARE:
-            recs.append(("impute", c, f"Impute {c} (missing: {share * 100:.1f}%)", "medium"))
+            recs.append(("impute", c, SUGGEST_IMPUTE.format(col=c, pct=share * 100), "medium"))
         if c in strings and row[f"nn|{c}"]:
             if row[f"num|{c}"] == row[f"nn|{c}"]:
-                recs.append(("convert_numeric", c, f"Convert {c} to numeric", "low"))
+                recs.append(("convert_numeric", c, SUGGEST_NUMERIC.format(col=c), "low"))
             if row[f"dt|{c}"] == row[f"nn|{c}"]:
-                recs.append(("convert_datetime", c, f"Convert {c} to datetime", "low"))
+                recs.append(("convert_datetime", c, SUGGEST_DATETIME.format(col=c), "low"))
         if f"z|{c}" in zrow and row[f"n|{c}"]:
             zs = zrow[f"z|{c}"] / row[f"n|{c}"]
             if zs > Z_SHARE:
-                recs.append(("handle_outliers", c, f"Handle outliers in {c} ({zs * 100:.1f}% extreme values)", "medium"))
+                recs.append(("handle_outliers", c, SUGGEST_OUTLIERS.format(col=c, pct=zs * 100), "medium"))
     recs.sort(key=lambda r: SEVERITY_ORDER[r[3]])
     recs = [(i + 1,) + r for i, r in enumerate(recs[:limit])]
     return spark.createDataFrame(recs, "rank int, type string, column string, description string, severity string")

@@ -26,6 +26,17 @@ HIGH_CORR_U = 0.7
 MIXED_SAMPLE_NOTE = "all rows"
 QUALITY_BANDS = ((80.0, "Green"), (60.0, "Yellow"))
 
+# The reference's insight and quality-issue message formats.
+MSG_HIGH_CORR = "High correlation: {a} ↔ {b} ({r:.3f})"
+MSG_NO_CORR = "No strong correlations found"
+MSG_HIGH_MISSING = "High missing data: {cols} (>50%)"
+MSG_NUMERIC = "Dataset contains {n} numeric features suitable for ML"
+MSG_MISSING_FLAG = "Missing data detected - auto-cleaning suggestions available"
+MSG_BASIC = "Basic analysis completed"
+ISSUE_HIGH_MISSING = "High missing data (>50%): {cols}"
+ISSUE_DUPLICATES = "Duplicate rows: {n:,} ({pct:.1f}%)"
+ISSUE_MIXED = "Mixed data types: {cols}"
+
 # Type-detection patterns shared with the SQL oracle (Java regex and RE2 agree on them).
 INT_PATTERN = r"^\s*[+-]?[0-9]+\s*$"
 FLOAT_PATTERN = r"^\s*[+-]?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+)([eE][+-]?[0-9]+)?\s*$"
@@ -292,12 +303,12 @@ def quality_issues(df: DataFrame, limit: int = 3) -> DataFrame:
     mixed = [r["column"] for r in mixed_type_columns(df).limit(limit).collect()]
     rows = []
     if hm:
-        rows.append(("high_missing", f"High missing data (>50%): {', '.join(hm)}"))
+        rows.append(("high_missing", ISSUE_HIGH_MISSING.format(cols=", ".join(hm))))
     if d["duplicate_rows"] > 0:
-        rows.append(("duplicates", f"Duplicate rows: {d['duplicate_rows']:,} "
-                                   f"({d['duplicate_rows'] / d['total_rows'] * 100:.1f}%)"))
+        rows.append(("duplicates", ISSUE_DUPLICATES.format(n=d["duplicate_rows"],
+                                                           pct=d["duplicate_rows"] / d["total_rows"] * 100)))
     if mixed:
-        rows.append(("mixed_types", f"Mixed data types: {', '.join(mixed)}"))
+        rows.append(("mixed_types", ISSUE_MIXED.format(cols=", ".join(mixed))))
     return spark.createDataFrame(rows, "issue string, detail string")
 
 
@@ -437,19 +448,19 @@ def eda_insights(df: DataFrame, threshold: float = HIGH_CORR_P) -> DataFrame:
         pairs = corr_high_pairs(df, nums, threshold, 3).collect()
         if pairs:
             for r in pairs:
-                rows.append(("correlation", f"High correlation: {r['column1']} ↔ {r['column2']} ({r['correlation']:.3f})"))
+                rows.append(("correlation", MSG_HIGH_CORR.format(a=r["column1"], b=r["column2"], r=r["correlation"])))
         else:
-            rows.append(("correlation", "No strong correlations found"))
+            rows.append(("correlation", MSG_NO_CORR))
     missing = missing_by_column(df).orderBy("position").collect()  # one row per column
     hm = [r["column"] for r in missing if r["missing_pct"] is not None and r["missing_pct"] > HIGH_MISSING_SHARE * 100][:3]
     if hm:
-        rows.append(("missing", f"High missing data: {', '.join(hm)} (>50%)"))
+        rows.append(("missing", MSG_HIGH_MISSING.format(cols=", ".join(hm))))
     if nums:
-        rows.append(("numeric", f"Dataset contains {len(nums)} numeric features suitable for ML"))
+        rows.append(("numeric", MSG_NUMERIC.format(n=len(nums))))
     if sum(r["missing_count"] for r in missing) > 0:
-        rows.append(("missing_flag", "Missing data detected - auto-cleaning suggestions available"))
+        rows.append(("missing_flag", MSG_MISSING_FLAG))
     if not rows:
-        rows.append(("basic", "Basic analysis completed"))
+        rows.append(("basic", MSG_BASIC))
     return spark.createDataFrame(rows, "kind string, insight string")
 
 
