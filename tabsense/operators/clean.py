@@ -32,7 +32,7 @@ SUGGEST_OUTLIERS = "Handle outliers in {col} ({pct:.1f}% extreme values)"
 
 
 def _q(c):
-    return f"`{c}`"
+    return "`" + str(c).replace("`", "``") + "`"
 
 
 def suggest_cleaning(df: DataFrame, limit: int = MAX_SUGGESTIONS) -> DataFrame:

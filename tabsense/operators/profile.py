@@ -44,7 +44,7 @@ DATE_PATTERN = r"^\s*[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(
 
 
 def _q(c: str) -> str:
-    return f"`{c}`"
+    return "`" + str(c).replace("`", "``") + "`"
 
 
 def _long_values(df: DataFrame, cols, cast: str = "string") -> DataFrame:
