@@ -2,12 +2,16 @@
 
 A text is the byte string of its lower-cased words, joined by single spaces, and one end byte.  Each
 byte is eight binary decisions; each decision has a context tree over the preceding bytes (their
-classes: case-folded letter, digit, space, other ASCII, lead and continuation bytes of UTF-8, start),
-with a Krichevsky-Trofimov estimate at every node from depth 0 to ``DEPTH``.  Weighting mixes the
-estimates of all depths: a node's weighted probability is half its own estimate and half the product
-of its children's.  Both depend on counts alone, so training is a distributed count of
-``(context, byte)`` and the mixture is worked out once, from a table whose size the classes bound
-(32^3 contexts x 256 bytes); its logarithms are broadcast (32 MB) and scoring is one look-up a byte.
+classes: letter, digit, space, other ASCII, lead and continuation bytes of UTF-8, start), with a
+Krichevsky-Trofimov estimate at every node from depth 0 to ``DEPTH``.  Weighting mixes the estimates of
+all depths: a node's weighted probability is half its own estimate and half the product of its
+children's.
+
+All of that depends on counts alone, so training is a distributed count of ``(context, byte)`` over all
+training text.  The tree keeps the ``MAX_NODES`` most frequent contexts or fewer (a count decides; a
+context's prefixes are at least as frequent); what a node's missing children would hold is one further
+leaf of it.  The mixture is worked out once from the kept nodes, and its logarithms, 256 for a node, are
+broadcast (64 MB at most); scoring walks the tree, ``DEPTH`` look-ups a byte.
 
 The base score needs the count of every word, and words have no bound.  Words that are frequent, up to
 ``FREQUENT`` words of ``FREQUENT_BYTES`` bytes at most, are broadcast and summed where the text is; each
@@ -33,12 +37,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabsense.llm.common import as_bytes, spill
 
-DEPTH, CLASS_BITS = 3, 5
+DEPTH, CLASS_BITS, MAX_NODES = 6, 5, 1 << 16
+KINDS = 1 << CLASS_BITS
 FREQUENT, FREQUENT_BYTES = 200_000, 64
-SLICE_BYTES, FLUSH_WORDS = 1 << 22, 300_000
+SLICE_BYTES, FLUSH_WORDS, MERGE_CELLS = 1 << 21, 300_000, 1 << 21
 #: Fixed rule of byte classes: start and end, space, 26 letters, digits, other ASCII, UTF-8 lead, UTF-8 rest.
 START, SPACE, FIRST_LETTER, DIGIT, OTHER, LEAD, REST = 0, 1, 2, 28, 29, 30, 31
-N_CONTEXTS = 1 << (DEPTH * CLASS_BITS)
 _PAD = b"\n" * DEPTH
 
 
@@ -51,18 +55,37 @@ def byte_classes() -> np.ndarray:
     return c
 
 
-def _streams(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context-and-byte slots of texts in a row, and where each text's slots begin and end."""
+def _streams(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of texts in a row after padding, their classes, and where each text's bytes begin and end.
+
+    Places count from the end of the first padding.
+    """
     texts = [b" ".join(w) + b"\n" for w in words]
     stream = np.frombuffer(_PAD + _PAD.join(texts), np.uint8)
-    kinds = byte_classes()[stream]
-    slots = stream[DEPTH:].astype(np.int32)
-    n = len(stream)
-    for back in range(1, DEPTH + 1):
-        slots += kinds[DEPTH - back:n - back] << np.int32(8 + CLASS_BITS * (back - 1))
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     begins = np.cumsum(sizes + DEPTH) - sizes - DEPTH
-    return slots, begins, sizes
+    return stream, byte_classes()[stream], begins, sizes
+
+
+def _cells(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ``context << 8 | byte`` of texts, nearest class lowest, and their counts."""
+    stream, kinds, begins, _ = _streams(words)
+    n = len(stream)
+    cells = stream[DEPTH:].astype(np.int64)
+    for back in range(1, DEPTH + 1):
+        cells |= kinds[DEPTH - back:n - back].astype(np.int64) << (8 + CLASS_BITS * (back - 1))
+    inside = np.ones(len(cells), bool)
+    for gap in range(DEPTH):
+        inside[begins[1:] - 1 - gap] = False
+    return np.unique(cells[inside], return_counts=True)
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    cells = np.concatenate([c for c, _ in parts])
+    order = np.argsort(cells, kind="stable")
+    cells, counts = cells[order], np.concatenate([n for _, n in parts])[order]
+    first = np.flatnonzero(np.diff(cells, prepend=-1))
+    return cells[first], np.add.reduceat(counts, first)
 
 
 def _batches_of_words(batch: pa.RecordBatch) -> Iterator[tuple[int, list[list[bytes]]]]:
@@ -79,37 +102,76 @@ def _batches_of_words(batch: pa.RecordBatch) -> Iterator[tuple[int, list[list[by
 
 
 def corpus_counts(texts: DataFrame) -> DataFrame:
-    """``(word, slot, n)``: counts of words (``slot`` null) and of context-and-byte slots (``word`` null)."""
+    """``(word, cell, n)``: counts of words (``cell`` null) and of context-and-byte cells (``word`` null)."""
+    names = ["word", "cell", "n"]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["word", "slot", "n"]
-        seen, words = np.zeros(N_CONTEXTS << 8, np.int64), Counter()
+        words: Counter = Counter()
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int32()),
+        def of_words() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()),
                                               pa.array(list(words.values()), pa.int64())], names)
             words.clear()
             return out
 
+        def of_cells() -> pa.RecordBatch:
+            cells, n = _merged(parts)
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.nulls(len(cells), pa.binary()), pa.array(cells), pa.array(n)], names)
+
         for batch in batches:
             for _, lists in _batches_of_words(batch):
                 for own in lists:
                     words.update(own)
-                slots, begins, sizes = _streams(lists)
-                inside = np.ones(len(slots), bool)
-                for gap in range(DEPTH):
-                    inside[begins[1:] - 1 - gap] = False
-                seen += np.bincount(slots[inside], minlength=len(seen))
+                parts.append(_cells(lists))
                 if len(words) > FLUSH_WORDS:
-                    yield flush()
+                    yield of_words()
+                if len(parts) > 8:
+                    parts[:] = [_merged(parts)]
+                    if len(parts[0][0]) > MERGE_CELLS:
+                        yield of_cells()
         if words:
-            yield flush()
-        used = np.flatnonzero(seen)
-        if len(used):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.binary()), pa.array(used.astype(np.int32)),
-                                              pa.array(seen[used])], names)
+            yield of_words()
+        if parts:
+            yield of_cells()
+
+    parts = texts.select("text").mapInArrow(count, "word binary, cell long, n long")
+    return parts.groupBy("word", "cell").agg(F.sum("n").alias("n"))
 
-    parts = texts.select("text").mapInArrow(count, "word binary, slot int, n long")
-    return parts.groupBy("word", "slot").agg(F.sum("n").alias("n"))
+
+def frequent_contexts(counts: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
+    """``(depth, context, byte, n)`` of the contexts of depth 1 to ``DEPTH`` that the tree keeps.
+
+    Contexts fall into bands by the logarithm of their count; the highest bands that hold ``max_nodes``
+    contexts together, less one for the root, are kept.
+    """
+    context = F.expr(f"shiftright(cell, 8) & (shiftleft(1L, depth * {CLASS_BITS}) - 1)")
+    levels = spill(
+        counts.withColumn("depth", F.explode(F.sequence(F.lit(1), F.lit(DEPTH))))
+        .groupBy("depth", context.alias("context"), (F.col("cell").bitwiseAND(F.lit(255))).cast("int").alias("byte"))
+        .agg(F.sum("n").alias("n")), "lm-contexts")
+    totals = levels.groupBy("depth", "context").agg(F.sum("n").alias("total"))
+    band = _band("total")
+    lowest = _lowest_band(totals.groupBy(band.alias("band")).count().collect(), max_nodes - 1)
+    if lowest is None:
+        return levels.where(F.lit(False))
+    return levels.join(totals.where(band >= lowest).select("depth", "context"), ["depth", "context"])
+
+
+def _band(count: str) -> Column:
+    return F.floor(F.log2(F.col(count).cast("double")) * 8).cast("int")
+
+
+def _lowest_band(sizes: list, room: int) -> int | None:
+    """The lowest of the highest bands that fit into ``room``; there are 512 bands at most."""
+    lowest = None
+    for r in sorted(sizes, key=lambda r: -r["band"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        lowest = r["band"]
+    return lowest
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -130,56 +192,95 @@ def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return out
 
 
-def mixture_table(counts: np.ndarray) -> np.ndarray:
-    """log10 probability of each byte after each context, from counts of shape ``(contexts, 256)``.
+class Tree:
+    """The kept nodes of the context tree: for each, its step for every class and its row of logarithms.
 
-    The context's digits run from the farthest byte to the nearest, ``CLASS_BITS`` bits each.
+    ``step[node * KINDS + class]`` is the child; a class without a child leads to ``node + size``, a state
+    that no class leaves.  Row ``state % size`` holds log10 probabilities of the next byte.
     """
-    kinds = 1 << CLASS_BITS
-    depth = round(math.log(counts.shape[0], kinds))
-    shape = (kinds,) * depth
-    out = np.zeros((counts.shape[0], 256), np.float32)
-    for bit in range(8):
-        nodes = 1 << bit
-        full = counts.reshape(-1, nodes, 2, 128 >> bit).sum(axis=3).astype(np.float64).reshape(*shape, nodes, 2)
-        levels = [full.sum(axis=tuple(range(depth - d))) for d in range(depth + 1)]  # nearest bytes stay last
-        weighted, chance = None, None
-        weights: list[np.ndarray] = []
-        for d in range(depth, -1, -1):
-            own = _log_kt(levels[d][..., 0], levels[d][..., 1])
-            if weighted is None:
-                weighted = own
-                weights.append(np.ones_like(own))
-            else:
-                children = weighted.sum(axis=0)
-                gap = np.clip(children - own, -700, 700)
-                weights.append(1.0 / (1.0 + np.exp(gap)))
-                weighted = math.log(0.5) + np.logaddexp(own, children)
-        weights.reverse()
-        for d in range(depth, -1, -1):
-            estimate = (levels[d][..., 1] + 0.5) / (levels[d].sum(axis=-1) + 1.0)
-            chance = estimate if chance is None else weights[d] * estimate + (1.0 - weights[d]) * chance
-        chance = np.broadcast_to(chance, (*shape, nodes)).reshape(-1, nodes, 1)
-        pair = np.log10(np.concatenate([1.0 - chance, chance], axis=2)).astype(np.float32)
-        out += np.repeat(pair.reshape(-1, 2 * nodes), 128 >> bit, axis=1)
-    return out
+
+    def __init__(self, depth: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.ndarray, root: np.ndarray) -> None:
+        names = depth.astype(np.int64) << 40 | context
+        known, place = np.unique(names, return_inverse=True)
+        self.size = len(known) + 1
+        node_depth = np.concatenate([[0], known >> 40])
+        node_context = np.concatenate([[0], known & ((1 << 40) - 1)])
+        counts = np.zeros((self.size, 256), np.float32)
+        counts[0] = root
+        counts[place + 1, byte] = n
+        nearer = node_context & ((1 << np.maximum(node_depth - 1, 0) * CLASS_BITS) - 1)
+        parent = np.where(node_depth <= 1, 0, np.searchsorted(known, (node_depth - 1) << 40 | nearer) + 1)
+        kind = node_context >> (np.maximum(node_depth - 1, 0) * CLASS_BITS)
+        self.step = np.repeat(np.arange(2 * self.size, dtype=np.int32) % self.size + self.size, KINDS).astype(np.int32)
+        self.step[parent[1:] * KINDS + kind[1:]] = np.arange(1, self.size)
+        self.rows = self._mixture(counts, node_depth, parent)
+
+    def _mixture(self, counts: np.ndarray, depth: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)]
+        inner = np.zeros(self.size, bool)
+        inner[parent[1:]] = True
+        others = counts.copy()  # counts that fall to no kept child
+        np.subtract.at(others, parent[1:], counts[1:])
+        out = np.zeros((self.size, 256), np.float32)
+        for bit in range(8):
+            wide = 256 >> bit
+            for first in range(0, 1 << bit, 16):
+                last = min(first + 16, 1 << bit)
+                cut = slice(first * wide, last * wide)
+                pair = [x[:, cut].reshape(self.size, last - first, 2, wide // 2).sum(axis=3, dtype=np.float64)
+                        for x in (counts, others)]
+                own = _log_kt(pair[0][..., 0], pair[0][..., 1])
+                rest = _log_kt(pair[1][..., 0], pair[1][..., 1])
+                guess, guess_rest = [(x[..., 1] + 0.5) / (x[..., 0] + x[..., 1] + 1.0) for x in pair]
+                below, stop = np.where(inner[:, None], rest, 0.0), np.ones_like(own)
+                weighted = own.copy()
+                for level in reversed(levels):
+                    mixed = level[inner[level]]
+                    stop[mixed] = 1.0 / (1.0 + np.exp(np.clip(below[mixed] - own[mixed], -700, 700)))
+                    weighted[mixed] = math.log(0.5) + np.logaddexp(own[mixed], below[mixed])
+                    if depth[level[0]]:
+                        np.add.at(below, parent[level], weighted[level])
+                fixed, free = np.zeros_like(own), np.ones_like(own)
+                for level in levels[1:]:
+                    p = parent[level]
+                    fixed[level] = fixed[p] + free[p] * stop[p] * guess[p]
+                    free[level] = free[p] * (1.0 - stop[p])
+                chance = fixed + free * (stop * guess + (1.0 - stop) * guess_rest)
+                logs = np.log10(np.stack([1.0 - chance, chance], axis=2)).astype(np.float32)
+                out[:, cut] += np.repeat(logs.reshape(self.size, -1), wide // 2, axis=1)
+        return out
+
+    def score(self, words: list[list[bytes]]) -> np.ndarray:
+        """log10 probability of each text."""
+        stream, kinds, begins, sizes = _streams(words)
+        n = len(stream)
+        state = np.zeros(n - DEPTH, np.int32)
+        for back in range(1, DEPTH + 1):
+            state = self.step[state * KINDS + kinds[DEPTH - back:n - back]]
+        state %= self.size
+        gathered = self.rows.ravel()[state.astype(np.int64) << 8 | stream[DEPTH:]]
+        marks = np.stack([begins, begins + sizes], axis=1).ravel()
+        return np.add.reduceat(np.append(gathered, 0.0).astype(np.float64), marks)[::2]
+
+
+def context_tree(counts: DataFrame, max_nodes: int = MAX_NODES) -> Tree:
+    """The tree of a table of cells; ``max_nodes`` x 256 counts reach the driver at most."""
+    root = np.zeros(256, np.float32)
+    for r in counts.groupBy(F.col("cell").bitwiseAND(F.lit(255)).alias("byte")).agg(F.sum("n").alias("n")).collect():
+        root[r["byte"]] = r["n"]
+    kept = frequent_contexts(counts, max_nodes).select("depth", "context", "byte", "n").toArrow()
+    depth, context, byte, n = (kept.column(k).to_numpy() for k in range(4))
+    return Tree(depth, context, byte, n, root)
 
 
 def _frequent(vocabulary: DataFrame) -> tuple[list[tuple[bytes, int]], Column]:
     """The frequent words with their counts, and the condition that picks them.
 
-    Words fall into bands by the logarithm of their count; the highest bands that together hold
-    ``FREQUENT`` short words at most are taken.
+    Short words of the highest bands of counts that hold ``FREQUENT`` words together are taken.
     """
     short = F.octet_length("word") <= FREQUENT_BYTES
-    band = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
-    sizes = vocabulary.where(short).groupBy(band.alias("band")).count().collect()  # 512 bands at most
-    room, lowest = FREQUENT, None
-    for r in sorted(sizes, key=lambda r: -r["band"]):
-        room -= r["count"]
-        if room < 0:
-            break
-        lowest = r["band"]
+    band = _band("n")
+    lowest = _lowest_band(vocabulary.where(short).groupBy(band.alias("band")).count().collect(), FREQUENT)
     chosen = F.lit(False) if lowest is None else short & (band >= lowest)
     return [(bytes(r["word"]), r["n"]) for r in vocabulary.where(chosen).select("word", "n").collect()], chosen
 
@@ -199,24 +300,18 @@ def score_documents(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", t
     size = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).head()
     n_all, n_distinct = size["n"] + n_ends, size["v"] + (1 if n_ends else 0)
 
-    cells = counts.where(F.col("slot").isNotNull()).select("slot", "n").toArrow()  # 2^23 rows at most
-    table = np.zeros(N_CONTEXTS << 8, np.int64)
-    table[cells.column(0).to_numpy()] = cells.column(1).to_numpy()
+    tree = context_tree(counts.where(F.col("cell").isNotNull()).select("cell", "n"))
     common, is_common = _frequent(vocabulary)
     logs = np.log10(np.array([1, n_ends + 1] + [n + 1 for _, n in common], np.float64))
-    shared = spark.sparkContext.broadcast((mixture_table(table.reshape(N_CONTEXTS, 256)).ravel(),
-                                           {w: k + 2 for k, (w, _) in enumerate(common)}, logs))
-    del table
+    shared = spark.sparkContext.broadcast((tree, {w: k + 2 for k, (w, _) in enumerate(common)}, logs))
+    del tree
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixture, index, log_counts = shared.value
+        tree, index, log_counts = shared.value
         get, row = index.get, TaskContext.get().partitionId() << 36
         for batch in batches:
             for first, lists in _batches_of_words(batch):
-                slots, begins, sizes = _streams(lists)
-                marks = np.stack([begins, begins + sizes], axis=1).ravel()
-                gathered = mixture[slots].astype(np.float64)
-                sums = np.add.reduceat(np.append(gathered, 0.0), marks)[::2]
+                sums = tree.score(lists)
                 rare: list[Counter] = []
                 base, known = np.empty(len(lists)), np.empty(len(lists), np.int64)
                 for k, own in enumerate(lists):
