@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tabsense.llm import jaccard_join, line_dedup, lm_scoring, packing, quality, secret_scan, subwords, token_counts, vector_search
+from tabsense.llm import (html_text, jaccard_join, line_dedup, lm_scoring, packing, quality, secret_scan, subwords,
+                          token_counts, vector_search)
 from tabsense.plans.catalog import table
 
 
@@ -16,6 +17,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subwords.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths of all documents under a byte-level BPE, with the suffix sums of every length."""
     hist = token_counts.length_histogram(table(spark, sf_dir, "documents"),
@@ -77,6 +84,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_html_extraction": op2_html_extraction,
     "op3_token_counts": op3_token_counts,
     "op4_secret_scan": op4_secret_scan,
     "op5_lm_scoring": op5_lm_scoring,
