@@ -20,6 +20,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +33,15 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 #: Base rule: fewer words fail; a larger share of repeated words fails.
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-FEATURES = ("log_words", "log_word_length", "symbols_per_word", "dup_line_share", "repeat_word_share", "upper_share")
+FEATURES = ("log_word_length", "symbols_per_word", "dup_line_share", "repeat_word_share", "upper_share", "doubled_word_share")
 P = len(FEATURES)
+#: Words of average length that are added to every text, so that a few words can't make an outlier.
+ADDED_WORDS, ADDED_CHARS = 10, 50
 #: Least standard deviation of each feature, so that a feature that hardly varies can't divide by zero.
-FLOOR = (0.6, 0.08, 0.12, 0.06, 0.06, 0.06)
+FLOOR = (0.1, 0.04, 0.06, 0.06, 0.05, 0.03)
 SUPPORT, STEPS, BORROWED = 0.75, 3, 200.0
 #: Upper tail of the chi-square distribution beyond which a document is rejected.
-TAIL = 1e-9
+TAIL = 4e-6
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _REST_BYTES = bytes(range(0x80, 0xC0))
 
@@ -74,8 +78,10 @@ def text_statistics(text: bytes) -> tuple[int, int, int, int, int, list[float]]:
                 repeated += k + WINDOW - max(k, until)
                 until = k + WINDOW
     upper = len(text) - len(text.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    vector = [math.log1p(n), math.log((chars + 1) / (n + 1)), math.log1p(symbols / (n + 1)),
-              dup_lines / (len(lines) + 1), repeated / (n + 1), upper / (chars + 1)]
+    doubled = sum(map(eq, words, islice(words, 1, None)))
+    vector = [math.log((chars + ADDED_CHARS) / (n + ADDED_WORDS)), math.log1p(symbols / (n + ADDED_WORDS)),
+              dup_lines / (len(lines) + 1), repeated / (n + ADDED_WORDS), upper / (chars + ADDED_CHARS),
+              doubled / (n + ADDED_WORDS)]
     return n, chars, symbols, dup_lines, repeated, vector
 
 
