@@ -1,194 +1,134 @@
 """Exact quantiles (linear interpolation, pandas / DuckDB ``quantile_cont`` rule) at any scale.
 
-Two exact strategies, picked per call:
-
-* ``percentile`` aggregate: one pass, but its final merge holds every distinct value of a
-  group in one task.  Used only when a HyperLogLog pass proves the distinct count is small.
-* distributed selection: collapse rows to (key, value, weight) with map-side combine (a hot
-  value costs one row), range-partition on (key, value), materialize, take per-partition
-  weight totals (a few rows per partition) to the driver, then every partition emits only the
-  rows that hold the wanted ranks.  No task holds more than its range partition.
-
-``accuracy=`` switches to ``percentile_approx`` (bounded sketch, relative rank error
-1/accuracy) for callers that accept an approximation.
+One path for every input.  A bounded sketch per group and column (``percentile_approx``, combined
+before the shuffle) gives two bounds around each wanted rank; a second pass counts the values below
+the bounds; a third collapses the few values between them to ``(value, weight)`` and runs along them.
+The sketch's error is bounded, so the bounds enclose the rank; a group too small for that (fewer rows
+than half the sketch's accuracy) is run along whole.  No task holds more than the values between two
+bounds, a hot value is one row, and rows are never sorted or written.
+
+NULL and NaN group keys are ordinary groups; NULL values don't count.  ``accuracy=`` returns the
+sketch's own answer (relative rank error 1/accuracy) for callers that accept an approximation.
 """
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tabsense.session import checkpoint_dir
 from tabsense.functions.schema import qcol
 
-# Above this many distinct values in one group the one-task ``percentile`` merge is avoided.
-MAX_DISTINCT_FOR_AGGREGATE = 1_000_000
-
-
-def _positions(n: int, probs) -> list[tuple[int, int, float, float]]:
-    """Per prob: lower rank, upper rank and their weights, as Spark's ``percentile`` computes
-    them: value = (ceil(h) - h) * v[floor(h)] + (h - floor(h)) * v[ceil(h)], h = p * (n - 1)."""
-    out = []
-    for p in probs:
-        h = float(p) * (n - 1)
-        lo, hi = int(math.floor(h)), int(math.ceil(h))
-        if lo == hi:
-            out.append((lo, lo, 1.0, 0.0))
-        else:
-            out.append((lo, hi, hi - h, h - lo))
-    return out
+#: Accuracy of the sketch that bounds the ranks.
+SKETCH_ACCURACY = 10_000
 
 
 def _long_form(df: DataFrame, cols, by) -> DataFrame:
+    """(_g0.., column, v) with one row per non-null value; group keys renamed so that none can clash."""
+    groups = [qcol(b).alias(f"_g{i}") for i, b in enumerate(by)]
     parts = [F.struct(F.lit(c).alias("column"), qcol(c).cast("double").alias("v")) for c in cols]
-    return (df.select(*[qcol(b) for b in by], F.explode(F.array(*parts)).alias("_kv"))
-              .select(*[qcol(b) for b in by], F.col("_kv.column").alias("column"), F.col("_kv.v").alias("v"))
+    names = [f"_g{i}" for i in range(len(by))]
+    return (df.select(*groups, F.explode(F.array(*parts)).alias("_kv"))
+              .select(*names, F.col("_kv.column").alias("column"), F.col("_kv.v").alias("v"))
               .where(F.col("v").isNotNull()))
 
 
-def distributed_quantiles(df: DataFrame, cols, probs, by=()) -> DataFrame:
-    """Exact quantiles without a one-task merge. Returns rows (*by, column, prob, quantile).
-
-    Rows collapse to (key, v, w) with map-side combine; each row gets its key's total count n
-    (a join on the per-key totals that AQE broadcasts when small and skew-splits when large);
-    the rows are range-partitioned on (key, v).  A partition then holds whole keys except the
-    first and last key it contains; only those boundary keys (at most two per partition) need
-    a global offset, taken from one summary row per (partition, edge).  Tasks emit only the
-    values at the two ranks around each wanted position, and interpolation is a final
-    group-by, so the result stays distributed for any number of groups.
-    """
-    spark = df.sparkSession
-    by = list(by)
-    keys = by + ["column"]
-    probs = [float(p) for p in probs]
-    weighted = _long_form(df, cols, by).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("w"))
-    totals = weighted.groupBy(*keys).agg(F.sum("w").alias("_n")) \
-        .select(*[qcol(k).alias(f"_t{i}") for i, k in enumerate(keys)], "_n")
-    cond = reduce(lambda x, y: x & y, [qcol(k).eqNullSafe(F.col(f"_t{i}")) for i, k in enumerate(keys)])
-    weighted = weighted.join(totals, cond).drop(*[f"_t{i}" for i in range(len(keys))])
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (weighted.repartitionByRange(parts, *[qcol(k) for k in keys], F.col("v"))
-                      .sortWithinPartitions(*keys, "v")
-                      .withColumn("_pid", F.spark_partition_id()))
-    checkpoint_dir(spark)
-    ranged = ranged.checkpoint(eager=True)
-    key_types = {f.name: f.dataType.simpleString() for f in ranged.schema.fields if f.name in keys}
-
-    def key_tuple(frame):
-        return list(zip(*[frame[k].tolist() for k in keys]))
-
-    def edges(batches):
-        first_key, last_key, first_w, last_w, pid = None, None, 0, 0, None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pid = int(pdf["_pid"].iloc[0])
-            for k, wi in zip(key_tuple(pdf), pdf["w"].to_numpy(dtype=np.int64)):
-                if first_key is None:
-                    first_key = k
-                if k == first_key:
-                    first_w += int(wi)
-                if k != last_key:
-                    last_key, last_w = k, 0
-                last_w += int(wi)
-        if pid is not None:
-            rows = [[pid, "first"] + list(first_key) + [first_w], [pid, "last"] + list(last_key) + [last_w]]
-            yield pd.DataFrame(rows, columns=["_pid", "edge"] + keys + ["w"])
-
-    edge_schema = ", ".join(["_pid int", "edge string"] + [f"`{k}` {key_types[k]}" for k in keys] + ["w long"])
-    spans: dict = defaultdict(dict)
-    for r in ranged.mapInPandas(edges, edge_schema).collect():  # two rows per partition
-        spans[tuple(r[k] for k in keys)][int(r["_pid"])] = int(r["w"])
-    offsets = {}  # (pid, key) -> rows of that key in earlier partitions
-    for key, by_pid in spans.items():
-        acc = 0
-        for pid in sorted(by_pid):
-            offsets[(pid, key)] = acc
-            acc += by_pid[pid]
-
-    def pick(batches):
-        last_key, last_end = None, 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pid = int(pdf["_pid"].iloc[0])
-            pdf = pdf.assign(_k=key_tuple(pdf))
-            rows = []
-            for key, g in pdf.groupby("_k", sort=False):
-                w = g["w"].to_numpy(dtype=np.int64)
-                n = int(g["_n"].iloc[0])
-                offset = last_end if key == last_key else offsets.get((pid, key), 0)
-                ends = offset + np.cumsum(w)
-                last_key, last_end = key, int(ends[-1])
-                vals = g["v"].to_numpy()
-                for p, (lo, hi, wl, wh) in zip(probs, _positions(n, probs)):
-                    for which, r, wt in (("lo", lo, wl), ("hi", hi, wh)):
-                        if offset <= r < ends[-1]:
-                            v = float(vals[np.searchsorted(ends, r, side="right")])
-                            rows.append(list(key) + [p, which, v, float(wt)])
-            if rows:
-                yield pd.DataFrame(rows, columns=keys + ["prob", "which", "v", "wt"])
-
-    pick_schema = ", ".join([f"`{k}` {key_types[k]}" for k in keys] +
-                            ["prob double", "which string", "v double", "wt double"])
-    picked = ranged.mapInPandas(pick, pick_schema)
-
-    def part(which, col):
-        return F.max(F.when(F.col("which") == which, F.col(col)))
-    return picked.groupBy(*keys, "prob").agg(part("lo", "v").alias("_lo"), part("hi", "v").alias("_hi"),
-                                             part("lo", "wt").alias("_wl"), part("hi", "wt").alias("_wh")) \
-        .select(*keys, "prob", F.when(F.col("_wh") == 0, F.col("_lo"))
-                .otherwise(F.col("_wl") * F.col("_lo") + F.col("_wh") * F.col("_hi")).alias("quantile"))
-
-
-def _aggregate_quantiles(df: DataFrame, cols, probs, by, accuracy) -> DataFrame:
-    probs_arr = F.array(*[F.lit(float(p)) for p in probs])
-    if accuracy:
-        aggs = [F.percentile_approx(qcol(c).cast("double"), probs_arr, accuracy).alias(c) for c in cols]
+def _matched(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined to one row per group; NULL and NaN keys match themselves."""
+    renamed = groups.select(*[F.col(k).alias(f"_m{k}") for k in keys], *[c for c in groups.columns if c not in keys])
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_m{k}")) for k in keys])
+    return rows.join(renamed, same, how).drop(*[f"_m{k}" for k in keys])
+
+
+def _rank(p: float) -> Column:
+    return F.lit(p) * (F.col("_n") - 1)
+
+
+def exact_quantiles(df: DataFrame, cols, probs, by=()) -> DataFrame:
+    """Exact quantiles as rows (*by, column, prob, quantile); NULL where a group has no value."""
+    by, probs = list(by), [float(p) for p in probs]
+    names = [f"_g{i}" for i in range(len(by))]
+    keys = names + ["column"]
+    long = _long_form(df, cols, by)
+    slack = 2.0 / SKETCH_ACCURACY
+    marks = [min(max(m, 0.0), 1.0) for p in probs for m in (p - slack, p + slack)]
+    sketch = long.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx("v", marks, SKETCH_ACCURACY).alias("_b"))
+    counted = _matched(long, sketch, keys).groupBy(*keys).agg(
+        F.first("_n").alias("_n"), F.first("_b").alias("_b"),
+        F.array(*[F.sum((F.col("v") < F.col("_b")[2 * i]).cast("long")) for i in range(len(probs))]).alias("_below"),
+        F.array(*[F.sum((F.col("v") <= F.col("_b")[2 * i + 1]).cast("long")) for i in range(len(probs))]).alias("_upto"))
+    wanted = []
+    for i, p in enumerate(probs):
+        low, high = F.floor(_rank(p)), F.ceil(_rank(p))
+        holds = (F.col("_below")[i] <= low) & (high < F.col("_upto")[i])
+        wanted.append(F.struct(
+            F.lit(p).alias("prob"), _rank(p).alias("h"), low.alias("low"), high.alias("high"),
+            F.when(holds, F.col("_b")[2 * i]).alias("from_v"), F.when(holds, F.col("_b")[2 * i + 1]).alias("to_v"),
+            F.when(holds, F.col("_below")[i]).otherwise(F.lit(0)).alias("before")))
+    bounds = counted.select(*keys, F.array(*wanted).alias("_w"))
+    inside = F.filter("_w", lambda w: w["from_v"].isNull() | ((F.col("v") >= w["from_v"]) & (F.col("v") <= w["to_v"])))
+    near = (_matched(long, bounds, keys).select(*keys, "v", F.explode(inside).alias("w"))
+            .groupBy(*keys, F.col("w.prob").alias("prob"), "v")
+            .agg(F.count(F.lit(1)).alias("n"), F.first("w").alias("w")))
+    along = Window.partitionBy(*keys, "prob").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    run = near.withColumn("end", F.sum("n").over(along) + F.col("w.before")).withColumn("start", F.col("end") - F.col("n"))
+
+    def at(rank: str) -> Column:
+        r = F.col(f"w.{rank}")
+        return F.max(F.when((F.col("start") <= r) & (r < F.col("end")), F.col("v")))
+
+    picked = run.groupBy(*keys, "prob").agg(
+        at("low").alias("lo"), at("high").alias("hi"), F.first("w.h").alias("h"), F.first("w.low").alias("low"),
+        F.first("w.high").alias("high"))
+    value = F.when(F.col("low") == F.col("high"), F.col("lo")).otherwise(
+        (F.col("high") - F.col("h")) * F.col("lo") + (F.col("h") - F.col("low")) * F.col("hi"))
+    found = picked.select(*keys, "prob", value.alias("quantile"))
+    return _with_all_groups(df, found, cols, probs, by)
+
+
+def _with_all_groups(df: DataFrame, found: DataFrame, cols, probs, by) -> DataFrame:
+    """One row for every group, column and prob, in the order (*by, column, prob, quantile)."""
+    names = [f"_g{i}" for i in range(len(by))]
+    every = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(p).alias("prob")) for c in cols for p in probs]))
+    if by:
+        groups = df.select(*[qcol(b).alias(n) for b, n in zip(by, names)]).distinct()
     else:
-        aggs = [F.percentile(qcol(c).cast("double"), probs_arr).alias(c) for c in cols]
-    wide = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-    stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), qcol(c).alias("qs")) for c in cols]))
-    long = wide.select(*[qcol(b) for b in by], stacked.alias("_s")).select(
-        *[qcol(b) for b in by], F.col("_s.column").alias("column"), F.col("_s.qs").alias("qs"))
-    return long.select(*[qcol(b) for b in by], "column",
-                       F.posexplode(F.coalesce("qs", F.array_repeat(F.lit(None).cast("double"), len(probs))))
-                       .alias("_i", "quantile")) \
-               .withColumn("prob", F.element_at(probs_arr, F.col("_i") + 1)).drop("_i")
-
-
-def quantiles(df: DataFrame, cols, probs, by=(), accuracy: int | None = None,
-              method: str = "auto", ndv: int | None = None) -> DataFrame:
+        groups = df.sparkSession.range(1).select()
+    skeleton = groups.select(*names, every.alias("_e")).select(*names, "_e.column", "_e.prob")
+    full = _matched(skeleton, found, [*names, "column", "prob"], "left")
+    return full.select(*[F.col(n).alias(b) for n, b in zip(names, by)], "column", "prob", "quantile")
+
+
+def approximate_quantiles(df: DataFrame, cols, probs, by=(), accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+    """The sketch's own quantiles, as rows (*by, column, prob, quantile)."""
+    by, probs = list(by), [float(p) for p in probs]
+    names = [f"_g{i}" for i in range(len(by))]
+    sketch = _long_form(df, cols, by).groupBy(*names, "column").agg(F.percentile_approx("v", probs, accuracy).alias("_q"))
+    both = F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in probs]).alias("prob"), F.col("_q").alias("quantile")))
+    found = sketch.select(*names, "column", both.alias("_e")).select(
+        *names, "column", F.col("_e")["prob"].alias("prob"), F.col("_e")["quantile"].alias("quantile"))
+    return _with_all_groups(df, found, cols, probs, by)
+
+
+def quantiles(df: DataFrame, cols, probs, by=(), accuracy: int | None = None) -> DataFrame:
     """Quantiles of ``cols`` (per group of ``by``) as rows (*by, column, prob, quantile).
 
-    method: ``auto`` (HyperLogLog pass decides), ``aggregate``, ``distributed``; ``accuracy``
-    given means approximate (``percentile_approx``) regardless of method.  ``ndv``: a distinct
-    count estimate the caller already has (skips the HyperLogLog pass).
+    Exact unless ``accuracy`` is given.
     """
-    cols, probs, by = list(cols), [float(p) for p in probs], list(by)
+    cols = list(cols)
     if not cols:
         raise ValueError("no columns")
     if accuracy:
-        return _aggregate_quantiles(df, cols, probs, by, accuracy)
-    if method == "auto":
-        if ndv is None:
-            row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-            ndv = max(int(row[c] or 0) for c in cols)
-        method = "aggregate" if ndv <= MAX_DISTINCT_FOR_AGGREGATE else "distributed"
-    if method == "aggregate":
-        return _aggregate_quantiles(df, cols, probs, by, None)
-    return distributed_quantiles(df, cols, probs, by)
-
-
-def quantile_table(df: DataFrame, cols, probs, accuracy=None, method="auto", ndv: int | None = None) -> dict:
+        return approximate_quantiles(df, cols, probs, by, accuracy)
+    return exact_quantiles(df, cols, probs, by)
+
+
+def quantile_table(df: DataFrame, cols, probs, accuracy=None) -> dict:
     """Global quantiles collected as {column: [q(p) for p in probs]} (bounded: cols x probs)."""
-    rows = quantiles(df, cols, probs, (), accuracy, method, ndv).collect()
+    rows = quantiles(df, cols, probs, (), accuracy).collect()
     out = {c: [None] * len(probs) for c in cols}
     idx = {float(p): i for i, p in enumerate(probs)}
     for r in rows:

@@ -6,6 +6,8 @@ a single projection with those values as literals (whole-stage codegen, no join)
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,12 +60,9 @@ def anomaly_modified_zscore(df: DataFrame, features=None, threshold: float = MOD
                             accuracy: int | None = None) -> DataFrame:
     """|0.6745 (x - median) / MAD|; MAD = 0: x == median -> NULL score, otherwise +inf."""
     data, feats = _prepare(df, features)
-    row = stats_row(data, {c: F.approx_count_distinct(_x(c)) for c in feats})
-    ndv = max(int(row[c] or 0) for c in feats)
-    med = quantile_table(data, feats, [0.5], accuracy=accuracy, ndv=ndv)
-    # |x - median| takes at most as many distinct values as x: the same estimate bounds it
+    med = quantile_table(data, feats, [0.5], accuracy=accuracy)
     dev = data.select(*[F.abs(_x(c) - F.lit(med[c][0])).alias(c) for c in feats])
-    mad = quantile_table(dev, feats, [0.5], accuracy=accuracy, ndv=ndv)
+    mad = quantile_table(dev, feats, [0.5], accuracy=accuracy)
     zs = []
     for c in feats:
         m, d = med[c][0], mad[c][0]
@@ -85,12 +84,14 @@ def anomaly_iqr(df: DataFrame, features=None, multiplier: float = IQR_MULTIPLIER
     below, above, out = [], [], []
     for c in feats:
         q1, q3 = qt[c]
+        if q1 is None:  # no value: nothing can lie outside
+            continue
         lo, hi = q1 - multiplier * (q3 - q1), q3 + multiplier * (q3 - q1)
         below.append(F.lit(lo) - _x(c))
         above.append(_x(c) - F.lit(hi))
         out.append((_x(c) < F.lit(lo)) | (_x(c) > F.lit(hi)))
-    score = F.greatest(greatest_of(below), greatest_of(above))
-    flag = F.greatest(*out) if len(out) > 1 else out[0]
+    score = greatest_of(below + above) if out else F.lit(None).cast("double")
+    flag = reduce(lambda a, b: a | b, [F.coalesce(o, F.lit(False)) for o in out], F.lit(False))
     return data.withColumn("anomaly_score", score).withColumn("is_anomaly", flag)
 
 
@@ -159,13 +160,20 @@ def _grow_tree(x: np.ndarray, rng, max_depth: int):
     return feat, thr, left, right, size
 
 
+def tree_threshold(n_rows: int, subsample: int) -> int | None:
+    """The signed 64-bit hash below which a row joins a tree's subsample; None: every row does."""
+    share = 2 * subsample / n_rows
+    return None if share >= 1 else (2 * subsample << 64) // n_rows - (1 << 63)
+
+
 def anomaly_isolation_forest(df: DataFrame, features=None, contamination: float = CONTAMINATION,
                              n_trees: int = N_TREES, subsample: int = SUBSAMPLE, key_cols=None,
                              seed: int = 42) -> DataFrame:
     """Isolation Forest (Liu, Ting, Zhou 2008) as Spark jobs.
 
-    1. Each tree's subsample: about 2 x ``subsample`` rows chosen by a seeded hash (about
-       2 x subsample x n_trees rows in total); each tree keeps the ``subsample`` smallest hashes.
+    1. Each tree's subsample: a seeded 64-bit hash of (row key, tree) below a threshold picks
+       about 2 x ``subsample`` rows, whatever the number of rows; each tree keeps the
+       ``subsample`` smallest hashes.  A tree without rows is an error.
     2. ``groupBy(tree).applyInPandas`` grows one tree per group (bounded by ``subsample``).
     3. The forest (n_trees x < 2 x subsample nodes, independent of the data size) is broadcast
        and every row is scored in ``mapInPandas``: s = 2^(-E[h(x)] / c(subsample)).
@@ -181,28 +189,12 @@ def anomaly_isolation_forest(df: DataFrame, features=None, contamination: float
     psi = int(min(subsample, n))
     key_exprs = [F.col(f"`{k}`") for k in keys]
     feat_cols = [_x(c).alias(f"f{i}") for i, c in enumerate(feats)]
-    if n >= 2 * n_trees * psi:
-        # Large input: one hash per row.  Its low 20 bits select ~2 x subsample rows per tree,
-        # its high bits assign the selected row to one tree (disjoint subsamples; with
-        # n >= 2 x trees x subsample independent draws would hardly overlap anyway).
-        h = F.xxhash64(*key_exprs, F.lit(seed))
-        limit = int(2.0 * psi * n_trees / n * (1 << 20))
-        picked = data.select(h.alias("_h"), *feat_cols) \
-            .where(F.col("_h").bitwiseAND(F.lit((1 << 20) - 1)) < F.lit(limit)) \
-            .withColumn("_tree", F.pmod(F.shiftright(F.col("_h"), 20), F.lit(n_trees)).cast("int"))
-    else:
-        # Small input: an independent seeded hash per (row, tree); a row is emitted only for
-        # the trees that select it.
-        share = min(1.0, 2.0 * psi / n)
-        limit = int(share * 1_000_000)
-
-        def u(t):
-            return F.pmod(F.xxhash64(*key_exprs, F.lit(seed), t), F.lit(1_000_000))
-
-        trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: u(t) < F.lit(limit)) \
-            if share < 1.0 else F.sequence(F.lit(0), F.lit(n_trees - 1))
-        picked = data.select(F.explode(trees).alias("_tree"), *feat_cols, *key_exprs)
-        picked = picked.withColumn("_h", F.xxhash64(*key_exprs, F.lit(seed), F.col("_tree")))
+    row_hash = F.xxhash64(*key_exprs, F.lit(seed))
+    every = F.sequence(F.lit(0), F.lit(n_trees - 1))
+    limit = tree_threshold(n, psi)
+    trees = every if limit is None else F.filter(every, lambda t: F.xxhash64(F.col("_row"), t) < F.lit(limit))
+    picked = data.select(row_hash.alias("_row"), *feat_cols).withColumn("_tree", F.explode(trees)) \
+        .withColumn("_h", F.xxhash64("_row", "_tree"))
     picked = picked.select("_tree", "_h", *[f"f{i}" for i in range(len(feats))])
     max_depth = int(np.ceil(np.log2(max(psi, 2))))
     fcols = [f"f{i}" for i in range(len(feats))]
@@ -220,6 +212,8 @@ def anomaly_isolation_forest(df: DataFrame, features=None, contamination: float
     forest = {}
     for r in nodes:
         forest.setdefault(r["tree"], []).append(r)
+    if len(forest) < n_trees:
+        raise RuntimeError(f"only {len(forest)} of {n_trees} trees got rows; are the keys distinct?")
     packed = []
     for t in sorted(forest):
         rows = sorted(forest[t], key=lambda r: r["node"])
@@ -227,39 +221,32 @@ def anomaly_isolation_forest(df: DataFrame, features=None, contamination: float
                        np.array([r["left"] for r in rows]), np.array([r["right"] for r in rows]),
                        np.array([r["size"] for r in rows], dtype=float)))
     bc = spark.sparkContext.broadcast((packed, float(_c([psi])[0])))
-    in_cols = data.columns
-    out_schema = T.StructType(list(data.schema.fields) + [T.StructField("anomaly_score", T.DoubleType())])
 
-    def score(batches):
+    @F.pandas_udf("double")
+    def score(*features: pd.Series) -> pd.Series:
         forest_arrays, c_psi = bc.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = pdf[feats].to_numpy(dtype=float)
-            total = np.zeros(len(x))
-            for ft, th, le, ri, sz in forest_arrays:
-                nodeid = np.zeros(len(x), dtype=int)
-                depth = np.zeros(len(x))
+        x = np.column_stack([f.to_numpy(dtype=float) for f in features])
+        total = np.zeros(len(x))
+        for ft, th, le, ri, sz in forest_arrays:
+            nodeid = np.zeros(len(x), dtype=int)
+            depth = np.zeros(len(x))
+            active = ft[nodeid] >= 0
+            while active.any():
+                idx = np.flatnonzero(active)
+                cur = nodeid[idx]
+                go_left = x[idx, ft[cur]] < th[cur]
+                nodeid[idx] = np.where(go_left, le[cur], ri[cur])
+                depth[idx] += 1
                 active = ft[nodeid] >= 0
-                while active.any():
-                    idx = np.flatnonzero(active)
-                    cur = nodeid[idx]
-                    go_left = x[idx, ft[cur]] < th[cur]
-                    nodeid[idx] = np.where(go_left, le[cur], ri[cur])
-                    depth[idx] += 1
-                    active = ft[nodeid] >= 0
-                total += depth + _c(sz[nodeid])
-            out = pdf[in_cols].copy()
-            out["anomaly_score"] = np.power(2.0, -(total / len(forest_arrays)) / c_psi) if c_psi > 0 else 0.5
-            yield out
+            total += depth + _c(sz[nodeid])
+        return pd.Series(np.power(2.0, -(total / len(forest_arrays)) / c_psi) if c_psi > 0 else np.full(len(x), 0.5))
 
     # Scoring is per-row numpy work; an input scanned as fewer partitions than cores (e.g. one
     # parquet row group) is spread round-robin first so every core scores.
     cores = spark.sparkContext.defaultParallelism
     to_score = data.repartition(cores) if data.rdd.getNumPartitions() < cores else data
-    scored = to_score.mapInPandas(score, out_schema)
+    scored = to_score.withColumn("anomaly_score", score(*[_x(c) for c in feats]))  # only the features go to Python
     checkpoint_dir(spark)
     scored = scored.checkpoint(eager=True)  # scored once; the quantile passes read the checkpoint
-    # n bounds the number of distinct scores, which picks the exact quantile strategy
-    cut = quantile_table(scored, ["anomaly_score"], [1.0 - contamination], ndv=n)["anomaly_score"][0]
+    cut = quantile_table(scored, ["anomaly_score"], [1.0 - contamination])["anomaly_score"][0]
     return scored.withColumn("is_anomaly", F.col("anomaly_score") > F.lit(cut))

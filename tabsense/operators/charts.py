@@ -13,20 +13,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsense.functions.quantiles import quantiles
+from tabsense.functions.schema import qcol
 from tabsense.functions.stats import count_if, stats_row
 from tabsense.operators.normalize import sample_rows
 from tabsense.operators.profile import corr_matrix
 
-# Point caps of the reference's charts and its lat/lon column patterns.
-SCATTER_MAX_POINTS = 10_000
-MAP_MAX_POINTS = 1_000
+# The lat/lon column patterns.
 HIST_BINS = 20
 VIOLIN_GRID = 50
 VIOLIN_BINS_PER_BANDWIDTH = 10
-VIOLIN_MAX_BINS = 100_000
 LAT_PATTERN = re.compile(r".*(lat|latitude).*", re.IGNORECASE)
 LON_PATTERN = re.compile(r".*(lon|lng|long|longitude).*", re.IGNORECASE)
-BROADCAST_MAX_GROUPS = 100_000
 
 
 def _x(c):
@@ -34,20 +31,22 @@ def _x(c):
 
 
 def chart_scatter(df: DataFrame, x: str, y: str, color: str | None = None,
-                  max_points: int = SCATTER_MAX_POINTS, key_cols=None) -> DataFrame:
+                  max_points: int | None = None, key_cols=None) -> DataFrame:
+    """The points of every row; ``max_points`` asks for a seeded sample by ``key_cols``."""
     cols = [x, y] + ([color] if color else [])
-    return sample_rows(df.select(*cols, *[k for k in (key_cols or []) if k not in cols]), max_points, key_cols)
+    points = df.select(*map(qcol, [*cols, *[k for k in (key_cols or []) if k not in cols]]))
+    return points if max_points is None else sample_rows(points, max_points, key_cols)
 
 
 def chart_line(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
     cols = [x, y] + ([color] if color else [])
-    return df.select(*cols).orderBy(x)
+    return df.select(*map(qcol, cols)).orderBy(qcol(x))
 
 
 def chart_bar(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
     """Stacked bars: sum of y per x (and color)."""
     keys = [x] + ([color] if color else [])
-    return df.groupBy(*keys).agg(F.sum(_x(y)).alias(f"sum_{y}"))
+    return df.groupBy(*[qcol(k).alias(k) for k in keys]).agg(F.sum(_x(y)).alias(f"sum_{y}"))
 
 
 def chart_histogram(df: DataFrame, column: str, bins: int = HIST_BINS) -> DataFrame:
@@ -67,70 +66,78 @@ def chart_histogram(df: DataFrame, column: str, bins: int = HIST_BINS) -> DataFr
         "bin", "bin_lo", "bin_hi", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
+def _grouped(df: DataFrame, value: str, by: str | None) -> tuple[DataFrame, list[str]]:
+    """Non-null values as ``_v`` with the group as ``_g``."""
+    group = [qcol(by).alias("_g")] if by else []
+    return df.where(_x(value).isNotNull()).select(*group, _x(value).alias("_v")), ["_g"] if by else []
+
+
+def _per_group(data: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """Each value with its group's statistics; AQE broadcasts the statistics when they are small."""
+    if keys:
+        side = stats.withColumnRenamed("_g", "_sg")
+        return data.join(side, F.col("_g").eqNullSafe(F.col("_sg"))).drop("_sg")
+    row = stats.first()
+    return data.withColumns({f.name: F.lit(row[f.name] if row else None).cast(f.dataType) for f in stats.schema.fields})
+
+
+def _named(df: DataFrame, by: str | None, columns: list[str]) -> DataFrame:
+    return df.select(*([F.col("_g").alias(by)] if by else []), *columns)
+
+
 def chart_box(df: DataFrame, value: str, by: str | None = None, accuracy: int | None = None) -> DataFrame:
     """Per group: Q1, median, Q3, fences (1.5 IQR), whiskers (furthest points inside the
     fences) and the number of points outside them."""
-    keys = [by] if by else []
-    q = quantiles(df, [value], [0.25, 0.5, 0.75], by=keys, accuracy=accuracy)
+    data, keys = _grouped(df, value, by)
+    q = quantiles(data, ["_v"], [0.25, 0.5, 0.75], by=keys, accuracy=accuracy)
     wide = q.groupBy(*keys).agg(*[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n)
                                   for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
     wide = wide.withColumn("lower_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
                .withColumn("upper_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    data = df.where(_x(value).isNotNull()).select(*keys, _x(value).alias("_v"))
-    if keys:
-        n_groups = wide.count()
-        side = F.broadcast(wide) if n_groups <= BROADCAST_MAX_GROUPS else wide
-        j = data.join(side, data[by].eqNullSafe(wide[by])).drop(wide[by])
-    else:
-        fences = wide.first()
-        j = data.withColumns({c: F.lit(fences[c]) for c in ("q1", "median", "q3", "lower_fence", "upper_fence")})
+    fences = ["q1", "median", "q3", "lower_fence", "upper_fence"]
     inside = (F.col("_v") >= F.col("lower_fence")) & (F.col("_v") <= F.col("upper_fence"))
-    return j.groupBy(*keys, "q1", "median", "q3", "lower_fence", "upper_fence").agg(
+    boxes = _per_group(data, wide, keys).groupBy(*keys, *fences).agg(
         F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
         count_if(~inside).alias("outliers"))
+    return _named(boxes, by, [*fences, "whisker_low", "whisker_high", "outliers"])
 
 
 def chart_violin(df: DataFrame, value: str, by: str | None = None, grid: int = VIOLIN_GRID,
-                 bins_per_bandwidth: int = VIOLIN_BINS_PER_BANDWIDTH, max_bins: int = VIOLIN_MAX_BINS) -> DataFrame:
+                 bins_per_bandwidth: int = VIOLIN_BINS_PER_BANDWIDTH) -> DataFrame:
     """Gaussian kernel density per group on ``grid`` points from the group min to max.
 
     Bandwidth: Scott's rule, h = std * n^(-1/5) (sample std).  Binned KDE: one pass builds a
-    per-group histogram with bins of h / ``bins_per_bandwidth`` (at most ``max_bins``), then
-    each grid point sums the kernel over bin centres weighted by counts.  After the histogram
-    pass the work is groups x bins x grid, independent of the number of rows.
+    per-group histogram with bins of h / ``bins_per_bandwidth`` (only bins that hold values
+    exist), then each grid point sums the kernel over bin centres weighted by counts.
+    A group without spread (one row, or one value) has no density: it is one row, point 0 at
+    its value with a NULL density.
     """
-    keys = [by] if by else []
-    data = df.where(_x(value).isNotNull()).select(*keys, _x(value).alias("_v"))
+    data, keys = _grouped(df, value, by)
     st = data.groupBy(*keys).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"),
                                  F.stddev_samp("_v").alias("sd"), F.count(F.lit(1)).alias("n"))
-    st = st.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).where(F.col("h") > 0)
-    nb = F.least(F.lit(max_bins), F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo")) / F.col("h")
-                                                                * F.lit(bins_per_bandwidth)))).cast("int")
+    st = st.where("n > 0").withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
+    flat = st.where(~F.coalesce(F.col("h") > 0, F.lit(False))).select(
+        *keys, F.lit(0).alias("point"), F.col("lo").alias("y"), F.lit(None).cast("double").alias("density"))
+    st = st.where("h > 0")
+    nb = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo")) / F.col("h") * F.lit(bins_per_bandwidth))).cast("long")
     st = st.withColumn("nb", nb).withColumn("w", (F.col("hi") - F.col("lo")) / F.col("nb"))
-    if keys:
-        n_groups = st.count()
-        side = F.broadcast(st) if n_groups <= BROADCAST_MAX_GROUPS else st
-        j = data.join(side, data[by].eqNullSafe(st[by])).drop(st[by])
-    else:
-        s = st.first()
-        if s is None:
-            return df.sparkSession.createDataFrame([], "point int, y double, density double")
-        j = data.withColumns({c: F.lit(s[c]) for c in ("lo", "hi", "sd", "n", "h", "nb", "w")})
-    b = F.least(F.col("nb") - 1, F.floor((F.col("_v") - F.col("lo")) / F.col("w")).cast("int"))
+    j = _per_group(data, st, keys).where("h > 0")
+    b = F.least(F.col("nb") - 1, F.floor((F.col("_v") - F.col("lo")) / F.col("w")).cast("long"))
     hist = j.groupBy(*keys, "lo", "hi", "n", "h", "nb", "w", b.alias("bin")).agg(F.count(F.lit(1)).alias("cnt"))
     centre = F.col("lo") + (F.col("bin") + 0.5) * F.col("w")
     pts = hist.withColumn("c", centre).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
     pts = pts.withColumn("y", F.col("lo") + F.col("point") * ((F.col("hi") - F.col("lo")) / F.lit(grid - 1)))
     u = (F.col("y") - F.col("c")) / F.col("h")
     kern = F.col("cnt") * F.exp(-0.5 * u * u) / F.lit(math.sqrt(2 * math.pi))
-    return pts.groupBy(*keys, "point", "y", "n", "h").agg(F.sum(kern).alias("_k")).select(
+    curve = pts.groupBy(*keys, "point", "y", "n", "h").agg(F.sum(kern).alias("_k")).select(
         *keys, "point", "y", (F.col("_k") / (F.col("n") * F.col("h"))).alias("density"))
+    return _named(curve.unionByName(flat), by, ["point", "y", "density"])
 
 
 def chart_pie(df: DataFrame, names: str, values: str) -> DataFrame:
     """Sum of values per name and its share of the total."""
-    g = df.groupBy(names).agg(F.sum(_x(values)).alias("value"))
+    g = df.groupBy(qcol(names).alias(names)).agg(F.sum(_x(values)).alias("value"))
     total = stats_row(df, {"t": F.sum(_x(values))})["t"]
     return g.withColumn("share", F.col("value") / F.lit(total) if total else F.lit(None).cast("double"))
 
@@ -147,14 +154,15 @@ def find_lat_lon_columns(columns) -> tuple[str | None, str | None]:
 
 
 def chart_map(df: DataFrame, lat: str | None = None, lon: str | None = None,
-              max_points: int = MAP_MAX_POINTS, key_cols=None) -> DataFrame:
+              max_points: int | None = None, key_cols=None) -> DataFrame:
+    """Every located row; ``max_points`` asks for a seeded sample by ``key_cols``."""
     if lat is None or lon is None:
         flat, flon = find_lat_lon_columns(df.columns)
         lat, lon = lat or flat, lon or flon
     if lat is None or lon is None:
         raise ValueError("no latitude/longitude columns")
     pts = df.na.drop(subset=[lat, lon])
-    return sample_rows(pts, max_points, key_cols or df.columns)
+    return pts if max_points is None else sample_rows(pts, max_points, key_cols or df.columns)
 
 
 def chart_anomaly(flagged: DataFrame, x: str, y: str) -> DataFrame:

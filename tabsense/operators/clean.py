@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tabsense.functions.ordered import ordered_fill
@@ -22,7 +23,6 @@ IMPUTE_SHARE = 0.1
 Z_LIMIT = 3.0
 Z_SHARE = 0.05
 SEVERITY_ORDER = {"high": 0, "medium": 1, "low": 2}
-MAX_SUGGESTIONS = 10
 UNKNOWN = "Unknown"
 SUGGEST_DROP = "Drop {col} (missing: {pct:.1f}%)"
 SUGGEST_IMPUTE = "Impute {col} (missing: {pct:.1f}%)"
@@ -35,8 +35,8 @@ def _q(c):
     return "`" + str(c).replace("`", "``") + "`"
 
 
-def suggest_cleaning(df: DataFrame, limit: int = MAX_SUGGESTIONS) -> DataFrame:
-    """Suggestions (rank, type, column, description, severity), severity-sorted, first ``limit``.
+def suggest_cleaning(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Suggestions (rank, type, column, description, severity), severity-sorted (the first ``limit`` if given).
 
     Pass 1 (one aggregate): null share per column, whether every non-null string parses as a
     number / datetime, mean and population std of numeric columns.  Pass 2 (one aggregate):
@@ -97,8 +97,14 @@ def drop_duplicates(df: DataFrame, subset=None) -> DataFrame:
 
 
 def _fill(df: DataFrame, values: dict) -> DataFrame:
-    return df.select(*[F.coalesce(F.col(_q(c)), F.lit(values[c]).cast(df.schema[c].dataType)).alias(c)
-                       if c in values and values[c] is not None else F.col(_q(c)) for c in df.columns])
+    """Fill nulls; an integer column that gets a value with a fraction becomes a double column."""
+    def filled(c):
+        dtype = df.schema[c].dataType
+        widen = isinstance(dtype, T.IntegralType) and isinstance(values[c], float) and not values[c].is_integer()
+        target = T.DoubleType() if widen else dtype
+        return F.coalesce(F.col(_q(c)).cast(target), F.lit(values[c]).cast(target)).alias(c)
+
+    return df.select(*[filled(c) if values.get(c) is not None else F.col(_q(c)) for c in df.columns])
 
 
 def impute_median(df: DataFrame, columns=None, accuracy: int | None = None) -> DataFrame:

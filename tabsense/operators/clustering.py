@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -181,11 +182,11 @@ def silhouette_values(df: DataFrame, features, label: str) -> DataFrame:
                          + F.element_at(qs, j) / F.element_at(ns, j))
     data = data.withColumn("_d", mean_d)
     n_own = F.element_at(ns, F.col("_i"))
-    a = F.element_at(F.col("_d"), F.col("_i")) * n_own / (n_own - 1)
+    a = F.try_divide(F.element_at(F.col("_d"), F.col("_i")) * n_own, n_own - 1)
     others = F.filter(F.transform(pos, lambda j: F.when(j != F.col("_i"), F.element_at(F.col("_d"), j))),
                       lambda v: v.isNotNull())
     b = F.array_min(others)
-    s = F.when(n_own <= 1, F.lit(0.0)).otherwise((b - a) / F.greatest(a, b))
+    s = F.when(n_own <= 1, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))  # a = b = 0: a tie
     return data.withColumn("silhouette", s).drop("_x", "_i", "_xx", "_d")
 
 
@@ -215,7 +216,7 @@ def _silhouette_numpy(df: DataFrame, vec, label: str, stats: dict, order) -> Dat
                 a = d[rows, own] * n_own / (n_own - 1)
                 d[rows, own] = np.inf
                 b = d.min(axis=1)
-                sil = np.where(n_own <= 1, 0.0, (b - a) / np.maximum(a, b))
+                sil = np.where((n_own <= 1) | (np.maximum(a, b) == 0), 0.0, (b - a) / np.maximum(a, b))
             out = pdf[names].copy()
             out["silhouette"] = sil
             yield out
@@ -270,6 +271,8 @@ def kmeans_fit(df: DataFrame, features, k: int = 3, scale: bool = False, remove_
         data = df.na.drop(subset=cols)
         for c in cols:
             q1, q3 = quantile_table(data, [c], [0.25, 0.75])[c]
+            if q1 is None:
+                continue
             lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
             pred = (qcol(c) >= F.lit(lo)) & (qcol(c) <= F.lit(hi))
             data = data.where(pred)
@@ -283,7 +286,11 @@ def kmeans_fit(df: DataFrame, features, k: int = 3, scale: bool = False, remove_
         "cluster", F.when(F.col("_keep"), F.col("_pred")).otherwise(F.lit(-1))).drop("_pred", "_features", "_keep")
     if "_iso_keep" in scored.columns:
         scored = scored.drop("_iso_keep")
-    any_null = F.greatest(*[qcol(c).isNull() for c in cols]) if len(cols) > 1 else qcol(cols[0]).isNull()
+    def missing_value(c):  # na.drop takes NaN for missing too
+        x = qcol(c)
+        return x.isNull() | F.isnan(x) if isinstance(original.schema[c].dataType, (T.DoubleType, T.FloatType)) else x.isNull()
+
+    any_null = reduce(lambda a, b: a | b, [missing_value(c) for c in cols])
     missing = original.where(any_null).withColumn("cluster", F.lit(-1))
     scored = scored.unionByName(missing)
     return scored, model

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,12 +11,10 @@ from tabsense.functions.ordered import cumulative_sums
 from tabsense.functions.quantiles import quantiles
 from tabsense.functions.schema import categorical_columns, numeric_columns, qcol
 from tabsense.functions.stats import stats_row
+from tabsense.operators.normalize import seeded_digest
 
-# The reference's bin labels and feature limits.
+# The bin labels.
 BIN_LABELS = ["Low", "Low-Med", "Medium", "Med-High", "High"]
-N_POLY = 3
-N_INTERACT = 4
-N_BINS_COLS = 5
 NULL_TEXT = "nan"
 BROADCAST_MAX_ROWS = 1_000_000
 LOCAL_INDEX_MAX = 100_000  # distinct values numbered on the driver (proven by a bounded probe)
@@ -35,8 +35,8 @@ def _stds(df, cols) -> dict:
 
 
 def feat_polynomial(df: DataFrame, target=None, columns=None, stds=None) -> DataFrame:
-    """``x_squared`` and ``x_log`` = log1p(|x|) for the first 3 numeric columns with std > 0."""
-    cols = _numeric(df, target, columns)[:N_POLY]
+    """``x_squared`` and ``x_log`` = log1p(|x|) for every numeric column with std > 0."""
+    cols = _numeric(df, target, columns)
     stds = stds if stds is not None else _stds(df, cols)
     new = {}
     for c in cols:
@@ -47,17 +47,11 @@ def feat_polynomial(df: DataFrame, target=None, columns=None, stds=None) -> Data
 
 
 def feat_interactions(df: DataFrame, target=None, columns=None, stds=None) -> DataFrame:
-    """``a_x_b`` for a in the first 3 numeric columns and b after a up to the 4th, both std > 0."""
+    """``a_x_b`` for every pair of numeric columns that both vary (``columns`` chooses fewer)."""
     cols = _numeric(df, target, columns)
-    if len(cols) < 2:
-        return df
-    head = cols[:N_INTERACT]
-    stds = stds if stds is not None else _stds(df, head)
-    new = {}
-    for i, a in enumerate(cols[:N_POLY]):
-        for b in cols[i + 1:N_INTERACT]:
-            if stds.get(a) and stds.get(b):
-                new[f"{a}_x_{b}"] = _x(a) * _x(b)
+    stds = stds if stds is not None else _stds(df, cols)
+    varying = [c for c in cols if stds.get(c)]
+    new = {f"{a}_x_{b}": _x(a) * _x(b) for a, b in combinations(varying, 2)}
     return df.withColumns(new) if new else df
 
 
@@ -76,8 +70,8 @@ def bin_expr(c: str, lo, hi, labels=BIN_LABELS):
 
 
 def feat_bins(df: DataFrame, target=None, columns=None, minmax=None) -> DataFrame:
-    """``x_binned`` labels Low..High for the first 5 numeric columns."""
-    cols = _numeric(df, target, columns)[:N_BINS_COLS]
+    """``x_binned`` labels Low..High for every numeric column."""
+    cols = _numeric(df, target, columns)
     if not cols:
         return df
     if minmax is None:
@@ -89,15 +83,14 @@ def feat_bins(df: DataFrame, target=None, columns=None, minmax=None) -> DataFram
 def feature_engineering(df: DataFrame, target=None, columns=None) -> DataFrame:
     """Polynomial, interaction and bin features from one statistics pass (std, min, max)."""
     cols = _numeric(df, target, columns)
-    stat_cols = cols[:max(N_INTERACT, N_BINS_COLS)]
     exprs = {}
-    for c in stat_cols:
+    for c in cols:
         exprs[f"s|{c}"] = F.stddev_samp(_x(c))
         exprs[f"lo|{c}"] = F.min(_x(c))
         exprs[f"hi|{c}"] = F.max(_x(c))
     row = stats_row(df, exprs) if exprs else {}
-    stds = {c: row[f"s|{c}"] for c in stat_cols}
-    minmax = {c: (row[f"lo|{c}"], row[f"hi|{c}"]) for c in stat_cols}
+    stds = {c: row[f"s|{c}"] for c in cols}
+    minmax = {c: (row[f"lo|{c}"], row[f"hi|{c}"]) for c in cols}
     out = feat_polynomial(df, target, cols, stds)
     out = feat_interactions(out, target, cols, stds)
     return feat_bins(out, target, cols, minmax)
@@ -158,33 +151,32 @@ def adaptive_test_fraction(n_rows: int) -> float:
 
 def train_test_split(df: DataFrame, key_cols, test_fraction: float | str = 0.2, seed: int = 42,
                      stratify: str | None = None, n_rows: int | None = None) -> DataFrame:
-    """Add ``split`` ('train' / 'test') from a seeded hash of the key columns.
+    """Add ``split`` ('train' / 'test') from a seeded hash (MD5) of the key columns.
 
-    Unstratified: hash bucket below the fraction.  Stratified: per class, the exact
-    ``test_fraction`` quantile of the hash is the cut (distributed exact quantile, so a class
-    holding a third of the rows is split over many tasks); the per-class cuts join back as a
+    Unstratified: hash share below the fraction.  Stratified: per class, the exact
+    ``test_fraction`` quantile of the hash is the cut; the per-class cuts join back as a
     small aggregate (AQE broadcasts it when it is small).
     """
     keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
     if test_fraction == "adaptive":
         n_rows = df.count() if n_rows is None else n_rows
         test_fraction = adaptive_test_fraction(n_rows)
-    u = (F.xxhash64(*[F.col(f"`{k}`") for k in keys], F.lit(seed)).cast("double") + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64)
+    u = F.conv(F.substring(seeded_digest(keys, seed), 1, 12), 16, 10).cast("double") / F.lit(16.0 ** 12)
     tagged = df.withColumn("_u", u)
     if not stratify:
         return tagged.withColumn("split", F.when(F.col("_u") < test_fraction, "test").otherwise("train")).drop("_u")
     # n_rows (when known) bounds the distinct hash count, which picks the quantile strategy
-    cuts = quantiles(tagged, ["_u"], [test_fraction], by=[stratify], ndv=n_rows) \
+    cuts = quantiles(tagged, ["_u"], [test_fraction], by=[stratify]) \
         .select(qcol(stratify).alias("_s"), F.col("quantile").alias("_cut"))
     joined = tagged.join(cuts, tagged[stratify].eqNullSafe(cuts["_s"]), "left").drop("_s")
     return joined.withColumn("split", F.when(F.col("_u") <= F.col("_cut"), "test").otherwise("train")) \
         .drop("_u", "_cut")
 
 
-def select_k_best(df: DataFrame, features, label: str, k: int = 20, min_features: int = 50,
+def select_k_best(df: DataFrame, features, label: str, k: int = 20, min_features: int = 0,
                   classification: bool = True) -> DataFrame:
-    """Keep the ``k`` features with the best univariate F statistic when there are more than
-    ``min_features``; returns (feature, selected)."""
+    """Keep the ``k`` features with the best univariate F statistic; returns (feature, selected).
+    A caller may keep all features when there are at most ``min_features``."""
     from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
     feats = list(features)
     spark = df.sparkSession

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabsense.functions.ordered import cumulative_sums
 from tabsense.functions.quantiles import quantile_table
-from tabsense.functions.schema import qcol
+from tabsense.functions.schema import is_numeric, qcol
 from tabsense.functions.stats import stats_row
 
 # Coverage multipliers of the reference's residual analysis; log-loss clip.
@@ -29,6 +29,12 @@ def _pairs(df, label, prediction):
              .na.drop()
 
 
+def _share_of(part):
+    """``part`` of the label's variance; for a constant label 0 if nothing is left over, else 1."""
+    return F.when(F.col("var_y") > 0, F.try_divide(part, F.col("var_y"))) \
+        .when(F.col("var_y") == 0, F.when(part == 0, 0.0).otherwise(1.0))
+
+
 def eval_regression(df: DataFrame, label: str, prediction: str, accuracy: int | None = None) -> DataFrame:
     """mae, mse, rmse, r2, explained_variance, median_ae, max_error (``accuracy``: approximate median)."""
     d = _pairs(df, label, prediction).withColumn("e", F.col("y") - F.col("p")).withColumn("ae", F.abs("e"))
@@ -37,8 +43,8 @@ def eval_regression(df: DataFrame, label: str, prediction: str, accuracy: int |
     med = quantile_table(d, ["ae"], [0.5], accuracy=accuracy)["ae"][0]
     return base.select(
         "mae", "mse", F.sqrt("mse").alias("rmse"),
-        (F.lit(1.0) - F.col("mse") / F.col("var_y")).alias("r2"),
-        (F.lit(1.0) - F.col("var_e") / F.col("var_y")).alias("explained_variance"),
+        (F.lit(1.0) - _share_of(F.col("mse"))).alias("r2"),
+        (F.lit(1.0) - _share_of(F.col("var_e"))).alias("explained_variance"),
         F.lit(med).cast("double").alias("median_ae"), "max_error")
 
 
@@ -56,8 +62,33 @@ def eval_residuals(df: DataFrame, label: str, prediction: str) -> DataFrame:
                       F.lit(row["std"]).cast("double").alias("residual_std"), "coverage_80pct", "coverage_95pct")
 
 
+def class_key(df: DataFrame, *columns: str):
+    """How classes of these columns compare: as numbers if all are numeric, else as text."""
+    if all(is_numeric(df.schema[c].dataType) for c in columns):
+        return lambda c: qcol(c).cast("double").cast("string")
+    return lambda c: qcol(c).cast("string")
+
+
+def _class_text(df: DataFrame, label: str, value) -> str:
+    """A class given by the caller, in the form of :func:`class_key`."""
+    if is_numeric(df.schema[label].dataType):
+        return df.sparkSession.range(1).select(F.lit(float(value)).cast("string")).first()[0]
+    return str(value)
+
+
+def _require_class(df: DataFrame, label: str, value) -> str:
+    """The class's text; an error if no row has it (a table without labels has none to miss)."""
+    text = _class_text(df, label, value)
+    key = class_key(df, label)(label)
+    seen = df.agg(F.count(key).alias("n"), F.count(F.when(key == text, 1)).alias("hits")).first()
+    if seen["n"] and not seen["hits"]:
+        raise ValueError(f"class {value!r} isn't among the values of {label!r}")
+    return text
+
+
 def confusion_counts(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    return df.select(F.col(f"`{label}`").cast("string").alias("y"), F.col(f"`{prediction}`").cast("string").alias("p")) \
+    key = class_key(df, label, prediction)
+    return df.select(key(label).alias("y"), key(prediction).alias("p")) \
              .na.drop().groupBy("y", "p").agg(F.count(F.lit(1)).cast("double").alias("n"))
 
 
@@ -91,7 +122,7 @@ def eval_classification(df: DataFrame, label: str, prediction: str) -> DataFrame
 
 
 def _score_histogram(df, label, score, positive):
-    y = (F.col(f"`{label}`").cast("string") == F.lit(str(positive))).cast("double")
+    y = (class_key(df, label)(label) == F.lit(_require_class(df, label, positive))).cast("double")
     return df.select(y.alias("pos"), F.col(f"`{score}`").cast("double").alias("s")).na.drop() \
              .groupBy("s").agg(F.sum("pos").alias("npos"), F.sum(1 - F.col("pos")).alias("nneg"))
 
@@ -159,14 +190,14 @@ def eval_pr_auc(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
 def eval_log_loss(df: DataFrame, label: str, prob_cols, positive=1) -> DataFrame:
     """Mean -ln p(true class), p clipped to [eps, 1 - eps].  ``prob_cols``: one column holding
     P(positive) (binary) or {class: probability column}."""
-    y = F.col(f"`{label}`").cast("string")
+    y = class_key(df, label)(label)
     if isinstance(prob_cols, str):
         p1 = F.col(f"`{prob_cols}`").cast("double")
-        pt = F.when(y == F.lit(str(positive)), p1).otherwise(1 - p1)
+        pt = F.when(y == F.lit(_require_class(df, label, positive)), p1).otherwise(1 - p1)
     else:
         pt = None
         for cls, col in prob_cols.items():
-            term = F.when(y == F.lit(str(cls)), F.col(f"`{col}`").cast("double"))
+            term = F.when(y == F.lit(_class_text(df, label, cls)), F.col(f"`{col}`").cast("double"))
             pt = term if pt is None else F.coalesce(pt, term)
     clipped = F.least(F.greatest(pt, F.lit(EPS)), F.lit(1 - EPS))
     return df.agg(F.avg(-F.log(clipped)).alias("log_loss"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabsense.functions.schema import qcol
+
 from tabsense.functions.schema import clean_names, is_float
 
 
@@ -21,14 +23,19 @@ def normalize_table(df: DataFrame) -> DataFrame:
     return df.select(*exprs)
 
 
+def seeded_digest(keys, seed: int):
+    """MD5 (hex) of the keys' text and the seed; any SQL engine can repeat it."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(qcol(k).cast("string"), F.lit("")) for k in keys], F.lit(str(seed))))
+
+
 def sample_rows(df: DataFrame, n: int, key_cols=None, seed: int = 42) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows chosen by a seeded hash of the key columns.
+    """Exactly ``min(n, rows)`` rows chosen by a seeded hash (MD5) of the key columns' text.
 
     ``orderBy(hash).limit(n)`` plans as TakeOrderedAndProject: each task keeps its n smallest
     hashes, so no task holds more than n rows and the choice does not depend on partitioning.
     """
     keys = key_cols or df.columns
-    h = F.xxhash64(*[F.col(f"`{k}`") for k in keys], F.lit(seed))
+    h = seeded_digest(keys, seed)
     return df.withColumn("_sample_h", h).orderBy("_sample_h", *[F.col(f"`{k}`") for k in keys]) \
              .limit(n).drop("_sample_h")
 

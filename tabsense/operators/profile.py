@@ -14,15 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabsense.functions.quantiles import MAX_DISTINCT_FOR_AGGREGATE, quantile_table, quantiles
+from tabsense.functions.quantiles import quantile_table, quantiles
 from tabsense.functions.schema import (categorical_columns, dtype_name, is_numeric, numeric_columns, qcol,
                                        require_columns)
 from tabsense.functions.stats import central_moments, count_if, describe_moments, stats_row
 
 # Fixed values of the reference's profile rules.
 HIGH_MISSING_SHARE = 0.5
-HIGH_CORR_P = 0.8
-HIGH_CORR_U = 0.7
+HIGH_CORR = 0.8
+REPORTED_CORR = 0.7
 MIXED_SAMPLE_NOTE = "all rows"
 QUALITY_BANDS = ((80.0, "Green"), (60.0, "Yellow"))
 
@@ -54,10 +54,13 @@ def _long_values(df: DataFrame, cols, cast: str = "string") -> DataFrame:
 
 
 def _join_null_safe(a: DataFrame, b: DataFrame, keys) -> DataFrame:
-    cond = reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
-    return a.join(b, cond).select(*[a[k] for k in keys],
-                                  *[a[c] for c in a.columns if c not in keys],
-                                  *[b[c] for c in b.columns if c not in keys])
+    def col(df, k):
+        return df[f"`{k}`"]
+
+    cond = reduce(lambda x, y: x & y, [col(a, k).eqNullSafe(col(b, k)) for k in keys])
+    return a.join(b, cond).select(*[col(a, k) for k in keys],
+                                  *[col(a, c) for c in a.columns if c not in keys],
+                                  *[col(b, c) for c in b.columns if c not in keys])
 
 
 # ----------------------------------------------------------------------------- aggregates
@@ -67,10 +70,10 @@ def agg_basic(df: DataFrame, by, value: str, accuracy: int | None = None) -> Dat
     by = [by] if isinstance(by, str) else list(by)
     require_columns(df, by + [value])
     v = qcol(value).cast("double")
-    base = df.groupBy(*by).agg(F.avg(v).alias("mean"), F.sum(v).alias("sum"),
+    base = df.groupBy(*[qcol(b).alias(b) for b in by]).agg(F.avg(v).alias("mean"), F.sum(v).alias("sum"),
                                F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"))
-    med = quantiles(df, [value], [0.5], by=by, accuracy=accuracy).select(*by, F.col("quantile").alias("median"))
-    return _join_null_safe(base, med, by).select(*by, "mean", "sum", "median", "count", "min", "max")
+    med = quantiles(df, [value], [0.5], by=by, accuracy=accuracy).select(*[qcol(b) for b in by], F.col("quantile").alias("median"))
+    return _join_null_safe(base, med, by).select(*[qcol(b) for b in by], "mean", "sum", "median", "count", "min", "max")
 
 
 def describe_all(df: DataFrame, columns=None, digits: int = 3, accuracy: int | None = None) -> DataFrame:
@@ -91,9 +94,7 @@ def describe_all(df: DataFrame, columns=None, digits: int = 3, accuracy: int | N
             d = describe_moments(moments[c])
             row.update({f"count|{c}": float(moments[c]["n"]), f"mean|{c}": d["mean"], f"std|{c}": d["std"],
                         f"min|{c}": mm[f"min|{c}"], f"max|{c}": mm[f"max|{c}"]})
-        n_max = max(moments[c]["n"] for c in nums)
-        qt = quantile_table(df, nums, [0.25, 0.5, 0.75], accuracy=accuracy,
-                            ndv=n_max if n_max <= MAX_DISTINCT_FOR_AGGREGATE else None)
+        qt = quantile_table(df, nums, [0.25, 0.5, 0.75], accuracy=accuracy)
         recs = []
         for c in nums:
             q = qt[c]
@@ -128,8 +129,8 @@ def describe_all(df: DataFrame, columns=None, digits: int = 3, accuracy: int | N
 def value_counts_top(df: DataFrame, column: str, n: int = 5) -> DataFrame:
     """Top-n values by frequency (ties by value ascending)."""
     require_columns(df, [column])
-    return (df.where(qcol(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("count"))
-              .orderBy(F.desc("count"), F.asc(column)).limit(n))
+    return (df.where(qcol(column).isNotNull()).groupBy(qcol(column).alias(column)).agg(F.count(F.lit(1)).alias("count"))
+              .orderBy(F.desc("count"), qcol(column).asc()).limit(n))
 
 
 def _missing_row(df: DataFrame) -> tuple[dict, int]:
@@ -162,11 +163,10 @@ def missing_total(df: DataFrame) -> DataFrame:
          .alias("missing_pct"))
 
 
-def high_missing_columns(df: DataFrame, share: float = HIGH_MISSING_SHARE, limit: int = 3) -> DataFrame:
-    """Columns with more than ``share`` nulls, first ``limit`` in column order."""
-    m = missing_by_column(df)
-    return m.where(F.col("missing_pct") > share * 100).orderBy("position").limit(limit) \
-            .select("column", "missing_count", "missing_pct")
+def high_missing_columns(df: DataFrame, share: float = HIGH_MISSING_SHARE, limit: int | None = None) -> DataFrame:
+    """Columns with more than ``share`` nulls, in column order (the first ``limit`` if given)."""
+    high = missing_by_column(df).where(F.col("missing_pct") > share * 100).orderBy("position")
+    return (high if limit is None else high.limit(limit)).select("column", "missing_count", "missing_pct")
 
 
 def duplicate_rows(df: DataFrame, subset=None) -> DataFrame:
@@ -211,24 +211,35 @@ def mixed_type_columns(df: DataFrame, columns=None) -> DataFrame:
     return long.withColumn("n_kinds", n_kinds).where(F.col("n_kinds") > 1)
 
 
+def distinct_counts(df: DataFrame, columns, approx: bool = False) -> DataFrame:
+    """(column, unique_count, non_null) for each column, from one unpivot to ``(column, value)``.
+
+    Values are counted by their text, so all columns share one aggregation and partial sums
+    collapse a hot value before the shuffle.  ``approx`` uses one HyperLogLog sketch a column.
+    """
+    cols = list(columns)
+    if approx:
+        wide = df.agg(*[F.approx_count_distinct(qcol(c)).alias(f"d{i}") for i, c in enumerate(cols)],
+                      *[F.count(qcol(c)).alias(f"n{i}") for i, c in enumerate(cols)])
+        return wide.select(F.explode(F.array(*[F.struct(
+            F.lit(c).alias("column"), F.col(f"d{i}").alias("unique_count"), F.col(f"n{i}").alias("non_null"))
+            for i, c in enumerate(cols)])).alias("_r")).select("_r.*")
+    counts = _long_values(df, cols).where(F.col("v").isNotNull()).groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"), F.sum("n").alias("non_null"))
+    every = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    return every.join(F.broadcast(found), "column", "left").na.fill(0, ["unique_count", "non_null"])  # a row per column
+
+
 def nunique_ratio(df: DataFrame, columns=None, approx: bool = False) -> DataFrame:
     """Distinct count, non-null count and distinct / non-null per column."""
     cols = list(columns) if columns else list(df.columns)
-    aggs = []
-    for c in cols:
-        x = F.col(_q(c))
-        aggs.append((F.approx_count_distinct(x) if approx else F.count_distinct(x)).alias(f"d|{c}"))
-        aggs.append(F.count(x).alias(f"n|{c}"))
-    wide = df.agg(*aggs)
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`d|{c}`").cast("long").alias("unique_count"),
-                                        F.col(f"`n|{c}`").cast("long").alias("non_null")) for c in cols]))
-    return wide.select(rows.alias("_r")).select("_r.*").withColumn(
+    return distinct_counts(df, cols, approx).withColumn(
         "unique_ratio", F.when(F.col("non_null") > 0, F.col("unique_count") / F.col("non_null")))
 
 
-def column_preview(df: DataFrame, max_cols: int = 20, with_samples: bool = False, n_samples: int = 3, approx: bool = False,
+def column_preview(df: DataFrame, max_cols: int | None = None, with_samples: bool = False, n_samples: int = 3, approx: bool = False,
                    sample_rows_n: int = 50, key_cols=None) -> DataFrame:
-    """Per column (first ``max_cols``): dtype, missing count/%, unique count, mean/std if numeric.
+    """Per column (all, or the first ``max_cols``): dtype, missing count/%, unique count, mean/std if numeric.
 
     ``with_samples`` adds up to ``n_samples`` non-null values taken from a seeded hash sample.
     """
@@ -236,8 +247,7 @@ def column_preview(df: DataFrame, max_cols: int = 20, with_samples: bool = False
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for c in cols:
         x = F.col(_q(c))
-        distinct = F.approx_count_distinct(x) if approx else F.count_distinct(x)
-        aggs += [count_if(x.isNull()).alias(f"m|{c}"), distinct.alias(f"u|{c}")]
+        aggs.append(count_if(x.isNull()).alias(f"m|{c}"))
         if is_numeric(df.schema[c].dataType):
             aggs += [F.avg(x.cast("double")).alias(f"a|{c}"), F.stddev_samp(x.cast("double")).alias(f"s|{c}")]
     wide = df.agg(*aggs)
@@ -248,10 +258,11 @@ def column_preview(df: DataFrame, max_cols: int = 20, with_samples: bool = False
             F.lit(c).alias("column"), F.lit(dtype_name(df.schema[c].dataType)).alias("dtype"),
             F.col(f"`m|{c}`").cast("long").alias("missing_count"),
             F.when(F.col("__rows") > 0, F.col(f"`m|{c}`") * 100.0 / F.col("__rows")).alias("missing_pct"),
-            F.col(f"`u|{c}`").cast("long").alias("unique_count"),
             (F.col(f"`a|{c}`") if num else F.lit(None).cast("double")).alias("mean"),
             (F.col(f"`s|{c}`") if num else F.lit(None).cast("double")).alias("std")))
-    res = wide.select(F.explode(F.array(*structs)).alias("_r")).select("_r.*")
+    distinct = distinct_counts(df, cols, approx).select("column", "unique_count")
+    res = wide.select(F.explode(F.array(*structs)).alias("_r")).select("_r.*").join(F.broadcast(distinct), "column") \
+        .select("column", "dtype", "missing_count", "missing_pct", "unique_count", "mean", "std")  # a row per column
     if with_samples:
         from tabsense.operators.normalize import sample_rows
         sample = sample_rows(df.select(*[_q(c) for c in cols]), sample_rows_n, key_cols)
@@ -274,17 +285,16 @@ def quality_score(df: DataFrame, approx: bool = False) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("rows")]
     cells = reduce(lambda a, b: a + b, [F.col(_q(c)).isNull().cast("long") for c in cols])
     aggs.append(F.sum(cells).alias("missing_cells"))
-    for c in cols:
-        if c in strings:
-            distinct = F.approx_count_distinct(F.col(_q(c))) if approx else F.count_distinct(F.col(_q(c)))
-            aggs.append(distinct.alias(f"u|{c}"))
     base = df.agg(*aggs)
+    named = [c for c in cols if c in strings]
+    unique = {r["column"]: r["unique_count"] for r in distinct_counts(df, named, approx).collect()} if named else {}
     n_dup = duplicate_rows(df).first()["duplicate_rows"]  # one aggregate row
-    consistent = [F.lit(1) if c not in strings else F.when(F.col(f"`u|{c}`") < F.col("rows") * 0.8, 1).otherwise(0)
+    consistent = [F.lit(1) if c not in strings else F.when(F.lit(unique[c]) < F.col("rows") * 0.8, 1).otherwise(0)
                   for c in cols]
     n_cols = len(cols)
-    missing_ratio = F.coalesce(F.col("missing_cells"), F.lit(0)) / (F.col("rows") * n_cols)
-    dup_ratio = F.lit(n_dup) / F.col("rows")
+    cells_all = F.nullif(F.col("rows") * n_cols, F.lit(0))  # an empty table has no missing or repeated share
+    missing_ratio = F.coalesce(F.coalesce(F.col("missing_cells"), F.lit(0)) / cells_all, F.lit(0.0))
+    dup_ratio = F.coalesce(F.lit(n_dup) / F.nullif(F.col("rows"), F.lit(0)), F.lit(0.0))
     share = reduce(lambda a, b: a + b, consistent) / F.lit(float(n_cols))
     raw = F.lit(100.0) - missing_ratio * 30 - dup_ratio * 20 + share * 10
     scored = base.select(missing_ratio.alias("missing_ratio"), dup_ratio.alias("duplicate_ratio"),
@@ -295,12 +305,12 @@ def quality_score(df: DataFrame, approx: bool = False) -> DataFrame:
                     .when(F.col("quality_score") > QUALITY_BANDS[1][0], QUALITY_BANDS[1][1]).otherwise("Red"))
 
 
-def quality_issues(df: DataFrame, limit: int = 3) -> DataFrame:
+def quality_issues(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Issue rows: high missing columns, duplicate rows, mixed-type columns (issue, detail)."""
     spark = df.sparkSession
     hm = [r["column"] for r in high_missing_columns(df, limit=limit).collect()]
     d = duplicate_rows(df).first()
-    mixed = [r["column"] for r in mixed_type_columns(df).limit(limit).collect()]
+    mixed = [r["column"] for r in mixed_type_columns(df).collect()][:limit]
     rows = []
     if hm:
         rows.append(("high_missing", ISSUE_HIGH_MISSING.format(cols=", ".join(hm))))
@@ -312,7 +322,7 @@ def quality_issues(df: DataFrame, limit: int = 3) -> DataFrame:
     return spark.createDataFrame(rows, "issue string, detail string")
 
 
-def numeric_profile(df: DataFrame, columns=None, limit: int = 10, accuracy: int | None = None) -> DataFrame:
+def numeric_profile(df: DataFrame, columns=None, limit: int | None = None, accuracy: int | None = None) -> DataFrame:
     """mean, sample std, bias-corrected skewness and excess kurtosis, IQR-outlier count.
 
     Pass 1: moments and quartiles for every column; pass 2: one aggregate counts values
@@ -324,10 +334,7 @@ def numeric_profile(df: DataFrame, columns=None, limit: int = 10, accuracy: int
     x = {c: F.col(_q(c)).cast("double") for c in cols}
     moments = central_moments(df, cols)
     desc = {c: describe_moments(moments[c]) for c in cols}
-    n_max = max(moments[c]["n"] for c in cols)
-    # the non-null count bounds the distinct count: no sketch pass needed below the threshold
-    qt = quantile_table(df, cols, [0.25, 0.75], accuracy=accuracy,
-                        ndv=n_max if n_max <= MAX_DISTINCT_FOR_AGGREGATE else None)
+    qt = quantile_table(df, cols, [0.25, 0.75], accuracy=accuracy)
     counts = {}
     for c in cols:
         q1, q3 = qt[c]
@@ -343,7 +350,7 @@ def numeric_profile(df: DataFrame, columns=None, limit: int = 10, accuracy: int
         recs, "column string, position int, mean double, std double, skewness double, kurtosis double, outliers_count long")
 
 
-def categorical_profile(df: DataFrame, columns=None, limit: int = 10) -> DataFrame:
+def categorical_profile(df: DataFrame, columns=None, limit: int | None = None) -> DataFrame:
     """unique values, most frequent (count desc, value asc), cardinality ratio per string column."""
     cols = (list(columns) if columns else categorical_columns(df))[:limit]
     if not cols:
@@ -421,38 +428,33 @@ def corr_matrix(df: DataFrame, columns=None) -> DataFrame:
         out, "column1 string, column2 string, pos1 int, pos2 int, correlation double")
 
 
-def corr_high_pairs(df: DataFrame, columns=None, threshold: float = HIGH_CORR_P, top: int | None = 3,
+def corr_high_pairs(df: DataFrame, columns=None, threshold: float = HIGH_CORR, top: int | None = None,
                     max_columns: int | None = None) -> DataFrame:
-    """Pairs (column1 < column2 by name) with |r| > threshold and r != 1, strongest first.
-
-    P rule: threshold 0.8, top 3, all numeric columns; U rule: threshold 0.7, first 8 numeric,
-    all pairs (top=None).
-    """
+    """Pairs (column1 < column2 by name) with |r| > threshold, strongest first (``top`` of them if given)."""
     cols = list(columns) if columns else numeric_columns(df)
     if max_columns:
         cols = cols[:max_columns]
     cm = corr_matrix(df, cols)
-    pairs = cm.where((F.col("column1") < F.col("column2")) & (F.abs("correlation") > threshold)
-                     & (F.col("correlation") != 1.0))
+    pairs = cm.where((F.col("column1") < F.col("column2")) & (F.abs("correlation") > threshold))
     pairs = pairs.select("column1", "column2", "correlation").orderBy(F.desc(F.abs("correlation")), "column1", "column2")
     return pairs.limit(top) if top else pairs
 
 
-def eda_insights(df: DataFrame, threshold: float = HIGH_CORR_P) -> DataFrame:
-    """Insight text rows (kind, insight): high correlations (top 3) or none, high-missing
+def eda_insights(df: DataFrame, threshold: float = HIGH_CORR, top: int | None = None) -> DataFrame:
+    """Insight text rows (kind, insight): high correlations (``top`` or all) or none, high-missing
     columns, the number of numeric features, and a missing-data flag."""
     spark = df.sparkSession
     rows = []
     nums = numeric_columns(df)
     if len(nums) >= 2:
-        pairs = corr_high_pairs(df, nums, threshold, 3).collect()
+        pairs = corr_high_pairs(df, nums, threshold, top).collect()
         if pairs:
             for r in pairs:
                 rows.append(("correlation", MSG_HIGH_CORR.format(a=r["column1"], b=r["column2"], r=r["correlation"])))
         else:
             rows.append(("correlation", MSG_NO_CORR))
     missing = missing_by_column(df).orderBy("position").collect()  # one row per column
-    hm = [r["column"] for r in missing if r["missing_pct"] is not None and r["missing_pct"] > HIGH_MISSING_SHARE * 100][:3]
+    hm = [r["column"] for r in missing if r["missing_pct"] is not None and r["missing_pct"] > HIGH_MISSING_SHARE * 100]
     if hm:
         rows.append(("missing", MSG_HIGH_MISSING.format(cols=", ".join(hm))))
     if nums:
@@ -464,7 +466,8 @@ def eda_insights(df: DataFrame, threshold: float = HIGH_CORR_P) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, insight string")
 
 
-def profile_report(df: DataFrame, num_limit: int = 10, cat_limit: int = 10, corr_columns: int = 8) -> DataFrame:
+def profile_report(df: DataFrame, num_limit: int | None = None, cat_limit: int | None = None,
+                   corr_columns: int | None = None) -> DataFrame:
     """Basic info, numeric and categorical analysis and high correlations as one long table
     (section, column, metric, num_value, str_value)."""
     spark = df.sparkSession
@@ -494,7 +497,7 @@ def profile_report(df: DataFrame, num_limit: int = 10, cat_limit: int = 10, corr
             F.struct(F.lit("cardinality_ratio").alias("metric"), F.col("cardinality_ratio").alias("num_value"),
                      F.lit(None).cast("string").alias("str_value")))).alias("_m")).select("section", "column", "_m.*"))
     if len(numeric_columns(df)) >= 2:
-        hp = corr_high_pairs(df, threshold=HIGH_CORR_U, top=None, max_columns=corr_columns)
+        hp = corr_high_pairs(df, threshold=REPORTED_CORR, max_columns=corr_columns)
         parts.append(hp.select(F.lit("correlations").alias("section"),
                                F.concat_ws(" | ", "column1", "column2").alias("column"),
                                F.lit("correlation").alias("metric"), F.col("correlation").alias("num_value"),

@@ -6,6 +6,8 @@ Doubles are rounded exactly as the Spark side rounds them (``R(expr, d)``).
 
 from __future__ import annotations
 
+from itertools import combinations
+
 ORACLE: dict[str, str] = {}
 
 LINEITEM_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -76,7 +78,7 @@ SELECT total_rows, kept_rows, round((1 - kept_rows / total_rows) * 100, 4) AS re
   FROM lineitem)"""
 
 
-def _filter_options(tab, cats, nums, many=50, cap=20):
+def _filter_options(tab, cats, nums):
     pairs = union([f"SELECT DISTINCT '{c}' AS col, CAST({c} AS VARCHAR) AS v FROM {tab} WHERE {c} IS NOT NULL"
                    for c in cats])
     mm = union([f"SELECT '{c}' AS \"column\", 'min' AS kind, CAST(1 AS BIGINT) AS pos, CAST(NULL AS VARCHAR) AS str_value, "
@@ -85,14 +87,20 @@ def _filter_options(tab, cats, nums, many=50, cap=20):
                 for c in nums])
     return f"""
 WITH pairs AS ({pairs}),
-ndv AS (SELECT col, count(*) AS ndv FROM pairs GROUP BY col),
 ranked AS (SELECT col, v, row_number() OVER (PARTITION BY col ORDER BY v) AS pos FROM pairs)
 SELECT r.col AS "column", 'value' AS kind, CAST(r.pos AS BIGINT) AS pos, r.v AS str_value, CAST(NULL AS DOUBLE) AS num_value
-FROM ranked r JOIN ndv n ON r.col = n.col WHERE n.ndv <= {many} OR r.pos <= {cap}
+FROM ranked r
 UNION ALL
 {mm}"""
 
 
+ORACLE["sample_rows"] = """SELECT * FROM orders
+ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '|42'), o_orderkey LIMIT 100"""
+ORACLE["filter_in_many"] = "SELECT * FROM customer WHERE c_custkey BETWEEN 1 AND 60"
+ORACLE["filter_wide_state"] = """SELECT *, l_quantity > 25 AS l_big, """ + ", ".join(
+    f"CAST((l_orderkey + {k}) % 5 AS VARCHAR) AS s{k}" for k in range(12)) + """
+FROM lineitem WHERE (l_orderkey + 11) % 5 IN (1, 3) AND l_quantity > 25"""
+ORACLE["filter_compare_long"] = "SELECT * FROM (SELECT l_linenumber, 9007199254740990 + l_orderkey AS k FROM lineitem) WHERE k = 9007199254740993"
 ORACLE["filter_options"] = _filter_options("part", ["p_name", "p_brand", "p_type"],
                                            ["p_partkey", "p_size", "p_retailprice"])
 ORACLE["dropna_rows"] = f"""WITH {LM} SELECT * FROM lm
@@ -144,7 +152,7 @@ SELECT CAST(sum(missing_count) AS BIGINT) AS missing_cells, CAST(max(n) * {len(L
        {R(f'sum(missing_count) * 100.0 / (max(n) * {len(LM_COLS)})')} AS missing_pct FROM m"""
 ORACLE["high_missing_columns"] = MISSING_LM + f"""
 SELECT "column", missing_count, {R('missing_count * 100.0 / n')} AS missing_pct FROM m
-WHERE missing_count * 100.0 / n > 50 ORDER BY position LIMIT 3"""
+WHERE missing_count * 100.0 / n > 50 ORDER BY position"""
 ORACLE["duplicate_rows"] = """
 SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_rows, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_rows
 FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus, l_quantity)"""
@@ -215,7 +223,7 @@ SELECT {R('greatest(0.0, least(100.0, 100.0 - missing_ratio * 30 - duplicate_rat
 FROM b"""
 
 ORACLE["quality_issues"] = MISSING_LM + f""",
-hm AS (SELECT "column", position FROM m WHERE missing_count * 100.0 / n > 50 ORDER BY position LIMIT 3),
+hm AS (SELECT "column", position FROM m WHERE missing_count * 100.0 / n > 50),
 d AS (SELECT coalesce(sum(n - 1), 0) AS dups, coalesce(sum(n), 0) AS total
       FROM (SELECT count(*) AS n FROM lm GROUP BY {', '.join(LM_COLS)}))
 SELECT 'high_missing' AS issue, 'High missing data (>50%): ' || string_agg("column", ', ' ORDER BY position) AS detail
@@ -275,7 +283,7 @@ def _high_pairs(cte, tab, cols, threshold, top, d=6):
             parts.append(f"SELECT '{x}' AS column1, '{y}' AS column2, corr(CAST({x} AS DOUBLE), CAST({y} AS DOUBLE)) AS r FROM {tab}")
     lim = f" LIMIT {top}" if top else ""
     return (f"WITH {cte}, " if cte else "WITH ") + f"""p AS ({union(parts)})
-SELECT column1, column2, {R('r', d)} AS correlation FROM p WHERE abs(r) > {threshold} AND r <> 1.0
+SELECT column1, column2, {R('r', d)} AS correlation FROM p WHERE abs(r) > {threshold}
 ORDER BY abs(r) DESC, column1, column2{lim}"""
 
 
@@ -290,9 +298,9 @@ _MISS_LMG = union([f"SELECT '{c}' AS col, {i} AS position, avg(CASE WHEN {c} IS
 ORACLE["eda_insights"] = f"""WITH {LMG},
 p AS ({union([f"SELECT '{min(a, b)}' AS column1, '{max(a, b)}' AS column2, corr({min(a, b)}, {max(a, b)}) AS r FROM lmg"
                for i, a in enumerate(_LMG_NUM) for b in _LMG_NUM[i + 1:]])}),
-hp AS (SELECT * FROM p WHERE abs(r) > 0.8 AND r <> 1.0 ORDER BY abs(r) DESC, column1, column2 LIMIT 3),
+hp AS (SELECT * FROM p WHERE abs(r) > 0.8),
 ms AS ({_MISS_LMG}),
-hm AS (SELECT col, position FROM ms WHERE share > 0.5 ORDER BY position LIMIT 3)
+hm AS (SELECT col, position FROM ms WHERE share > 0.5)
 SELECT 'correlation' AS kind, 'High correlation: ' || column1 || ' ↔ ' || column2 || ' (' || printf('%.3f', r) || ')' AS insight FROM hp
 UNION ALL
 SELECT 'correlation', 'No strong correlations found' WHERE (SELECT count(*) FROM hp) = 0
@@ -317,7 +325,7 @@ LD_NUMERIC = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_tax
 LD_DOUBLES = ["l_quantity", "l_extendedprice", "l_tax", "l_discount", "l_spiky"]
 
 
-def _suggest(cte, tab, cols, strings, nums, limit=10):
+def _suggest(cte, tab, cols, strings, nums):
     cands = []
     for i, c in enumerate(cols):
         share = f"(SELECT CAST(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS DOUBLE) / count(*) FROM {tab})"
@@ -340,7 +348,7 @@ def _suggest(cte, tab, cols, strings, nums, limit=10):
                          f"'medium', 1, {i}, 3 WHERE {zs} > 0.05")
     return f"""WITH {cte}, cand AS ({union(cands)})
 SELECT CAST(row_number() OVER (ORDER BY sev, pos, tr) AS INTEGER) AS rank, type, col AS "column", description, severity
-FROM cand ORDER BY sev, pos, tr LIMIT {limit}"""
+FROM cand ORDER BY sev, pos, tr"""
 
 
 ORACLE["suggest_cleaning"] = _suggest(LD, "ld", LD_COLS, LD_STRINGS, LD_NUMERIC)
@@ -465,11 +473,7 @@ def _poly(cols):
 
 
 def _inter(cols):
-    out = []
-    for i, a in enumerate(cols[:3]):
-        for b in cols[i + 1:4]:
-            out.append(f"{R(f'{a} * {b}')} AS {a}_x_{b}")
-    return ", ".join(out)
+    return ", ".join(f"{R(f'{a} * {b}')} AS {a}_x_{b}" for a, b in combinations(cols, 2))
 
 
 def _bins(cols, tab):
@@ -482,7 +486,7 @@ def _bins(cols, tab):
 
 
 ORACLE["feat_polynomial"] = f"WITH {LF} SELECT {_select_rounded(LF_COLS, LF_DOUBLES)}, " \
-                            f"{_poly(['l_quantity', 'l_extendedprice', 'l_discount'])} FROM lf"
+                            f"{_poly(LF_DOUBLES)} FROM lf"
 ORACLE["feat_interactions"] = f"WITH {LF} SELECT {_select_rounded(LF_COLS, LF_DOUBLES)}, {_inter(LF_DOUBLES)} FROM lf"
 ORACLE["feat_bins"] = f"WITH {LF} SELECT {_select_rounded(LF_COLS, LF_DOUBLES)}, {_bins(LF_DOUBLES, 'lf')} FROM lf"
 _FE = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -529,10 +533,18 @@ SELECT f.l_returnflag, {R('q1')} AS q1, {R('median')} AS median, {R('q3')} AS q3
   CAST(sum(CASE WHEN l_extendedprice >= lower_fence AND l_extendedprice <= upper_fence THEN 0 ELSE 1 END) AS BIGINT) AS outliers
 FROM lineitem l JOIN f ON l.l_returnflag = f.l_returnflag
 GROUP BY f.l_returnflag, q1, median, q3, lower_fence, upper_fence"""
+ORACLE["chart_box_null_groups"] = f"""WITH b AS (SELECT CASE WHEN l_linenumber > 2 THEN NULL ELSE l_linenumber END AS g, l_extendedprice AS v FROM lineitem),
+q AS (SELECT g, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM b GROUP BY g),
+f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM q)
+SELECT f.g, {R('q1')} AS q1, {R('median')} AS median, {R('q3')} AS q3, {R('lower_fence')} AS lower_fence, {R('upper_fence')} AS upper_fence,
+  {R('min(CASE WHEN v >= lower_fence AND v <= upper_fence THEN v END)')} AS whisker_low,
+  {R('max(CASE WHEN v >= lower_fence AND v <= upper_fence THEN v END)')} AS whisker_high,
+  CAST(sum(CASE WHEN v >= lower_fence AND v <= upper_fence THEN 0 ELSE 1 END) AS BIGINT) AS outliers
+FROM b JOIN f ON b.g IS NOT DISTINCT FROM f.g GROUP BY f.g, q1, median, q3, lower_fence, upper_fence"""
 ORACLE["chart_violin"] = f"""WITH st AS (SELECT l_linestatus, min(l_discount) AS lo, max(l_discount) AS hi,
     stddev_samp(l_discount) AS sd, count(*) AS n FROM lineitem GROUP BY l_linestatus),
 st2 AS (SELECT *, sd * pow(CAST(n AS DOUBLE), -0.2) AS h FROM st WHERE sd * pow(CAST(n AS DOUBLE), -0.2) > 0),
-st3 AS (SELECT *, CAST(least(100000, greatest(1, ceil((hi - lo) / h * 10))) AS INTEGER) AS nb FROM st2),
+st3 AS (SELECT *, CAST(greatest(1, ceil((hi - lo) / h * 10)) AS BIGINT) AS nb FROM st2),
 st4 AS (SELECT *, (hi - lo) / nb AS w FROM st3),
 hist AS (SELECT s.l_linestatus, s.lo, s.hi, s.n, s.h, s.w,
            CAST(least(s.nb - 1, floor((l.l_discount - s.lo) / s.w)) AS INTEGER) AS bin, count(*) AS cnt
@@ -543,6 +555,15 @@ g AS (SELECT hist.*, lo + (bin + 0.5) * w AS c, p.point, lo + p.point * ((hi - l
 SELECT l_linestatus, CAST(point AS INTEGER) AS point, {R('y')} AS y,
   {R('sum(cnt * exp(-0.5 * ((y - c) / h) * ((y - c) / h)) / sqrt(2 * pi())) / (n * h)')} AS density
 FROM g GROUP BY l_linestatus, point, y, n, h"""
+ORACLE["train_test_split"] = """WITH u AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity,
+    CAST(CAST('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR) || '|42'), 1, 12) AS BIGINT) AS DOUBLE)
+      / 281474976710656.0 AS u FROM lineitem),
+c AS (SELECT l_returnflag AS s, quantile_cont(u, 0.2) AS cut FROM u GROUP BY 1)
+SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity, CASE WHEN u <= cut THEN 'test' ELSE 'train' END AS split
+FROM u JOIN c ON l_returnflag = s"""
+ORACLE["chart_scatter"] = "SELECT l_quantity, l_extendedprice, l_returnflag FROM lineitem"
+ORACLE["chart_map"] = """SELECT c_custkey, CAST(c_custkey % 180 - 90 AS DOUBLE) AS latitude,
+  CAST(c_nationkey * 14 - 175 AS DOUBLE) AS longitude, c_acctbal FROM customer"""
 ORACLE["chart_pie"] = f"""SELECT l_returnflag, {R('sum(l_extendedprice)', 2)} AS value,
   {R('sum(l_extendedprice) / (SELECT sum(l_extendedprice) FROM lineitem)')} AS share
 FROM lineitem GROUP BY l_returnflag"""
@@ -658,7 +679,7 @@ FROM g JOIN d ON g.l_returnflag = d.l_returnflag""".replace("ALL_COLS", ", ".joi
 
 
 def _profile_report(d=4):
-    cols = [c for c in LM_COLS if c != "l_shipdate"]
+    cols = LM_COLS
     nums = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_tax", "l_discount"]
     cats = ["l_returnflag", "l_linestatus"]
     cells = " + ".join(f"(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)" for c in cols)
@@ -688,8 +709,8 @@ def _profile_report(d=4):
     pairs = union([f"SELECT '{a}' AS c1, '{b}' AS c2, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS r FROM p"
                    for i, a in enumerate(nums) for b in nums[i + 1:]])
     parts.append(f"SELECT 'correlations', c1 || ' | ' || c2, 'correlation', {R('r', d)}, {nul} FROM ({pairs}) "
-                 f"WHERE abs(r) > 0.7 AND r <> 1.0")
-    return f"WITH {LM}, p AS (SELECT * EXCLUDE (l_shipdate) FROM lm)\n" + union(parts)
+                 f"WHERE abs(r) > 0.7")
+    return f"WITH {LM}, p AS (SELECT * FROM lm)\n" + union(parts)
 
 
 ORACLE["profile_report"] = _profile_report()

@@ -73,6 +73,25 @@ def q_filter_in(spark, sf):
     return flt.filter_in(df, "l_returnflag", ["A", "None"])
 
 
+@register("filter_in_many")
+def q_filter_in_many(spark, sf):
+    return flt.filter_in(table(spark, sf, "customer"), "c_custkey", range(1, 61))
+
+
+@register("filter_wide_state")
+def q_filter_wide_state(spark, sf):
+    li = table(spark, sf, "lineitem").withColumn("l_big", F.col("l_quantity") > 25)
+    for k in range(12):
+        li = li.withColumn(f"s{k}", ((F.col("l_orderkey") + k) % 5).cast("string"))
+    return flt.filter_conjunction(li, {"filter_s11": ["1", "3"], "filter_l_big": [True]})
+
+
+@register("filter_compare_long")
+def q_filter_compare_long(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_linenumber", (F.lit(9007199254740990) + F.col("l_orderkey")).alias("k"))
+    return flt.filter_compare(li, "k", "=", 9007199254740993)
+
+
 @register("filter_range")
 def q_filter_range(spark, sf):
     return flt.filter_range(table(spark, sf, "lineitem"), "l_quantity", 10, 20)
@@ -211,8 +230,7 @@ def q_eda_insights(spark, sf):
 
 @register("profile_report")
 def q_profile_report(spark, sf):
-    df = lineitem_missing(spark, sf).drop("l_shipdate")
-    return rounded(prof.profile_report(df), 4)
+    return rounded(prof.profile_report(lineitem_missing(spark, sf)), 4)
 
 
 # ------------------------------------------------------------------ 2.5 cleaning
@@ -322,7 +340,7 @@ def q_remove_outliers_iqr(spark, sf):
 
 # ------------------------------------------------------------------ 2.7 features
 
-SQUARED_DIGITS = {f"{c}_squared": 2 for c in ("l_quantity", "l_extendedprice", "l_discount")}
+SQUARED_DIGITS = {f"{c}_squared": 2 for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")}
 
 
 @register("feat_polynomial")
@@ -402,6 +420,13 @@ def q_chart_box(spark, sf):
     return rounded(ch.chart_box(table(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag"), 6)
 
 
+@register("chart_box_null_groups")
+def q_chart_box_null_groups(spark, sf):
+    li = table(spark, sf, "lineitem").select(F.when(F.col("l_linenumber") <= 2, F.col("l_linenumber")).alias("g"),
+                                             F.col("l_extendedprice").alias("v"))
+    return rounded(ch.chart_box(li, "v", "g"), 6)
+
+
 @register("chart_violin")
 def q_chart_violin(spark, sf):
     return rounded(ch.chart_violin(table(spark, sf, "lineitem"), "l_discount", "l_linestatus"))

@@ -1,8 +1,9 @@
 """Session construction and the shared scratch location.
 
 On a cluster the checkpoint directory is whatever the deployment names in
-``spark.checkpoint.dir`` (a shared, fault-tolerant file system).  We only pick a
-directory ourselves when that setting is absent, which happens in local tests.
+``spark.checkpoint.dir`` (a shared, fault-tolerant file system); a missing setting is an
+error there.  Only a ``local`` master, where every task sees the driver's disk, gets a
+folder of its own.
 """
 
 from __future__ import annotations
@@ -48,8 +49,8 @@ def get_session(master: str | None = None, app_name: str = "tabsense",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, registering it with the SparkContext.
 
-    Reads ``spark.checkpoint.dir`` from the session.  Only when it is unset (local
-    tests) a fresh folder under the system temp dir is created and used.
+    Reads ``spark.checkpoint.dir`` from the session.  Where it is unset, a ``local``
+    master gets a fresh folder under the system temp dir and any other an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -57,6 +58,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tabsense-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)

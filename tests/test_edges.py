@@ -177,7 +177,6 @@ def test_awkward_column_names(spark):
     assert filters.filter_in(df, "seg.name", ["a"]).count() == 2
     assert filters.filter_range(df, "unit price", 1.5, 3).count() == 2
     assert quantile_table(df, ["unit price"], [0.5])["unit price"] == [2.5]
-    assert quantile_table(df, ["unit price"], [0.5], method="distributed")["unit price"] == [2.5]
     npf = {r["column"] for r in profile.numeric_profile(df).collect()}
     assert npf == {"unit price", "q (x)"}
     assert profile.categorical_profile(df).first()["most_frequent"] == "a"
