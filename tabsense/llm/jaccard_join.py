@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabsense.llm.common import as_bytes, mix64, n_tasks, spill
 
@@ -313,12 +313,17 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _place() -> Column:
+    """A document's place in its class: by id, null ids last, then by hash of the text."""
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("text_hash"))
+
+
 def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id",
                       text: str = "text") -> DataFrame:
     """One row per document: ``doc_id, text_hash, class_id, n_links, n_copies, is_first``.
 
     ``n_links`` counts the other documents whose similarity reaches ``threshold``, copies included;
-    ``class_id`` is the least id of the documents that links connect; ``is_first`` marks the class's
+    ``class_id`` is the least id of the documents that links connect (null if none has an id); ``is_first`` marks the class's
     first document (by id, then hash of the text).
     """
     spark = docs.sparkSession
@@ -327,7 +332,7 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str
     chosen = chosen.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     sketch = spill(sketches(chosen), "sketch")
     nodes = spill(sketch.groupBy("node").agg(F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"),
-                                             F.min(F.struct("doc_id", "text_hash")).alias("first"),
+                                             F.min(_place()).alias("first"),
                                              F.first("bands").alias("bands")), "nodes")
     wanted = nodes.drop("bands", "n_shingles").join(shared_buckets(nodes), "node").select(
         "node", "copies", "buckets", F.col("first.doc_id").alias("of_doc"), F.col("first.text_hash").alias("of_text"))
@@ -353,4 +358,4 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str
     return sketch.select("doc_id", "text_hash", "node").join(verdict, "node").select(
         "doc_id", "text_hash", F.col("class_first.doc_id").alias("class_id"), "n_links",
         F.col("copies").alias("n_copies"),
-        F.struct("doc_id", "text_hash").eqNullSafe(F.col("class_first")).alias("is_first"))
+        _place().eqNullSafe(F.col("class_first")).alias("is_first"))
