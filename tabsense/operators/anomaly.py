@@ -223,7 +223,7 @@ def anomaly_isolation_forest(df: DataFrame, features=None, contamination: float
     bc = spark.sparkContext.broadcast((packed, float(_c([psi])[0])))
 
     @F.pandas_udf("double")
-    def score(*features: pd.Series) -> pd.Series:
+    def score(*features):
         forest_arrays, c_psi = bc.value
         x = np.column_stack([f.to_numpy(dtype=float) for f in features])
         total = np.zeros(len(x))

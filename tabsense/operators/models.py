@@ -43,10 +43,8 @@ TUNE_FOLDS = 3
 MLP_TOL = 1e-4
 FIT_THREADS = 4  # concurrent Spark jobs for independent fits (CV folds, compared models)
 MIN_ROWS = 10
-OUTLIER_MIN_ROWS = 100
 OUTLIER_CONTAMINATION = 0.05
-SELECT_K = 20
-SELECT_MIN_FEATURES = 50
+PARTIALS_AT_ONCE = 64  # per-partition gradients that reach the driver; more are summed in tasks first
 
 
 def prepare(df: DataFrame, features, label: str, task: str, key_cols=None, seed: int = DEFAULT_SEED,
@@ -56,8 +54,8 @@ def prepare(df: DataFrame, features, label: str, task: str, key_cols=None, seed:
 
     The needed columns of the labelled rows are materialized once (checkpoint in the shared
     folder); the statistics passes, encodings and the final training frame read from it.
-    ``remove_outliers``: above 100 rows, drop the rows an Isolation Forest (contamination 0.05)
-    flags on the prepared features, before the split.
+    ``remove_outliers``: drop the rows an Isolation Forest (contamination 0.05) flags on the
+    prepared features, before the split.
     """
     feats = list(features)
     keys = list(key_cols) if key_cols else feats + [label]
@@ -78,7 +76,7 @@ def prepare(df: DataFrame, features, label: str, task: str, key_cols=None, seed:
     fill = {c: (check[c] if c in nums and check[c] is not None else 0.0) for c in feats}
     data = data.select(*[F.col(f"`{c}`") for c in data.columns if c not in feats],
                        *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(fill[c])).alias(c) for c in feats])
-    if remove_outliers and check["__n"] > OUTLIER_MIN_ROWS:
+    if remove_outliers:
         from tabsense.operators.anomaly import anomaly_isolation_forest
         flagged = anomaly_isolation_forest(data, feats, contamination=OUTLIER_CONTAMINATION, key_cols=keys)
         data = flagged.where(~F.col("is_anomaly")).drop("is_anomaly", "anomaly_score")
@@ -133,32 +131,46 @@ def _evaluate(pred: DataFrame, task: str, n_classes: int | None = None) -> DataF
                                  ", ".join(f"{k} double" for k in values))
 
 
-def random_forest(df: DataFrame, features, label: str, task: str = "regression", n_trees: int = RF_TREES,
-                  max_depth: int = RF_DEPTH, min_instances: int = 1, seed: int = DEFAULT_SEED, key_cols=None,
-                  remove_outliers: bool = False, select_k: int | None = SELECT_K):
-    """Fit on the train split, evaluate on the test split.  With more than 50 features, only the
-    ``select_k`` best by univariate F statistic (on the train split) are used.
-    Returns (metrics (model, metric, value), fitted PipelineModel, feature names)."""
+def fit_forest(prepared: tuple[DataFrame, list[str]], task: str, n_trees: int = RF_TREES, max_depth: int = RF_DEPTH,
+               min_instances: int = 1, seed: int = DEFAULT_SEED, select_k: int | None = None):
+    """Fit a forest on the train split of a prepared frame; returns (PipelineModel, feature names).
+
+    ``select_k`` keeps that many features, the best by univariate F statistic on the train split.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.regression import RandomForestRegressor
-    data, feats = prepare(df, features, label, task, key_cols, seed, remove_outliers=remove_outliers)
-    if select_k and len(feats) > SELECT_MIN_FEATURES:
-        chosen = select_k_best(data.where("split = 'train'"), feats, "_label", k=select_k,
-                               min_features=SELECT_MIN_FEATURES, classification=task == "classification")
+    data, feats = prepared
+    train = data.where("split = 'train'")
+    if select_k:
+        chosen = select_k_best(train, feats, "_label", k=select_k, classification=task == "classification")
         keep = {r["feature"] for r in chosen.where("selected").collect()}  # one row per feature
         feats = [f for f in feats if f in keep]
     est_cls = RandomForestRegressor if task == "regression" else RandomForestClassifier
     est = est_cls(featuresCol="_features", labelCol="_label", numTrees=n_trees, maxDepth=max_depth,
                   minInstancesPerNode=min_instances, featureSubsetStrategy=FEATURE_SUBSET[task], seed=seed)
-    model = Pipeline(stages=_assemble(data, feats) + [est]).fit(data.where("split = 'train'"))
-    pred = model.transform(data.where("split = 'test'"))
+    return Pipeline(stages=_assemble(data, feats) + [est]).fit(train), feats
+
+
+def forest_test_metrics(model, data: DataFrame, task: str) -> DataFrame:
+    """One wide metrics row of a fitted forest on the test split."""
     n_classes = None if task == "regression" else int(model.stages[-1].numClasses)
-    return met.metrics_long(_evaluate(pred, task, n_classes), "RandomForest"), model, feats
+    return _evaluate(model.transform(data.where("split = 'test'")), task, n_classes)
 
 
-def feature_importance(model, feats, top: int = 10):
-    """(feature, importance) of a fitted forest, top ``top`` descending."""
+def random_forest(df: DataFrame, features, label: str, task: str = "regression", n_trees: int = RF_TREES,
+                  max_depth: int = RF_DEPTH, min_instances: int = 1, seed: int = DEFAULT_SEED, key_cols=None,
+                  remove_outliers: bool = False, select_k: int | None = None, test_fraction: float | str = 0.2,
+                  prepared: tuple[DataFrame, list[str]] | None = None):
+    """Fit on the train split, evaluate on the test split.
+    Returns (metrics (model, metric, value), fitted PipelineModel, feature names)."""
+    prepared = prepared or prepare(df, features, label, task, key_cols, seed, test_fraction, remove_outliers)
+    model, feats = fit_forest(prepared, task, n_trees, max_depth, min_instances, seed, select_k)
+    return met.metrics_long(forest_test_metrics(model, prepared[0], task), "RandomForest"), model, feats
+
+
+def feature_importance(model, feats, top: int | None = None):
+    """(feature, importance) of a fitted forest, descending (the first ``top`` if given)."""
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     imp = model.stages[-1].featureImportances.toArray()
@@ -168,8 +180,11 @@ def feature_importance(model, feats, top: int = 10):
 
 def rf_tuned(df: DataFrame, features, label: str, task: str = "regression", draws: int = TUNE_DRAWS,
              folds: int = TUNE_FOLDS, seed: int = DEFAULT_SEED, key_cols=None) -> DataFrame:
-    """Seeded random search over the grid with k-fold cross-validation on the train split.
-    Returns per draw: parameters, mean / std / min of the fold score (r2 or weighted f1)."""
+    """Seeded random search over the grid with k-fold cross-validation on the train split; the draw
+    with the best mean score is fitted again on the whole train split and tested.
+
+    Returns per draw: parameters, mean / std / min of the fold score (r2 or weighted f1),
+    ``is_best``, and for the best draw its score on the test split (else NULL)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
@@ -201,18 +216,23 @@ def rf_tuned(df: DataFrame, features, label: str, task: str = "regression", draw
     for i, (t, d, m) in enumerate(picks):
         sc = scores[i * folds:(i + 1) * folds]
         rows.append((t, d, m, float(np.mean(sc)), float(np.std(sc)), float(np.min(sc))))
+    best = max(range(len(rows)), key=lambda i: rows[i][3])
+    t, d, m = picks[best]
+    model, _ = fit_forest((data, feats), task, t, d, m, seed)
+    score = forest_test_metrics(model, data, task).first()["r2" if task == "regression" else "f1"]
+    rows = [(*r, i == best, score if i == best else None) for i, r in enumerate(rows)]
     spark = df.sparkSession
     return spark.createDataFrame(rows, "num_trees int, max_depth int, min_instances int, cv_mean double, "
-                                       "cv_std double, cv_min double")
+                                       "cv_std double, cv_min double, is_best boolean, test_score double")
 
 
 def mlp_classification(df: DataFrame, features, label: str, hidden=MLP_HIDDEN, max_iter: int = MLP_MAX_ITER,
-                       seed: int = DEFAULT_SEED, key_cols=None):
+                       seed: int = DEFAULT_SEED, key_cols=None, prepared: tuple[DataFrame, list[str]] | None = None):
     """spark.ml multilayer perceptron (sigmoid hidden layers, L-BFGS) on standardized features.
     Returns (metrics, fitted PipelineModel)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import MultilayerPerceptronClassifier
-    data, feats = prepare(df, features, label, "classification", key_cols, seed)
+    data, feats = prepared or prepare(df, features, label, "classification", key_cols, seed)
     n_classes = int(data.agg(F.max("_label")).first()[0]) + 1
     est = MultilayerPerceptronClassifier(featuresCol="_features", labelCol="_label",
                                          layers=[len(feats), *hidden, max(n_classes, 2)], maxIter=max_iter,
@@ -262,12 +282,12 @@ def _grad(params, x, y):
 
 def mlp_regression(df: DataFrame, features, label: str, hidden=MLP_HIDDEN, max_iter: int = MLP_MAX_ITER,
                    alpha: float = MLP_ALPHA, learning_rate: float = 0.01, patience: int = 10,
-                   seed: int = DEFAULT_SEED, key_cols=None):
-    """ReLU network trained by data-parallel full-batch Adam: each iteration broadcasts the
-    weights, every partition returns its gradient sum (one row of #params numbers), the
-    driver sums P rows and steps.  Early stopping on a 10% hash validation split.
-    Returns (metrics, predictions on the test split, weights)."""
-    data, feats = prepare(df, features, label, "regression", key_cols, seed)
+                   seed: int = DEFAULT_SEED, key_cols=None, prepared: tuple[DataFrame, list[str]] | None = None):
+    """ReLU network trained by data-parallel full-batch Adam: one job an iteration carries the
+    weights to the tasks and sums their gradients and validation errors (in two levels where
+    there are many partitions); the driver gets one sum and steps.  Early stopping on a 10%
+    hash validation split.  Returns (metrics, predictions on the test split, weights)."""
+    data, feats = prepared or prepare(df, features, label, "regression", key_cols, seed)
     keys = list(key_cols) if key_cols else feats + [label]
     stats = stats_row(data.where("split = 'train'"),
                       {**{f"m|{c}": F.avg(c) for c in feats}, **{f"s|{c}": F.stddev_pop(c) for c in feats},
@@ -275,41 +295,43 @@ def mlp_regression(df: DataFrame, features, label: str, hidden=MLP_HIDDEN, max_i
     xs = F.array(*[(qcol(c) - F.lit(stats[f"m|{c}"])) / F.lit(stats[f"s|{c}"] or 1.0) for c in feats])
     ym, ys = stats["ym"] or 0.0, stats["ys"] or 1.0
     vsplit = (F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys], F.lit(seed + 7)), F.lit(1000)) < VALIDATION_FRACTION * 1000)
-    prepared = data.select(xs.alias("x"), ((F.col("_label") - F.lit(ym)) / F.lit(ys)).alias("y"), "split",
+    rows = data.select(xs.alias("x"), ((F.col("_label") - F.lit(ym)) / F.lit(ys)).alias("y"), "split",
                            F.when(F.col("split") == "train", F.when(vsplit, "valid").otherwise("fit"))
                             .otherwise("test").alias("role"), "_label")
-    fit = prepared.where("role = 'fit'").select("x", "y").persist()
-    valid = prepared.where("role = 'valid'").select("x", "y").persist()
+    learn = rows.where("role <> 'test'").select("x", "y", (F.col("role") == "fit").alias("fit")).persist()
     sizes = [len(feats), *hidden, 1]
     params = _init_params(sizes, seed)
-    n_fit = fit.count()
-    n_valid = valid.count()
+    sizes_of = learn.groupBy("fit").count().collect()  # two rows
+    n_fit = sum(r["count"] for r in sizes_of if r["fit"])
+    n_valid = sum(r["count"] for r in sizes_of if not r["fit"])
     shapes = [p.shape for p in params]
+    n_params = int(sum(np.prod(s) for s in shapes))
+    many = learn.rdd.getNumPartitions() > PARTIALS_AT_ONCE
 
-    def grad_job(frame, ps, want_grad):
+    def gradient(ps):
+        """Summed gradient over the fit rows and summed squared error over the validation rows."""
         def part(batches):
-            acc, sse, n = None, 0.0, 0
+            acc, sse = np.zeros(n_params), 0.0
             for pdf in batches:
                 if pdf.empty:
                     continue
-                x = np.stack(pdf["x"].to_numpy())
-                y = pdf["y"].to_numpy(dtype=float)
-                if want_grad:
-                    g, s = _grad(ps, x, y)
-                    flat = np.concatenate([a.ravel() for a in g])
-                    acc = flat if acc is None else acc + flat
-                else:
-                    s = float(((_forward(ps, x)[-1][:, 0] - y) ** 2).sum())
-                sse += s
-                n += len(pdf)
-            yield pd.DataFrame({"g": [acc.tolist() if acc is not None else []], "sse": [sse], "n": [n]})
-        rows = frame.mapInPandas(part, "g array<double>, sse double, n long").collect()  # one row per partition
-        total = None
-        for r in rows:
-            if r["g"]:
-                v = np.asarray(r["g"])
-                total = v if total is None else total + v
-        return total, sum(r["sse"] for r in rows)
+                x, y = np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy(dtype=float)
+                own = pdf["fit"].to_numpy(dtype=bool)
+                if own.any():
+                    acc += np.concatenate([a.ravel() for a in _grad(ps, x[own], y[own])[0]])
+                if not own.all():
+                    sse += float(((_forward(ps, x[~own])[-1][:, 0] - y[~own]) ** 2).sum())
+            yield pd.DataFrame({"g": [acc.tolist()], "sse": [sse]})
+
+        partial = learn.mapInPandas(part, "g array<double>, sse double")
+        if many:
+            from pyspark.ml.functions import array_to_vector, vector_to_array
+            from pyspark.ml.stat import Summarizer
+            summed = partial.groupBy((F.spark_partition_id() % PARTIALS_AT_ONCE).alias("_b")).agg(
+                Summarizer.sum(array_to_vector("g")).alias("g"), F.sum("sse").alias("sse"))
+            partial = summed.select(vector_to_array("g").alias("g"), "sse")
+        found = partial.collect()  # at most PARTIALS_AT_ONCE rows of n_params numbers
+        return np.sum([r["g"] for r in found], axis=0), sum(r["sse"] for r in found)
 
     m_t = [np.zeros_like(p) for p in params]
     v_t = [np.zeros_like(p) for p in params]
@@ -317,9 +339,16 @@ def mlp_regression(df: DataFrame, features, label: str, hidden=MLP_HIDDEN, max_i
     best, best_params, stale, it = np.inf, [p.copy() for p in params], 0, 0
     try:
         for it in range(1, max_iter + 1):
-            flat, _ = grad_job(fit, params, True)
-            if flat is None:
+            if not n_fit:
                 break
+            flat, vsse = gradient(params)
+            if n_valid:  # the error of the weights before this step
+                if not np.isfinite(best) or vsse < best * (1 - 1e-4):
+                    best, best_params, stale = vsse, [p.copy() for p in params], 0
+                else:
+                    stale += 1
+                    if stale >= patience:
+                        break
             grads, off = [], 0
             for shp in shapes:
                 size = int(np.prod(shp))
@@ -333,20 +362,10 @@ def mlp_regression(df: DataFrame, features, label: str, hidden=MLP_HIDDEN, max_i
                 mh = m_t[i] / (1 - b1 ** it)
                 vh = v_t[i] / (1 - b2 ** it)
                 params[i] = params[i] - learning_rate * mh / (np.sqrt(vh) + eps)
-            if n_valid:
-                _, vsse = grad_job(valid, params, False)
-                improved = (not np.isfinite(best)) or vsse < best * (1 - 1e-4)
-                if improved:
-                    best, best_params, stale = vsse, [p.copy() for p in params], 0
-                else:
-                    stale += 1
-                    if stale >= patience:
-                        break
-            else:
+            if not n_valid:
                 best_params = [p.copy() for p in params]
     finally:
-        fit.unpersist()
-        valid.unpersist()
+        learn.unpersist()
     final = best_params
 
     def predict(batches):
@@ -357,7 +376,7 @@ def mlp_regression(df: DataFrame, features, label: str, hidden=MLP_HIDDEN, max_i
             out = _forward(final, x)[-1][:, 0] * ys + ym
             yield pd.DataFrame({"_label": pdf["_label"].to_numpy(dtype=float), "prediction": out})
 
-    pred = prepared.where("role = 'test'").select("x", "_label").mapInPandas(predict, "_label double, prediction double")
+    pred = rows.where("role = 'test'").select("x", "_label").mapInPandas(predict, "_label double, prediction double")
     metrics = met.metrics_long(_evaluate(pred, "regression"), "MLP")
     return metrics, pred, {"params": final, "iterations": it, "converged": it < max_iter}
 
@@ -366,13 +385,15 @@ def model_comparison(df: DataFrame, features, label: str, task: str = "regressio
                      key_cols=None, n_trees: int = RF_TREES, max_iter: int = MLP_MAX_ITER) -> DataFrame:
     """Random forest vs MLP on the same split; (model, metric, value, is_best) with the best
     model by r2 (regression) or weighted f1 (classification)."""
+    prepared = prepare(df, features, label, task, key_cols, seed)
+
     def run_rf():
-        return random_forest(df, features, label, task, n_trees=n_trees, seed=seed, key_cols=key_cols)[0]
+        return random_forest(df, features, label, task, n_trees=n_trees, seed=seed, prepared=prepared)[0]
 
     def run_mlp():
         if task == "regression":
-            return mlp_regression(df, features, label, max_iter=max_iter, seed=seed, key_cols=key_cols)[0]
-        return mlp_classification(df, features, label, max_iter=max_iter, seed=seed, key_cols=key_cols)[0]
+            return mlp_regression(df, features, label, max_iter=max_iter, seed=seed, key_cols=key_cols, prepared=prepared)[0]
+        return mlp_classification(df, features, label, max_iter=max_iter, seed=seed, prepared=prepared)[0]
 
     key = "r2" if task == "regression" else "f1"
     with ThreadPoolExecutor(max_workers=2) as pool:

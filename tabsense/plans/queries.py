@@ -556,10 +556,42 @@ def q_scan_json(spark, sf):
 def q_scan_batch(spark, sf):
     li = table(spark, sf, "lineitem")
     base = scratch_path(spark, "lineitem-batch")
-    li.repartition("l_returnflag").write.partitionBy("l_returnflag").parquet(base)
-    _, per_file = sio.scan_batch(spark, [base])
-    flag = F.regexp_extract("source_file", r"l_returnflag=([^/]+)", 1).alias("l_returnflag")
-    return rounded(per_file.select(flag, "rows", "quality_score"))
+    li.write.partitionBy("l_returnflag").parquet(base)
+    rows, _ = sio.scan_batch(spark, [base])
+    folder = F.regexp_extract("source_file", r"l_returnflag=([^/]+)", 1)
+    per_folder = sio.quality_by(rows.withColumn("_folder", folder).drop("source_file"), "_folder")
+    return rounded(per_folder.withColumnRenamed("_folder", "l_returnflag"))
+
+
+def _mixed_encodings(spark, sf) -> str:
+    """Customers as CSV folders in two encodings: UTF-8 for even nations, ISO-8859-1 for odd ones."""
+    base = scratch_path(spark, "customer-encodings")
+    named = table(spark, sf, "customer").select("c_custkey", F.concat("c_name", F.lit(" né")).alias("c_name"), "c_nationkey")
+    for odd, encoding in ((0, "UTF-8"), (1, "ISO-8859-1")):
+        named.where(F.col("c_nationkey") % 2 == odd).write.option("header", True).option("encoding", encoding) \
+            .csv(f"{base}/{encoding}")
+    return base
+
+
+@register("scan_csv_encodings")
+def q_scan_csv_encodings(spark, sf):
+    base = _mixed_encodings(spark, sf)
+    return sio.scan_csv(spark, [f"{base}/UTF-8", f"{base}/ISO-8859-1"], schema="c_custkey long, c_name string, c_nationkey int")
+
+
+@register("batch_summary")
+def q_batch_summary(spark, sf):
+    base = scratch_path(spark, "batch")
+    for name in ("region", "nation"):
+        table(spark, sf, name).select(F.col(f"{name[0]}_regionkey").alias("k"), F.col(f"{name[0]}_name").alias("v")) \
+            .coalesce(1).write.parquet(f"{base}/{name}")  # 5 and 25 rows at every scale
+    _, per_file = sio.scan_batch(spark, [f"{base}/region", f"{base}/nation"])
+    return rounded(sio.batch_summary(per_file))
+
+
+@register("load_metadata")
+def q_load_metadata(spark, sf):
+    return rounded(sio.load_metadata(lineitem_missing(spark, sf), "lineitem").drop("loaded_at"))
 
 
 @register("sink_csv")
@@ -606,9 +638,8 @@ def q_rf_classification(spark, sf):
 
 @register("feature_importance")
 def q_feature_importance(spark, sf):
-    _, model, feats = mdl.random_forest(table(spark, sf, "part"), PART_FEATURES, "p_retailprice", "regression",
-                                        n_trees=50, key_cols=["p_partkey"])
-    return mdl.feature_importance(model, feats)
+    prepared = mdl.prepare(table(spark, sf, "part"), PART_FEATURES, "p_retailprice", "regression", ["p_partkey"])
+    return mdl.feature_importance(*mdl.fit_forest(prepared, "regression", n_trees=50))
 
 
 @register("rf_tuned")

@@ -12,33 +12,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsense.functions.schema import categorical_columns
+from tabsense.functions.schema import categorical_columns, qcol
 from tabsense.operators.normalize import normalize_table
+from tabsense.operators.profile import quality_score
 
-REPLACEMENT_CHAR = "�"
-FALLBACK_ENCODING = "iso-8859-1"  # accepts every byte, so later fallbacks are never reached
+FALLBACK_ENCODING = "ISO-8859-1"  # accepts every byte and keeps it as one character
 
 
-def _has_replacement(df: DataFrame) -> bool:
-    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if not strings:
-        return False
-    hit = reduce(lambda a, b: a | b, [F.col(f"`{c}`").contains(REPLACEMENT_CHAR) for c in strings])
-    return df.where(hit).limit(1).count() > 0
+def _decoded(df: DataFrame) -> DataFrame:
+    """Strings read as ISO-8859-1, decoded as UTF-8 where their bytes are valid UTF-8.
+
+    The choice is made value by value inside the scan's projection: no file is read twice, one
+    file in another encoding doesn't touch the others, and a literal U+FFFD stays.
+    """
+    def name(column: str) -> str:
+        try:
+            return column.encode(FALLBACK_ENCODING).decode("utf-8")
+        except UnicodeError:
+            return column
+
+    def value(field: T.StructField):
+        c = qcol(field.name)
+        if not isinstance(field.dataType, T.StringType):
+            return c.alias(name(field.name))
+        raw = F.encode(c, FALLBACK_ENCODING).cast("string")
+        return F.when(F.is_valid_utf8(raw), raw).otherwise(c).alias(name(field.name))
+
+    return df.select(*[value(f) for f in df.schema.fields])
 
 
 def scan_csv(spark: SparkSession, path, schema=None, header: bool = True, encoding: str | None = None,
              mode: str = "PERMISSIVE") -> DataFrame:
-    """CSV with header; schema inferred unless given.  Without an explicit ``encoding`` the
-    file is read as UTF-8 and re-read as ISO-8859-1 when undecodable bytes show up as U+FFFD."""
-    def read(enc):
-        r = spark.read.option("header", header).option("mode", mode).option("encoding", enc)
-        r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-        return r.csv(path)
-    if encoding:
-        return read(encoding)
-    df = read("UTF-8")
-    return read(FALLBACK_ENCODING) if _has_replacement(df) else df
+    """CSV with header; schema inferred unless given.  Without an explicit ``encoding`` each
+    value is UTF-8 if its bytes are, else ISO-8859-1."""
+    r = spark.read.option("header", header).option("mode", mode).option("encoding", encoding or FALLBACK_ENCODING)
+    r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
+    return r.csv(path) if encoding else _decoded(r.csv(path))
 
 
 def _starts_with_array(spark: SparkSession, path) -> bool:
@@ -68,6 +77,14 @@ def load_table(spark: SparkSession, path, fmt: str = "parquet", **options) -> Da
     return normalize_table(readers[fmt](spark, path, **options))
 
 
+def load_metadata(df: DataFrame, source: str) -> DataFrame:
+    """One row about a loaded table: source, load time, rows, columns, quality score."""
+    rows = df.agg(F.count(F.lit(1)).alias("rows")).first()["rows"]
+    return quality_score(df).select(
+        F.lit(source).alias("source"), F.current_timestamp().alias("loaded_at"), F.lit(rows).cast("long").alias("rows"),
+        F.lit(len(df.columns)).alias("columns"), "quality_score")
+
+
 def with_source_file(df: DataFrame) -> DataFrame:
     """Add ``source_file`` from the scan's hidden ``_metadata`` column."""
     return df.withColumn("source_file", F.col("_metadata.file_path"))
@@ -93,14 +110,25 @@ def quality_by(df: DataFrame, by: str) -> DataFrame:
     return j.select(by, "rows", F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)).alias("quality_score"))
 
 
-def scan_batch(spark: SparkSession, paths, fmt: str = "parquet", **options) -> tuple[DataFrame, DataFrame]:
+def scan_batch(spark: SparkSession, paths, fmt: str = "parquet", normalize: bool = False,
+               **options) -> tuple[DataFrame, DataFrame]:
     """Read many files in one scan.  Returns (all rows with ``source_file``, per-file
-    (source_file, rows, quality_score))."""
+    (source_file, rows, quality_score)).
+
+    CSV values are decoded as :func:`scan_csv` does; ``normalize`` also cleans names and turns
+    NaN and infinities into NULL, as :func:`load_table` does.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    readers = {"csv": lambda: spark.read.options(header=True, inferSchema=True, **options).csv(paths),
-               "json": lambda: spark.read.options(**options).json(paths),
-               "parquet": lambda: spark.read.options(**options).parquet(*paths)}
-    df = with_source_file(readers[fmt]())
+    if fmt == "csv":
+        raw = spark.read.options(**{"header": True, "inferSchema": True, "encoding": FALLBACK_ENCODING, **options}).csv(paths)
+        files = with_source_file(raw)
+        df = files if "encoding" in options else _decoded(files)
+    else:
+        readers = {"json": lambda: spark.read.options(**options).json(paths),
+                   "parquet": lambda: spark.read.options(**options).parquet(*paths)}
+        df = with_source_file(readers[fmt]())
+    if normalize:
+        df = normalize_table(df)
     return df, quality_by(df, "source_file")
 
 

@@ -23,19 +23,48 @@ def skewed(spark):
 
 
 @pytest.mark.parametrize("parts", [1, 7])
-def test_distributed_quantiles_match_aggregate(spark, skewed, parts):
+def test_quantiles_match_pandas(spark, skewed, parts):
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
     try:
-        probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-        a = {(r["k"], r["prob"]): r["quantile"] for r in
-             quantiles(skewed, ["v"], probs, by=["k"], method="aggregate").collect()}
-        b = {(r["k"], r["prob"]): r["quantile"] for r in
-             quantiles(skewed, ["v"], probs, by=["k"], method="distributed").collect()}
-        assert a.keys() == b.keys()
-        for key in a:
-            assert a[key] == pytest.approx(b[key], abs=1e-12)
+        got = {(r["k"], r["prob"]): r["quantile"] for r in quantiles(skewed, ["v"], probs, by=["k"]).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+    want = skewed.toPandas().groupby("k")["v"].quantile(probs)
+    assert set(got) == set(want.index)
+    for key, value in want.items():
+        assert (got[key] is None and np.isnan(value)) or got[key] == pytest.approx(value, abs=1e-12)
+
+
+@pytest.mark.parametrize("kind", ["int", "double", "string"])
+def test_quantiles_of_null_and_nan_groups(spark, kind):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=40_000).round(3)
+    g = np.arange(40_000) % 4
+    rows = [(None if k == 0 else int(k), float(x)) for k, x in zip(g, v)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    if kind == "double":
+        df = df.select(F.when(F.col("g") == 3, F.lit(float("nan"))).otherwise(F.col("g").cast("double")).alias("g"), "v")
+    else:
+        df = df.select(F.col("g").cast(kind).alias("g"), "v")
+    probs = [0.0, 0.25, 0.5, 0.999, 1.0]
+    got = quantiles(df, ["v"], probs, by=["g"])
+    assert got.columns == ["g", "column", "prob", "quantile"]
+    found = {}
+    for r in got.collect():
+        found.setdefault(str(r["g"]), {})[r["prob"]] = r["quantile"]
+    assert len(found) == 4
+    for k, name in enumerate(["None", *({"int": "1 2 3", "string": "1 2 3", "double": "1.0 2.0 nan"}[kind].split())]):
+        want = np.quantile(v[g == k], probs)
+        assert [found[name][p] for p in probs] == pytest.approx(want.tolist(), abs=1e-12)
+
+
+def test_tree_threshold_at_any_size():
+    from tabsense.operators.anomaly import tree_threshold
+    assert tree_threshold(100, 100) is None
+    for n in (10_000, 10 ** 9, 3 * 10 ** 10, 10 ** 12, 10 ** 15):
+        share = (tree_threshold(n, 256) + 2 ** 63) / 2 ** 64
+        assert share == pytest.approx(512 / n, rel=1e-6)
 
 
 @pytest.mark.parametrize("parts", [1, 7])

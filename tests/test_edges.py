@@ -3,10 +3,11 @@ ties, single class, identical rows, messy column names."""
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabsense.operators import anomaly, clean, features, filters, metrics, normalize, profile
+from tabsense.operators import anomaly, charts, clean, clustering, features, filters, metrics, normalize, profile
 
 
 @pytest.fixture(scope="module")
@@ -225,3 +226,65 @@ def test_approximate_modes_close_to_exact(spark):
     assert abs(e - a) <= max(3, 0.05 * e)
     qs = profile.quality_score(li, approx=True).first()["quality_score"]
     assert qs == pytest.approx(profile.quality_score(li).first()["quality_score"], abs=0.5)
+
+
+def test_all_filter_values_and_columns_count(spark):
+    df = spark.createDataFrame([(str(i), i % 2 == 0, *[str((i + k) % 3) for k in range(12)]) for i in range(60)],
+                               "s string, flag boolean, " + ", ".join(f"c{k} string" for k in range(12)))
+    assert filters.filter_in(df, "s", [str(i) for i in range(60)]).count() == 60
+    assert filters.filter_conjunction(df, {"filter_c11": ["0"]}).count() == 20
+    assert filters.filter_conjunction(df, {"filter_flag": [True]}).count() == 30
+    assert len({r["column"] for r in profile.categorical_profile(df).collect()}) == 13
+
+
+def test_compare_is_exact_for_long_columns(spark):
+    df = spark.createDataFrame([(9007199254740992,), (9007199254740993,)], "a long")
+    assert [r["a"] for r in filters.filter_compare(df, "a", "=", 9007199254740993).collect()] == [9007199254740993]
+    assert filters.filter_compare(df, "a", ">", "9007199254740992.5").count() == 1
+
+
+def test_integer_columns_take_fractional_fills(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "a int")
+    assert sorted(r["a"] for r in clean.impute_median(df).collect()) == [1.0, 1.5, 2.0]
+    assert sorted(r["a"] for r in clean.impute_mean(df).collect()) == [1.0, 1.5, 2.0]
+
+
+def test_metrics_compare_numbers_with_numbers(spark):
+    df = spark.createDataFrame([(0, 0.0, 0.1), (1, 1.0, 0.8), (1, 1.0, 0.6)], "y int, p double, s double")
+    r = metrics.eval_classification(df, "y", "p").first()
+    assert r["accuracy"] == r["f1"] == r["cohen_kappa"] == 1.0
+    d = df.withColumn("y", F.col("y").cast("double"))
+    assert metrics.eval_roc_auc(d, "y", "s").first()[0] == 1.0
+    assert metrics.eval_log_loss(d, "y", "s").first()[0] == pytest.approx(-np.log([0.9, 0.8, 0.6]).mean())
+    with pytest.raises(ValueError):
+        metrics.eval_roc_auc(df, "y", "s", positive=7)
+    same = spark.createDataFrame([(2.0, 2.0), (2.0, 3.0)], "y double, p double")
+    assert metrics.eval_regression(same, "y", "p").first()["r2"] == 0.0
+
+
+def test_edges_do_not_raise(spark):
+    empty = spark.createDataFrame([], "x double, s string")
+    assert profile.quality_score(empty).first()["missing_ratio"] == 0.0
+    nulls = spark.createDataFrame([(None, "a"), (None, "b")], "x double, s string")
+    for df in (empty, nulls):
+        assert anomaly.anomaly_iqr(df, ["x"]).where("is_anomaly").count() == 0
+    tied = spark.createDataFrame([(1.0, 0), (1.0, 0), (1.0, 1), (1.0, 1)], "x double, c int")
+    assert clustering.cluster_silhouette(tied, ["x"], "c").first()[0] == 0.0
+
+
+def test_violin_keeps_groups_without_spread(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 5.0), ("b", 5.0), ("c", 7.0)], "g string, v double")
+    rows = charts.chart_violin(df, "v", "g").collect()
+    assert {(r["g"], r["y"], r["density"]) for r in rows if r["g"] != "a"} == {("b", 5.0, None), ("c", 7.0, None)}
+    assert sum(r["g"] == "a" for r in rows) == 50
+
+
+def test_kmeans_returns_nan_rows(spark):
+    df = spark.createDataFrame([(float(i), float("nan") if i % 10 == 0 else float(i)) for i in range(100)], "x double, y double")
+    rows, _ = clustering.kmeans_fit(df, ["x", "y"], 2)
+    assert rows.count() == 100 and rows.where("cluster = -1").count() == 10
+
+
+def test_perfect_correlations_are_reported(spark):
+    df = spark.createDataFrame([(float(i), 2.0 * i) for i in range(9)], "x double, y double")
+    assert profile.corr_high_pairs(df).count() == 1

@@ -116,11 +116,11 @@ def test_outlier_removal_options(spark):
     assert {r["metric"] for r in metrics.collect()} >= {"r2", "mae"}
 
 
-def test_forest_selects_k_best_when_many_features(spark):
+def test_forest_selects_k_best_on_request(spark):
     from tabsense.operators import models
     cols = [(F.col("id") * (i + 1) % 17).cast("double").alias(f"f{i}") for i in range(55)]
     df = spark.range(400).select("id", *cols).withColumn("y", F.col("f0") * 2 + F.col("f1"))
-    _, model, feats = models.random_forest(df, [f"f{i}" for i in range(55)], "y", n_trees=5, key_cols=["id"])
+    _, model, feats = models.random_forest(df, [f"f{i}" for i in range(55)], "y", n_trees=5, key_cols=["id"], select_k=20)
     assert len(feats) == 20 and "f0" in feats
 
 
