@@ -39,6 +39,8 @@ from tabsense.llm.common import as_bytes, spill
 
 DEPTH, CLASS_BITS, MAX_NODES = 6, 5, 1 << 16
 KINDS = 1 << CLASS_BITS
+#: Binary decisions of all nodes that are worked out together.
+AT_A_TIME = 8
 FREQUENT, FREQUENT_BYTES = 200_000, 64
 SLICE_BYTES, FLUSH_WORDS, MERGE_CELLS = 1 << 21, 300_000, 1 << 21
 #: Fixed rule of byte classes: start and end, space, 26 letters, digits, other ASCII, UTF-8 lead, UTF-8 rest.
@@ -219,19 +221,18 @@ class Tree:
         levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)]
         inner = np.zeros(self.size, bool)
         inner[parent[1:]] = True
-        others = counts.copy()  # counts that fall to no kept child
-        np.subtract.at(others, parent[1:], counts[1:])
         out = np.zeros((self.size, 256), np.float32)
         for bit in range(8):
             wide = 256 >> bit
-            for first in range(0, 1 << bit, 16):
-                last = min(first + 16, 1 << bit)
+            for first in range(0, 1 << bit, AT_A_TIME):
+                last = min(first + AT_A_TIME, 1 << bit)
                 cut = slice(first * wide, last * wide)
-                pair = [x[:, cut].reshape(self.size, last - first, 2, wide // 2).sum(axis=3, dtype=np.float64)
-                        for x in (counts, others)]
-                own = _log_kt(pair[0][..., 0], pair[0][..., 1])
-                rest = _log_kt(pair[1][..., 0], pair[1][..., 1])
-                guess, guess_rest = [(x[..., 1] + 0.5) / (x[..., 0] + x[..., 1] + 1.0) for x in pair]
+                pair = counts[:, cut].reshape(self.size, last - first, 2, wide // 2).sum(axis=3, dtype=np.float64)
+                others = pair.copy()  # what falls to no kept child
+                np.subtract.at(others, parent[1:], pair[1:])
+                own, rest = _log_kt(pair[..., 0], pair[..., 1]), _log_kt(others[..., 0], others[..., 1])
+                guess, guess_rest = [(x[..., 1] + 0.5) / (x.sum(axis=-1) + 1.0) for x in (pair, others)]
+                del pair, others
                 below, stop = np.where(inner[:, None], rest, 0.0), np.ones_like(own)
                 weighted = own.copy()
                 for level in reversed(levels):
@@ -273,8 +274,8 @@ def context_tree(counts: DataFrame, max_nodes: int = MAX_NODES) -> Tree:
     return Tree(depth, context, byte, n, root)
 
 
-def _frequent(vocabulary: DataFrame) -> tuple[list[tuple[bytes, int]], Column]:
-    """The frequent words with their counts, and the condition that picks them.
+def _frequent(vocabulary: DataFrame) -> tuple[dict[bytes, int], np.ndarray, Column]:
+    """The frequent words with their numbers (from 2), their counts, and the condition that picks them.
 
     Short words of the highest bands of counts that hold ``FREQUENT`` words together are taken.
     """
@@ -282,7 +283,8 @@ def _frequent(vocabulary: DataFrame) -> tuple[list[tuple[bytes, int]], Column]:
     band = _band("n")
     lowest = _lowest_band(vocabulary.where(short).groupBy(band.alias("band")).count().collect(), FREQUENT)
     chosen = F.lit(False) if lowest is None else short & (band >= lowest)
-    return [(bytes(r["word"]), r["n"]) for r in vocabulary.where(chosen).select("word", "n").collect()], chosen
+    taken = vocabulary.where(chosen).select("word", "n").toArrow()
+    return dict(zip(taken.column(0).to_pylist(), range(2, taken.num_rows + 2))), taken.column(1).to_numpy(), chosen
 
 
 def score_documents(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -301,10 +303,10 @@ def score_documents(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", t
     n_all, n_distinct = size["n"] + n_ends, size["v"] + (1 if n_ends else 0)
 
     tree = context_tree(counts.where(F.col("cell").isNotNull()).select("cell", "n"))
-    common, is_common = _frequent(vocabulary)
-    logs = np.log10(np.array([1, n_ends + 1] + [n + 1 for _, n in common], np.float64))
-    shared = spark.sparkContext.broadcast((tree, {w: k + 2 for k, (w, _) in enumerate(common)}, logs))
-    del tree
+    common, common_counts, is_common = _frequent(vocabulary)
+    logs = np.log10(np.concatenate([[1, n_ends + 1], common_counts + 1.0]))
+    shared = spark.sparkContext.broadcast((tree, common, logs))
+    del tree, common
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, index, log_counts = shared.value
