@@ -18,6 +18,8 @@ and cut wherever a sequence ends; other columns are not read.
 from __future__ import annotations
 
 import functools
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tabsense.llm.common import as_bytes, mix64, n_tasks, spill
+from tabsense.llm.subwords import Merges, segment_many
 
 DIMENSIONS, BITS, TIE_BITS = 4, 10, 23
 #: Bytes of text encoded at a time, and words remembered by a worker.
@@ -32,41 +35,114 @@ SLICE_BYTES, WORD_CACHE = 1 << 20, 400_000
 #: Seed of the random projection of token ids.
 PROJECTION_SEED = 20_240_601
 _END = b" "  # no word holds a blank
+#: Words that the tokenizer's pattern cuts into at most two parts, whatever its normalization does.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]{0,60})[!-&(-/:-@[-`{-~]{0,60}")
+
+
+class _Index(dict):
+    """Numbers words as they first come; ``fresh`` lists those whose ids aren't known yet."""
+
+    def __init__(self, known: list[bytes]) -> None:
+        super().__init__(zip(known, range(len(known))))
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
 
 
 class WordEncoder:
     """Ids of whole texts from a bounded memory of words.
 
     The tokenizer never joins anything across ASCII white space, so a text's ids are its words' ids in
-    a row.  Words that are not remembered are encoded in one batch; the memory restarts when full.
+    a row.  New words are encoded together; when the memory is full, the half used most stays.
     """
 
     def __init__(self, path: str, end_id: int) -> None:
         from tokenizers import Tokenizer
-        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.tokenizer = Tokenizer.from_file(path)
         rng = np.random.default_rng(PROJECTION_SEED)
         self.size = max(self.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
         self.directions = rng.standard_normal((self.size, DIMENSIONS)).astype(np.float32)
-        self.forget()
-
-    def forget(self) -> None:
-        self.index: dict[bytes, int] = {_END: 0}
-        self.starts, self.lengths = np.zeros(1, np.int64), np.ones(1, np.int64)
-        self.pool = np.array([self.end_id], np.uint32)
-
-    def learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        ids = [e.ids for e in found]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
+        self._read_merges(path)
+        self.index = _Index([_END])
+        self.starts, self.lengths, self.used = np.zeros(1, np.int64), np.ones(1, np.int64), np.ones(1, np.int64)
+        self.pool = np.array([end_id], np.uint32)
+        self.vectors = self.directions[[end_id]]
+
+    def _read_merges(self, path: str) -> None:
+        """The merges, and each byte's symbol inside a part and at its end, from the tokenizer's file."""
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab = model["vocab"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        rank = np.full(self.size, 1 << 30, np.int64)
+        rank[[vocab[a + b] for a, b in pairs]] = np.arange(len(pairs))
+        self.merges = Merges([(vocab[a] << 20 | vocab[b], vocab[a + b]) for a, b in pairs], rank)
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # bytes that stand for themselves
+        hidden = [b for b in range(256) if b not in shown]
+        letter = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        suffix = model["end_of_word_suffix"]
+        self.inside = np.array([vocab[letter[b]] for b in range(256)], np.int64)
+        self.final = np.array([vocab[letter[b] + suffix] for b in range(256)], np.int64)
+
+    def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in a row, and how many each has.
+
+        Plain words (Latin letters, then ASCII punctuation) are merged together in arrays, by the
+        tokenizer's own merges; the tokenizer takes all others.
+        """
+        texts = [w.decode("utf-8", "replace") for w in words]
+        cut = [_PLAIN.fullmatch(t) for t in texts]
+        plain = np.array([m is not None for m in cut])
+        parts = [x.encode() for t, m in zip(texts, cut) if m for x in (t[:m.end(1)].lower(), t[m.end(1):])]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        letters = np.frombuffer(b"".join(parts), np.uint8)
+        symbols = self.inside[letters]
+        last = np.cumsum(sizes)[sizes > 0] - 1
+        symbols[last] = self.final[letters[last]]
+        ids, counts = segment_many(self.merges, symbols, sizes[sizes > 0], np.zeros(1, np.uint64), np.uint64(0))
+        per_part = np.zeros(len(parts), np.int64)
+        per_part[sizes > 0] = counts
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast([t for t, m in zip(texts, cut) if not m], add_special_tokens=False)]
+        lengths = np.zeros(len(words), np.int64)
+        lengths[plain] = per_part.reshape(-1, 2).sum(axis=1)
+        lengths[~plain] = np.fromiter(map(len, rest), np.int64, len(rest))
+        out = np.empty(int(lengths.sum()), np.uint32)
+        of_plain = np.repeat(plain, lengths)
+        out[of_plain] = ids
+        out[~of_plain] = [i for x in rest for i in x]
+        return out, lengths
+
+    def learn(self) -> None:
+        words, self.index.fresh = self.index.fresh, []
+        ids, lengths = self._encode_words(words)
+        ends = np.cumsum(lengths)
+        sums = np.zeros((len(words), DIMENSIONS), np.float32)
+        some = lengths > 0
+        if some.any():
+            sums[some] = np.add.reduceat(self.directions[ids], (ends - lengths)[some], axis=0)
+        self.starts = np.concatenate([self.starts, len(self.pool) + ends - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))])
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, each text's followed by the end id; and the number for each text."""
+        self.used = np.concatenate([self.used, np.zeros(len(words), np.int64)])
+        self.pool = np.concatenate([self.pool, ids])
+        self.vectors = np.concatenate([self.vectors, sums])
+
+    def shrink(self) -> None:
+        self.used[0] = self.used.max() + 1
+        keep = np.sort(np.argsort(-self.used, kind="stable")[:WORD_CACHE // 2])
+        words = list(self.index)
+        self.index = _Index([words[k] for k in keep])
+        lengths = self.lengths[keep]
+        first = np.cumsum(lengths) - lengths
+        self.pool = self.pool[np.repeat(self.starts[keep] - first, lengths) + np.arange(lengths.sum())]
+        self.starts, self.lengths, self.used, self.vectors = first, lengths, self.used[keep] // 2, self.vectors[keep]
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids in a row, each text's followed by the end id; each text's number and direction sum."""
         if len(self.index) > WORD_CACHE:
-            self.forget()
+            self.shrink()
         words: list[bytes] = []
         n_words = np.zeros(len(texts), np.int64)
         for k, t in enumerate(texts):
@@ -74,17 +150,17 @@ class WordEncoder:
             words += own
             words.append(_END)
             n_words[k] = len(own) + 1
-        fresh = set(words).difference(self.index)
-        if fresh:
-            self.learn(sorted(fresh))
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if self.index.fresh:
+            self.learn()
+        self.used += np.bincount(at, minlength=len(self.used))
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
         spread = np.repeat(self.starts[at] - (ends - lengths), lengths)
         ids = self.pool[spread + np.arange(len(spread))]
-        last = np.cumsum(n_words) - 1
-        per_text = np.diff(ends[last], prepend=0)
-        return ids, per_text
+        last = np.cumsum(n_words)
+        sums = np.add.reduceat(self.vectors[at], last - n_words, axis=0)
+        return ids, np.diff(ends[last - 1], prepend=0), sums
 
 
 @functools.lru_cache(maxsize=2)
@@ -145,9 +221,8 @@ def encoded_on_curve(docs: DataFrame, tokenizer_path: str, end_id: int = 1, doc_
         for batch in batches:
             texts = as_bytes(batch.column(1))
             for a, b in _slices(texts):
-                ids, n = encoder.encode(texts[a:b])
+                ids, n, vectors = encoder.encode(texts[a:b])
                 ends = np.cumsum(n)
-                vectors = np.add.reduceat(encoder.directions[ids], ends - n, axis=0)
                 packed = ids.astype(kind)
                 name = batch.column(0).slice(a, b - a)
                 tie = mix64(name.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))

@@ -46,7 +46,24 @@ def _place_hash(key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.
                             + end.astype(np.uint64) * _K[2]))
 
 
-class Vocabulary:
+class Merges:
+    """The pairs of symbols that merge: ``(left << 20 | right, union)``, and the rank of each union."""
+
+    def __init__(self, pairs: list[tuple[int, int]], rank: np.ndarray) -> None:
+        pairs = sorted(pairs)
+        self.pair_keys = np.array([k for k, _ in pairs], np.int64)
+        self.pair_ids = np.array([i for _, i in pairs], np.int64)
+        self.rank = rank.astype(np.int64)
+
+    def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Id of each pair's union, or -1."""
+        key = left.astype(np.int64) << 20 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        known = (self.pair_keys[at] == key) & (left < _FIRST_POINT) & (right < _FIRST_POINT)
+        return np.where(known, self.pair_ids[at], -1)
+
+
+class Vocabulary(Merges):
     """Pieces, their scores and the pairs that merge, from a SentencePiece BPE model file."""
 
     def __init__(self, path: str) -> None:
@@ -58,12 +75,8 @@ class Vocabulary:
         ids = {p: i for i, p in enumerate(pieces) if plain[i]}
         score = np.array([model.get_score(i) for i in range(n)])
         levels = np.unique(-score)
-        self.rank = np.searchsorted(levels, -score).astype(np.int64)  # 0 is the best score
-        pairs = [(ids[p[:k]] << 20 | ids[p[k:]], i) for p, i in ids.items() for k in range(1, len(p))
-                 if p[:k] in ids and p[k:] in ids]
-        pairs.sort()
-        self.pair_keys = np.array([k for k, _ in pairs], np.int64)
-        self.pair_ids = np.array([i for _, i in pairs], np.int64)
+        super().__init__([(ids[p[:k]] << 20 | ids[p[k:]], i) for p, i in ids.items() for k in range(1, len(p))
+                          if p[:k] in ids and p[k:] in ids], np.searchsorted(levels, -score))  # 0 is the best score
         self.symbol = np.arange(0x110000, dtype=np.int32) + _FIRST_POINT
         for p, i in ids.items():
             if len(p) == 1 and p != MARK:
@@ -73,15 +86,8 @@ class Vocabulary:
         self.bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(MARK, " ").encode() if plain[i] else b""
                       for i, p in enumerate(pieces)]
 
-    def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Id of each pair's union, or -1."""
-        key = left.astype(np.int64) << 20 | right
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        known = (self.pair_keys[at] == key) & (left < _FIRST_POINT) & (right < _FIRST_POINT)
-        return np.where(known, self.pair_ids[at], -1)
 
-
-def segment_one(vocab: Vocabulary, symbols: np.ndarray, key: np.uint64, rate: np.uint64) -> np.ndarray:
+def segment_one(vocab: Merges, symbols: np.ndarray, key: np.uint64, rate: np.uint64) -> np.ndarray:
     """The agenda of one chunk as a heap of candidate merges."""
     n = len(symbols)
     ids, after, before = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
@@ -108,9 +114,12 @@ def segment_one(vocab: Vocabulary, symbols: np.ndarray, key: np.uint64, rate: np
     return np.array([i for i in ids if i >= 0], np.int64)
 
 
-def segment_many(vocab: Vocabulary, symbols: np.ndarray, lengths: np.ndarray, keys: np.ndarray,
+def segment_many(vocab: Merges, symbols: np.ndarray, lengths: np.ndarray, keys: np.ndarray,
                  rate: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """The agendas of many chunks at once; symbols in a row. Returns final symbols and their counts."""
+    """The agendas of many chunks at once; symbols in a row. Returns final symbols and their counts.
+
+    At a rate of 0 no merge is skipped and the keys don't matter.
+    """
     owner = np.repeat(np.arange(len(lengths)), lengths)
     begin = np.arange(len(symbols)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     end = begin + 1
@@ -123,7 +132,8 @@ def segment_many(vocab: Vocabulary, symbols: np.ndarray, lengths: np.ndarray, ke
         nxt = np.where(pair, at + 1, at)
         union = vocab.merged(ids[at], ids[nxt])
         good = pair & (union >= 0) & (owner[at] == owner[nxt])
-        good &= _place_hash(keys[owner[at]], begin[at], begin[nxt], end[nxt]) >= rate
+        if rate:
+            good &= _place_hash(keys[owner[at]], begin[at], begin[nxt], end[nxt]) >= rate
         return np.where(good, vocab.rank[union] << 8 | begin[at], none), union
 
     order, union = candidates(np.arange(len(ids)))
