@@ -25,6 +25,7 @@ FIT_THREADS = 4  # concurrent Spark jobs for the independent fits of a k sweep
 FALLBACK_K = 3
 LITERAL_MAX = 4096  # cluster statistics inlined as literals up to this many values
 KMEANS_IF_CONTAMINATION = 0.1
+MAX_CLUSTERS = 100_000  # clusters whose statistics the driver takes
 
 
 # ----------------------------------------------------------------------------- vectors
@@ -65,7 +66,10 @@ def cluster_sums(df: DataFrame, features, label: str) -> tuple[dict, int]:
     per_c = per_c.select("_c", "n", "q", vector_to_array(F.col("_m.sum")).alias("s"))
     out: dict = {}
     dim = 0
-    for r in per_c.collect():  # one row per cluster
+    rows = per_c.limit(MAX_CLUSTERS + 1).collect()  # one row per cluster
+    if len(rows) > MAX_CLUSTERS:
+        raise ValueError(f"more than {MAX_CLUSTERS} clusters in {label!r}; is it a cluster label?")
+    for r in rows:
         s = np.asarray(r["s"], dtype=float)
         out[r["_c"]] = {"n": int(r["n"]), "q": float(r["q"]), "s": s}
         dim = max(dim, len(s))
@@ -301,7 +305,7 @@ def kmeans_sweep(df: DataFrame, features, k_values, scale: bool = True, seed: in
     """Per k: inertia (training cost) and mean silhouette (squared Euclidean)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import vector_to_array
-    data = _assemble(df, features, scale).persist()
+    data = _assemble(df, features, scale).select("_features").persist()
 
     def fit_one(k):
         model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol="_pred").fit(data)
@@ -342,14 +346,10 @@ def kmeans_auto_k_silhouette(df: DataFrame, features, k_values=range(2, 9), scal
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, is_best boolean")
 
 
-def cluster_analysis(df: DataFrame, features, seed: int = DEFAULT_SEED):
-    """Scale, sweep k = 2 .. min(10, n/100 - 1), pick the best silhouette, fit the final model.
+def cluster_analysis(df: DataFrame, features, seed: int = DEFAULT_SEED, k_values=range(2, 11)):
+    """Scale, sweep ``k_values``, pick the best silhouette, fit the final model.
     Returns (sweep table, rows with ``cluster``)."""
-    cols_present = [features] if isinstance(features, str) else list(features)
-    n = df.na.drop(subset=cols_present).count()
-    hi = min(11, n // 100)
-    k_values = list(range(2, hi)) or [3]
-    sweep = kmeans_auto_k_silhouette(df, features, k_values, True, seed)
+    sweep = kmeans_auto_k_silhouette(df, features, list(k_values), True, seed)
     best = [r["k"] for r in sweep.collect() if r["is_best"]]
     final, _ = kmeans_fit(df, features, best[0] if best else 3, scale=True, seed=seed)
     return sweep, final

@@ -10,6 +10,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -370,62 +373,42 @@ def categorical_profile(df: DataFrame, columns=None, limit: int | None = None) -
 def corr_matrix(df: DataFrame, columns=None) -> DataFrame:
     """Pearson correlation over pairwise-complete rows, every ordered pair (column1, column2).
 
-    Pass 1: count and mean per column.  Pass 2: one aggregate of centered sums (x - mean):
-    per column sum and sum of squares, per pair sum of products; a pair involving a column
-    with NULLs also gets its own masked count and sums, so NULL handling stays pairwise.
-    Centering keeps the sums-of-products formula numerically stable, and the buffer stays
-    narrow enough for whole-stage codegen (one ``corr`` per pair would need 6 fields each).
+    Two scans for any number of columns: the means, then one Gramian pass.  Each task multiplies
+    its centered values and its mask of present values with themselves and passes on one row per
+    pair of columns (count, sums, sums of squares, sum of products), which one aggregation adds up.
+    NULL and NaN are missing.
     """
     cols = list(columns) if columns else numeric_columns(df)
     if len(cols) < 2:
         raise ValueError("need two numeric columns")
-    x = {c: F.col(_q(c)).cast("double") for c in cols}
-    first = stats_row(df, {"__rows": F.count(F.lit(1)), **{f"n|{c}": F.count(x[c]) for c in cols},
-                           **{f"m|{c}": F.avg(x[c]) for c in cols}})
-    rows = first["__rows"] or 0
-    nullable = {c for c in cols if (first[f"n|{c}"] or 0) < rows}
-    xc = {c: x[c] - F.lit(first[f"m|{c}"] if first[f"m|{c}"] is not None else 0.0) for c in cols}
-    aggs = {}
-    for c in cols:
-        aggs[f"s|{c}"] = F.sum(xc[c])
-        aggs[f"q|{c}"] = F.sum(xc[c] * xc[c])
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    for a, b in pairs:
-        aggs[f"p|{a}|{b}"] = F.sum(xc[a] * xc[b])
-        if a in nullable or b in nullable:
-            both = x[a].isNotNull() & x[b].isNotNull()
-            aggs[f"n|{a}|{b}"] = count_if(both)
-            for name, c in (("a", a), ("b", b)):
-                v = F.when(both, xc[c])
-                aggs[f"{name}s|{a}|{b}"] = F.sum(v)
-                aggs[f"{name}q|{a}|{b}"] = F.sum(v * v)
-    st = stats_row(df, aggs, per_pass=90) if rows else {}  # sums: one buffer field each
-
-    def corr(a, b):
-        if not rows:
-            return None
-        if a == b:
-            n, sa, sb, qa, qb, p = first[f"n|{a}"], st[f"s|{a}"], st[f"s|{a}"], st[f"q|{a}"], st[f"q|{a}"], st[f"q|{a}"]
-        elif a in nullable or b in nullable:
-            n = st[f"n|{a}|{b}"]
-            sa, qa, sb, qb = st[f"as|{a}|{b}"], st[f"aq|{a}|{b}"], st[f"bs|{a}|{b}"], st[f"bq|{a}|{b}"]
-            p = st[f"p|{a}|{b}"]
-        else:
-            n, sa, sb, qa, qb, p = rows, st[f"s|{a}"], st[f"s|{b}"], st[f"q|{a}"], st[f"q|{b}"], st[f"p|{a}|{b}"]
-        if not n or sa is None or sb is None:
-            return None
-        vxx, vyy, vxy = qa - sa * sa / n, qb - sb * sb / n, p - sa * sb / n
-        if vxx <= 0 or vyy <= 0:
-            return None
-        return vxy / (vxx * vyy) ** 0.5
-
-    out = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            key = (a, b) if i <= j else (b, a)
-            out.append((a, b, i, j, corr(*key)))
-    return df.sparkSession.createDataFrame(
-        out, "column1 string, column2 string, pos1 int, pos2 int, correlation double")
+    numbers = df.select(*[qcol(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    first = stats_row(numbers, {f"c{i}": F.avg(F.nanvl(f"c{i}", F.lit(None))) for i in range(len(cols))})
+    centre = np.array([first[f"c{i}"] or 0.0 for i in range(len(cols))])
+    left, right = np.triu_indices(len(cols))
+
+    def gramian(batches):
+        sums = np.zeros((6, len(left)))
+        for pdf in batches:
+            x = pdf.to_numpy(dtype=float)
+            here = ~np.isnan(x)
+            x = np.where(here, x - centre, 0.0)
+            m = here.astype(float)
+            own, square = x.T @ m, (x * x).T @ m  # of the first column, over rows that have both
+            for k, part in enumerate((m.T @ m, own, own.T, square, square.T, x.T @ x)):
+                sums[k] += part[left, right]
+        yield pd.DataFrame({"pos1": left, "pos2": right, **{f"s{k}": sums[k] for k in range(6)}})
+
+    parts = numbers.mapInPandas(gramian, "pos1 int, pos2 int, " + ", ".join(f"s{k} double" for k in range(6)))
+    total = parts.groupBy("pos1", "pos2").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(6)])
+    n = F.nullif(F.col("s0"), F.lit(0.0))
+    xx = F.col("s3") - F.col("s1") * F.col("s1") / n
+    yy = F.col("s4") - F.col("s2") * F.col("s2") / n
+    xy = F.col("s5") - F.col("s1") * F.col("s2") / n
+    half = total.select("pos1", "pos2", F.when((xx > 0) & (yy > 0), xy / F.sqrt(xx * yy)).alias("correlation"))
+    both = half.union(half.where("pos1 < pos2").select("pos2", "pos1", "correlation"))
+    names = F.array(*[F.lit(c) for c in cols])
+    return both.select(F.element_at(names, F.col("pos1") + 1).alias("column1"),
+                       F.element_at(names, F.col("pos2") + 1).alias("column2"), "pos1", "pos2", "correlation")
 
 
 def corr_high_pairs(df: DataFrame, columns=None, threshold: float = HIGH_CORR, top: int | None = None,

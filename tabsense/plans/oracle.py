@@ -720,3 +720,22 @@ def _profile_report(d=4):
 
 ORACLE["profile_report"] = _profile_report()
 ORACLE["sink_json"] = ORACLE["profile_report"]
+
+
+# ------------------------------------------------------------------ models with a known answer
+
+ORACLE["kmeans_separable"] = "SELECT l_orderkey, l_linenumber, CAST(l_linenumber % 3 AS INTEGER) AS cluster FROM lineitem"
+ORACLE["rf_separable"] = union([f"SELECT 'RandomForest' AS model, '{m}' AS metric, {R('1.0')} AS value"
+                                for m in ("accuracy", "precision", "recall", "f1", "roc_auc", "cohen_kappa")])
+ORACLE["isolation_forest_planted"] = "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 200 = 0"
+
+
+def _anova(features, label, k):
+    parts = [f"""SELECT '{c}' AS feature, (ssb / (g - 1)) / ((sst - ssb) / (n - g)) AS f FROM (
+    SELECT sum(n) AS n, count(*) AS g, sum(n * (m - gm) * (m - gm)) AS ssb, max(sst) AS sst FROM (
+      SELECT count(*) AS n, avg({c}) AS m, (SELECT avg({c}) FROM lineitem) AS gm,
+             (SELECT var_pop({c}) * count(*) FROM lineitem) AS sst FROM lineitem GROUP BY {label}))""" for c in features]
+    return f"WITH f AS ({union(parts)}) SELECT feature, row_number() OVER (ORDER BY f DESC) <= {k} AS selected FROM f"
+
+
+ORACLE["select_k_best"] = _anova(["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey"], "l_linenumber", 2)

@@ -689,3 +689,38 @@ def q_kmeans_auto_k_silhouette(spark, sf):
 def q_cluster_analysis(spark, sf):
     sweep, _ = clu.cluster_analysis(table(spark, sf, "customer"), ["c_acctbal", "c_nationkey"])
     return sweep
+
+
+# ------------------------------------------------------------------ models with a known answer
+
+@register("kmeans_separable")
+def q_kmeans_separable(spark, sf):
+    """Three groups far apart; clusters are named by the order of their centres."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber",
+                                             ((F.col("l_linenumber") % 3) * 1000 + F.col("l_quantity")).alias("x"))
+    rows, _ = clu.kmeans_fit(li, ["x"], 3)
+    order = rows.groupBy("cluster").agg(F.avg("x").alias("m")).orderBy("m").collect()  # three rows
+    rank = F.create_map(*[F.lit(v) for i, r in enumerate(order) for v in (r["cluster"], i)])
+    return rows.select("l_orderkey", "l_linenumber", F.element_at(rank, F.col("cluster")).alias("cluster"))
+
+
+@register("rf_separable")
+def q_rf_separable(spark, sf):
+    """A label that one split decides: the forest's test metrics are perfect."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity",
+                                             (F.col("l_linenumber") > 3).cast("int").alias("late"))
+    metrics, _, _ = mdl.random_forest(li, ["l_linenumber", "l_quantity"], "late", "classification", n_trees=15,
+                                      key_cols=["l_orderkey", "l_linenumber"])
+    return rounded(metrics.where(F.col("metric").isin("accuracy", "precision", "recall", "f1", "roc_auc", "cohen_kappa")))
+
+
+@register("isolation_forest_planted")
+def q_isolation_forest_planted(spark, sf):
+    """Planted outliers that the Isolation Forest must flag."""
+    far = F.col("l_orderkey") % 200 == 0
+    li = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", *[F.when(far, F.lit(1e7)).otherwise(F.col(c).cast("double")).alias(c)
+                                        for c in ("l_quantity", "l_extendedprice", "l_discount")])
+    found = anom.anomaly_isolation_forest(li, ["l_quantity", "l_extendedprice", "l_discount"], contamination=0.05,
+                                          key_cols=["l_orderkey", "l_linenumber"])
+    return found.where(F.col("is_anomaly") & (F.col("l_quantity") == 1e7)).select("l_orderkey", "l_linenumber")
