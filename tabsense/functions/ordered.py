@@ -69,12 +69,21 @@ def cumulative_sums(df: DataFrame, order, sum_cols, descending: bool = False) ->
     return ranged.mapInPandas(run, out_schema)
 
 
-def _key_list(pdf: pd.DataFrame, keys) -> list:
-    """Row keys as tuples (NaN normalised to None so NULL keys compare equal)."""
-    if not keys:
-        return [()] * len(pdf)
-    cols = [[None if isinstance(x, float) and np.isnan(x) else x for x in pdf[k].tolist()] for k in keys]
-    return list(zip(*cols))
+def _runs(pdf: pd.DataFrame, keys) -> np.ndarray:
+    """Number of each row's run of equal keys; rows are sorted, and missing keys equal each other."""
+    change = np.zeros(len(pdf), bool)
+    for k in keys:
+        col, before = pdf[k], pdf[k].shift()
+        change |= ~((col == before) | (col.isna() & before.isna())).to_numpy(dtype=bool)
+    change[:1] = False
+    return np.cumsum(change)
+
+
+def _key_text(pdf: pd.DataFrame, keys, row: int) -> str:
+    """One row's keys as text; whole numbers read alike in batches with and without missing values."""
+    values = [pdf[k].iloc[row] for k in keys]
+    return "|".join("null" if pd.isna(v) else str(int(v)) if isinstance(v, (float, np.floating)) and float(v).is_integer()
+                    else str(v).replace("|", "||") for v in values)
 
 
 def _last_valid(values: pd.Series):
@@ -103,18 +112,18 @@ def ordered_fill(df: DataFrame, columns, order, partition_by=(), backward: bool
             if pdf.empty:
                 continue
             pid = int(pdf["_pid"].iloc[0])
-            ks = _key_list(pdf, keys)
+            runs, key = _runs(pdf, keys), _key_text(pdf, keys, -1)
             if first_key is None:
-                first_key = ks[0]
-            tail = pdf[[k == ks[-1] for k in ks]]
-            if ks[-1] != last_key:
-                last_key, last_vals = ks[-1], {c: None for c in columns}
+                first_key = _key_text(pdf, keys, 0)
+            tail = pdf[runs == runs[-1]]
+            if key != last_key:
+                last_key, last_vals = key, {c: None for c in columns}
             for c in columns:
                 v = _last_valid(tail[c])
                 if v is not None:
                     last_vals[c] = v
         if pid is not None:
-            yield pd.DataFrame({"_pid": [pid], "first_key": [repr(first_key)], "last_key": [repr(last_key)],
+            yield pd.DataFrame({"_pid": [pid], "first_key": [first_key], "last_key": [last_key],
                                 **{c: [last_vals[c]] for c in columns}})
 
     summary_schema = ", ".join(["_pid int", "first_key string", "last_key string"] +
@@ -145,25 +154,23 @@ def ordered_fill(df: DataFrame, columns, order, partition_by=(), backward: bool
         for pdf in batches:
             if pdf.empty:
                 continue
-            ks = _key_list(pdf, keys)
-            reprs = [repr(k) for k in ks]
+            runs, key = _runs(pdf, keys), _key_text(pdf, keys, -1)
             if not started:
                 state_key, state_vals = carries.get(int(pdf["_pid"].iloc[0]), (None, {}))
                 started = True
             out = pdf[names].copy()
-            group = pd.Series(reprs, index=pdf.index)
-            filled = out.groupby(group, sort=False)[columns].ffill() if keys else out[columns].ffill()
-            head = (group == state_key).to_numpy()
+            filled = out.groupby(runs, sort=False)[columns].ffill() if keys else out[columns].ffill()
+            head = (runs == 0) & (_key_text(pdf, keys, 0) == state_key)
             for c in columns:
                 if state_vals.get(c) is not None:
                     filled.loc[head, c] = filled.loc[head, c].fillna(state_vals[c])
                 out[c] = filled[c]
-            tail = out[(group == reprs[-1]).to_numpy()]
+            tail = out[runs == runs[-1]]
             new_vals = {}
             for c in columns:
                 v = _last_valid(tail[c])
-                new_vals[c] = v if v is not None else (state_vals.get(c) if reprs[-1] == state_key else None)
-            state_key, state_vals = reprs[-1], new_vals
+                new_vals[c] = v if v is not None else (state_vals.get(c) if key == state_key else None)
+            state_key, state_vals = key, new_vals
             yield out
 
     return ranged.mapInPandas(run, out_schema)
