@@ -20,16 +20,19 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from itertools import islice
-from operator import eq
+from operator import add, eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabsense.llm.common import BLANKS, as_bytes, list_array, spill
 
 SYMBOLS = b"#*$%&|<>"
+#: Documents whose statistics are handed on at a time.
+SLICE_ROWS = 1000
 WINDOW = 5
 #: Base rule: fewer words fail; a larger share of repeated words fails.
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -89,8 +92,8 @@ def with_statistics(docs: DataFrame, text: str, name: str) -> DataFrame:
     """``docs`` and one more column: a struct of the base statistics and the vector ``x``."""
     kind = pa.struct([*((s, pa.int64()) for s in STATS), ("x", pa.list_(pa.float64()))])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS)):
             found = [text_statistics(t) for t in as_bytes(batch.column(place))]
             columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(len(STATS))]
             flat = np.array([v for f in found for v in f[-1]], np.float64)
@@ -102,27 +105,19 @@ def with_statistics(docs: DataFrame, text: str, name: str) -> DataFrame:
     place = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StructType(
         [*(T.StructField(s, T.LongType()) for s in STATS), T.StructField("x", T.ArrayType(T.DoubleType()))]))])
-    return docs.mapInArrow(add, schema)
-
+    return docs.mapInArrow(describe, schema)
 
-def _squared_distance():
-    @F.pandas_udf("double")
-    def squared(x, centre, inverse):
-        import pandas as pd
-        out = np.full(len(x), np.nan)
-        known = centre.notna().to_numpy()
-        if known.any():
-            gap = np.stack(x[known].to_numpy()) - np.stack(centre[known].to_numpy())
-            scatter = np.stack(inverse[known].to_numpy()).reshape(-1, P, P)
-            out[known] = np.einsum("ni,nij,nj->n", gap, scatter, gap)
-        return pd.Series(out).where(known)
 
-    return squared
+def squared_distance(x: Column, centre: Column, inverse: Column) -> Column:
+    """Squared Mahalanobis distance of a vector to a centre, under an inverse scatter in rows."""
+    gap = [x[i] - centre[i] for i in range(P)]
+    return reduce(add, [(2.0 if i < j else 1.0) * inverse[i * P + j] * gap[i] * gap[j] for i in range(P) for j in range(i, P)])
 
 
 def _distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """``rows`` (``lang, source, x``) with the squared Mahalanobis distance ``d2`` to its group's centre."""
-    return rows.join(estimates, ["lang", "source"]).withColumn("d2", _squared_distance()("x", "centre", "inverse"))
+    return rows.join(estimates, ["lang", "source"]).withColumn(
+        "d2", squared_distance(F.col("x"), F.col("centre"), F.col("inverse")))
 
 
 def _invert(moments: DataFrame) -> DataFrame:
@@ -193,7 +188,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     joined = counted.join(found, (key(lang) == F.col(f"{name}_lang")) & (key(source) == F.col(f"{name}_source")), "left")
     n, repeated = F.col(f"{name}.n_words"), F.col(f"{name}.n_repeat_words")
     failed = (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n)
-    d2 = _squared_distance()(F.col(f"{name}.x"), F.col(f"{name}_centre"), F.col(f"{name}_inverse"))
+    d2 = squared_distance(F.col(f"{name}.x"), F.col(f"{name}_centre"), F.col(f"{name}_inverse"))
     verdict = joined.withColumn(f"{name}_d2", d2)
     kept = ~failed & F.coalesce(F.col(f"{name}_d2") <= chi_square_quantile(tail, P), F.lit(True))
     whole = F.struct(*[F.col(f"{name}.{c}").alias(c) for c in (*STATS, "x")], failed.alias("base_failed"),
