@@ -51,3 +51,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
+
+
+class WordIndex(dict):
+    """Numbers words as they first come; ``fresh`` lists those that nothing is known about yet."""
+
+    def __init__(self, known: list[bytes]) -> None:
+        super().__init__(zip(known, range(len(known))))
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabsense.llm.common import as_bytes, mix64, n_tasks, spill
+from tabsense.llm.common import WordIndex, as_bytes, mix64, n_tasks, spill
 from tabsense.llm.subwords import Merges, segment_many
 
 DIMENSIONS, BITS, TIE_BITS = 4, 10, 23
@@ -39,19 +39,6 @@ _END = b" "  # no word holds a blank
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]{0,60})[!-&(-/:-@[-`{-~]{0,60}")
 
 
-class _Index(dict):
-    """Numbers words as they first come; ``fresh`` lists those whose ids aren't known yet."""
-
-    def __init__(self, known: list[bytes]) -> None:
-        super().__init__(zip(known, range(len(known))))
-        self.fresh: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.fresh.append(word)
-        return n
-
-
 class WordEncoder:
     """Ids of whole texts from a bounded memory of words.
 
@@ -66,7 +53,7 @@ class WordEncoder:
         self.size = max(self.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
         self.directions = rng.standard_normal((self.size, DIMENSIONS)).astype(np.float32)
         self._read_merges(path)
-        self.index = _Index([_END])
+        self.index = WordIndex([_END])
         self.starts, self.lengths, self.used = np.zeros(1, np.int64), np.ones(1, np.int64), np.ones(1, np.int64)
         self.pool = np.array([end_id], np.uint32)
         self.vectors = self.directions[[end_id]]
@@ -133,7 +120,7 @@ class WordEncoder:
         self.used[0] = self.used.max() + 1
         keep = np.sort(np.argsort(-self.used, kind="stable")[:WORD_CACHE // 2])
         words = list(self.index)
-        self.index = _Index([words[k] for k in keep])
+        self.index = WordIndex([words[k] for k in keep])
         lengths = self.lengths[keep]
         first = np.cumsum(lengths) - lengths
         self.pool = self.pool[np.repeat(self.starts[keep] - first, lengths) + np.arange(lengths.sum())]
