@@ -29,12 +29,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tabsense.llm.common import as_bytes, list_array, mix64
+from tabsense.llm.common import WordIndex, as_bytes, list_array, mix64
 
 MARK = "▁"
 DROPOUT, VARIANTS = 0.1, 8
 #: Chunks longer than this have their own heap; bytes of text encoded at a time; words remembered.
-LONG, SLICE_BYTES, WORD_CACHE = 48, 1 << 20, 300_000
+LONG, SLICE_BYTES, WORD_CACHE = 48, 1 << 21, 200_000
 _CHUNKS = re.compile(b" +[^ \n]*|[^ \n]+|\n")
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _FIRST_POINT = 1 << 18  # symbols from here on are code points outside the vocabulary
@@ -176,15 +176,34 @@ class Encoder:
         self.rate = np.uint64(min(int(dropout * 2.0 ** 64), 2 ** 64 - 1))
         self.variants = VARIANTS if dropout > 0 else 1
         self.seed = mix64(np.array([seed & (2 ** 64 - 1)], np.uint64))[0]
-        self.forget()
-
-    def forget(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = WordIndex([])
         self.chunks: list[bytes] = []
-        self.start = np.full(0, -1, np.int64)
-        self.length = np.zeros(0, np.int64)
+        self.used = np.zeros(0, np.int64)
+        self.start, self.length = np.full(0, -1, np.int64), np.zeros(0, np.int64)  # of each chunk's variants
         self.pool = np.zeros(0, np.int32)
 
+    def shrink(self) -> None:
+        """Forget all but the half of the chunks that were used most."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[:WORD_CACHE // 2])
+        slots = (keep[:, None] * self.variants + np.arange(self.variants)).ravel()
+        start, self.length = self.start[slots], self.length[slots]
+        known = start >= 0
+        lengths = self.length[known]
+        first = np.cumsum(lengths) - lengths
+        self.pool = self.pool[np.repeat(start[known] - first, lengths) + np.arange(lengths.sum())]
+        self.start = np.full(len(slots), -1, np.int64)
+        self.start[known] = first
+        self.chunks, self.used = [self.chunks[k] for k in keep], self.used[keep] // 2
+        self.index = WordIndex(self.chunks)
+
+    def _grow(self) -> None:
+        fresh, self.index.fresh = self.index.fresh, []
+        self.chunks += fresh
+        room = len(fresh) * self.variants
+        self.used = np.concatenate([self.used, np.zeros(len(fresh), np.int64)])
+        self.start = np.concatenate([self.start, np.full(room, -1, np.int64)])
+        self.length = np.concatenate([self.length, np.zeros(room, np.int64)])
+
     def _symbols(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         texts = [c.decode("utf-8", "replace") for c in chunks]
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -219,8 +238,8 @@ class Encoder:
 
     def encode(self, texts: list[bytes], documents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number for each text; ``documents`` are the keys of the texts."""
-        if len(self.chunks) > WORD_CACHE:
-            self.forget()
+        if len(self.index) > WORD_CACHE:
+            self.shrink()
         every: list[bytes] = []
         n_chunks = np.zeros(len(texts), np.int64)
         for k, t in enumerate(texts):
@@ -230,14 +249,10 @@ class Encoder:
                 n_chunks[k] = len(own)
         if not every:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        fresh = sorted(set(every).difference(self.index))
-        if fresh:
-            self.index.update(zip(fresh, range(len(self.chunks), len(self.chunks) + len(fresh))))
-            self.chunks += fresh
-            room = len(fresh) * self.variants
-            self.start = np.concatenate([self.start, np.full(room, -1, np.int64)])
-            self.length = np.concatenate([self.length, np.zeros(room, np.int64)])
         word = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
+        if self.index.fresh:
+            self._grow()
+        self.used += np.bincount(word, minlength=len(self.used))
         ordinal = np.arange(len(every)) - np.repeat(np.cumsum(n_chunks) - n_chunks, n_chunks)
         with np.errstate(over="ignore"):
             drawn = mix64(np.repeat(mix64(documents.astype(np.int64).view(np.uint64) ^ self.seed), n_chunks)
