@@ -20,8 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tabsense.llm.common import spill
+
 #: Lengths in one bin of the two-level suffix sum: a bin is one task's work at most.
-BIN_SPAN = 4096
+BIN_SPAN = 256
 
 
 @functools.lru_cache(maxsize=4)
@@ -58,7 +60,7 @@ def suffix_sums(histogram: DataFrame, span: int = BIN_SPAN) -> DataFrame:
     is cut to this length), and ``share_below`` and ``share_upto`` (the quantiles that this length
     spans).  Sums run within bins of ``span`` lengths; only bin totals meet in one task.
     """
-    h = histogram.withColumn("bin", F.floor(F.col("n_tokens") / F.lit(span)).cast("long"))
+    h = spill(histogram, "length-histogram").withColumn("bin", F.floor(F.col("n_tokens") / F.lit(span)).cast("long"))
     bins = h.groupBy("bin").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     later = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
