@@ -207,7 +207,7 @@ class Tree:
         self.size = len(known) + 1
         node_depth = np.concatenate([[0], known >> 40])
         node_context = np.concatenate([[0], known & ((1 << 40) - 1)])
-        counts = np.zeros((self.size, 256), np.float32)
+        counts = np.zeros((self.size, 256), np.int64)
         counts[0] = root
         counts[place + 1, byte] = n
         nearer = node_context & ((1 << np.maximum(node_depth - 1, 0) * CLASS_BITS) - 1)
@@ -227,8 +227,8 @@ class Tree:
             for first in range(0, 1 << bit, AT_A_TIME):
                 last = min(first + AT_A_TIME, 1 << bit)
                 cut = slice(first * wide, last * wide)
-                pair = counts[:, cut].reshape(self.size, last - first, 2, wide // 2).sum(axis=3, dtype=np.float64)
-                others = pair.copy()  # what falls to no kept child
+                pair = counts[:, cut].reshape(self.size, last - first, 2, wide // 2).sum(axis=3)
+                others = pair.copy()  # what falls to no kept child; integers, so 0 is 0
                 np.subtract.at(others, parent[1:], pair[1:])
                 own, rest = _log_kt(pair[..., 0], pair[..., 1]), _log_kt(others[..., 0], others[..., 1])
                 guess, guess_rest = [(x[..., 1] + 0.5) / (x.sum(axis=-1) + 1.0) for x in (pair, others)]
@@ -266,7 +266,7 @@ class Tree:
 
 def context_tree(counts: DataFrame, max_nodes: int = MAX_NODES) -> Tree:
     """The tree of a table of cells; ``max_nodes`` x 256 counts reach the driver at most."""
-    root = np.zeros(256, np.float32)
+    root = np.zeros(256, np.int64)
     for r in counts.groupBy(F.col("cell").bitwiseAND(F.lit(255)).alias("byte")).agg(F.sum("n").alias("n")).collect():
         root[r["byte"]] = r["n"]
     kept = frequent_contexts(counts, max_nodes).select("depth", "context", "byte", "n").toArrow()

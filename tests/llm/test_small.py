@@ -262,6 +262,39 @@ def test_pruned_tree_is_a_distribution(spark):
     assert np.allclose((10.0 ** tree.rows.astype(float)).sum(axis=1), 1, atol=1e-4)
 
 
+def test_tree_of_large_counts():
+    kinds, size = [1, 2, 3], 2 ** 25
+    n = {k: {0x61: size + 3 + 8 * k, 0x62: size // k + 7} for k in kinds}
+    root = np.zeros(256, np.int64)
+    for own in n.values():
+        for byte, count in own.items():
+            root[byte] += count
+    cells = [(1, k, byte, count) for k, own in n.items() for byte, count in own.items()]
+    tree = lm_scoring.Tree(*(np.array(c) for c in zip(*cells)), root)
+    assert np.isfinite(tree.rows).all()
+
+    def log_kt(a, b):
+        return math.lgamma(a + .5) + math.lgamma(b + .5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def log10_next(k, byte):
+        total = 0.0
+        for bit in range(8):
+            def pair(own):
+                first = (byte >> (8 - bit)) << (8 - bit)
+                half = 128 >> bit
+                return [sum(int(c) for b, c in own.items() if lo <= b < lo + half) for lo in (first, first + half)]
+            node, child = pair(dict(enumerate(root.tolist()))), pair(n[k])
+            below = sum(log_kt(*pair(n[j])) for j in kinds)
+            stop = 1 / (1 + math.exp(min(below - log_kt(*node), 700)))
+            one = (byte >> (7 - bit)) & 1
+            total += math.log10(stop * (node[one] + .5) / (sum(node) + 1) + (1 - stop) * (child[one] + .5) / (sum(child) + 1))
+        return total
+
+    for k in kinds:
+        for byte in (0x61, 0x62, 0x63):
+            assert tree.rows[k, byte] == pytest.approx(log10_next(k, byte), abs=1e-4)
+
+
 def test_scores(docs, none, rows, monkeypatch):
     def words(t):
         return [w.encode().decode() for w in re.findall(WORD, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))]
