@@ -7,11 +7,13 @@ Krichevsky-Trofimov estimate at every node from depth 0 to ``DEPTH``.  Weighting
 all depths: a node's weighted probability is half its own estimate and half the product of its
 children's.
 
-All of that depends on counts alone, so training is a distributed count of ``(context, byte)`` over all
-training text.  The tree keeps the ``MAX_NODES`` most frequent contexts or fewer (a count decides; a
-context's prefixes are at least as frequent); what a node's missing children would hold is one further
-leaf of it.  The mixture is worked out once from the kept nodes, and its logarithms, 256 for a node, are
-broadcast (64 MB at most); scoring walks the tree, ``DEPTH`` look-ups a byte.
+All of that depends on counts alone, so training is a distributed count of cells, ``(context, byte)``,
+over all training text, and the tree has every context that occurs.  Cells are dealt out by the first
+``TOP + 1`` bytes of their context, so that each task has whole subtrees: it passes their log-weights up
+to depth ``TOP``, whose nodes (65,536 at most) are mixed on the driver, and a second pass brings the
+mixture down to every cell of any text.  The logarithms of the ``HOT_CELLS`` most used cells are
+broadcast (64 MB at most) and summed where the text is; a text's other cells go to a join with the table
+of cells.  Which way a cell goes doesn't change its logarithm.
 
 The base score needs the count of every word, and words have no bound.  Words that are frequent, up to
 ``FREQUENT`` words of ``FREQUENT_BYTES`` bytes at most, are broadcast and summed where the text is; each
@@ -37,8 +39,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabsense.llm.common import as_bytes, spill
 
-DEPTH, CLASS_BITS, MAX_NODES = 6, 5, 1 << 16
-KINDS = 1 << CLASS_BITS
+DEPTH, CLASS_BITS = 6, 5
+KINDS, _BITS = 1 << CLASS_BITS, DEPTH * CLASS_BITS
+#: Nodes up to depth ``TOP`` (65,536 contexts of two bytes at most) are mixed on the driver, subtrees below in the tasks.
+TOP, SUBTREE_CELLS = 2, 1 << 19
+#: Cells whose logarithms are broadcast; all others go through a join, with equal results.
+HOT_CELLS = 1 << 22
 #: Binary decisions of all nodes that are worked out together.
 AT_A_TIME = 8
 FREQUENT, FREQUENT_BYTES = 200_000, 64
@@ -46,6 +52,7 @@ SLICE_BYTES, FLUSH_WORDS, MERGE_CELLS = 1 << 21, 300_000, 1 << 21
 #: Fixed rule of byte classes: start and end, space, 26 letters, digits, other ASCII, UTF-8 lead, UTF-8 rest.
 START, SPACE, FIRST_LETTER, DIGIT, OTHER, LEAD, REST = 0, 1, 2, 28, 29, 30, 31
 _PAD = b"\n" * DEPTH
+_SUBTREE = 8 + CLASS_BITS * (DEPTH - TOP - 1)  # bits of a cell below the root of its subtree
 
 
 def byte_classes() -> np.ndarray:
@@ -57,31 +64,36 @@ def byte_classes() -> np.ndarray:
     return c
 
 
-def _streams(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of texts in a row after padding, their classes, and where each text's bytes begin and end.
+def _stream_cells(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``context << 8 | byte`` of every place of texts in a row, nearest class highest, and where texts begin and end.
 
-    Places count from the end of the first padding.
+    Each text but the first has ``DEPTH`` places of padding before it.
     """
     texts = [b" ".join(w) + b"\n" for w in words]
     stream = np.frombuffer(_PAD + _PAD.join(texts), np.uint8)
+    kinds, n = byte_classes()[stream], len(stream)
+    cells = stream[DEPTH:].astype(np.int64)
+    for back in range(1, DEPTH + 1):
+        cells |= kinds[DEPTH - back:n - back].astype(np.int64) << (8 + CLASS_BITS * (DEPTH - back))
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     begins = np.cumsum(sizes + DEPTH) - sizes - DEPTH
-    return stream, byte_classes()[stream], begins, sizes
+    return cells, begins, begins + sizes
 
 
 def _cells(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ``context << 8 | byte`` of texts, nearest class lowest, and their counts."""
-    stream, kinds, begins, _ = _streams(words)
-    n = len(stream)
-    cells = stream[DEPTH:].astype(np.int64)
-    for back in range(1, DEPTH + 1):
-        cells |= kinds[DEPTH - back:n - back].astype(np.int64) << (8 + CLASS_BITS * (back - 1))
+    """Distinct cells of texts and their counts."""
+    cells, begins, _ = _stream_cells(words)
     inside = np.ones(len(cells), bool)
     for gap in range(DEPTH):
         inside[begins[1:] - 1 - gap] = False
     return np.unique(cells[inside], return_counts=True)
 
 
+def _sums(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of the texts' values."""
+    return np.add.reduceat(np.append(values, 0.0).astype(np.float64), np.stack([begins, ends], axis=1).ravel())[::2]
+
+
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     cells = np.concatenate([c for c, _ in parts])
     order = np.argsort(cells, kind="stable")
@@ -103,7 +115,7 @@ def _batches_of_words(batch: pa.RecordBatch) -> Iterator[tuple[int, list[list[by
         yield first, found
 
 
-def corpus_counts(texts: DataFrame) -> DataFrame:
+def corpus_counts(texts: DataFrame, with_words: bool = True) -> DataFrame:
     """``(word, cell, n)``: counts of words (``cell`` null) and of context-and-byte cells (``word`` null)."""
     names = ["word", "cell", "n"]
 
@@ -124,7 +136,7 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for _, lists in _batches_of_words(batch):
-                for own in lists:
+                for own in lists if with_words else []:
                     words.update(own)
                 parts.append(_cells(lists))
                 if len(words) > FLUSH_WORDS:
@@ -142,13 +154,13 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
     return parts.groupBy("word", "cell").agg(F.sum("n").alias("n"))
 
 
-def frequent_contexts(counts: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
-    """``(depth, context, byte, n)`` of the contexts of depth 1 to ``DEPTH`` that the tree keeps.
+def frequent_contexts(counts: DataFrame, max_nodes: int) -> DataFrame:
+    """``(depth, context, byte, n)`` of the contexts of depth 1 to ``DEPTH`` that a ``Tree`` keeps.
 
     Contexts fall into bands by the logarithm of their count; the highest bands that hold ``max_nodes``
     contexts together, less one for the root, are kept.
     """
-    context = F.expr(f"shiftright(cell, 8) & (shiftleft(1L, depth * {CLASS_BITS}) - 1)")
+    context = F.expr(f"shiftright(cell, 8 + {CLASS_BITS} * ({DEPTH} - depth))")
     levels = spill(
         counts.withColumn("depth", F.explode(F.sequence(F.lit(1), F.lit(DEPTH))))
         .groupBy("depth", context.alias("context"), (F.col("cell").bitwiseAND(F.lit(255))).cast("int").alias("byte"))
@@ -195,24 +207,27 @@ def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """The kept nodes of the context tree: for each, its step for every class and its row of logarithms.
+    """A small context tree in memory: for each node, its step for every class and its row of logarithms.
+
+    ``score_documents`` doesn't use it: its tree has no bound and is worked out on Spark.  What the missing
+    children of a node would hold is one further leaf of it.
 
     ``step[node * KINDS + class]`` is the child; a class without a child leads to ``node + size``, a state
     that no class leaves.  Row ``state % size`` holds log10 probabilities of the next byte.
     """
 
     def __init__(self, depth: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.ndarray, root: np.ndarray) -> None:
-        names = depth.astype(np.int64) << 40 | context
+        names = depth.astype(np.int64) << _BITS | context
         known, place = np.unique(names, return_inverse=True)
         self.size = len(known) + 1
-        node_depth = np.concatenate([[0], known >> 40])
-        node_context = np.concatenate([[0], known & ((1 << 40) - 1)])
+        node_depth = np.concatenate([[0], known >> _BITS])
+        node_context = np.concatenate([[0], known & ((1 << _BITS) - 1)])
         counts = np.zeros((self.size, 256), np.int64)
         counts[0] = root
         counts[place + 1, byte] = n
-        nearer = node_context & ((1 << np.maximum(node_depth - 1, 0) * CLASS_BITS) - 1)
-        parent = np.where(node_depth <= 1, 0, np.searchsorted(known, (node_depth - 1) << 40 | nearer) + 1)
-        kind = node_context >> (np.maximum(node_depth - 1, 0) * CLASS_BITS)
+        nearer = node_context >> CLASS_BITS
+        parent = np.where(node_depth <= 1, 0, np.searchsorted(known, (node_depth - 1) << _BITS | nearer) + 1)
+        kind = node_context & (KINDS - 1)
         self.step = np.repeat(np.arange(2 * self.size, dtype=np.int32) % self.size + self.size, KINDS).astype(np.int32)
         self.step[parent[1:] * KINDS + kind[1:]] = np.arange(1, self.size)
         self.rows = self._mixture(counts, node_depth, parent)
@@ -253,19 +268,16 @@ class Tree:
 
     def score(self, words: list[list[bytes]]) -> np.ndarray:
         """log10 probability of each text."""
-        stream, kinds, begins, sizes = _streams(words)
-        n = len(stream)
-        state = np.zeros(n - DEPTH, np.int32)
+        cells, begins, ends = _stream_cells(words)
+        state = np.zeros(len(cells), np.int32)
         for back in range(1, DEPTH + 1):
-            state = self.step[state * KINDS + kinds[DEPTH - back:n - back]]
+            state = self.step[state * KINDS + (cells >> (8 + CLASS_BITS * (DEPTH - back)) & (KINDS - 1))]
         state %= self.size
-        gathered = self.rows.ravel()[state.astype(np.int64) << 8 | stream[DEPTH:]]
-        marks = np.stack([begins, begins + sizes], axis=1).ravel()
-        return np.add.reduceat(np.append(gathered, 0.0).astype(np.float64), marks)[::2]
+        return _sums(self.rows.ravel()[state.astype(np.int64) << 8 | cells & 255], begins, ends)
 
 
-def context_tree(counts: DataFrame, max_nodes: int = MAX_NODES) -> Tree:
-    """The tree of a table of cells; ``max_nodes`` x 256 counts reach the driver at most."""
+def context_tree(counts: DataFrame, max_nodes: int = 1 << 16) -> Tree:
+    """A ``Tree`` of a table of cells, pruned to ``max_nodes``."""
     root = np.zeros(256, np.int64)
     for r in counts.groupBy(F.col("cell").bitwiseAND(F.lit(255)).alias("byte")).agg(F.sum("n").alias("n")).collect():
         root[r["byte"]] = r["n"]
@@ -274,6 +286,160 @@ def context_tree(counts: DataFrame, max_nodes: int = MAX_NODES) -> Tree:
     return Tree(depth, context, byte, n, root)
 
 
+def _upper(key: np.ndarray) -> np.ndarray:
+    """The key ``context << 8 | decision`` of a node's parent."""
+    return key >> (8 + CLASS_BITS) << 8 | key & 255
+
+
+class _Level:
+    """Nodes of one depth with their counts, own estimates, and the log-weights of what lies below them."""
+
+    def __init__(self, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None) -> None:
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        self.key = key[order][first]
+        self.zeros, self.ones = np.add.reduceat(zeros[order], first), np.add.reduceat(ones[order], first)
+        self.below = None if below is None else np.add.reduceat(below[order], first)
+        #: The node of each row that was given.
+        self.node = np.empty(len(key), np.int64)
+        self.node[order] = np.cumsum(np.diff(key[order], prepend=-1) != 0) - 1
+
+    def mix(self) -> None:
+        own = _log_kt(self.zeros.astype(np.float64), self.ones.astype(np.float64))
+        self.guess = (self.ones + 0.5) / (self.zeros + self.ones + 1.0)
+        if self.below is None:  # of full depth
+            self.stop, self.weighted = np.ones(len(own)), own
+        else:
+            self.stop = 1.0 / (1.0 + np.exp(np.clip(self.below - own, -700, 700)))
+            self.weighted = math.log(0.5) + np.logaddexp(own, self.below)
+
+    def above(self) -> _Level:
+        return _Level(_upper(self.key), self.zeros, self.ones, self.weighted)
+
+    def down(self, fixed: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The mixture's decided part and the weight left, after the node, from those before it."""
+        return fixed + free * self.stop * self.guess, free * (1.0 - self.stop)
+
+
+def _climb(cells: np.ndarray, n: np.ndarray, bit: int) -> list[_Level]:
+    """Levels of the subtrees of sorted cells for one binary decision a byte, from depth ``DEPTH`` to ``TOP``, the last unmixed."""
+    one = cells >> (7 - bit) & 1
+    levels = [_Level(cells >> 8 << 8 | 1 << bit | (cells & 255) >> (8 - bit), n * (1 - one), n * one, None)]
+    for _ in range(DEPTH - TOP):
+        levels[-1].mix()
+        levels.append(levels[-1].above())
+    return levels
+
+
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Cells, counts and uses of whole subtrees below depth ``TOP``, many at a time, from sorted cells."""
+    parts: list[list[np.ndarray]] = []
+    fresh = 0
+    for batch in batches:
+        parts.append([batch.column(k).to_numpy() for k in range(3)])
+        fresh += batch.num_rows
+        if fresh >= SUBTREE_CELLS:
+            whole = [np.concatenate(x) for x in zip(*parts)]
+            cut = np.searchsorted(whole[0], whole[0][-1] >> _SUBTREE << _SUBTREE)
+            if cut:
+                yield [x[:cut] for x in whole]
+            parts, fresh = [[x[cut:] for x in whole]], 0
+    if parts and sum(len(p[0]) for p in parts):
+        yield [np.concatenate(x) for x in zip(*parts)]
+
+
+def _mixed_top(sums: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the nodes of depth ``TOP``, and the mixture's decided part and weight left after each."""
+    key, zeros, ones, below = (sums.column(k).to_numpy() for k in range(4))
+    if not len(key):
+        return key, np.zeros(0), np.zeros(0)
+    levels = [_Level(key, zeros, ones, below)]
+    levels[0].mix()
+    for _ in range(TOP):
+        levels.append(levels[-1].above())
+        levels[-1].mix()
+    fixed, free = np.zeros(len(levels[-1].key)), np.ones(len(levels[-1].key))
+    for lower, level in zip([*levels[-2::-1], None], levels[::-1]):
+        fixed, free = level.down(fixed, free)
+        if lower is not None:
+            fixed, free = fixed[level.node], free[level.node]
+    return levels[0].key, fixed, free
+
+
+def cell_scores(cells: DataFrame) -> DataFrame:
+    """``(cell, used, logp)`` of all cells: the log10 probability of each cell's byte after its context, under the whole tree.
+
+    ``cells`` is ``(cell, n, used)`` with the counts ``n`` of training text, 0 for cells that only other texts have: a node
+    without counts leaves the mixture as it is.
+    """
+    ordered = cells.select("cell", "n", "used").repartition(F.shiftright("cell", _SUBTREE)).sortWithinPartitions("cell")
+
+    def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, n, _ in _subtrees(batches):
+            for bit in range(8):
+                top = _climb(cell, n, bit)[-1]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (top.key, top.zeros, top.ones, top.below)], names)
+
+    names = ["key", "zeros", "ones", "below"]
+    sums = ordered.mapInArrow(climb, "key long, zeros long, ones long, below double")
+    top = _mixed_top(sums.groupBy("key").agg(*[F.sum(c).alias(c) for c in names[1:]]).toArrow())
+    shared = cells.sparkSession.sparkContext.broadcast(top)
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, top_fixed, top_free = shared.value
+        for cell, n, used in _subtrees(batches):
+            logp = np.zeros(len(cell))
+            for bit in range(8):
+                levels = _climb(cell, n, bit)
+                at = np.searchsorted(key, levels[-1].key)
+                fixed, free = top_fixed[at], top_free[at]
+                for upper, level in zip(levels[:0:-1], levels[-2::-1]):
+                    fixed, free = level.down(fixed[upper.node], free[upper.node])
+                chance = fixed[levels[0].node]
+                logp += np.log10(np.where(cell >> (7 - bit) & 1, chance, 1.0 - chance))
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(used), pa.array(logp)], ["cell", "used", "logp"])
+
+    return ordered.mapInArrow(descend, "cell long, used long, logp double")
+
+
+def _hot_cells(cells: DataFrame) -> tuple[np.ndarray, np.ndarray, Column]:
+    """The most used cells in order, their logarithms, and the condition that picks them."""
+    band = _band("used")
+    lowest = _lowest_band(cells.groupBy(band.alias("band")).count().collect(), HOT_CELLS)
+    chosen = F.lit(False) if lowest is None else band >= lowest
+    taken = cells.where(chosen).select("cell", "logp").toArrow()
+    cell, logp = (taken.column(k).to_numpy() for k in range(2))
+    order = np.argsort(cell)
+    return cell[order], logp[order], chosen
+
+
+def _score_hot(words: list[list[bytes]], hot: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of the hot cells of each text; text, cell and number of the others."""
+    cells, begins, ends = _stream_cells(words)
+    inside = np.ones(len(cells), bool)
+    for gap in range(DEPTH):
+        inside[begins[1:] - 1 - gap] = False
+    own, place = np.unique(cells, return_inverse=True)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
+        known = hot[at] == own
+        sums = _sums(np.where(known, logp[at], 0.0)[place], begins, ends)
+    else:
+        known, sums = np.zeros(len(own), bool), np.zeros(len(words))
+    rare = np.flatnonzero(inside & ~known[place])
+    text = np.searchsorted(begins, rare, side="right") - 1
+    name, number = np.unique(text * len(own) + place[rare], return_counts=True)
+    return sums, name // len(own), own[name % len(own)], number
+
+
+def _cell_keys(cells: np.ndarray) -> pa.Array:
+    """Keys of cells in the join with words: a space, which no word has, and eight bytes."""
+    raw = np.empty((len(cells), 9), np.uint8)
+    raw[:, 0] = 0x20
+    raw[:, 1:] = cells.astype(">i8").view(np.uint8).reshape(-1, 8)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(9), len(cells), [None, pa.py_buffer(raw)]).cast(pa.binary())
+
+
 def _frequent(vocabulary: DataFrame) -> tuple[dict[bytes, int], np.ndarray, Column]:
     """The frequent words with their numbers (from 2), their counts, and the condition that picks them.
 
@@ -302,18 +468,22 @@ def score_documents(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", t
     size = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).head()
     n_all, n_distinct = size["n"] + n_ends, size["v"] + (1 if n_ends else 0)
 
-    tree = context_tree(counts.where(F.col("cell").isNotNull()).select("cell", "n"))
+    trained = counts.where(F.col("cell").isNotNull()).select("cell", "n", F.col("n").alias("used"))
+    others = corpus_counts(chosen.where("held_out"), with_words=False).select("cell", F.lit(0).cast("long"), "n")
+    cells = spill(trained.union(others).groupBy("cell").agg(F.sum("n").alias("n"), F.sum("used").alias("used")), "lm-cells")
+    cells = spill(cell_scores(cells), "lm-scores")
+    hot, hot_logp, is_hot = _hot_cells(cells)
     common, common_counts, is_common = _frequent(vocabulary)
     logs = np.log10(np.concatenate([[1, n_ends + 1], common_counts + 1.0]))
-    shared = spark.sparkContext.broadcast((tree, common, logs))
-    del tree, common
+    shared = spark.sparkContext.broadcast((hot, hot_logp, common, logs))
+    del hot, hot_logp, common
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, index, log_counts = shared.value
+        hot, hot_logp, index, log_counts = shared.value
         get, row = index.get, TaskContext.get().partitionId() << 36
         for batch in batches:
             for first, lists in _batches_of_words(batch):
-                sums = tree.score(lists)
+                sums, text_of, cell, times = _score_hot(lists, hot, hot_logp)
                 rare: list[Counter] = []
                 base, known = np.empty(len(lists)), np.empty(len(lists), np.int64)
                 for k, own in enumerate(lists):
@@ -330,23 +500,27 @@ def score_documents(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", t
                      pa.array(np.fromiter((len(w) + 1 for w in lists), np.int64, n)), pa.array(known), pa.array(base),
                      pa.array(sums)], names)
                 owner = np.repeat(rows, np.fromiter(map(len, rare), np.int64, n))
-                m = len(owner)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(owner), pa.array([w for c in rare for w in c], pa.binary()),
-                     pa.array([v for c in rare for v in c.values()], pa.int64()), pa.nulls(m, pa.int64()),
-                     pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
-                     pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names)
+                for joined in ([pa.array(owner), pa.array([w for c in rare for w in c], pa.binary()),
+                                pa.array([v for c in rare for v in c.values()], pa.int64())],
+                               [pa.array(rows[text_of]), _cell_keys(cell), pa.array(times)]):
+                    m = len(joined[0])
+                    yield pa.RecordBatch.from_arrays(
+                        [*joined, pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()),
+                         pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names)
 
     names = ["row", "key", "m", "doc_id", "held_out", "n_tokens", "known", "base", "score"]
     parts = chosen.mapInArrow(score, "row long, key binary, m long, doc_id long, held_out boolean, "
                                      "n_tokens long, known long, base double, score double")
-    joined = parts.join(vocabulary.where(~is_common), parts["key"] == vocabulary["word"], "left")
+    rare_words = vocabulary.where(~is_common).select("word", "n", F.lit(None).cast("double").alias("logp"))
+    rare_cells = cells.where(~is_hot).select(
+        F.concat(F.expr("X'20'"), F.unhex(F.lpad(F.hex("cell"), 16, "0"))), F.lit(None).cast("long"), "logp")
+    joined = parts.join(rare_words.union(rare_cells), F.col("key") == F.col("word"), "left")
     rare_known = F.when(F.col("n").isNotNull(), F.col("m"))
     per_row = joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
         (F.max("known") + F.coalesce(F.sum(rare_known), F.lit(0))).alias("n_known"),
         (F.max("base") + F.coalesce(F.sum(F.col("m") * F.log10((F.col("n") + 1).cast("double"))), F.lit(0.0))).alias("gain"),
-        F.max("score").alias("score"))
+        (F.max("score") + F.coalesce(F.sum(F.col("m") * F.col("logp")), F.lit(0.0))).alias("score"))
     return per_row.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"),
                           (F.col("gain") - F.col("n_tokens") * math.log10(n_all + n_distinct + 1)).alias("base_score"),
                           "score")

@@ -295,6 +295,22 @@ def test_tree_of_large_counts():
             assert tree.rows[k, byte] == pytest.approx(log10_next(k, byte), abs=1e-4)
 
 
+def test_tree_is_whole(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    text = [" ".join(rng.choice([*"abcdefghijklmnopqrstuvwxyz é"], 30_000))] * 2 + ["".join(rng.choice([*"abcdefgh "], 25_000))]
+    text += ["".join(rng.choice([*"abcdefghijklmnopqrstuvwxyz"], 25_000)), "abc zz q", "", None]
+    table = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string").repartition(3)
+    counts = lm_scoring.corpus_counts(table.where("doc_id not in (2, 4, 5)"))
+    tree = lm_scoring.context_tree(counts.where("cell is not null").select("cell", "n"), max_nodes=10 ** 6)
+    assert tree.size > 1 << 16
+    want = {k: tree.score([(t or "").encode().split()])[0] for k, t in enumerate(text)}
+    for hot, cells in ((lm_scoring.HOT_CELLS, lm_scoring.SUBTREE_CELLS), (1000, 5000), (0, 100)):
+        monkeypatch.setattr(lm_scoring, "HOT_CELLS", hot)
+        monkeypatch.setattr(lm_scoring, "SUBTREE_CELLS", cells)
+        got = lm_scoring.score_documents(table, F.col("doc_id").isin(2, 4, 5)).collect()
+        assert {r["doc_id"]: r["score"] for r in got} == pytest.approx(want, rel=1e-5)
+
+
 def test_scores(docs, none, rows, monkeypatch):
     def words(t):
         return [w.encode().decode() for w in re.findall(WORD, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))]
