@@ -1,18 +1,17 @@
 """Language-model scores by context-tree weighting, beside a unigram base score.
 
 A text is the byte string of its lower-cased words, joined by single spaces, and one end byte.  Each
-byte is eight binary decisions; each decision has a context tree over the preceding bytes (their
-classes: letter, digit, space, other ASCII, lead and continuation bytes of UTF-8, start), with a
+byte is eight binary decisions; each decision has a context tree over the preceding bytes, with a
 Krichevsky-Trofimov estimate at every node from depth 0 to ``DEPTH``.  Weighting mixes the estimates of
 all depths: a node's weighted probability is half its own estimate and half the product of its
-children's.
+children's.  A cell, six bytes of context and the next byte, is 56 bits of a long.
 
 All of that depends on counts alone, so training is a distributed count of cells, ``(context, byte)``,
 over all training text, and the tree has every context that occurs.  Cells are dealt out by the first
 ``TOP + 1`` bytes of their context, so that each task has whole subtrees: it passes their log-weights up
 to depth ``TOP``, whose nodes (65,536 at most) are mixed on the driver, and a second pass brings the
 mixture down to every cell of any text.  The logarithms of the ``HOT_CELLS`` most used cells are
-broadcast (64 MB at most) and summed where the text is; a text's other cells go to a join with the table
+broadcast (32 MB at most) and summed where the text is; a text's other cells go to a join with the table
 of cells.  Which way a cell goes doesn't change its logarithm.
 
 The base score needs the count of every word, and words have no bound.  Words that are frequent, up to
@@ -39,29 +38,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabsense.llm.common import as_bytes, spill
 
-DEPTH, CLASS_BITS = 6, 5
+DEPTH, CLASS_BITS = 6, 8
 KINDS, _BITS = 1 << CLASS_BITS, DEPTH * CLASS_BITS
 #: Nodes up to depth ``TOP`` (65,536 contexts of two bytes at most) are mixed on the driver, subtrees below in the tasks.
-TOP, SUBTREE_CELLS = 2, 1 << 19
+TOP, SUBTREE_CELLS = 2, 1 << 18
 #: Cells whose logarithms are broadcast; all others go through a join, with equal results.
-HOT_CELLS = 1 << 22
+HOT_CELLS = 1 << 21
 #: Binary decisions of all nodes that are worked out together.
 AT_A_TIME = 8
 FREQUENT, FREQUENT_BYTES = 200_000, 64
-SLICE_BYTES, FLUSH_WORDS, MERGE_CELLS = 1 << 21, 300_000, 1 << 21
-#: Fixed rule of byte classes: start and end, space, 26 letters, digits, other ASCII, UTF-8 lead, UTF-8 rest.
-START, SPACE, FIRST_LETTER, DIGIT, OTHER, LEAD, REST = 0, 1, 2, 28, 29, 30, 31
+SLICE_BYTES, FLUSH_WORDS, MERGE_CELLS = 1 << 19, 200_000, 1 << 20
 _PAD = b"\n" * DEPTH
 _SUBTREE = 8 + CLASS_BITS * (DEPTH - TOP - 1)  # bits of a cell below the root of its subtree
 
 
 def byte_classes() -> np.ndarray:
-    c = np.full(256, OTHER, np.int32)
-    c[0x0A], c[0x20] = START, SPACE
-    c[0x61:0x7B] = FIRST_LETTER + np.arange(26)
-    c[0x30:0x3A] = DIGIT
-    c[0x80:0xC0], c[0xC0:] = REST, LEAD
-    return c
+    """The class of each byte in a context: the byte itself."""
+    return np.arange(256, dtype=np.int32)
 
 
 def _stream_cells(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,11 +191,19 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + tail - np.log(steps)
 
 
+_HALF, _ONE = _log_gamma(np.arange(1 << 13) + 0.5), _log_gamma(np.arange(1 << 13) + 1.0)
+
+
 def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    out = np.zeros(zeros.shape)
-    seen = np.nonzero(zeros + ones)  # an estimate without counts is 1, and most nodes have none
-    a, b = zeros[seen], ones[seen]
-    out[seen] = _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1.0) - math.log(math.pi)
+    """Logarithms of Krichevsky-Trofimov estimates of integer counts; those of small counts are looked up."""
+    total = zeros + ones
+    out = np.zeros(zeros.shape)  # an estimate without counts is 1
+    few = (total > 0) & (total < len(_ONE))
+    a, b, n = zeros[few], ones[few], total[few]
+    out[few] = _HALF[a] + _HALF[b] - _ONE[n] - math.log(math.pi)
+    many = total >= len(_ONE)
+    a, b = zeros[many].astype(np.float64), ones[many].astype(np.float64)
+    out[many] = _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1.0) - math.log(math.pi)
     return out
 
 
@@ -296,16 +297,18 @@ class _Level:
 
     def __init__(self, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None) -> None:
         order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.diff(key[order], prepend=-1))
-        self.key = key[order][first]
+        key = key[order]
+        change = np.diff(key, prepend=-1) != 0
+        first = np.flatnonzero(change)
+        self.key = key[first]
         self.zeros, self.ones = np.add.reduceat(zeros[order], first), np.add.reduceat(ones[order], first)
         self.below = None if below is None else np.add.reduceat(below[order], first)
         #: The node of each row that was given.
         self.node = np.empty(len(key), np.int64)
-        self.node[order] = np.cumsum(np.diff(key[order], prepend=-1) != 0) - 1
+        self.node[order] = np.cumsum(change) - 1
 
     def mix(self) -> None:
-        own = _log_kt(self.zeros.astype(np.float64), self.ones.astype(np.float64))
+        own = _log_kt(self.zeros, self.ones)
         self.guess = (self.ones + 0.5) / (self.zeros + self.ones + 1.0)
         if self.below is None:  # of full depth
             self.stop, self.weighted = np.ones(len(own)), own

@@ -295,6 +295,18 @@ def test_tree_of_large_counts():
             assert tree.rows[k, byte] == pytest.approx(log10_next(k, byte), abs=1e-4)
 
 
+def test_contexts_are_bytes(spark):
+    texts = ["дом дым 12 [а]", "дым 21 (б) дом", "日本 本日 3.4", "дом дум 12 <в>", "本日 дым 12"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pad = b"\n" * lm_scoring.DEPTH
+    stream = [pad + b" ".join(t.encode().lower().split()) + b"\n" for t in texts]
+    log10_next = brute_tree(stream[:3], lm_scoring.DEPTH, list(range(256)))
+    for r in lm_scoring.score_documents(table, F.col("doc_id") > 2).collect():
+        s = stream[r["doc_id"]]
+        want = sum(log10_next(tuple(reversed(s[k - lm_scoring.DEPTH:k])), s[k]) for k in range(lm_scoring.DEPTH, len(s)))
+        assert r["score"] == pytest.approx(want, abs=1e-6)
+
+
 def test_tree_is_whole(spark, monkeypatch):
     rng = np.random.default_rng(5)
     text = [" ".join(rng.choice([*"abcdefghijklmnopqrstuvwxyz é"], 30_000))] * 2 + ["".join(rng.choice([*"abcdefgh "], 25_000))]
