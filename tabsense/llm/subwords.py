@@ -2,10 +2,13 @@
 
 A text is cut into chunks that no vocabulary piece crosses (runs of word marks with the word after
 them, and line feeds).  In each chunk an agenda of adjacent pairs whose union is a piece is worked off
-by score, leftmost first.  Each candidate merge is skipped if a hash keyed by seed, chunk, variant and
-the merge's place falls below the dropout rate, so the segmentation varies but any part of it can be
-recomputed.  A chunk's variant is drawn from a hash of seed, document and the chunk's ordinal; words
-that come again can therefore be remembered per variant.
+by score, leftmost first.  Each candidate merge is skipped if a hash keyed by seed, document, the
+chunk's ordinal and the merge's place falls below the dropout rate, so every occurrence has draws of its
+own, but any part of it can be recomputed.
+
+What is remembered doesn't depend on the draws: for a chunk and a set of skipped merges, the ids that
+come out if nothing else is skipped, and the candidates that this takes for granted.  An occurrence
+draws those; where none is skipped the ids hold, else the skipped ones lead to a further such state.
 
 Two forms of the agenda give equal results: all short chunks of a slice of texts advance together, one
 merge a chunk and round; a chunk of more than ``LONG`` characters has a heap of its own.
@@ -32,9 +35,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tabsense.llm.common import WordIndex, as_bytes, list_array, mix64
 
 MARK = "▁"
-DROPOUT, VARIANTS = 0.1, 8
-#: Chunks longer than this have their own heap; bytes of text encoded at a time; words remembered.
-LONG, SLICE_BYTES, WORD_CACHE = 48, 1 << 21, 200_000
+DROPOUT = 0.1
+#: Chunks longer than this have their own heap; bytes of text encoded at a time; states remembered.
+LONG, SLICE_BYTES, STATE_CACHE = 48, 1 << 19, 150_000
+#: States with more candidates than this aren't remembered: their chunks are segmented wherever they occur.
+WIDE = 20
 _CHUNKS = re.compile(b" +[^ \n]*|[^ \n]+|\n")
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _FIRST_POINT = 1 << 18  # symbols from here on are code points outside the vocabulary
@@ -114,11 +119,12 @@ def segment_one(vocab: Merges, symbols: np.ndarray, key: np.uint64, rate: np.uin
     return np.array([i for i in ids if i >= 0], np.int64)
 
 
-def segment_many(vocab: Merges, symbols: np.ndarray, lengths: np.ndarray, keys: np.ndarray,
-                 rate: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+def segment_many(vocab: Merges, symbols: np.ndarray, lengths: np.ndarray, keys: np.ndarray, rate: np.uint64,
+                 skipped: np.ndarray | None = None, offered: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The agendas of many chunks at once; symbols in a row. Returns final symbols and their counts.
 
-    At a rate of 0 no merge is skipped and the keys don't matter.
+    At a rate of 0 the keys don't matter and the merges of ``skipped``, in order, are skipped; the
+    candidates are added to ``offered``.  Both are ``chunk << 18 | start << 12 | middle << 6 | end``.
     """
     owner = np.repeat(np.arange(len(lengths)), lengths)
     begin = np.arange(len(symbols)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -134,6 +140,11 @@ def segment_many(vocab: Merges, symbols: np.ndarray, lengths: np.ndarray, keys:
         good = pair & (union >= 0) & (owner[at] == owner[nxt])
         if rate:
             good &= _place_hash(keys[owner[at]], begin[at], begin[nxt], end[nxt]) >= rate
+        if offered is not None:
+            place = owner[at] << 18 | begin[at] << 12 | begin[nxt] << 6 | end[nxt]
+            offered.append(place[good])
+            if len(skipped):
+                good &= skipped[np.minimum(np.searchsorted(skipped, place), len(skipped) - 1)] != place
         return np.where(good, vocab.rank[union] << 8 | begin[at], none), union
 
     order, union = candidates(np.arange(len(ids)))
@@ -168,41 +179,54 @@ def segment_many(vocab: Merges, symbols: np.ndarray, lengths: np.ndarray, keys:
     return ids[order], np.bincount(owner, minlength=len(lengths))
 
 
+class Lists:
+    """Many lists of integers in one array."""
+
+    def __init__(self, kind: type) -> None:
+        self.flat, self.start, self.length = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.length = np.concatenate([self.length, lengths])
+        self.flat = np.concatenate([self.flat, flat.astype(self.flat.dtype)])
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lengths = self.length[rows]
+        spread = np.repeat(self.start[rows] - (np.cumsum(lengths) - lengths), lengths)
+        return self.flat[spread + np.arange(len(spread))], lengths
+
+    def keep(self, rows: np.ndarray) -> None:
+        self.flat, self.length = self.take(rows)
+        self.start = np.cumsum(self.length) - self.length
+
+
 class Encoder:
-    """Ids of whole texts, with a bounded memory of chunks and their variants."""
+    """Ids of whole texts, with a bounded memory of chunks and of the states that skipped merges lead to.
+
+    A state's name is its chunk, if nothing is skipped, or ``state << WIDE | skipped candidates of that state``.
+    """
 
     def __init__(self, path: str, dropout: float, seed: int) -> None:
         self.vocab = Vocabulary(path)
         self.rate = np.uint64(min(int(dropout * 2.0 ** 64), 2 ** 64 - 1))
-        self.variants = VARIANTS if dropout > 0 else 1
         self.seed = mix64(np.array([seed & (2 ** 64 - 1)], np.uint64))[0]
         self.index = WordIndex([])
-        self.chunks: list[bytes] = []
-        self.used = np.zeros(0, np.int64)
-        self.start, self.length = np.full(0, -1, np.int64), np.zeros(0, np.int64)  # of each chunk's variants
-        self.pool = np.zeros(0, np.int32)
+        self.names: list[bytes | int] = []
+        self.used, self.direct = np.zeros(0, np.int64), np.zeros(0, bool)
+        # of each state: symbols, ids, candidates to draw, and drawn ones (place << 1 | skipped)
+        self.symbols, self.ids, self.open, self.drawn = Lists(np.int32), Lists(np.int32), Lists(np.int32), Lists(np.int32)
 
     def shrink(self) -> None:
-        """Forget all but the half of the chunks that were used most."""
-        keep = np.sort(np.argsort(-self.used, kind="stable")[:WORD_CACHE // 2])
-        slots = (keep[:, None] * self.variants + np.arange(self.variants)).ravel()
-        start, self.length = self.start[slots], self.length[slots]
-        known = start >= 0
-        lengths = self.length[known]
-        first = np.cumsum(lengths) - lengths
-        self.pool = self.pool[np.repeat(start[known] - first, lengths) + np.arange(lengths.sum())]
-        self.start = np.full(len(slots), -1, np.int64)
-        self.start[known] = first
-        self.chunks, self.used = [self.chunks[k] for k in keep], self.used[keep] // 2
-        self.index = WordIndex(self.chunks)
-
-    def _grow(self) -> None:
-        fresh, self.index.fresh = self.index.fresh, []
-        self.chunks += fresh
-        room = len(fresh) * self.variants
-        self.used = np.concatenate([self.used, np.zeros(len(fresh), np.int64)])
-        self.start = np.concatenate([self.start, np.full(room, -1, np.int64)])
-        self.length = np.concatenate([self.length, np.zeros(room, np.int64)])
+        """Forget all but the half of the states that were used most; a state is used as often as those it leads to."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[:STATE_CACHE // 2])
+        now = np.full(len(self.used), -1, np.int64)
+        now[keep] = np.arange(len(keep))
+        names = [self.names[k] for k in keep]
+        self.names = [n if isinstance(n, bytes) else int(now[n >> WIDE]) << WIDE | n & ((1 << WIDE) - 1) for n in names]
+        self.index = WordIndex(self.names)
+        self.used, self.direct = self.used[keep] // 2, self.direct[keep]
+        for lists in (self.symbols, self.ids, self.open, self.drawn):
+            lists.keep(keep)
 
     def _symbols(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         texts = [c.decode("utf-8", "replace") for c in chunks]
@@ -214,10 +238,56 @@ class Encoder:
             prints = np.add.reduceat(weight, begins) if len(points) else np.zeros(0, np.uint64)
         return self.vocab.symbol[points], lengths, prints
 
-    def _segment(self, chunks: list[bytes], variants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        symbols, lengths, prints = self._symbols(chunks)
-        with np.errstate(over="ignore"):
-            keys = mix64(prints ^ self.seed ^ (variants.astype(np.uint64) + np.uint64(1)) * _K[2])
+    def _chunks(self, chunks: list[bytes]) -> None:
+        """States of new chunks."""
+        symbols, lengths, _ = self._symbols(chunks)
+        self._grow(symbols, lengths, np.zeros(0, np.int64), np.zeros(len(chunks), np.int64))
+
+    def _after_skips(self, names: np.ndarray) -> None:
+        """States that skipped candidates lead to."""
+        parent, mask = names >> WIDE, names & ((1 << WIDE) - 1)
+        drawn, n_drawn = self.drawn.take(parent)
+        place, n_open = self.open.take(parent)
+        owner = np.repeat(np.arange(len(names)), n_open)
+        nth = np.arange(len(place)) - np.repeat(np.cumsum(n_open) - n_open, n_open)
+        order = np.argsort(np.concatenate([np.repeat(np.arange(len(names)), n_drawn), owner]), kind="stable")
+        every = np.concatenate([drawn, place.astype(np.int64) << 1 | mask[owner] >> nth & 1])[order]
+        self._grow(*self.symbols.take(parent), every, n_drawn + n_open)
+
+    def _grow(self, symbols: np.ndarray, lengths: np.ndarray, drawn: np.ndarray, n_drawn: np.ndarray) -> None:
+        self.names += self.index.fresh
+        self.index.fresh = []
+        short = lengths <= LONG
+        owner = np.repeat(np.arange(len(lengths)), n_drawn)
+        known = np.sort(owner << 18 | drawn >> 1)
+        offered: list[np.ndarray] = []
+        ids, counts = segment_many(self.vocab, symbols[np.repeat(short, lengths)], np.where(short, lengths, 0), np.zeros(0),
+                                   np.uint64(0), np.sort((owner << 18 | drawn >> 1)[(drawn & 1) > 0]), offered)
+        fresh = np.sort(np.concatenate(offered))
+        fresh = fresh[np.diff(fresh, prepend=-1) != 0]
+        if len(known):
+            fresh = fresh[known[np.minimum(np.searchsorted(known, fresh), len(known) - 1)] != fresh]
+        n_open = np.bincount(fresh >> 18, minlength=len(lengths))
+        direct = ~short | ((n_open > WIDE) & (self.rate > 0))
+        self.symbols.add(symbols, lengths)
+        self.ids.add(*self._spelled(ids, counts))
+        self.open.add((fresh & ((1 << 18) - 1))[~direct[fresh >> 18]], np.where(direct, 0, n_open))
+        self.drawn.add(drawn, n_drawn)
+        self.direct = np.concatenate([self.direct, direct])
+        self.used = np.concatenate([self.used, np.zeros(len(lengths), np.int64)])
+
+    def _spelled(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids with characters outside the vocabulary as byte pieces."""
+        if not (ids >= _FIRST_POINT).any():
+            return ids.astype(np.int32), counts
+        owner = np.repeat(np.arange(len(counts)), counts)
+        spelled = [[int(i)] if i < _FIRST_POINT else self.vocab.byte_ids[list(chr(i - _FIRST_POINT).encode())].tolist()
+                   for i in ids.tolist()]
+        sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
+        return np.array([x for s in spelled for x in s], np.int32), np.bincount(owner, sizes, len(counts)).astype(np.int64)
+
+    def _segment(self, symbols: np.ndarray, lengths: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks by their own keys."""
         long = lengths > LONG
         inside = np.repeat(~long, lengths)
         ids, counts = segment_many(self.vocab, symbols[inside], lengths[~long], keys[~long], self.rate)
@@ -227,18 +297,37 @@ class Encoder:
             parts = [segment_one(self.vocab, symbols[b:b + n], k, self.rate) if far else next(short)
                      for b, n, k, far in zip(begins, lengths, keys, long)]
             ids, counts = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
-        outside = ids >= _FIRST_POINT
-        if not outside.any():
-            return ids.astype(np.int32), counts
-        owner = np.repeat(np.arange(len(counts)), counts)
-        spelled = [[int(i)] if i < _FIRST_POINT else self.vocab.byte_ids[list(chr(i - _FIRST_POINT).encode())].tolist()
-                   for i in ids.tolist()]
-        sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
-        return np.array([x for s in spelled for x in s], np.int32), np.bincount(owner, sizes, len(counts)).astype(np.int64)
+        return self._spelled(ids, counts)
+
+    def _states(self, every: list[bytes], keys: np.ndarray) -> np.ndarray:
+        """The state that each chunk's draws lead to."""
+        state = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
+        if self.index.fresh:
+            self._chunks(self.index.fresh)
+        self.used += np.bincount(state, minlength=len(self.used))
+        going = np.flatnonzero(self.open.length[state]) if self.rate else np.zeros(0, np.int64)
+        while len(going):
+            place, n_open = self.open.take(state[going])
+            first = np.cumsum(n_open) - n_open
+            nth = np.arange(len(place)) - np.repeat(first, n_open)
+            place = place.astype(np.int64)
+            skip = _place_hash(np.repeat(keys[going], n_open), place >> 12, place >> 6 & 63, place & 63) < self.rate
+            mask = np.add.reduceat(skip.astype(np.int64) << nth, first)
+            going, mask = going[mask > 0], mask[mask > 0]
+            if not len(going):
+                break
+            names, which = np.unique(state[going] << WIDE | mask, return_inverse=True)
+            found = np.fromiter(map(self.index.__getitem__, names.tolist()), np.int64, len(names))
+            if self.index.fresh:
+                self._after_skips(np.array(self.index.fresh, np.int64))
+            state[going] = found[which]
+            self.used += np.bincount(state[going], minlength=len(self.used))
+            going = going[self.open.length[state[going]] > 0]
+        return state
 
     def encode(self, texts: list[bytes], documents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number for each text; ``documents`` are the keys of the texts."""
-        if len(self.index) > WORD_CACHE:
+        if len(self.index) > STATE_CACHE:
             self.shrink()
         every: list[bytes] = []
         n_chunks = np.zeros(len(texts), np.int64)
@@ -249,25 +338,20 @@ class Encoder:
                 n_chunks[k] = len(own)
         if not every:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        word = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
-        if self.index.fresh:
-            self._grow()
-        self.used += np.bincount(word, minlength=len(self.used))
         ordinal = np.arange(len(every)) - np.repeat(np.cumsum(n_chunks) - n_chunks, n_chunks)
         with np.errstate(over="ignore"):
-            drawn = mix64(np.repeat(mix64(documents.astype(np.int64).view(np.uint64) ^ self.seed), n_chunks)
-                          + ordinal.astype(np.uint64) * _K[0])
-        slot = word * self.variants + (drawn % np.uint64(self.variants)).astype(np.int64)
-        missing = np.unique(slot[self.start[slot] < 0])
-        if len(missing):
-            ids, counts = self._segment([self.chunks[w] for w in missing // self.variants], missing % self.variants)
-            self.start[missing] = len(self.pool) + np.cumsum(counts) - counts
-            self.length[missing] = counts
-            self.pool = np.concatenate([self.pool, ids])
-        lengths = self.length[slot]
+            keys = mix64(np.repeat(mix64(documents.astype(np.int64).view(np.uint64) ^ self.seed), n_chunks)
+                         + ordinal.astype(np.uint64) * _K[0])
+        state = self._states(every, keys)
+        lengths, start, pool = self.ids.length[state], self.ids.start[state], self.ids.flat
+        own = np.flatnonzero(self.direct[state])
+        if len(own):
+            ids, counts = self._segment(*self.symbols.take(state[own]), keys[own])
+            lengths[own], start[own] = counts, len(pool) + np.cumsum(counts) - counts
+            pool = np.concatenate([pool, ids])
         ends = np.cumsum(lengths)
-        spread = np.repeat(self.start[slot] - (ends - lengths), lengths)
-        ids = self.pool[spread + np.arange(len(spread))]
+        spread = np.repeat(start - (ends - lengths), lengths)
+        ids = pool[spread + np.arange(len(spread))]
         upto = np.concatenate([[0], ends])[np.cumsum(n_chunks)]
         return ids, np.diff(upto, prepend=0)
 

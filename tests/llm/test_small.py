@@ -99,6 +99,31 @@ def test_subwords_round_trip(docs, none, rows):
     assert subwords.round_trip(none, MODEL).count() == 0
 
 
+def test_every_occurrence_has_its_own_draws(monkeypatch):
+    text = ("\nof" * 400 + " the internationalization of naïve 日本 thththth " + "in other words " * 30 + "x" * 70).encode()
+    documents = np.arange(-3, 40)
+    encoder = subwords.Encoder(MODEL, 0.1, 7)
+    chunks = subwords._CHUNKS.findall(b" " + text)
+    symbols, lengths, _ = encoder._symbols(chunks)
+    parts = np.split(symbols, np.cumsum(lengths)[:-1])
+    of = [k for k, c in enumerate(chunks) if c == b"of"]
+    skipped = 0
+    for room in (subwords.STATE_CACHE, 8):
+        monkeypatch.setattr(subwords, "STATE_CACHE", room)
+        for doc in documents:
+            ids, _ = encoder.encode([text], np.array([doc]))
+            with np.errstate(over="ignore"):
+                keys = subwords.mix64(subwords.mix64(np.array([doc]).view(np.uint64) ^ encoder.seed)
+                                      + np.arange(len(chunks)).astype(np.uint64) * subwords._K[0])
+            want = [subwords.segment_one(encoder.vocab, p, k, encoder.rate) for p, k in zip(parts, keys)] if doc < 3 else []
+            if want:
+                flat = np.concatenate(want)
+                assert ids.tolist() == encoder._spelled(flat, np.array([len(flat)]))[0].tolist()
+            whole = encoder.vocab.merged(*np.split(parts[of[0]], 2))[0]
+            skipped += len(of) - int((ids == whole).sum())
+    assert abs(skipped / (2 * len(of) * len(documents)) - 0.1) < 0.01  # "of" has one candidate merge
+
+
 # 2: HTML
 
 def test_html(spark):
