@@ -64,3 +64,12 @@ class WordIndex(dict):
         self[word] = n = len(self)
         self.fresh.append(word)
         return n
+
+
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """The columns of exactly these names, also where another name differs in case alone; a missing one is an error."""
+    missing = [n for n in names if n not in df.columns]
+    if missing:
+        raise ValueError(f"no column {missing} in {df.columns}")
+    apart = df.toDF(*[f"_{k}" for k in range(len(df.columns))])
+    return apart.select(*[F.col(f"_{df.columns.index(n)}").alias(n) for n in names])

@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tabsense.llm import (html_text, jaccard_join, line_dedup, lm_scoring, packing, quality, secret_scan, subwords,
-                          token_counts, vector_search)
+from tabsense.llm import (filter_audit, html_text, jaccard_join, language_id, line_dedup, lm_scoring, packing, quality,
+                          secret_scan, subwords, term_divergence, token_counts, vector_search)
 from tabsense.plans.catalog import table
 
 
@@ -82,6 +82,22 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by cross-parsing; a fifth is held out, the rest are learned from."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return language_id.predict_languages(table(spark, sf_dir, "documents"), held_out)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each step of each of the 120 orders of five filters keeps and removes, for every source."""
+    return filter_audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of a language differ in its terms of ten documents or more."""
+    return term_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_html_extraction": op2_html_extraction,
@@ -93,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_language_id": op11_language_id,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 LINE_DEDUP_SQL = """
@@ -119,4 +138,6 @@ ORACLE: dict[str, str] = {
     "op4_secret_scan": secret_scan.oracle_sql(),
     "op6_vector_search": VECTOR_SEARCH_SQL,
     "op7_line_dedup": LINE_DEDUP_SQL,
+    "op12_filter_audit": filter_audit.ORACLE_SQL,
+    "op13_source_divergence": term_divergence.ORACLE_SQL,
 }
