@@ -6,22 +6,19 @@ term's first ``L`` bytes.  A document that holds a term holds all its prefixes,
 ``least`` documents is discarded with every term that it begins; the next level, of twice the bytes, counts
 only what extends a kept prefix.  The refinement ends when complete terms alone are left.
 
-A level is one scan.  Tasks count in bounded tables and shuffle one row per language and prefix.  The kept
+A level is one scan.  Tasks count the texts that they hold together and shuffle one row per language and prefix.  The kept
 prefixes reach the next scan as a Bloom filter of at most ``BLOOM_BITS``: a wrongly passed prefix costs a
 count and changes no result, as every complete term's documents are counted in full before it is kept.
 
 Defined cases: null text, lang and source are empty strings; every row is a document, so repeated rows
 count as often as they stand there; a document without terms makes its group occur; a language that keeps
 no term gives pairs of value 0 and no term rows; an empty table gives no rows; ties rank by the UTF-8 bytes
-of the item; other columns are not read; texts and terms may have any length.
+of the item; other columns than doc_id are not read; texts and terms may have any length.
 """
 
 from __future__ import annotations
 
-import operator
-import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,33 +33,59 @@ LEAST_DOCS = 10
 FIRST_LEVEL = 6
 #: Bits of the largest filter (8 MB), and bits a kept prefix while it is smaller.
 BLOOM_BITS, BITS_A_KEY = 1 << 26, 16
-#: Entries that a task holds in its counters, and in its memory of known terms, before it lets go of them.
-TASK_ENTRIES = 300_000
-#: Bytes of known terms that a task remembers.
-TASK_BYTES = 16 << 20
+#: Bytes of text that a task counts together, and of a text that is counted in pieces.
+TASK_BYTES, LONG_TEXT = 32 << 20, 8 << 20
+#: Terms of a language whose keys a task remembers, and the longest of them.
+TASK_TERMS, LONG_TERM = 300_000, 64
 #: Counts of one block of the pairwise sums, and cells of a matrix of shares.
 BLOCK_COUNTS, BLOCK_CELLS = 200_000, 1 << 20
 #: Shares are in billionths.
 SCALE = 1_000_000_000
-#: Texts over so many bytes are read match by match.
-LONG_TEXT = 1 << 20
-
-_TERM = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 _OPEN = b"*"  # marks a prefix of longer terms; no term holds this byte
+_LETTERS = {*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)}
+#: Blank for every byte that ends a term, and A-Z lower-cased.
+_PLAIN = bytes(32 if b not in _LETTERS else b + 32 if b < 0x5B else b for b in range(256))
+
 
+def number_terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Every occurrence's term number and text number, and the terms.
 
-def find_terms(text: bytes) -> Iterable[bytes]:
-    """Runs of letters and non-ASCII bytes, only A-Z lower-cased."""
-    text = text.lower()
-    return _TERM.findall(text) if len(text) < LONG_TEXT else map(operator.methodcaller("group"), _TERM.finditer(text))
+    Terms are runs of letters and non-ASCII bytes, only A-Z lower-cased.
+    """
+    data = np.frombuffer(b" ".join([*texts, b""]).translate(_PLAIN), np.uint8)
+    letter = data != 32
+    edge = np.flatnonzero(np.diff(letter, prepend=False, append=False))
+    first, last = edge[::2], edge[1::2]
+    ends = np.concatenate([[0], np.cumsum(last - first)]).astype(np.int32)
+    runs = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(data[letter])])
+    coded = runs.dictionary_encode()
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    per_text = np.diff(np.searchsorted(first, begins))
+    return coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), per_text), coded.dictionary.to_pylist()
+
+
+def pieces(text: bytes) -> Iterator[bytes]:
+    """A long text in pieces of about ``LONG_TEXT`` bytes, cut where no term is."""
+    plain = text.translate(_PLAIN)
+    start = 0
+    while start < len(plain):
+        cut = plain.find(b" ", start + LONG_TEXT)
+        cut = len(plain) if cut < 0 else cut
+        yield plain[start:cut]
+        start = cut
 
 
 # ----------------------------------------------------------------------------- the filter of kept prefixes
 
-def _places(lang: str, key: bytes, bits: int) -> tuple[int, int, int]:
-    h = xxhash.xxh3_64_intdigest(lang.encode() + b"\0" + key)
+def _places(salt: bytes, key: bytes, last: int) -> tuple[int, int, int]:
+    """Three bits of a key, in a filter whose last bit is number ``last``; ``salt`` names the language."""
+    h = xxhash.xxh3_64_intdigest(salt + key)
     step = h >> 32 | 1
-    return h & (bits - 1), (h + step) & (bits - 1), (h + 2 * step) & (bits - 1)
+    return h & last, h + step & last, h + 2 * step & last
+
+
+def _salt(lang: str) -> bytes:
+    return lang.encode() + b"\0"
 
 
 def bloom_filter(keys: DataFrame, n_keys: int) -> bytes:
@@ -72,9 +95,10 @@ def bloom_filter(keys: DataFrame, n_keys: int) -> bytes:
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             places = [p for lang, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                      for p in _places(lang, key, bits)]
-            at = np.unique(np.array(places, np.int64))
-            word, first = np.unique(at >> 3, return_index=True)
+                      for p in _places(_salt(lang), key, bits - 1)]
+            at = np.sort(np.array(places, np.int64))
+            first = np.flatnonzero(np.diff(at >> 3, prepend=-1))
+            word = at[first] >> 3
             value = np.bitwise_or.reduceat(1 << (at & 7), first) if len(at) else at
             yield pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(value, pa.int64())], ["word", "bits"])
 
@@ -90,16 +114,15 @@ class _Known(dict):
 
     def __init__(self, lang: str, before: int, level: int | None, kept: bytes | None) -> None:
         super().__init__()
-        self.lang, self.before, self.level, self.kept = lang, before, level, kept
-        self.size = 0
+        self.salt, self.before, self.level, self.kept = _salt(lang), before, level, kept
 
     def __missing__(self, term: bytes) -> bytes | None:
+        key: bytes | None = None
         if self.kept is None or self._passes(term):
             key = term if self.level is None or len(term) <= self.level else term[:self.level] + _OPEN
-        else:
-            key = None
+        if len(self) >= TASK_TERMS or len(term) > LONG_TERM:
+            return key
         self[term] = key
-        self.size += len(term)
         return key
 
     def _passes(self, term: bytes) -> bool:
@@ -110,57 +133,82 @@ class _Known(dict):
         else:
             sought = term[:self.before] + _OPEN
         kept = self.kept
-        return all(kept[p >> 3] >> (p & 7) & 1 for p in _places(self.lang, sought, len(kept) << 3))
+        a, b, c = _places(self.salt, sought, (len(kept) << 3) - 1)
+        return bool(kept[a >> 3] >> (a & 7) & kept[b >> 3] >> (b & 7) & kept[c >> 3] >> (c & 7) & 1)
+
+
+def _batch(group: tuple, keys: list[bytes], n: np.ndarray) -> pa.RecordBatch:
+    names = [pa.array([x] * len(keys), pa.string()) for x in group]
+    return pa.RecordBatch.from_arrays([*names, pa.array(keys, pa.binary()), pa.array(n, pa.int64())],
+                                      names=[*("lang", "source")[:len(group)], "key", "n"])
 
 
-class _Counts:
-    """Counters of one task, by language (or language and source); handed on whenever they are full."""
+class _Texts:
+    """Texts of one task by group, counted together whenever they are many."""
 
     def __init__(self, before: int, level: int | None, kept: bytes | None) -> None:
         self.args = (before, level, kept)
         self.known: dict[str, _Known] = {}
-        self.counts: dict[tuple, Counter] = {}
+        self.texts: dict[tuple, list[bytes]] = {}
         self.held = 0
 
-    def add(self, group: tuple, terms: Iterable[bytes], once: bool) -> None:
-        known = self.known.get(group[0]) or self.known.setdefault(group[0], _Known(group[0], *self.args))
-        counter = self.counts.get(group)
-        if counter is None:
-            counter = self.counts[group] = Counter()
-        n = len(counter)
-        if once:
-            counter.update(set(map(known.__getitem__, set(terms))))
-        else:
-            counter.update(map(known.__getitem__, terms))
-        self.held += len(counter) - n
-        if len(known) > TASK_ENTRIES or known.size > TASK_BYTES or len(self.known) > 1000:
-            self.known.clear()
-
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        for group, counter in self.counts.items():
-            counter.pop(None, None)
-            if counter:
-                names = [pa.array([x] * len(counter), pa.string()) for x in group]
-                yield pa.RecordBatch.from_arrays(
-                    [*names, pa.array(list(counter), pa.binary()), pa.array(list(counter.values()), pa.int64())],
-                    names=[*("lang", "source")[:len(group)], "key", "n"])
-        self.counts.clear()
-        self.held = 0
+    def add(self, group: tuple, text: bytes) -> None:
+        self.texts.setdefault(group, []).append(text)
+        self.held += len(text)
+
+    def _keys(self, lang: str, terms: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+        """The number of each term's key (-1: none), and the keys."""
+        if lang not in self.known:
+            if len(self.known) >= 64:
+                self.known.clear()
+            self.known[lang] = _Known(lang, *self.args)
+        number: dict[bytes, int] = {}
+        at = [-1 if key is None else number.setdefault(key, len(number)) for key in map(self.known[lang].__getitem__, terms)]
+        return np.array(at, np.int64), list(number)
+
+    def documents(self) -> Iterator[pa.RecordBatch]:
+        """In how many of the held texts each key stands."""
+        for group, texts in self.texts.items():
+            short = [t for t in texts if len(t) <= LONG_TEXT]
+            code, owner, terms = number_terms(short)
+            at, keys = self._keys(group[0], terms)
+            key = at[code]
+            here = key >= 0
+            held = np.sort(owner[here] * max(len(keys), 1) + key[here])  # a text's equal keys in a row
+            once = held[np.diff(held, prepend=-1) != 0]
+            yield _batch(group, keys, np.bincount(once % max(len(keys), 1), minlength=len(keys)))
+            for text in texts:
+                if len(text) > LONG_TEXT:
+                    found: set[bytes] = set()
+                    for piece in pieces(text):
+                        found.update(self._keys(group[0], number_terms([piece])[2])[1])
+                    yield _batch(group, list(found), np.ones(len(found), np.int64))
+        self.texts, self.held = {}, 0
+
+    def occurrences(self) -> Iterator[pa.RecordBatch]:
+        """How often each key stands in the held texts."""
+        for group, texts in self.texts.items():
+            for part in [[t for t in texts if len(t) <= LONG_TEXT], *([p] for t in texts if len(t) > LONG_TEXT for p in pieces(t))]:
+                code, _, terms = number_terms(part)
+                at, keys = self._keys(group[0], terms)
+                key = at[code]
+                yield _batch(group, keys, np.bincount(key[key >= 0], minlength=len(keys)))
+        self.texts, self.held = {}, 0
 
 
 def _scan(docs: DataFrame, before: int, level: int | None, kept: Broadcast | None, by_source: bool) -> DataFrame:
     """Counts of the tasks: documents of each key of the level, or occurrences of kept terms by source."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Counts(before, level, kept.value if kept else None)
+        held = _Texts(before, level, kept.value if kept else None)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 lang, source = part.column(0).to_pylist(), part.column(1).to_pylist()
                 for k, text in enumerate(part.column(2).cast(pa.binary()).to_pylist()):
-                    held.add((lang[k], source[k]) if by_source else (lang[k],), find_terms(text), not by_source)
-                    if held.held > TASK_ENTRIES:
-                        yield from held.rows()
-        yield from held.rows()
+                    held.add((lang[k], source[k]) if by_source else (lang[k],), text)
+                    if held.held > TASK_BYTES:
+                        yield from held.occurrences() if by_source else held.documents()
+        yield from held.occurrences() if by_source else held.documents()
 
     kinds = "lang string, source string, key binary, n long" if by_source else "lang string, key binary, n long"
     return docs.mapInArrow(count, kinds)
@@ -169,13 +217,13 @@ def _scan(docs: DataFrame, before: int, level: int | None, kept: Broadcast | Non
 # ----------------------------------------------------------------------------- refinement
 
 def _plain(docs: DataFrame) -> DataFrame:
-    return pick(docs, "lang", "source", "text").select(*[text_or_empty(c).alias(c) for c in ("lang", "source", "text")])
+    return pick(docs, "lang", "source", "text", "doc_id").select(*[text_or_empty(c).alias(c) for c in ("lang", "source", "text")], "doc_id")
 
 
 def kept_terms(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
     """(lang, key, n): the terms in at least ``least`` documents of their language, and in how many.
 
-    ``docs`` has the columns lang, source and text, without nulls.
+    ``docs`` has the columns lang, source and text (in this order, first), without nulls.
     """
     spark = docs.sparkSession
     complete: list[DataFrame] = []
@@ -202,7 +250,8 @@ def kept_terms(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
 def term_counts(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """(lang, source, key, n, total): occurrences of kept terms in each group that has them, and in the language."""
     passes = docs.sparkSession.sparkContext.broadcast(bloom_filter(kept, kept.count()))
-    per_task = _scan(docs, 0, None, passes, True).repartition(n_tasks(docs.sparkSession), "lang", "key")
+    by_group = docs.repartitionByRange("lang", "source", F.xxhash64("doc_id", "text"))  # a task counts few groups
+    per_task = _scan(by_group.select("lang", "source", "text"), 0, None, passes, True).repartition(n_tasks(docs.sparkSession), "lang", "key")
     counts = per_task.groupBy("lang", "source", "key").agg(F.sum("n").alias("n"))
     counts = counts.join(kept.select("lang", "key").hint("shuffle_hash"), ["lang", "key"], "left_semi")
     counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy("lang", "key")))

@@ -229,7 +229,7 @@ def _divergence(rows, least):
 @pytest.mark.parametrize("small", [False, True])
 def test_divergence(docs, none, rows, monkeypatch, small):
     if small:  # many levels, filters that pass wrongly, many blocks, counters that are full all the time
-        for name, value in (("FIRST_LEVEL", 1), ("TASK_ENTRIES", 5), ("TASK_BYTES", 50), ("BLOCK_COUNTS", 4), ("BLOCK_CELLS", 8), ("LONG_TEXT", 100)):
+        for name, value in (("FIRST_LEVEL", 1), ("TASK_TERMS", 5), ("TASK_BYTES", 900), ("BLOCK_COUNTS", 4), ("BLOCK_CELLS", 8), ("LONG_TEXT", 100)):
             monkeypatch.setattr(term_divergence, name, value)
         monkeypatch.setattr(term_divergence, "BLOOM_BITS", 64)
     got = [(r.lang, r.source, r.part, r.item, r.value, r["rank"]) for r in term_divergence.divergence(docs).collect()]
