@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Hashable
+from typing import Any
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -73,3 +76,17 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
         raise ValueError(f"no column {missing} in {df.columns}")
     apart = df.toDF(*[f"_{k}" for k in range(len(df.columns))])
     return apart.select(*[F.col(f"_{df.columns.index(n)}").alias(n) for n in names])
+
+
+_RESIDENT: dict[Hashable, Any] = {}
+
+
+def resident(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a Python worker remembers from task to task, for one operator at a time.
+
+    A worker outlives the stage that filled its memory; asking for another key lets the last one go.
+    """
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabsense.llm.common import as_bytes, mix64, n_tasks, spill
+from tabsense.llm.common import as_bytes, mix64, n_tasks, resident, spill
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 #: With 20 bands of 4 a pair at 0.8 shares no band with probability 3e-5, one at 0.9 with 8e-10.
@@ -53,11 +53,6 @@ class _WordHashes(dict):
         return value
 
 
-@functools.lru_cache(maxsize=1)
-def _word_hashes() -> _WordHashes:
-    return _WordHashes()
-
-
 @functools.lru_cache(maxsize=1)
 def _multipliers() -> np.ndarray:
     return np.random.default_rng(_SEED).integers(0, 1 << 63, COMPARED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -68,7 +63,7 @@ def shingle_set(text: bytes, n: int = SHINGLE_WORDS) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    known = _word_hashes()
+    known = resident("word hashes", _WordHashes)
     if len(known) > WORD_CACHE:
         known.clear()
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))

@@ -17,7 +17,6 @@ and cut wherever a sequence ends; other columns are not read.
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 from collections.abc import Iterator
@@ -26,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabsense.llm.common import WordIndex, as_bytes, mix64, n_tasks, spill
+from tabsense.llm.common import WordIndex, as_bytes, mix64, n_tasks, resident, spill
 from tabsense.llm.subwords import Merges, segment_many
 
 DIMENSIONS, BITS, TIE_BITS = 4, 10, 23
@@ -150,9 +149,8 @@ class WordEncoder:
         return ids, np.diff(ends[last - 1], prepend=0), sums
 
 
-@functools.lru_cache(maxsize=2)
 def _encoder(path: str, end_id: int) -> WordEncoder:
-    return WordEncoder(path, end_id)
+    return resident(("word encoder", path, end_id), lambda: WordEncoder(path, end_id))
 
 
 def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
