@@ -1,14 +1,14 @@
-"""Clustering: k-means with spark.ml and cluster-quality metrics.
+"""Clustering: k-means and cluster-quality metrics.
 
 Features are either a list of numeric columns or one array column (e.g. an embedding).
-Metrics need only per-cluster sums (k x d values, map-side combined); per-row work uses the
-k centroids as a literal array (bounded by k x d), never a pairwise join of rows.
+Metrics but the Euclidean silhouette need only per-cluster sums (k x d values, map-side combined);
+per-row work uses the k centroids as a literal array (bounded by k x d), never a pairwise join of rows.
+The silhouette is in ``silhouette``, the fitting of many models at once in ``kmeans``.
 """
 
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -19,10 +19,16 @@ from pyspark.sql import types as T
 from tabsense.functions.quantiles import quantile_table
 from tabsense.functions.schema import qcol
 from tabsense.functions.stats import stats_row
+from tabsense.operators import kmeans
+from tabsense.operators.silhouette import silhouettes
+from tabsense.session import scratch_path
 
 DEFAULT_SEED = 42
-FIT_THREADS = 4  # concurrent Spark jobs for the independent fits of a k sweep
+# Fixed values of the reference: starts of a fit and of each k in a sweep, k without any positive
+# silhouette, rows whose silhouette a sweep takes.
+FIT_STARTS, SWEEP_STARTS = 10, 5
 FALLBACK_K = 3
+SILHOUETTE_ROWS = 5000
 LITERAL_MAX = 4096  # cluster statistics inlined as literals up to this many values
 KMEANS_IF_CONTAMINATION = 0.1
 MAX_CLUSTERS = 100_000  # clusters whose statistics the driver takes
@@ -162,7 +168,34 @@ def _centroid_distance_numpy(data: DataFrame, stats: dict, order) -> DataFrame:
     return data.mapInPandas(run, f"_c {ctype}, _dist double")
 
 
-def silhouette_values(df: DataFrame, features, label: str) -> DataFrame:
+def _numbered(df: DataFrame, vec: Column, labels: Column, name: str) -> DataFrame:
+    """``df`` with ``_row``, ``_x`` and ``_labels``, written so that a row keeps its number."""
+    path = scratch_path(df.sparkSession, name)
+    named = df.withColumn("_x", vec).withColumn("_labels", labels).withColumn("_row", F.monotonically_increasing_id())
+    named.write.parquet(path)
+    return df.sparkSession.read.schema(named.schema).parquet(path)
+
+
+def silhouette_values(df: DataFrame, features, label: str, queries: int | None = None) -> DataFrame:
+    """Rows with their Euclidean ``silhouette``: all that have a label, or ``queries`` of them picked by a hash.
+
+    Each is measured against all rows (see ``silhouette``).
+    """
+    vec, _ = vector_expr(df, features)
+    rows = _numbered(df.where(qcol(label).isNotNull()), vec, F.array(qcol(label).cast("string")), "silhouette-rows")
+    found = silhouettes(rows.select("_row", "_x", "_labels"), queries)
+    return rows.drop("_x", "_labels").join(found.select("_row", "silhouette"), "_row").drop("_row")
+
+
+def cluster_silhouette(df: DataFrame, features, label: str, queries: int | None = None) -> DataFrame:
+    """Mean Euclidean silhouette of all rows, or of ``queries`` of them."""
+    vec, _ = vector_expr(df, features)
+    rows = df.where(qcol(label).isNotNull()).select(vec.alias("_v"), qcol(label).cast("string").alias("_c"))
+    rows = _numbered(rows, F.col("_v"), F.array("_c"), "silhouette-rows").select("_row", "_x", "_labels")
+    return silhouettes(rows, queries).agg(F.avg("silhouette").alias("silhouette"))
+
+
+def squared_silhouette_values(df: DataFrame, features, label: str) -> DataFrame:
     """Per-row silhouette with squared Euclidean distance in O(rows x k):
     mean distance from x to cluster C = |x|^2 - 2 x.S_C / n_C + Q_C / n_C.
 
@@ -228,19 +261,18 @@ def _silhouette_numpy(df: DataFrame, vec, label: str, stats: dict, order) -> Dat
     return data.mapInPandas(run, schema)
 
 
-def cluster_silhouette(df: DataFrame, features, label: str) -> DataFrame:
+def cluster_silhouette_squared(df: DataFrame, features, label: str) -> DataFrame:
     """Mean silhouette (squared Euclidean) over all rows."""
-    return silhouette_values(df, features, label).agg(F.avg("silhouette").alias("silhouette"))
+    return squared_silhouette_values(df, features, label).agg(F.avg("silhouette").alias("silhouette"))
 
 
 # ----------------------------------------------------------------------------- k-means
 
-def _assemble(df: DataFrame, features, scale: bool):
-    from pyspark.ml.functions import array_to_vector
+def _vectors(df: DataFrame, features, scale: bool) -> DataFrame:
+    """``df`` with the vector ``_x``; rows that lack a feature are left out."""
     if isinstance(features, str) and isinstance(df.schema[features].dataType, T.ArrayType):
         data = df.where(F.col(f"`{features}`").isNotNull())
-        vec, _ = vector_expr(data, features)
-        return data.withColumn("_features", array_to_vector(vec))
+        return data.withColumn("_x", vector_expr(data, features)[0])
     cols = [features] if isinstance(features, str) else list(features)
     data = df.na.drop(subset=cols)
     if scale:
@@ -249,18 +281,20 @@ def _assemble(df: DataFrame, features, scale: bool):
         arr = F.array(*[(qcol(c).cast("double") - F.lit(stats[f"m|{c}"])) / F.lit(stats[f"s|{c}"] or 1.0) for c in cols])
     else:
         arr = F.array(*[qcol(c).cast("double") for c in cols])
-    return data.withColumn("_features", array_to_vector(arr))
+    return data.withColumn("_x", arr)
 
 
 def kmeans_fit(df: DataFrame, features, k: int = 3, scale: bool = False, remove_outliers=False,
-               seed: int = DEFAULT_SEED, max_iter: int = 20, key_cols=None):
-    """Fit k-means; returns (rows with ``cluster``, -1 where excluded; model).
+               seed: int = DEFAULT_SEED, max_iter: int = 20, key_cols=None, starts: int = FIT_STARTS,
+               mini_batch: bool = False):
+    """Fit k-means; returns (rows with ``cluster``, -1 where excluded; the ``kmeans.Fit`` of least inertia).
+
+    ``starts`` are fitted together in shared scans; ``mini_batch`` fits them on hashed batches.
 
     Excluded rows: nulls in a feature, or with ``remove_outliers`` = True / "iqr" rows outside
     the sequential IQR bounds of any feature, with "isolation_forest" the rows an Isolation
     Forest (contamination 0.1) flags.  The full data is used (no sampling).
     """
-    from pyspark.ml.clustering import KMeans
     keep = F.lit(True)
     original = df
     cols = [features] if isinstance(features, str) else list(features)
@@ -282,12 +316,13 @@ def kmeans_fit(df: DataFrame, features, k: int = 3, scale: bool = False, remove_
             data = data.where(pred)
             keep = keep & pred
     flagged = df.withColumn("_keep", F.coalesce(keep, F.lit(False)))
-    assembled = _assemble(flagged, features, scale)
-    train = assembled.where("_keep")
-    km = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol="_pred")
-    model = km.fit(train)
-    scored = model.transform(assembled).withColumn(
-        "cluster", F.when(F.col("_keep"), F.col("_pred")).otherwise(F.lit(-1))).drop("_pred", "_features", "_keep")
+    assembled = _vectors(flagged, features, scale)
+    fits = kmeans.fit_all(assembled.where("_keep").select("_x"), [k], starts, seed=seed, max_iter=max_iter, mini_batch=mini_batch)
+    if not fits:
+        raise ValueError("no row to cluster")
+    model = kmeans.best_of(fits)[k]
+    scored = kmeans.assign(assembled, [model], "_pred").withColumn(
+        "cluster", F.when(F.col("_keep"), F.col("_pred")[0]).otherwise(F.lit(-1))).drop("_pred", "_x", "_keep")
     if "_iso_keep" in scored.columns:
         scored = scored.drop("_iso_keep")
     def missing_value(c):  # na.drop takes NaN for missing too
@@ -301,27 +336,22 @@ def kmeans_fit(df: DataFrame, features, k: int = 3, scale: bool = False, remove_
 
 
 def kmeans_sweep(df: DataFrame, features, k_values, scale: bool = True, seed: int = DEFAULT_SEED,
-                 max_iter: int = 20, with_silhouette: bool = True) -> DataFrame:
-    """Per k: inertia (training cost) and mean silhouette (squared Euclidean)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import vector_to_array
-    data = _assemble(df, features, scale).select("_features").persist()
-
-    def fit_one(k):
-        model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_features", predictionCol="_pred").fit(data)
-        inertia = float(model.summary.trainingCost)
-        sil = None
-        if with_silhouette:
-            pred = model.transform(data).select(vector_to_array("_features").alias("_arr"), "_pred")
-            sil = cluster_silhouette(pred, "_arr", "_pred").first()["silhouette"]
-        return int(k), inertia, None if sil is None else float(sil)
-
-    try:
-        with ThreadPoolExecutor(max_workers=FIT_THREADS) as pool:
-            rows = list(pool.map(fit_one, list(k_values)))
-    finally:
-        data.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+                 max_iter: int = 20, with_silhouette: bool = True, starts: int = SWEEP_STARTS,
+                 queries: int | None = SILHOUETTE_ROWS) -> DataFrame:
+    """Per k: least inertia of its starts, and the mean Euclidean silhouette of ``queries`` rows against all.
+
+    All starts of all k are fitted in shared scans, and all silhouettes share one pass over the distances.
+    """
+    data = _vectors(df, features, scale).select("_x")
+    best = kmeans.best_of(kmeans.fit_all(data, k_values, starts, seed=seed, max_iter=max_iter))
+    silhouette: dict[int, float] = {}
+    if with_silhouette and best:
+        named = kmeans.assign(data, list(best.values()), "_own")
+        rows = _numbered(named, F.col("_x"), F.transform("_own", lambda c: c.cast("string")), "sweep-rows")
+        mean = silhouettes(rows.select("_row", "_x", "_labels"), queries).groupBy("labelling").agg(F.avg("silhouette").alias("s"))
+        silhouette = {k: r["s"] for r in mean.collect() for k in [list(best)[r["labelling"]]]}  # a row for each k
+    return df.sparkSession.createDataFrame([(int(k), f.inertia, silhouette.get(k)) for k, f in best.items()],
+                                           "k int, inertia double, silhouette double")
 
 
 def kmeans_elbow(df: DataFrame, features, k_values=range(2, 8), scale: bool = False, seed: int = DEFAULT_SEED) -> DataFrame:

@@ -650,6 +650,18 @@ w AS (SELECT la, max((sa.s + sb.s) / dd) AS worst FROM cd JOIN sp sa ON cd.la =
 SELECT {R('avg(worst)')} AS davies_bouldin FROM w"""
 ORACLE["cluster_silhouette"] = f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
 n AS (SELECT label, count(*) AS n FROM e GROUP BY label),
+pr AS (SELECT a.vec_id, a.label AS la, b.label AS lb,
+         sum(sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))) AS sd
+       FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY a.vec_id, a.label, b.label),
+m AS (SELECT pr.vec_id, pr.la, pr.lb,
+        CASE WHEN pr.la = pr.lb THEN pr.sd / (n.n - 1) ELSE pr.sd / n.n END AS md FROM pr JOIN n ON pr.lb = n.label),
+ab AS (SELECT vec_id, la, max(CASE WHEN la = lb THEN md END) AS a, min(CASE WHEN la <> lb THEN md END) AS b
+       FROM m GROUP BY vec_id, la),
+s AS (SELECT ab.vec_id, CASE WHEN n.n <= 1 THEN 0.0 ELSE (b - a) / greatest(a, b) END AS s
+      FROM ab JOIN n ON ab.la = n.label)
+SELECT {R('avg(s)')} AS silhouette FROM s"""
+ORACLE["cluster_silhouette_squared"] = f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+n AS (SELECT label, count(*) AS n FROM e GROUP BY label),
 pr AS (SELECT a.vec_id, a.label AS la, b.label AS lb,
          sum(list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS sd
        FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY a.vec_id, a.label, b.label),
@@ -724,7 +736,7 @@ ORACLE["sink_json"] = ORACLE["profile_report"]
 
 # ------------------------------------------------------------------ models with a known answer
 
-ORACLE["kmeans_separable"] = "SELECT l_orderkey, l_linenumber, CAST(l_linenumber % 3 AS INTEGER) AS cluster FROM lineitem"
+ORACLE["kmeans_separable"] = ORACLE["kmeans_mini_batch_separable"] = "SELECT l_orderkey, l_linenumber, CAST(l_linenumber % 3 AS INTEGER) AS cluster FROM lineitem"
 ORACLE["rf_separable"] = union([f"SELECT 'RandomForest' AS model, '{m}' AS metric, {R('1.0')} AS value"
                                 for m in ("accuracy", "precision", "recall", "f1", "roc_auc", "cohen_kappa")])
 ORACLE["isolation_forest_planted"] = "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 200 = 0"

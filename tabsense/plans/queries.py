@@ -526,6 +526,11 @@ def q_cluster_silhouette(spark, sf):
     return rounded(clu.cluster_silhouette(table(spark, sf, "embeddings"), "embedding", "label"))
 
 
+@register("cluster_silhouette_squared")
+def q_cluster_silhouette_squared(spark, sf):
+    return rounded(clu.cluster_silhouette_squared(table(spark, sf, "embeddings"), "embedding", "label"))
+
+
 @register("anomaly_isolation_forest")
 def q_anomaly_isolation_forest(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *ANOMALY_FEATURES)
@@ -693,17 +698,26 @@ def q_cluster_analysis(spark, sf):
 
 # ------------------------------------------------------------------ models with a known answer
 
-@register("kmeans_separable")
-def q_kmeans_separable(spark, sf):
+def _separable(spark, sf, **how):
     """Three groups far apart; clusters are named by the order of their centres."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber",
                                              ((F.col("l_linenumber") % 3) * 1000 + F.col("l_quantity")).alias("x"))
-    rows, _ = clu.kmeans_fit(li, ["x"], 3)
+    rows, _ = clu.kmeans_fit(li, ["x"], 3, **how)
     order = rows.groupBy("cluster").agg(F.avg("x").alias("m")).orderBy("m").collect()  # three rows
     rank = F.create_map(*[F.lit(v) for i, r in enumerate(order) for v in (r["cluster"], i)])
     return rows.select("l_orderkey", "l_linenumber", F.element_at(rank, F.col("cluster")).alias("cluster"))
 
 
+@register("kmeans_separable")
+def q_kmeans_separable(spark, sf):
+    return _separable(spark, sf)
+
+
+@register("kmeans_mini_batch_separable")
+def q_kmeans_mini_batch_separable(spark, sf):
+    return _separable(spark, sf, mini_batch=True)
+
+
 @register("rf_separable")
 def q_rf_separable(spark, sf):
     """A label that one split decides: the forest's test metrics are perfect."""

@@ -126,10 +126,10 @@ def test_forest_selects_k_best_on_request(spark):
 
 def test_cluster_metrics_numpy_path_matches_literal_path(spark, monkeypatch):
     emb = table(spark, SF_SMALL, "embeddings")
-    lit_s = clustering.cluster_silhouette(emb, "embedding", "label").first()["silhouette"]
+    lit_s = clustering.cluster_silhouette_squared(emb, "embedding", "label").first()["silhouette"]
     lit_db = clustering.cluster_davies_bouldin(emb, "embedding", "label").first()["davies_bouldin"]
     monkeypatch.setattr(clustering, "LITERAL_MAX", 1)
-    np_s = clustering.cluster_silhouette(emb, "embedding", "label").first()["silhouette"]
+    np_s = clustering.cluster_silhouette_squared(emb, "embedding", "label").first()["silhouette"]
     np_db = clustering.cluster_davies_bouldin(emb, "embedding", "label").first()["davies_bouldin"]
     assert np_s == pytest.approx(lit_s, abs=1e-9)
     assert np_db == pytest.approx(lit_db, abs=1e-9)
