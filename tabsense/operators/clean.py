@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tabsense.functions.fingerprints import without_duplicates
+from tabsense.functions.hitters import frequent_values
 from tabsense.functions.ordered import ordered_fill
 from tabsense.functions.quantiles import quantile_table
 from tabsense.functions.schema import categorical_columns, numeric_columns, require_columns
@@ -93,7 +95,8 @@ def drop_column(df: DataFrame, column: str) -> DataFrame:
 
 
 def drop_duplicates(df: DataFrame, subset=None) -> DataFrame:
-    return df.dropDuplicates(list(subset) if subset else None)
+    """One row of each group of equal rows; rows whose fingerprint is their own are not shuffled."""
+    return without_duplicates(df, list(subset) if subset else list(df.columns))
 
 
 def _fill(df: DataFrame, values: dict) -> DataFrame:
@@ -122,17 +125,24 @@ def impute_mean(df: DataFrame, columns=None) -> DataFrame:
 
 
 def column_modes(df: DataFrame, columns) -> dict:
-    """Most frequent non-null value per column (count desc, value asc): one unpivot pass,
-    map-side combined counts, ``row_number() <= 1`` per column."""
+    """Most frequent non-null value per column, as text (count desc, value asc).
+
+    Found by summaries and a recount (see ``hitters``); columns that have no provable winner are counted
+    in full, in one unpivot pass.
+    """
     cols = list(columns)
     if not cols:
         return {}
-    parts = [F.struct(F.lit(c).alias("column"), F.col(_q(c)).cast("string").alias("v")) for c in cols]
-    counts = df.select(F.explode(F.array(*parts)).alias("_kv")).select("_kv.*").where(F.col("v").isNotNull()) \
-        .groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("v"))
-    top = counts.withColumn("_r", F.row_number().over(w)).where("_r = 1").collect()  # one row per column
-    return {r["column"]: r["v"] for r in top}
+    found, unproven = frequent_values(df.select(*[F.col(_q(c)).cast("string").alias(c) for c in cols]), cols)
+    modes = {c: min(v)[1] for c, values in found.items() for v in [[(-n, v) for v, n in values]] if v}
+    if unproven:
+        parts = [F.struct(F.lit(c).alias("column"), F.col(_q(c)).cast("string").alias("v")) for c in unproven]
+        counts = df.select(F.explode(F.array(*parts)).alias("_kv")).select("_kv.*").where(F.col("v").isNotNull()) \
+            .groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+        w = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("v"))
+        top = counts.withColumn("_r", F.row_number().over(w)).where("_r = 1").collect()  # one row per column
+        modes.update({r["column"]: r["v"] for r in top})
+    return modes
 
 
 def impute_mode(df: DataFrame, columns=None) -> DataFrame:

@@ -15,8 +15,11 @@ import pandas as pd
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tabsense.functions.fingerprints import duplicate_count
+from tabsense.functions.hitters import frequent_values
 from tabsense.functions.quantiles import quantile_table, quantiles
 from tabsense.functions.schema import (categorical_columns, dtype_name, is_numeric, numeric_columns, qcol,
                                        require_columns)
@@ -130,10 +133,16 @@ def describe_all(df: DataFrame, columns=None, digits: int = 3, accuracy: int | N
 
 
 def value_counts_top(df: DataFrame, column: str, n: int = 5) -> DataFrame:
-    """Top-n values by frequency (ties by value ascending)."""
+    """Top-n values by frequency (ties by value ascending), by summaries and a recount (see ``hitters``)."""
     require_columns(df, [column])
-    return (df.where(qcol(column).isNotNull()).groupBy(qcol(column).alias(column)).agg(F.count(F.lit(1)).alias("count"))
-              .orderBy(F.desc("count"), qcol(column).asc()).limit(n))
+    found, unproven = frequent_values(df, [column], n)
+    dtype = df.schema[column].dataType
+    schema = T.StructType([T.StructField(column, dtype), T.StructField("count", T.LongType(), False)])
+    if unproven:
+        counts = df.where(qcol(column).isNotNull()).groupBy(qcol(column).alias(column)).agg(F.count(F.lit(1)).alias("count"))
+    else:
+        counts = df.sparkSession.createDataFrame(found[column], schema)  # the winners and their ties
+    return counts.orderBy(F.desc("count"), qcol(column).asc()).limit(n)
 
 
 def _missing_row(df: DataFrame) -> tuple[dict, int]:
@@ -175,13 +184,11 @@ def high_missing_columns(df: DataFrame, share: float = HIGH_MISSING_SHARE, limit
 def duplicate_rows(df: DataFrame, subset=None) -> DataFrame:
     """Rows minus distinct rows (nulls compare equal), with total rows.
 
-    One group-by over all columns; partial aggregation collapses copies before the shuffle,
-    so a value repeated in a third of all rows costs one row per map task.
+    Fingerprints of the rows are counted first; whole rows are compared only where one occurs again.
     """
     cols = list(subset) if subset else list(df.columns)
-    g = df.groupBy(*[F.col(_q(c)) for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
-    return g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"),
-                 F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("total_rows"))
+    n, rows = duplicate_count(df, cols)
+    return df.sparkSession.createDataFrame([(n, rows)], "duplicate_rows long, total_rows long")
 
 
 def value_kind(c) -> "F.Column":
