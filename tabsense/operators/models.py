@@ -12,7 +12,6 @@ import random
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +19,7 @@ from pyspark.sql import types as T
 from tabsense.functions.schema import is_string, qcol
 from tabsense.functions.stats import stats_row
 from tabsense.operators import metrics as met
+from tabsense.operators import network
 from tabsense.operators.features import (adaptive_test_fraction, label_encode, label_mapping, select_k_best,
                                          train_test_split)
 from tabsense.session import checkpoint_dir
@@ -40,11 +40,10 @@ FEATURE_SUBSET = {"regression": "all", "classification": "sqrt"}
 TUNE_GRID = {"numTrees": [50, 100], "maxDepth": [30, 10, 20], "minInstancesPerNode": [1, 3]}
 TUNE_DRAWS = 5
 TUNE_FOLDS = 3
-MLP_TOL = 1e-4
+MLP_TOL, MLP_PATIENCE = 1e-4, 10
 FIT_THREADS = 4  # concurrent Spark jobs for independent fits (CV folds, compared models)
 MIN_ROWS = 10
 OUTLIER_CONTAMINATION = 0.05
-PARTIALS_AT_ONCE = 64  # per-partition gradients that reach the driver; more are summed in tasks first
 
 
 def prepare(df: DataFrame, features, label: str, task: str, key_cols=None, seed: int = DEFAULT_SEED,
@@ -226,159 +225,49 @@ def rf_tuned(df: DataFrame, features, label: str, task: str = "regression", draw
                                        "cv_std double, cv_min double, is_best boolean, test_score double")
 
 
+def _learning_rows(data: DataFrame, feats: list[str], keys: list[str], y, seed: int, stats: dict) -> DataFrame:
+    """Rows of the training split: the vector x, the target y, and whether a row is fitted or validates (10 %, by hash)."""
+    unseen = F.pmod(F.xxhash64(*[qcol(k) for k in keys], F.lit(seed + 7)), F.lit(1000)) < VALIDATION_FRACTION * 1000
+    return data.where("split = 'train'").select(network.standardized(data, feats, stats).alias("x"), y.alias("y"), (~unseen).alias("fit"))
+
+
+def _feature_stats(data: DataFrame, feats: list[str], **more) -> dict:
+    return stats_row(data.where("split = 'train'"),
+                     {**{k: e for c in feats for k, e in ((f"m|{c}", F.avg(qcol(c))), (f"s|{c}", F.stddev_pop(qcol(c))))}, **more})
+
+
 def mlp_classification(df: DataFrame, features, label: str, hidden=MLP_HIDDEN, max_iter: int = MLP_MAX_ITER,
+                       alpha: float = MLP_ALPHA, learning_rate: float = 0.01, patience: int = MLP_PATIENCE,
                        seed: int = DEFAULT_SEED, key_cols=None, prepared: tuple[DataFrame, list[str]] | None = None):
-    """spark.ml multilayer perceptron (sigmoid hidden layers, L-BFGS) on standardized features.
-    Returns (metrics, fitted PipelineModel)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    """ReLU network with a softmax, Adam, L2 and early stop on standardized features (see ``network``).
+    Returns (metrics, ``network.Network``)."""
+    from pyspark.ml.functions import array_to_vector
     data, feats = prepared or prepare(df, features, label, "classification", key_cols, seed)
-    n_classes = int(data.agg(F.max("_label")).first()[0]) + 1
-    est = MultilayerPerceptronClassifier(featuresCol="_features", labelCol="_label",
-                                         layers=[len(feats), *hidden, max(n_classes, 2)], maxIter=max_iter,
-                                         tol=MLP_TOL, seed=seed)
-    model = Pipeline(stages=_assemble(data, feats, scale=True) + [est]).fit(data.where("split = 'train'"))
-    pred = model.transform(data.where("split = 'test'"))
-    return met.metrics_long(_evaluate(pred, "classification", n_classes), "MLP"), model
-
-
-# ----------------------------------------------------------------------------- MLP regression
-
-def _init_params(sizes, seed):
-    rng = np.random.default_rng(seed)
-    params = []
-    for a, b in zip(sizes[:-1], sizes[1:]):
-        bound = np.sqrt(6.0 / (a + b))
-        params += [rng.uniform(-bound, bound, size=(a, b)), np.zeros(b)]
-    return params
-
-
-def _forward(params, x):
-    acts = [x]
-    h = x
-    n_layers = len(params) // 2
-    for i in range(n_layers):
-        z = h @ params[2 * i] + params[2 * i + 1]
-        h = np.maximum(z, 0.0) if i < n_layers - 1 else z
-        acts.append(h)
-    return acts
-
-
-def _grad(params, x, y):
-    """Sum over rows of d(0.5 * (f(x) - y)^2) / d params, and the summed squared error."""
-    acts = _forward(params, x)
-    out = acts[-1][:, 0]
-    err = out - y
-    grads = [None] * len(params)
-    delta = err[:, None]
-    n_layers = len(params) // 2
-    for i in reversed(range(n_layers)):
-        grads[2 * i] = acts[i].T @ delta
-        grads[2 * i + 1] = delta.sum(axis=0)
-        if i > 0:
-            delta = (delta @ params[2 * i].T) * (acts[i] > 0)
-    return grads, float((err * err).sum())
+    keys = list(key_cols) if key_cols else [c for c in data.columns if c not in ("_label", "split")]
+    n_classes = max(int(data.agg(F.max("_label")).first()[0]) + 1, 2)
+    stats = _feature_stats(data, feats)
+    net = network.train(_learning_rows(data, feats, keys, F.col("_label"), seed, stats), tuple(hidden), n_classes, max_iter, alpha,
+                        learning_rate, patience, MLP_TOL, seed)
+    test = data.where("split = 'test'").select(network.standardized(data, feats, stats).alias("x"), "_label")
+    pred = network.predict(test, net, ["_label"]).withColumn("probability", array_to_vector("_probability")).drop("_probability")
+    return met.metrics_long(_evaluate(pred, "classification", n_classes), "MLP"), net
 
 
 def mlp_regression(df: DataFrame, features, label: str, hidden=MLP_HIDDEN, max_iter: int = MLP_MAX_ITER,
-                   alpha: float = MLP_ALPHA, learning_rate: float = 0.01, patience: int = 10,
+                   alpha: float = MLP_ALPHA, learning_rate: float = 0.01, patience: int = MLP_PATIENCE,
                    seed: int = DEFAULT_SEED, key_cols=None, prepared: tuple[DataFrame, list[str]] | None = None):
-    """ReLU network trained by data-parallel full-batch Adam: one job an iteration carries the
-    weights to the tasks and sums their gradients and validation errors (in two levels where
-    there are many partitions); the driver gets one sum and steps.  Early stopping on a 10%
-    hash validation split.  Returns (metrics, predictions on the test split, weights)."""
+    """The same network with one linear output, on a standardized target.  Returns (metrics, predictions on
+    the test split, weights)."""
     data, feats = prepared or prepare(df, features, label, "regression", key_cols, seed)
     keys = list(key_cols) if key_cols else feats + [label]
-    stats = stats_row(data.where("split = 'train'"),
-                      {**{f"m|{c}": F.avg(c) for c in feats}, **{f"s|{c}": F.stddev_pop(c) for c in feats},
-                       "ym": F.avg("_label"), "ys": F.stddev_pop("_label")})
-    xs = F.array(*[(qcol(c) - F.lit(stats[f"m|{c}"])) / F.lit(stats[f"s|{c}"] or 1.0) for c in feats])
+    stats = _feature_stats(data, feats, ym=F.avg("_label"), ys=F.stddev_pop("_label"))
     ym, ys = stats["ym"] or 0.0, stats["ys"] or 1.0
-    vsplit = (F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys], F.lit(seed + 7)), F.lit(1000)) < VALIDATION_FRACTION * 1000)
-    rows = data.select(xs.alias("x"), ((F.col("_label") - F.lit(ym)) / F.lit(ys)).alias("y"), "split",
-                           F.when(F.col("split") == "train", F.when(vsplit, "valid").otherwise("fit"))
-                            .otherwise("test").alias("role"), "_label")
-    learn = rows.where("role <> 'test'").select("x", "y", (F.col("role") == "fit").alias("fit")).persist()
-    sizes = [len(feats), *hidden, 1]
-    params = _init_params(sizes, seed)
-    sizes_of = learn.groupBy("fit").count().collect()  # two rows
-    n_fit = sum(r["count"] for r in sizes_of if r["fit"])
-    n_valid = sum(r["count"] for r in sizes_of if not r["fit"])
-    shapes = [p.shape for p in params]
-    n_params = int(sum(np.prod(s) for s in shapes))
-    many = learn.rdd.getNumPartitions() > PARTIALS_AT_ONCE
-
-    def gradient(ps):
-        """Summed gradient over the fit rows and summed squared error over the validation rows."""
-        def part(batches):
-            acc, sse = np.zeros(n_params), 0.0
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                x, y = np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy(dtype=float)
-                own = pdf["fit"].to_numpy(dtype=bool)
-                if own.any():
-                    acc += np.concatenate([a.ravel() for a in _grad(ps, x[own], y[own])[0]])
-                if not own.all():
-                    sse += float(((_forward(ps, x[~own])[-1][:, 0] - y[~own]) ** 2).sum())
-            yield pd.DataFrame({"g": [acc.tolist()], "sse": [sse]})
-
-        partial = learn.mapInPandas(part, "g array<double>, sse double")
-        if many:
-            from pyspark.ml.functions import array_to_vector, vector_to_array
-            from pyspark.ml.stat import Summarizer
-            summed = partial.groupBy((F.spark_partition_id() % PARTIALS_AT_ONCE).alias("_b")).agg(
-                Summarizer.sum(array_to_vector("g")).alias("g"), F.sum("sse").alias("sse"))
-            partial = summed.select(vector_to_array("g").alias("g"), "sse")
-        found = partial.collect()  # at most PARTIALS_AT_ONCE rows of n_params numbers
-        return np.sum([r["g"] for r in found], axis=0), sum(r["sse"] for r in found)
-
-    m_t = [np.zeros_like(p) for p in params]
-    v_t = [np.zeros_like(p) for p in params]
-    b1, b2, eps = 0.9, 0.999, 1e-8
-    best, best_params, stale, it = np.inf, [p.copy() for p in params], 0, 0
-    try:
-        for it in range(1, max_iter + 1):
-            if not n_fit:
-                break
-            flat, vsse = gradient(params)
-            if n_valid:  # the error of the weights before this step
-                if not np.isfinite(best) or vsse < best * (1 - 1e-4):
-                    best, best_params, stale = vsse, [p.copy() for p in params], 0
-                else:
-                    stale += 1
-                    if stale >= patience:
-                        break
-            grads, off = [], 0
-            for shp in shapes:
-                size = int(np.prod(shp))
-                grads.append(flat[off:off + size].reshape(shp) / max(n_fit, 1))
-                off += size
-            for i in range(len(params)):
-                if i % 2 == 0:
-                    grads[i] = grads[i] + alpha * params[i] / max(n_fit, 1)
-                m_t[i] = b1 * m_t[i] + (1 - b1) * grads[i]
-                v_t[i] = b2 * v_t[i] + (1 - b2) * grads[i] ** 2
-                mh = m_t[i] / (1 - b1 ** it)
-                vh = v_t[i] / (1 - b2 ** it)
-                params[i] = params[i] - learning_rate * mh / (np.sqrt(vh) + eps)
-            if not n_valid:
-                best_params = [p.copy() for p in params]
-    finally:
-        learn.unpersist()
-    final = best_params
-
-    def predict(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = np.stack(pdf["x"].to_numpy())
-            out = _forward(final, x)[-1][:, 0] * ys + ym
-            yield pd.DataFrame({"_label": pdf["_label"].to_numpy(dtype=float), "prediction": out})
-
-    pred = rows.where("role = 'test'").select("x", "_label").mapInPandas(predict, "_label double, prediction double")
+    y = (F.col("_label") - F.lit(ym)) / F.lit(ys)
+    net = network.train(_learning_rows(data, feats, keys, y, seed, stats), tuple(hidden), 0, max_iter, alpha, learning_rate, patience, MLP_TOL, seed)
+    test = data.where("split = 'test'").select(network.standardized(data, feats, stats).alias("x"), "_label")
+    pred = network.predict(test, net, ["_label"], ys, ym)
     metrics = met.metrics_long(_evaluate(pred, "regression"), "MLP")
-    return metrics, pred, {"params": final, "iterations": it, "converged": it < max_iter}
+    return metrics, pred, {"params": net.params, "iterations": net.epochs, "converged": net.converged}
 
 
 def model_comparison(df: DataFrame, features, label: str, task: str = "regression", seed: int = DEFAULT_SEED,
@@ -393,7 +282,7 @@ def model_comparison(df: DataFrame, features, label: str, task: str = "regressio
     def run_mlp():
         if task == "regression":
             return mlp_regression(df, features, label, max_iter=max_iter, seed=seed, key_cols=key_cols, prepared=prepared)[0]
-        return mlp_classification(df, features, label, max_iter=max_iter, seed=seed, prepared=prepared)[0]
+        return mlp_classification(df, features, label, max_iter=max_iter, seed=seed, key_cols=key_cols, prepared=prepared)[0]
 
     key = "r2" if task == "regression" else "f1"
     with ThreadPoolExecutor(max_workers=2) as pool:

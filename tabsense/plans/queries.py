@@ -728,6 +728,24 @@ def q_rf_separable(spark, sf):
     return rounded(metrics.where(F.col("metric").isin("accuracy", "precision", "recall", "f1", "roc_auc", "cohen_kappa")))
 
 
+def _mlp_separable(spark, sf, late):
+    """Three classes far apart: the network's test metrics are perfect."""
+    k = F.col("l_linenumber") % 3
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", (k * 1000 + F.col("l_quantity")).alias("x"), late(k).alias("kind"))
+    metrics, _ = mdl.mlp_classification(li, ["x", "l_quantity"], "kind", key_cols=["l_orderkey", "l_linenumber"])
+    return rounded(metrics.where(F.col("metric").isin("accuracy", "precision", "recall", "f1", "roc_auc", "cohen_kappa")))
+
+
+@register("mlp_separable")
+def q_mlp_separable(spark, sf):
+    return _mlp_separable(spark, sf, lambda k: k)
+
+
+@register("mlp_separable_text")
+def q_mlp_separable_text(spark, sf):
+    return _mlp_separable(spark, sf, lambda k: F.concat(F.lit("kind "), k.cast("string")))
+
+
 @register("isolation_forest_planted")
 def q_isolation_forest_planted(spark, sf):
     """Planted outliers that the Isolation Forest must flag."""
