@@ -1,17 +1,17 @@
 """Clustering: k-means and cluster-quality metrics.
 
 Features are either a list of numeric columns or one array column (e.g. an embedding).
-Metrics but the Euclidean silhouette need only per-cluster sums (k x d values, map-side combined);
-per-row work uses the k centroids as a literal array (bounded by k x d), never a pairwise join of rows.
+Metrics but the Euclidean silhouette need only per-cluster sums, which stay a table (a row a cluster,
+map-side combined) that is joined to the rows; rows are never joined to each other.
 The silhouette is in ``silhouette``, the fitting of many models at once in ``kmeans``.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +20,7 @@ from tabsense.functions.quantiles import quantile_table
 from tabsense.functions.schema import qcol
 from tabsense.functions.stats import stats_row
 from tabsense.operators import kmeans
-from tabsense.operators.silhouette import silhouettes
+from tabsense.operators.silhouette import distances, silhouettes
 from tabsense.session import scratch_path
 
 DEFAULT_SEED = 42
@@ -31,7 +31,9 @@ FALLBACK_K = 3
 SILHOUETTE_ROWS = 5000
 LITERAL_MAX = 4096  # cluster statistics inlined as literals up to this many values
 KMEANS_IF_CONTAMINATION = 0.1
-MAX_CLUSTERS = 100_000  # clusters whose statistics the driver takes
+MAX_CLUSTERS = 100_000  # clusters whose sums the squared silhouette's shortcut holds; the Euclidean one has no limit
+SENT_BYTES, SALTS = 64 << 20, 16  # centroids that are broadcast; copies of each where they are joined
+CENTROID_BLOCK, CENTROID_RUN = 1024, 32  # centroids in a block, blocks set against one block in a task
 
 
 # ----------------------------------------------------------------------------- vectors
@@ -92,80 +94,110 @@ def cluster_sizes(df: DataFrame, label: str) -> DataFrame:
     return sizes.withColumn("balance", F.lit(balance).cast("double"))
 
 
-def _wcss_bcss(stats: dict) -> tuple[float, float, int, int]:
-    n = sum(v["n"] for v in stats.values())
-    total = sum(v["s"] for v in stats.values())
-    mu = total / n
-    wcss = sum(v["q"] - float(v["s"] @ v["s"]) / v["n"] for v in stats.values())
-    bcss = sum(v["n"] * float(((v["s"] / v["n"]) - mu) @ ((v["s"] / v["n"]) - mu)) for v in stats.values())
-    return wcss, bcss, n, len(stats)
+def _centroids(df: DataFrame, features, label: str) -> DataFrame:
+    """A written row per cluster, however many there are: _c, _row, n, q (sum of squared norms), s (sum vector)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    vec, _ = vector_expr(df, features)
+    data = df.select(qcol(label).alias("_c"), vec.alias("_x")).where(F.col("_c").isNotNull())
+    sums = data.groupBy("_c").agg(F.count(F.lit(1)).alias("n"), F.sum(_sqnorm(F.col("_x"))).alias("q"),
+                                  Summarizer.metrics("sum").summary(array_to_vector("_x")).alias("_m"))
+    sums = sums.select("_c", F.monotonically_increasing_id().alias("_row"), "n", "q", vector_to_array(F.col("_m.sum")).alias("s"))
+    path = scratch_path(df.sparkSession, "centroids")
+    sums.write.parquet(path)
+    return df.sparkSession.read.schema(sums.schema).parquet(path)
+
+
+def _scatter(centroids: DataFrame) -> tuple[float, float, int, int]:
+    """WCSS, BCSS, rows and clusters, from two aggregates over the centroids."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    total = centroids.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("q") - _sqnorm(F.col("s")) / F.col("n")).alias("w"),
+                          Summarizer.metrics("sum").summary(array_to_vector("s")).alias("m")) \
+        .select("n", "k", "w", vector_to_array("m.sum").alias("s")).first()  # one row
+    if not total["n"]:
+        return 0.0, 0.0, 0, 0
+    mean = F.array(*[F.lit(x / total["n"]) for x in total["s"]])
+    between = centroids.agg(F.sum(F.col("n") * _sqdist(F.transform("s", lambda x: x / F.col("n")), mean)).alias("b")).first()["b"]
+    return float(total["w"]), float(between), int(total["n"]), int(total["k"])
 
 
 def cluster_wcss_ratio(df: DataFrame, features, label: str) -> DataFrame:
-    """WCSS, BCSS and BCSS / (WCSS + BCSS)."""
-    wcss, bcss, _, _ = _wcss_bcss(cluster_sums(df, features, label)[0])
+    """WCSS, BCSS and BCSS / (WCSS + BCSS), for any number of clusters."""
+    wcss, bcss, _, _ = _scatter(_centroids(df, features, label))
     ratio = bcss / (wcss + bcss) if (wcss + bcss) > 0 else 0.0
     return df.sparkSession.createDataFrame([(wcss, bcss, ratio)], "wcss double, bcss double, variance_ratio double")
 
 
 def cluster_calinski_harabasz(df: DataFrame, features, label: str) -> DataFrame:
-    wcss, bcss, n, k = _wcss_bcss(cluster_sums(df, features, label)[0])
+    wcss, bcss, n, k = _scatter(_centroids(df, features, label))
     ch = (bcss / (k - 1)) / (wcss / (n - k)) if k > 1 and wcss > 0 and n > k else None
     return df.sparkSession.createDataFrame([(ch,)], "calinski_harabasz double")
 
 
-def _centroid_literal(stats: dict, order):
-    return F.array(*[F.array(*[F.lit(float(x)) for x in stats[c]["s"] / stats[c]["n"]]) for c in order])
-
+def _spreads(df: DataFrame, features, label: str, centroids: DataFrame, k: int) -> DataFrame:
+    """(_row, mean, spread) of each cluster: its centroid and the mean distance of its rows to it.
 
-def cluster_davies_bouldin(df: DataFrame, features, label: str) -> DataFrame:
-    """Mean over clusters of the worst (S_i + S_j) / d(mu_i, mu_j); S = mean Euclidean
-    distance of a cluster's points to its centroid."""
-    stats, dim = cluster_sums(df, features, label)
-    order = sorted(stats)
-    if len(order) < 2:
-        return df.sparkSession.createDataFrame([(None,)], "davies_bouldin double")
+    Few centroids are broadcast; more are joined, each in ``SALTS`` copies so that no cluster's rows meet in
+    one task.
+    """
     vec, _ = vector_expr(df, features)
     data = df.select(qcol(label).alias("_c"), vec.alias("_x")).where(F.col("_c").isNotNull())
-    if len(order) * max(dim, 1) > LITERAL_MAX:
-        dists = _centroid_distance_numpy(data, stats, order)
+    means = centroids.select("_c", "_row", F.transform("s", lambda x: x / F.col("n")).alias("mean"))
+    width = means.select(F.size("mean")).first()[0]
+    if 8 * k * width <= SENT_BYTES:
+        both = data.join(F.broadcast(means), "_c")
     else:
-        idx = F.create_map(*[x for i, c in enumerate(order) for x in (F.lit(c), F.lit(i + 1))])
-        cents = _centroid_literal(stats, order)
-        dists = data.select("_c", F.sqrt(_sqdist(F.col("_x"), F.element_at(cents, F.element_at(idx, F.col("_c")))))
-                            .alias("_dist"))
-    spread = {r["_c"]: float(r["s"]) for r in dists.groupBy("_c").agg(F.avg("_dist").alias("s")).collect()}  # k rows
-    mus = {c: stats[c]["s"] / stats[c]["n"] for c in order}
-    worst = []
-    for i in order:
-        vals = []
-        for j in order:
-            if i == j:
-                continue
-            d = float(np.sqrt(((mus[i] - mus[j]) ** 2).sum()))
-            vals.append((spread[i] + spread[j]) / d if d > 0 else math.inf)
-        worst.append(max(vals))
-    return df.sparkSession.createDataFrame([(float(np.mean(worst)),)], "davies_bouldin double")
+        salted = means.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = data.withColumn("_salt", F.pmod(F.xxhash64("_x"), F.lit(SALTS)).cast("int")).join(salted, ["_c", "_salt"])
+    spread = both.groupBy("_row").agg(F.avg(F.sqrt(_sqdist(F.col("_x"), F.col("mean")))).alias("spread"))
+    return means.select("_row", "mean").join(spread, "_row")
+
+
+def _pack_centroids(key: tuple, rows: pa.Table) -> pa.Table:
+    rows = rows.combine_chunks()
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "rows": pa.array([rows.column("_row").to_pylist()], pa.list_(pa.int64())),
+                     "spread": pa.array([rows.column("spread").to_pylist()], pa.list_(pa.float64())),
+                     "x": pa.array([kmeans.matrix(rows.column("mean").combine_chunks()).tobytes()], pa.binary())})
+
+
+def _worst_of_blocks(key: tuple, own: pa.Table, others: pa.Table) -> pa.Table:
+    """For each centroid of one block the greatest (S_i + S_j) / d_ij over the other blocks' centroids."""
+    if not own.num_rows:  # no centroid has this block's hash
+        return pa.table({"_row": pa.array([], pa.int64()), "worst": pa.array([], pa.float64())})
+    (mine,) = own.to_pylist()
+    x = np.frombuffer(mine["x"]).reshape(len(mine["rows"]), -1)
+    rows, spread, worst = np.array(mine["rows"]), np.array(mine["spread"]), np.full(len(x), -np.inf)
+    for part in others.to_batches(max_chunksize=1):
+        (r,) = part.to_pylist()
+        d = distances(x, np.frombuffer(r["x"]).reshape(len(r["rows"]), -1))
+        both = spread[:, None] + np.array(r["spread"])[None, :]
+        ratio = np.divide(both, d, out=np.full_like(d, np.inf), where=d > 0)
+        ratio[rows[:, None] == np.array(r["rows"])[None, :]] = -np.inf
+        worst = np.maximum(worst, ratio.max(axis=1))
+    return pa.table({"_row": pa.array(rows, pa.int64()), "worst": pa.array(worst, pa.float64())})
 
 
-def _centroid_distance_numpy(data: DataFrame, stats: dict, order) -> DataFrame:
-    """(_c, _dist): Euclidean distance of each row to its cluster centroid, centroids broadcast."""
-    import pandas as pd
-    pos = {c: i for i, c in enumerate(order)}
-    cents = np.stack([stats[c]["s"] / stats[c]["n"] for c in order])
-    bc = data.sparkSession.sparkContext.broadcast((pos, cents))
-    ctype = data.schema["_c"].dataType.simpleString()
-
-    def run(batches):
-        index, centroids = bc.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = np.stack(pdf["_x"].to_numpy()).astype(float)
-            own = np.array([index[v] for v in pdf["_c"].tolist()])
-            yield pd.DataFrame({"_c": pdf["_c"], "_dist": np.sqrt(((x - centroids[own]) ** 2).sum(axis=1))})
-
-    return data.mapInPandas(run, f"_c {ctype}, _dist double")
+def cluster_davies_bouldin(df: DataFrame, features, label: str) -> DataFrame:
+    """Mean over clusters of the worst (S_i + S_j) / d(mu_i, mu_j); S = mean Euclidean distance of a cluster's
+    points to its centroid.  Any number of clusters: centroids meet in blocks, and only each one's worst ratio
+    leaves a task."""
+    centroids = _centroids(df, features, label)
+    k = centroids.count()
+    if k < 2:
+        return df.sparkSession.createDataFrame([(None,)], "davies_bouldin double")
+    n_blocks = -(-k // CENTROID_BLOCK)
+    runs = -(-n_blocks // CENTROID_RUN)
+    packed = _spreads(df, features, label, centroids, k).groupBy(F.pmod(F.xxhash64("_row"), F.lit(n_blocks)).alias("block")) \
+        .applyInArrow(_pack_centroids, "block long, rows array<long>, spread array<double>, x binary")
+    path = scratch_path(df.sparkSession, "centroid-blocks")
+    packed.write.parquet(path)
+    blocks = df.sparkSession.read.schema(packed.schema).parquet(path)
+    own = blocks.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(runs - 1).cast("long"))))
+    others = blocks.select(F.pmod("block", F.lit(runs)).alias("run"), "rows", "spread", "x",
+                           F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"))
+    worst = own.groupBy("block", "run").cogroup(others.groupBy("block", "run")).applyInArrow(_worst_of_blocks, "_row long, worst double")
+    return worst.groupBy("_row").agg(F.max("worst").alias("worst")).where(F.col("worst") > float("-inf")).agg(F.avg("worst").alias("davies_bouldin"))
 
 
 def _numbered(df: DataFrame, vec: Column, labels: Column, name: str) -> DataFrame:

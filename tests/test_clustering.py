@@ -125,3 +125,38 @@ def test_sweep_shares_labellings(spark):
     for k in (2, 5):
         assert got[k].inertia == pytest.approx(fits[k].inertia)
         assert got[k].silhouette == pytest.approx(_silhouette(x, kmeans.nearest(x, fits[k].centres)).mean(), abs=1e-7)
+
+
+def _davies_bouldin(x, labels):
+    names = sorted(set(labels))
+    mu = {c: x[labels == c].mean(0) for c in names}
+    s = {c: np.sqrt(((x[labels == c] - mu[c]) ** 2).sum(1)).mean() for c in names}
+    return np.mean([max((s[a] + s[b]) / np.sqrt(((mu[a] - mu[b]) ** 2).sum()) for b in names if b != a) for a in names])
+
+
+@pytest.mark.parametrize("sent,block", [(1 << 26, 1024), (0, 2)])
+def test_davies_bouldin_in_blocks(spark, monkeypatch, sent, block):
+    monkeypatch.setattr(clustering, "SENT_BYTES", sent)
+    monkeypatch.setattr(clustering, "CENTROID_BLOCK", block)
+    monkeypatch.setattr(clustering, "CENTROID_RUN", 2)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 3))
+    labels = rng.integers(0, 11, 200)
+    labels[:80] = 4
+    df = spark.createDataFrame([(v.tolist(), int(c)) for v, c in zip(x, labels)] + [([0.0] * 3, None)], "v array<double>, c int").repartition(3)
+    assert clustering.cluster_davies_bouldin(df, "v", "c").first()[0] == pytest.approx(_davies_bouldin(x, labels))
+    assert clustering.cluster_davies_bouldin(df.where("c = 4"), "v", "c").first()[0] is None
+    assert clustering.cluster_davies_bouldin(df.limit(0), "v", "c").first()[0] is None
+
+
+def test_more_clusters_than_a_driver_takes(spark):
+    n = clustering.MAX_CLUSTERS + 50
+    df = spark.range(2 * n).select((F.col("id") % n).alias("c"), (F.col("id") % n + F.col("id") / n).cast("double").alias("x"))
+    x = np.arange(2 * n) % n + np.arange(2 * n) / n
+    mu = np.add.reduce(x.reshape(2, n)) / 2
+    wcss = ((x.reshape(2, n) - mu) ** 2).sum()
+    bcss = 2 * ((mu - x.mean()) ** 2).sum()
+    got = clustering.cluster_wcss_ratio(df, ["x"], "c").first()
+    assert got["wcss"] == pytest.approx(wcss, rel=1e-4) and got["bcss"] == pytest.approx(bcss, rel=1e-9)
+    assert clustering.cluster_calinski_harabasz(df, ["x"], "c").first()[0] == pytest.approx((bcss / (n - 1)) / (wcss / n), rel=1e-4)
+    assert clustering.cluster_wcss_ratio(df.limit(0), ["x"], "c").first()["variance_ratio"] == 0.0
