@@ -3,11 +3,14 @@
 Each document becomes a vector of transformed statistics.  Every (language, source) group gets a
 minimum-covariance-determinant estimate by concentration steps: from a coordinatewise median and MAD,
 repeatedly take the ``SUPPORT`` share of the group's rows with the smallest Mahalanobis distance and
-re-estimate centre and scatter from them.  Documents far from their group's centre are rejected.
+re-estimate centre and scatter from them; a last, reweighting step takes all rows within the ``WITHIN``
+quantile of that estimate.  With a support of one half, nearly half of a group may be bad alike and is still
+rejected.  Documents far from their group's centre are rejected.
 
 Scale: all rows of all groups take part in every step.  A step is two aggregations (a quantile sketch
 of the distances, then moments), both combined before the shuffle, so a group of any size is a few
-rows to the reducers; the estimates stay a table and are joined to the rows.  Small groups borrow
+rows to the reducers; the estimates stay a table and are joined to the rows (broadcast up to ``MOST_SENT``
+groups).  Small groups borrow
 strength smoothly: a group's moments are weighted with ``BORROWED`` rows' worth of its language's.
 
 Defined cases: a null or empty text has no words and fails the base rule; null languages or sources
@@ -42,7 +45,9 @@ P = len(FEATURES)
 ADDED_WORDS, ADDED_CHARS = 10, 50
 #: Least standard deviation of each feature, so that a feature that hardly varies can't divide by zero.
 FLOOR = (0.1, 0.04, 0.06, 0.06, 0.05, 0.03)
-SUPPORT, STEPS, BORROWED = 0.75, 3, 200.0
+SUPPORT, STEPS, WITHIN, BORROWED = 0.5, 4, 0.975, 200.0
+#: Groups whose estimates (about 400 bytes each) are broadcast.
+MOST_SENT = 20_000
 #: Upper tail of the chi-square distribution beyond which a document is rejected.
 TAIL = 4e-6
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -114,13 +119,17 @@ def squared_distance(x: Column, centre: Column, inverse: Column) -> Column:
     return reduce(add, [(2.0 if i < j else 1.0) * inverse[i * P + j] * gap[i] * gap[j] for i in range(P) for j in range(i, P)])
 
 
+def _sent(estimates: DataFrame) -> DataFrame:
+    return F.broadcast(estimates) if estimates.count() <= MOST_SENT else estimates
+
+
 def _distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """``rows`` (``lang, source, x``) with the squared Mahalanobis distance ``d2`` to its group's centre."""
-    return rows.join(estimates, ["lang", "source"]).withColumn(
+    return rows.join(_sent(estimates), ["lang", "source"]).withColumn(
         "d2", squared_distance(F.col("x"), F.col("centre"), F.col("inverse")))
 
 
-def _invert(moments: DataFrame) -> DataFrame:
+def _invert(moments: DataFrame, consistency: float) -> DataFrame:
     """``(lang, source, centre, inverse)`` from weights, sums and product sums, with the language's share."""
     pairs = [(i, j) for i in range(P) for j in range(i, P)]
 
@@ -135,7 +144,7 @@ def _invert(moments: DataFrame) -> DataFrame:
             scatter = np.empty((len(m), P, P))
             for k, (i, j) in enumerate(pairs):
                 scatter[:, i, j] = scatter[:, j, i] = m[:, 1 + P + k] / m[:, 0] - centre[:, i] * centre[:, j]
-            scatter = scatter * CONSISTENCY + np.diag(np.square(FLOOR))
+            scatter = scatter * consistency + np.diag(np.square(FLOOR))
             inverse = np.linalg.inv(scatter).reshape(len(m), P * P)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), list_array(centre.ravel(), np.full(len(m), P), pa.float64()),
@@ -145,9 +154,9 @@ def _invert(moments: DataFrame) -> DataFrame:
     return moments.mapInArrow(invert, "lang string, source string, centre array<double>, inverse array<double>")
 
 
-_cut = chi_square_quantile(1 - SUPPORT, P)
-#: Scale that makes the scatter of the central share consistent for normal vectors.
-CONSISTENCY = SUPPORT / (1 - chi_square_tail(_cut, P + 2))
+def consistency(share: float) -> float:
+    """Scale that makes the scatter of the central ``share`` consistent for normal vectors."""
+    return share / (1 - chi_square_tail(chi_square_quantile(1 - share, P), P + 2))
 
 
 def estimates_per_group(rows: DataFrame, steps: int = STEPS) -> DataFrame:
@@ -163,15 +172,22 @@ def estimates_per_group(rows: DataFrame, steps: int = STEPS) -> DataFrame:
         for j in range(P)]) for i in range(P)]))
     found = spill(apart.select(*group, "centre", flat.alias("inverse")), "quality-start")
     products = [x[i] * x[j] for i in range(P) for j in range(i, P)]
-    for _ in range(steps):
-        near = _distance(rows, found)
-        limit = near.groupBy(*group).agg(F.percentile_approx("d2", SUPPORT, 1000).alias("limit"))
-        core = near.join(limit, group).where(F.col("d2") <= F.col("limit"))
+    width = 1 + P + len(products)
+    none = F.array(*[F.lit(0.0)] * width)
+
+    def estimate(core: DataFrame, share: float) -> DataFrame:
         sums = core.groupBy(*group).agg(F.array(F.count("*").cast("double"), *map(F.sum, x), *map(F.sum, products)).alias("own"))
+        sums = found.select(*group).join(sums, group, "left").withColumn("own", F.coalesce("own", none))  # a group without core borrows all
         sums = spill(sums, "quality-moments")
-        language = sums.groupBy("lang").agg(F.array(*[F.sum(F.col("own")[k]) for k in range(1 + P + len(products))]).alias("all"))
-        found = spill(_invert(sums.join(language, "lang").select("lang", "source", "own", "all")), "quality-step")
-    return found
+        language = sums.groupBy("lang").agg(F.array(*[F.sum(F.col("own")[k]) for k in range(width)]).alias("all"))
+        usable = language.where(F.col("all")[0] > 0)
+        return spill(_invert(sums.join(usable, "lang").select("lang", "source", "own", "all"), consistency(share)), "quality-step")
+
+    for _ in range(steps):
+        near = spill(_distance(rows, found).select(*group, "x", "d2"), "quality-distances")
+        limit = _sent(spill(near.groupBy(*group).agg(F.percentile_approx("d2", SUPPORT, 1000).alias("limit")), "quality-limits"))
+        found = estimate(near.join(limit, group).where(F.col("d2") <= F.col("limit")), SUPPORT)
+    return estimate(_distance(rows, found).where(F.col("d2") <= chi_square_quantile(1 - WITHIN, P)), WITHIN)
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", name: str = "_quality",
@@ -183,7 +199,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     vectors = with_statistics(docs.select(key(lang).alias("lang"), key(source).alias("source"),
                                           F.col(text).cast("string").alias("text")), "text", "s")
     rows = spill(vectors.where("s.n_words > 0").select("lang", "source", F.col("s.x").alias("x")), "quality-vectors")
-    found = estimates_per_group(rows).select(*[F.col(c).alias(f"{name}_{c}") for c in ("lang", "source", "centre", "inverse")])
+    found = _sent(estimates_per_group(rows)).select(*[F.col(c).alias(f"{name}_{c}") for c in ("lang", "source", "centre", "inverse")])
     counted = with_statistics(docs, text, name)
     joined = counted.join(found, (key(lang) == F.col(f"{name}_lang")) & (key(source) == F.col(f"{name}_source")), "left")
     n, repeated = F.col(f"{name}.n_words"), F.col(f"{name}.n_repeat_words")

@@ -473,6 +473,29 @@ def test_scatter_is_the_minimum_determinant_estimate(spark):
     assert np.allclose(np.diag(spread), 9, rtol=0.35)
 
 
+@pytest.mark.parametrize("share", [0.2, 0.35, 0.45])
+def test_equal_outliers_do_not_become_the_core(spark, share):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(4000, quality.P)) * 0.3 + 1
+    bad = int(share * len(x))
+    x[:bad] = 40.0
+    table = spark.createDataFrame([("en", f"s{k % 2}", r.tolist()) for k, r in enumerate(x)], "lang string, source string, x array<double>")
+    found = {r["source"]: r for r in quality.estimates_per_group(table).collect()}
+    cut = quality.chi_square_quantile(quality.TAIL, quality.P)
+    for k, row in enumerate(x):
+        r = found[f"s{k % 2}"]
+        gap = row - np.array(r["centre"])
+        d2 = gap @ np.array(r["inverse"]).reshape(quality.P, quality.P) @ gap
+        assert (d2 > cut) == (k < bad), (k, d2)
+
+
+def test_a_source_of_one_outlier_is_judged_by_its_language(spark):
+    rng = np.random.default_rng(3)
+    rows = [("en", "s", (rng.normal(size=quality.P) * 0.3 + 1).tolist()) for _ in range(500)] + [("en", "alone", [40.0] * quality.P)]
+    found = {r["source"]: r for r in quality.estimates_per_group(spark.createDataFrame(rows, "lang string, source string, x array<double>")).collect()}
+    assert np.allclose(found["alone"]["centre"], found["s"]["centre"], atol=0.2)
+
+
 # 9: packing
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
