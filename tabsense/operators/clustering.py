@@ -109,15 +109,14 @@ def _centroids(df: DataFrame, features, label: str) -> DataFrame:
 
 
 def _scatter(centroids: DataFrame) -> tuple[float, float, int, int]:
-    """WCSS, BCSS, rows and clusters, from two aggregates over the centroids."""
+    """WCSS, BCSS, rows and clusters, from aggregates over the centroids."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
-    total = centroids.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("q") - _sqnorm(F.col("s")) / F.col("n")).alias("w"),
-                          Summarizer.metrics("sum").summary(array_to_vector("s")).alias("m")) \
-        .select("n", "k", "w", vector_to_array("m.sum").alias("s")).first()  # one row
+    total = centroids.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("q") - _sqnorm(F.col("s")) / F.col("n")).alias("w")).first()
     if not total["n"]:
         return 0.0, 0.0, 0, 0
-    mean = F.array(*[F.lit(x / total["n"]) for x in total["s"]])
+    whole = centroids.agg(Summarizer.metrics("sum").summary(array_to_vector("s")).alias("m")).select(vector_to_array("m.sum")).first()[0]  # one row
+    mean = F.array(*[F.lit(x / total["n"]) for x in whole])
     between = centroids.agg(F.sum(F.col("n") * _sqdist(F.transform("s", lambda x: x / F.col("n")), mean)).alias("b")).first()["b"]
     return float(total["w"]), float(between), int(total["n"]), int(total["k"])
 
