@@ -10,7 +10,8 @@ by document, and texts are joined to their candidates by document; no list of do
 
 Defined cases: a null or empty text has no spans; rows with equal id and text get equal spans; a null
 id is an id; an empty table gives no rows; positions count code points of the whole text, however
-long; other columns pass through untouched.
+long and however many its spans (the work grows linearly with both); other columns pass through
+untouched, also those whose names differ from ``doc_id`` or ``text`` in case alone.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabsense.llm.common import pick
+
 
 def _either_case(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
@@ -123,16 +126,17 @@ def trigram_query(pattern: str) -> Query:
     return of_row(re._parser.parse(pattern))
 
 
-def _text(name: str) -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+def _text(column: Column) -> Column:
+    return F.coalesce(column.cast("string"), F.lit(""))
 
 
 def postings(docs: DataFrame, trigrams: list[str], doc_id: str, text: str) -> DataFrame:
     """``(trigram, doc_id, text_hash)``: the inverted index of the given trigrams, case folded."""
     wanted = F.array(*[F.lit(t) for t in trigrams])
-    found = F.transform(F.array(F.lower(_text(text))), lambda low: F.filter(wanted, lambda t: F.contains(low, t)))[0]
-    return docs.select(F.explode(found).alias("trigram"), F.col(doc_id).alias("doc_id"),
-                       F.xxhash64(_text(text)).alias("text_hash"))
+    found = F.transform(F.array(F.lower("text")), lambda low: F.filter(wanted, lambda t: F.contains(low, t)))[0]
+    whole = pick(docs, doc_id, text).toDF("doc_id", "text").withColumn("text", _text(F.col("text")))
+    held = whole.select("doc_id", F.xxhash64("text").alias("text_hash"), found.alias("trigrams"))
+    return held.select(F.explode("trigrams").alias("trigram"), "doc_id", "text_hash")
 
 
 def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
@@ -156,51 +160,72 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-_SPAN_TYPE = "array<struct<start:bigint,ord:int,end:bigint,kind:string,size:int>>"
+_SPAN_TYPE = "array<struct<start:bigint,ord:int,end:bigint,kind:string,from_byte:bigint,to_byte:bigint,size:int>>"
+#: Running values are formed in pieces of this many elements, and over the pieces: an array grows by copying.
+PIECE = 256
+
+
+def _running(values: str, start: str, merge: str) -> str:
+    """SQL for the value before each element of the array ``values``, from ``start`` on by ``merge(a, x)``."""
+    def scan(array: str, first: str, step: str) -> str:
+        return (f"aggregate({array}, named_struct('a', {first}, 'out', slice(array({first}), 1, 0)), (z, x) -> "
+                f"named_struct('a', {step}, 'out', concat(z.out, array(z.a))), z -> z.out)")
+
+    one, whole = merge.replace("@a", "z.a").replace("@x", "x"), merge.replace("@a", "a").replace("@x", "x")
+    pieces = (f"transform(sequence(0, cast(size({values}) div {PIECE} as int)), "
+              f"k -> slice({values}, k * {PIECE} + 1, {PIECE}))")
+    return (f"transform(array({pieces}), p -> flatten(zip_with(p, {scan(f'transform(p, c -> aggregate(c, {start}, (a, x) -> {whole}))', start, one)}, "
+            f"(c, base) -> {scan('c', 'base', one)})))[0]")
 
 
 def _spans(text: str, rule: Rule, order: int) -> Column:
-    """Leftmost non-overlapping matches of a rule as ``(start, ord, end, kind)``.
+    """Leftmost non-overlapping matches of a rule as ``(start, ord, end, kind, from_byte, to_byte, size)``.
 
-    The pieces between matches and the matches themselves alternate, so their lengths give positions.
+    The pieces between matches and the matches themselves alternate, so their lengths give positions,
+    in code points and in bytes.  The lambdas over lists of one bind arrays that are worked out once.
     """
     p = _quoted(rule.pattern)
-    none = f"cast(array() AS {_SPAN_TYPE})"
+    cut = (f"arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), "
+           f"regexp_extract_all({text}, {p}, {rule.group}))")
+
+    def before(length: str) -> str:
+        lengths = f"transform(cut, y -> cast({length}(y.`0`) + coalesce({length}(y.`1`), 0) AS bigint))"
+        return f"transform(array({lengths}), v -> {_running('v', '0L', '@a + @x')})[0]"
+
     return F.expr(f"""
-        filter(aggregate(
-            arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {rule.group})),
-            named_struct('at', 0L, 'found', {none}),
-            (acc, x) -> named_struct(
-                'at', acc.at + char_length(x.`0`) + coalesce(char_length(x.`1`), 0),
-                'found', if(x.`1` IS NULL, acc.found, concat(acc.found, array(named_struct(
-                    'start', acc.at + char_length(x.`0`), 'ord', {order},
-                    'end', acc.at + char_length(x.`0`) + char_length(x.`1`), 'kind', '{rule.kind}',
-                    'size', char_length(x.`2`)))))),
-            acc -> acc.found), s -> s.size >= {rule.least})""")
+        transform(array({cut}), cut -> filter(zip_with(cut, arrays_zip({before('char_length')}, {before('octet_length')}),
+            (m, at) -> if(m.`1` IS NULL, NULL, named_struct(
+                'start', at.`0` + char_length(m.`0`), 'ord', {order}, 'end', at.`0` + char_length(m.`0`) + char_length(m.`1`),
+                'kind', '{rule.kind}', 'from_byte', at.`1` + octet_length(m.`0`),
+                'to_byte', at.`1` + octet_length(m.`0`) + octet_length(m.`1`), 'size', char_length(m.`2`)))),
+            s -> s.size >= {rule.least}))[0]""")
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text",
                  name: str = "_spans") -> DataFrame:
-    """``docs`` and a column ``name``: all spans as structs ``start, ord, end, kind``, in order.
+    """``docs`` and a column ``name``: all spans as structs ``start, ord, end, kind, from_byte, to_byte``, in order.
 
-    ``ord`` is the rule's place in ``rules``, ``end`` is exclusive.
+    ``ord`` is the rule's place in ``rules``, ``end`` and ``to_byte`` are exclusive; bytes are those of UTF-8.
     """
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     trigrams = sorted({t for q in queries.values() for clause in q for alternative in clause for t in alternative})
-    whole = docs.withColumn(f"{name}_text", _text(text))
+    apart = docs.toDF(*[f"_{k}" for k in range(len(docs.columns))])
+    own_id = F.col(f"_{docs.columns.index(doc_id)}")
+    whole = apart.withColumn("t", _text(F.col(f"_{docs.columns.index(text)}")))
     if queries:
         met = candidates(postings(docs, trigrams, doc_id, text), queries)
-        met = met.select(*[F.col(c).alias(f"{name}_{c}") for c in met.columns])
-        whole = whole.join(met, F.col(doc_id).eqNullSafe(F.col(f"{name}_doc_id"))
-                           & (F.xxhash64(f"{name}_text") == F.col(f"{name}_text_hash")), "left")
+        whole = whole.join(met, own_id.eqNullSafe(F.col("doc_id")) & (F.xxhash64("t") == F.col("text_hash")), "left")
     parts = []
     for order, rule in enumerate(rules):
-        holds = F.expr(f"`{name}_text` rlike {_quoted(rule.pattern)}")
+        holds = F.expr(f"t rlike {_quoted(rule.pattern)}")
         if rule.kind in queries:
-            holds = F.coalesce(F.array_contains(F.col(f"{name}_kinds"), rule.kind), F.lit(False)) & holds
-        parts.append(F.when(holds, _spans(f"`{name}_text`", rule, order)).otherwise(F.expr(f"cast(array() AS {_SPAN_TYPE})")))
-    spans = F.transform(F.array_sort(F.concat(*parts)), lambda s: F.struct(s["start"], s["ord"], s["end"], s["kind"]))
-    return whole.withColumn(name, spans).select(*[F.col(f"`{c}`") for c in docs.columns], name)
+            holds = F.coalesce(F.array_contains(F.col("kinds"), rule.kind), F.lit(False)) & holds
+        parts.append(F.when(holds, _spans("t", rule, order)).otherwise(F.expr(f"cast(array() AS {_SPAN_TYPE})")))
+    spans = F.transform(F.array_sort(F.concat(*parts)), lambda s: F.struct(*[s[c].alias(c) for c in _FIELDS]))
+    return whole.select(*apart.columns, spans.alias(name)).toDF(*docs.columns, name)
+
+
+_FIELDS = ("start", "ord", "end", "kind", "from_byte", "to_byte")
 
 
 def span_list(spans: Column) -> Column:
@@ -210,14 +235,19 @@ def span_list(spans: Column) -> Column:
 
 
 def redacted(text: str, spans: str, mark: str = "[SECRET]") -> Column:
-    """The text with every span (overlapping ones as one) replaced by ``mark``."""
+    """The text with every span (overlapping ones as one) replaced by ``mark``.
+
+    Pieces are cut by byte, which doesn't count through the text before them.
+    """
+    ends = f"transform(`{spans}`, s -> s.to_byte)"
+    reach = f"transform(array({ends}), e -> {_running('e', '0L', 'greatest(@a, @x)')})[0]"
     return F.expr(f"""
-        aggregate(`{spans}`, named_struct('at', 0L, 'out', ''),
-            (acc, s) -> named_struct(
-                'at', greatest(acc.at, s.end),
-                'out', if(s.start < acc.at, acc.out,
-                          concat(acc.out, substring(`{text}`, cast(acc.at + 1 AS int), cast(s.start - acc.at AS int)), '{mark}'))),
-            acc -> concat(acc.out, substring(`{text}`, cast(acc.at + 1 AS int))))""")
+        transform(array(struct(cast(`{text}` AS binary) AS b, {reach} AS r)), v ->
+            array_join(concat(
+                filter(zip_with(`{spans}`, v.r, (x, r) -> if(x.from_byte < r, NULL,
+                    cast(substring(v.b, cast(r + 1 AS int), cast(x.from_byte - r AS int)) AS string))), y -> y IS NOT NULL),
+                array(cast(substring(v.b, cast(coalesce(array_max({ends}), 0L) + 1 AS int)) AS string))),
+                '{mark}'))[0]""")
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:

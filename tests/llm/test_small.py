@@ -215,6 +215,22 @@ def test_secret_rules(spark):
     assert {r["t"] for r in red} == {"é [SECRET] end"}
 
 
+def test_secrets_of_long_text(spark):
+    """One text of very many spans, some of them overlapping: time grows like the spans."""
+    import time
+    took = []
+    for n in (20_000, 40_000):
+        text = "".join(f"é token={'%028x' % k} w{k} " if k % 3 else f"secret: Zz{k:05d}~ " for k in range(n))
+        table = spark.createDataFrame([(1, text, "x"), (2, None, "y")], "doc_id long, text string, Text string")
+        start = time.time()
+        found = secret_scan.find_secrets(table).toDF("doc_id", "text", "other", "_spans").where("doc_id = 1")
+        got = found.select(secret_scan.span_list(F.col("_spans")).alias("s"), secret_scan.redacted("text", "_spans").alias("t")).head()
+        took.append(time.time() - start)
+        assert got["s"] == ",".join(base_spans(text))
+        assert got["t"] == "".join(f"é [SECRET] w{k} " if k % 3 else "[SECRET]~ " for k in range(n))
+    assert took[1] < 3 * took[0] + 2
+
+
 def test_trigram_queries():
     q = secret_scan.trigram_query(secret_scan.RULES[0].pattern)
     assert len(q) == 1 and frozenset({"tok", "oke", "ken"}) in q[0]
