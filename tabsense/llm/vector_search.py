@@ -9,10 +9,12 @@ case leave the arrays before the next block.  Each group passes on k rows a quer
 those gives the answer.
 
 Defined cases: vectors that are null or hold a null or non-finite component, and rows without an id,
-take no part; vectors of different lengths are never compared; equal rows (id and vector) count once;
-if several rows share a query's id, the smallest vector asks and none of them answers it; equal scores
-rank by smaller id; fewer than k candidates give fewer rows; an empty table gives none.  Components
-are taken as small enough for a 64-bit sum.
+take no part; vectors of different lengths are never compared; each of several equal rows (id and
+vector) is a candidate, and they travel as one row with their number; if several rows share a query's
+id, the smallest vector asks, once, and all rows but that one answer it; equal scores rank by smaller
+id; fewer than k candidates give fewer rows; an empty table gives none; other columns are left alone,
+also those whose names differ from ``vec_id`` or ``embedding`` in case alone.  Components are taken as
+small enough for a 64-bit sum.
 """
 
 from __future__ import annotations
@@ -21,18 +23,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tabsense.llm.common import pick
+
 BLOCK_ROWS, BLOCK_QUERIES, BLOCK_DIMENSIONS = 4096, 1024, 8
 
 
 def integer_vectors(vectors: DataFrame, scale: float, vec_id: str, embedding: str) -> DataFrame:
-    """``(vec_id, v, d)`` with ``floor(scale * x)`` for each component; rows that take no part are gone."""
-    x = F.col(embedding)
+    """``(vec_id, v, copies, d)`` with ``floor(scale * x)`` for each component; rows that take no part are gone."""
+    x = F.col("embedding")
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e.cast("double")) | (F.abs(e.cast("double")) == float("inf")))
-    return (vectors.where(x.isNotNull() & F.col(vec_id).isNotNull())
+    return (pick(vectors, vec_id, embedding).toDF("vec_id", "embedding")
+            .where(x.isNotNull() & F.col("vec_id").isNotNull())
             .where(~F.coalesce(bad, F.lit(True)))
-            .select(F.col(vec_id).cast("long").alias("vec_id"),
+            .select(F.col("vec_id").cast("long").alias("vec_id"),
                     F.transform(x, lambda e: F.floor(e.cast("double") * F.lit(float(scale)))).alias("v"))
-            .dropDuplicates(["vec_id", "v"])
+            .groupBy("vec_id", "v").agg(F.count("*").alias("copies"))
             .withColumn("d", F.size("v")))
 
 
@@ -41,18 +46,23 @@ def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
     return flat.astype(np.int64).reshape(n, -1)
 
 
-def best_in_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int,
-                  step: int = BLOCK_DIMENSIONS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query, its k best rows of the block: places of the query and of the row, and the score."""
+def best_in_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, copies: np.ndarray,
+                  k: int, step: int = BLOCK_DIMENSIONS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each query, its k best rows of the block: places of the query and of the row, score and copies.
+
+    The query's own row counts one copy less, and not at all if it was the only one.
+    """
     d = rows.shape[1]
     order = np.argsort(-(rows.astype(np.float64) ** 2).sum(axis=0), kind="stable")
     columns = np.ascontiguousarray(rows[:, order].T)
     cuts = list(range(0, d, step)) + [d] if d else [0, 0]
     squares = columns.astype(np.float64) ** 2
     rest = [np.sqrt(squares[c:].sum(axis=0)) * (1 + 1e-9) for c in cuts[1:]]
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    out: list[tuple[np.ndarray, ...]] = []
     for place, (query, own) in enumerate(zip(queries[:, order], query_ids)):
-        alive = np.flatnonzero(row_ids != own)
+        itself = np.flatnonzero(row_ids == own)
+        itself = itself[(columns[:, itself].T == query).all(axis=1)]
+        alive = np.delete(np.arange(len(row_ids)), itself[copies[itself] == 1])
         score = np.zeros(len(alive), np.int64)
         query_rest = np.sqrt((query.astype(np.float64) ** 2)[::-1].cumsum()[::-1])
         for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
@@ -67,9 +77,10 @@ def best_in_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
             stay = score >= np.partition(score, len(score) - k)[len(score) - k]
             alive, score = alive[stay], score[stay]
         first = np.lexsort((row_ids[alive], -score))[:k]
-        out.append((np.full(len(first), place), alive[first], score[first]))
+        found = alive[first]
+        out.append((np.full(len(first), place), found, score[first], copies[found] - np.isin(found, itself)))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -92,15 +103,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
     def search(asks: pa.Table, block: pa.Table) -> pa.Table:
         ids, own = block.column("vec_id").to_numpy(), asks.column("query_id").to_numpy()
         if len(ids) and len(own):
-            q, r, s = best_in_block(_matrix(asks.column("v"), len(own)), own, _matrix(block.column("v"), len(ids)), ids, k)
+            q, r, s, c = best_in_block(_matrix(asks.column("v"), len(own)), own, _matrix(block.column("v"), len(ids)), ids,
+                                       block.column("copies").to_numpy(), k)
         else:
-            q = r = s = np.zeros(0, np.int64)
+            q = r = s = c = np.zeros(0, np.int64)
         return pa.table({"query_id": pa.array(own[q], pa.int64()), "vec_id": pa.array(ids[r], pa.int64()),
-                         "score": pa.array(s, pa.int64())})
+                         "score": pa.array(s, pa.int64()), "copies": pa.array(c, pa.int64())})
 
     near = (left.select("d", "qb", "vb", "query_id", "v").groupBy("d", "qb", "vb")
-            .cogroup(right.select("d", "qb", "vb", "vec_id", "v").groupBy("d", "qb", "vb"))
-            .applyInArrow(search, "query_id long, vec_id long, score long"))
+            .cogroup(right.select("d", "qb", "vb", "vec_id", "v", "copies").groupBy("d", "qb", "vb"))
+            .applyInArrow(search, "query_id long, vec_id long, score long, copies long"))
+    each = near.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return (near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return (each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

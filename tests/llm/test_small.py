@@ -399,9 +399,12 @@ def test_top_k(spark, monkeypatch):
     got = vector_search.top_k(table, F.col("vec_id") % 100 == 0, 10, block_rows=100, block_queries=3).collect()
     q = np.floor(1024 * x.astype(np.float64)).astype(np.int64)
     want = []
+    held = [*range(900), 500]  # one row comes twice
     for a in range(0, 900, 100):
         s = q @ q[a]
-        best = heapq.nsmallest(10, (k for k in range(900) if k != a), key=lambda k: (-s[k], k))
+        others = held.copy()
+        others.remove(a)
+        best = heapq.nsmallest(10, others, key=lambda k: (-s[k], k))
         want += [(a, r + 1, k, int(s[k])) for r, k in enumerate(best)]
     same(got, want)
     assert vector_search.top_k(table.where("false"), F.col("vec_id") % 100 == 0).count() == 0
@@ -409,6 +412,20 @@ def test_top_k(spark, monkeypatch):
     assert [r["rank"] for r in sorted(few, key=lambda r: r["rank"])] == [1, 2]
 
 
+def test_top_k_repeated_rows_and_names(spark, tmp_path):
+    """Repeated rows and rows that share a query's id, held against the registered SQL."""
+    import duckdb
+    from tabsense.llm.queries import VECTOR_SEARCH_SQL
+    rng = np.random.default_rng(5)
+    rows = [(k // 2, rng.normal(size=6).tolist(), "c") for k in range(210)] + [(1, [1.0] * 6, "c")] * 40 + [(100, [2.0] * 6, "c")] * 3
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, Embedding string").repartition(3)
+    got = vector_search.top_k(table, F.col("vec_id") % 100 == 0, block_rows=50)
+    table.toDF("vec_id", "embedding", "x").write.parquet(str(tmp_path / "e"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/e/*.parquet')")
+    same([tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()], con.execute(VECTOR_SEARCH_SQL).fetchall())
+
+
 # 7: line dedup
 
 def line_key(line):
