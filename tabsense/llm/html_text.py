@@ -5,18 +5,22 @@ and those of the blocks before and after it, and by where it stands (inside the
 part that isn't the article, inside something named like an advert or a comment).  A decision tree,
 trained on a small labelled table of blocks, tells main text from the rest.
 
-The labelled table is drawn from a few page layouts with block lengths set by a rule; its size is fixed
-(``LABELLED_LENGTHS`` for each layout).  The tree is small and goes to the tasks by value; pages are
-read, cut and classified in one pass without a shuffle.
+The labelled table has two parts: a few page layouts whose tags and names tell the parts of a page, with
+block lengths set by a rule (``LABELLED_LENGTHS`` for each), and drawn pages, ``LABELLED_PAGES`` of them
+with such tags and as many of bare ``div`` elements without any telling tag or name, where only the word
+counts and link densities of a block and its neighbours (and headings and list items) tell main text.  The tree is small and goes to the
+tasks by value; pages are read, cut and classified in one pass without a shuffle.
 
 Defined cases: a null or empty page has an empty text; repeated pages give equal texts; an empty table
 gives no rows; pages of any length are read whole; broken markup is read leniently (an unclosed element
-ends with its parent, an unclosed comment or script with the page); other columns pass through untouched.
+ends with its parent, an unclosed comment or script with the page); other columns pass through untouched,
+but a column named like the result is replaced by it.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,8 +33,8 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after",
             "in_article", "page_has_article", "in_other_part", "named_other", "heading", "list_item")
-#: Word counts of the labelled blocks, and the depth of the tree.
-LABELLED_LENGTHS, TREE_DEPTH = (1, 2, 4, 7, 12, 20, 35, 60, 110, 250), 8
+#: Word counts of the labelled blocks, number of drawn pages of either kind, and the depth of the tree.
+LABELLED_LENGTHS, LABELLED_PAGES, TREE_DEPTH = (1, 2, 4, 7, 12, 20, 35, 60, 110, 250), 240, 10
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)"""
@@ -168,10 +172,54 @@ _LAYOUTS = (
 )
 
 
-def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
+def drawn_page(rng: random.Random, tagged: bool = False) -> str:
+    """Menu, notice, main text (marked), further links, form and footer, in drawn lengths.
+
+    The parts are bare ``div`` elements or, if ``tagged``, named by their tags; then no length tells them apart.
+    """
+    def said(low: int, high: int) -> str:
+        return "word " * rng.randint(low, high)
+
+    def linked(low: int, high: int) -> str:
+        return "<a href='/'>" + "link " * rng.randint(low, high) + "</a>"
+
+    def paragraph() -> str:
+        size = rng.choice(((1, 12), (8, 40), (20, 60), (30, 100), (60, 250)))
+        return said(*size) + (linked(1, 3) + said(3, 15) if rng.random() < 0.1 else "")
+
+    item = rng.choice(("li", "div", "p"))
+    top = "".join(f"<{item}>{linked(1, 4)}</{item}>" for _ in range(rng.randint(0, 9)))
+    if rng.random() < 0.6:
+        top += f"<div>{said(3, 16)}</div>"
+    main = f"<h1>{said(3, 14)}</h1>" if rng.random() < 0.8 else ""
+    for k in range(rng.randint(3, 22)):
+        kind = rng.random()
+        if kind < 0.06 and k:
+            main += f"<h2>{said(2, 8)}</h2>"
+        elif kind < 0.12:
+            main += "<ul>" + "".join(f"<li>{said(3, 30)}</li>" for _ in range(rng.randint(2, 6))) + "</ul>"
+        main += f"<p>{paragraph()}</p>"
+    end = ""
+    if rng.random() < 0.5:
+        end += "".join(f"<{item}>{linked(2, 12)}</{item}>" for _ in range(rng.randint(2, 8)))
+    if rng.random() < 0.3:
+        end += "".join(f"<div>{said(1, 3)}</div>" for _ in range(rng.randint(2, 4)))
+    if rng.random() < 0.8:
+        end += f"<div>{said(3, 16)}{linked(1, 4) if rng.random() < 0.5 else ''}</div>"
+    if not tagged:
+        return f"<div>{top}</div><div data-main>{main}</div><div>{end}</div>"
+    short = "".join(f"<p>{said(1, 6)}</p>" for _ in range(rng.randint(0, 6)))
+    long = "".join(f"<p>{paragraph()}</p>" for _ in range(rng.randint(0, 6)))
+    menu, part = rng.choice(("nav", "header")), rng.choice(("article", "main"))
+    beside = rng.choice(("<aside>", "<form>", "<div class='ad'>", "<div class='comments'>", "<div>"))
+    return (f"<{menu}>{top}</{menu}><div>{long if rng.random() < 0.3 else ''}</div><{part} data-main>{main}{short}</{part}>"
+            f"{beside}{long}</{re.match('<(\\w+)', beside)[1]}><footer>{end}</footer>")
+
+
+def labelled_blocks(pages: int = LABELLED_PAGES, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """The labelled table: features of blocks, and 1 for main text."""
     lengths = LABELLED_LENGTHS
-    rows, labels = [], []
+    drawn = []
     for layout in _LAYOUTS:
         for k in range(len(lengths)):
             size = {"a": lengths[k], "b": lengths[(3 * k + 1) % len(lengths)], "c": lengths[(7 * k + 2) % len(lengths)],
@@ -180,11 +228,11 @@ def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
             for name, n in size.items():
                 page = page.replace("{{" + name + "}}", "{" + str(n) + "}").replace("{" + name + "}", str(n))
             page = re.sub(r"\[(\d+)\]", lambda m: "<a href='/'>" + "link " * int(m[1]) + "</a>", page)
-            page = re.sub(r"\{(\d+)\}", lambda m: "word " * int(m[1]), page)
-            found = text_blocks(page, "data-main")
-            rows.append(block_features(found))
-            labels += [float(b.marked) for b in found]
-    return np.concatenate(rows), np.array(labels)
+            drawn.append(re.sub(r"\{(\d+)\}", lambda m: "word " * int(m[1]), page))
+    rng = random.Random(seed)
+    drawn += [drawn_page(rng, tagged) for _ in range(pages) for tagged in (False, True)]
+    cut = [text_blocks(page, "data-main") for page in drawn]
+    return np.concatenate([block_features(c) for c in cut]), np.array([float(b.marked) for c in cut for b in c])
 
 
 @dataclass

@@ -158,6 +158,30 @@ def test_html_fixture_pages(spark):
         assert found[r["page_id"]] == "\n".join(b for b in blocks if b)
 
 
+def test_html_neighbours_tell_where_tags_do_not(spark):
+    """Held-out drawn pages, and fixture pages whose telling tags and names are gone."""
+    import random
+    from tests.conftest import SF_SMALL
+    tree = html_text.train_tree(spark)
+    near = [k for k, f in enumerate(html_text.FEATURES) if f.endswith(("_before", "_after"))]
+    assert set(tree.feature) & set(near)
+    rng = random.Random(77)
+    pages = [html_text.drawn_page(rng) for _ in range(60)]
+    for r in spark.read.parquet(f"{SF_SMALL}/pages.parquet").select("html").collect():
+        page = r["html"].replace("<article", "<article data-main")
+        pages.append(re.sub(r"(</?)(article|nav|footer)\b", r"\1div", page).replace(' class="ad"', ""))
+    wrong, changed, n = 0, 0, 0
+    for page in pages:
+        blocks = html_text.text_blocks(page, "data-main")
+        features = html_text.block_features(blocks)
+        verdict = tree.keeps(features)
+        wrong += (verdict != np.array([b.marked for b in blocks])).sum()
+        features[:, near] = np.median(features[:, near], axis=0)
+        changed += (tree.keeps(features) != verdict).sum()
+        n += len(blocks)
+    assert wrong < 0.05 * n and changed > 0.05 * n
+
+
 # 3: token counts
 
 def test_token_counts(docs, none, rows):
