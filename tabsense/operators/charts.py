@@ -11,6 +11,7 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabsense.functions.quantiles import quantiles
 from tabsense.functions.schema import qcol
@@ -21,6 +22,7 @@ from tabsense.operators.profile import corr_matrix
 # The lat/lon column patterns.
 HIST_BINS = 20
 VIOLIN_GRID = 50
+LINE_INTERVALS = 1000
 VIOLIN_BINS_PER_BANDWIDTH = 10
 LAT_PATTERN = re.compile(r".*(lat|latitude).*", re.IGNORECASE)
 LON_PATTERN = re.compile(r".*(lon|lng|long|longitude).*", re.IGNORECASE)
@@ -38,11 +40,47 @@ def chart_scatter(df: DataFrame, x: str, y: str, color: str | None = None,
     return points if max_points is None else sample_rows(points, max_points, key_cols)
 
 
-def chart_line(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
+def chart_line(df: DataFrame, x: str, y: str, color: str | None = None, intervals: int | None = None) -> DataFrame:
+    """The points of every row in order of ``x``; ``intervals`` asks for the bounded line of :func:`line_extremes`."""
+    if intervals is not None:
+        return line_extremes(df, x, y, color, intervals)
     cols = [x, y] + ([color] if color else [])
     return df.select(*map(qcol, cols)).orderBy(qcol(x))
 
 
+def line_extremes(df: DataFrame, x: str, y: str, color: str | None = None, intervals: int = LINE_INTERVALS) -> DataFrame:
+    """``(color, interval, x, y)``: first, last, least and greatest point of each interval of ``x`` (M4).
+
+    The range of ``x`` (numbers, dates or times) is cut into ``intervals`` equal parts; a line drawn through
+    these at most four points an interval and color covers the same pixels as one through all rows.  One
+    pass finds the range, one aggregation with partial states the points; rows are never sorted as a whole.
+    Rows without a place (``x`` or ``y`` null, NaN, or ``x`` infinite) are left out; among equal ``x`` the
+    first point is the lower and the last the higher, among equal ``y`` the least is the earlier and the
+    greatest the later; a single value of ``x`` is one interval; no rows give no points.
+    """
+    if intervals < 1:
+        raise ValueError("intervals must be at least 1")
+    kind = df.schema[x].dataType
+    timed = isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
+    place = F.unix_micros(qcol(x).cast("timestamp")).cast("double") if timed else _x(x)
+    rows = df.select(*([qcol(color).alias("color")] if color else []), qcol(x).alias("x"), qcol(y).alias("y"),
+                     place.alias("place"))
+    rows = rows.where(F.col("place").isNotNull() & ~F.isnan("place") & (F.abs("place") != float("inf"))
+                      & F.col("y").isNotNull() & ~F.isnan(F.col("y").cast("double")))
+    ends = rows.agg(F.min("place").alias("lo"), F.max("place").alias("hi")).head()
+    lo, hi = ends["lo"] or 0.0, ends["hi"] or 0.0
+    at = F.floor((F.col("place") - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(intervals))) if hi > lo else F.lit(0)
+    at = F.least(at, F.lit(intervals - 1)).cast("int")
+    by_x, by_y = F.struct("x", "y"), F.struct("y", "x")
+    keys = (["color"] if color else []) + ["interval"]
+    found = rows.withColumn("interval", at).groupBy(*keys).agg(
+        F.min(by_x).alias("first"), F.max(by_x).alias("last"), F.min(by_y).alias("least"), F.max(by_y).alias("greatest"))
+    ends_and_extremes = F.array(*[F.struct(F.col(f"{p}.x").alias("x"), F.col(f"{p}.y").alias("y"))
+                                  for p in ("first", "last", "least", "greatest")])
+    points = found.select(*keys, F.explode(F.array_distinct(ends_and_extremes)).alias("p"))
+    return points.select(*([F.col("color").alias(color)] if color else []), "interval", F.col("p.x").alias(x), F.col("p.y").alias(y))
+
+
 def chart_bar(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
     """Stacked bars: sum of y per x (and color)."""
     keys = [x] + ([color] if color else [])

@@ -405,6 +405,11 @@ def q_chart_line(spark, sf):
     return ch.chart_line(table(spark, sf, "events"), "ts", "value", "event_type")
 
 
+@register("chart_line_bounded")
+def q_chart_line_bounded(spark, sf):
+    return ch.chart_line(table(spark, sf, "events"), "ts", "value", "event_type", intervals=200)
+
+
 @register("chart_bar")
 def q_chart_bar(spark, sf):
     return rounded(ch.chart_bar(table(spark, sf, "lineitem"), "l_returnflag", "l_quantity", "l_linestatus"), 2)
