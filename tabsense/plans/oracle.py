@@ -690,19 +690,23 @@ ORACLE["scan_csv"] = "SELECT * FROM part"
 ORACLE["scan_csv_encodings"] = "SELECT c_custkey, c_name || ' né' AS c_name, c_nationkey FROM customer"
 ORACLE["load_metadata"] = f"""SELECT 'lineitem' AS source, (SELECT count(*) FROM lineitem) AS rows, {len(LM_COLS)} AS columns,
   quality_score FROM ({ORACLE['quality_score']})"""
-ORACLE["batch_summary"] = f"""SELECT 2 AS files, CAST((SELECT count(*) FROM region) + (SELECT count(*) FROM nation) AS BIGINT) AS total_rows,
-  {R('100.0')} AS avg_quality"""
 ORACLE["scan_json"] = "SELECT * FROM customer"
 ORACLE["sink_csv"] = ORACLE["filter_conjunction"]
 _LI_CELLS = " + ".join(f"(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)" for c in LI_COLS if c != "l_returnflag")
-ORACLE["scan_batch"] = f"""WITH g AS (
+_LI_QUALITY = ("greatest(0.0, least(100.0, 100.0 - missing_cells / (rows * 11) * 30 - dups / rows * 20 "
+               "+ ((10 + (CASE WHEN u_ls < rows * 0.8 THEN 1 ELSE 0 END)) / 11.0) * 10))")
+_LI_FOLDERS = f"""WITH g AS (
   SELECT l_returnflag, count(*) AS rows, sum({_LI_CELLS}) AS missing_cells,
          count(DISTINCT l_linestatus) AS u_ls FROM lineitem GROUP BY l_returnflag),
 d AS (SELECT l_returnflag, sum(n - 1) AS dups FROM (
         SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL_COLS) GROUP BY l_returnflag)
-SELECT g.l_returnflag, g.rows,
-  {R('greatest(0.0, least(100.0, 100.0 - missing_cells / (rows * 11) * 30 - dups / rows * 20 + ((10 + (CASE WHEN u_ls < rows * 0.8 THEN 1 ELSE 0 END)) / 11.0) * 10))')} AS quality_score
-FROM g JOIN d ON g.l_returnflag = d.l_returnflag""".replace("ALL_COLS", ", ".join(LI_COLS))
+""".replace("ALL_COLS", ", ".join(LI_COLS))
+ORACLE["scan_batch"] = f"""{_LI_FOLDERS}SELECT g.l_returnflag, g.rows,
+  {R(_LI_QUALITY)} AS quality_score
+FROM g JOIN d ON g.l_returnflag = d.l_returnflag"""
+ORACLE["batch_summary"] = f"""{_LI_FOLDERS}SELECT count(*) AS files, CAST(sum(g.rows) AS BIGINT) AS total_rows,
+  {R(f'avg({_LI_QUALITY})')} AS avg_quality
+FROM g JOIN d ON g.l_returnflag = d.l_returnflag"""
 
 
 def _profile_report(d=4):

@@ -591,12 +591,10 @@ def q_scan_csv_encodings(spark, sf):
 
 @register("batch_summary")
 def q_batch_summary(spark, sf):
-    base = scratch_path(spark, "batch")
-    for name in ("region", "nation"):
-        table(spark, sf, name).select(F.col(f"{name[0]}_regionkey").alias("k"), F.col(f"{name[0]}_name").alias("v")) \
-            .coalesce(1).write.parquet(f"{base}/{name}")  # 5 and 25 rows at every scale
-    _, per_file = sio.scan_batch(spark, [f"{base}/region", f"{base}/nation"])
-    return rounded(sio.batch_summary(per_file))
+    base = scratch_path(spark, "lineitem-folders")
+    table(spark, sf, "lineitem").write.partitionBy("l_returnflag").parquet(base)
+    _, per_folder = sio.scan_batch(spark, [base], unit="folder")
+    return rounded(sio.batch_summary(per_folder))
 
 
 @register("load_metadata")

@@ -110,11 +110,14 @@ def quality_by(df: DataFrame, by: str) -> DataFrame:
     return j.select(by, "rows", F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)).alias("quality_score"))
 
 
-def scan_batch(spark: SparkSession, paths, fmt: str = "parquet", normalize: bool = False,
+def scan_batch(spark: SparkSession, paths, fmt: str = "parquet", normalize: bool = False, unit: str = "file",
                **options) -> tuple[DataFrame, DataFrame]:
     """Read many files in one scan.  Returns (all rows with ``source_file``, per-file
     (source_file, rows, quality_score)).
 
+    ``unit="folder"`` counts a folder's files as one, named ``source_folder``: what a distributed
+    writer leaves as a table is a folder, however many files it holds.
+
     CSV values are decoded as :func:`scan_csv` does; ``normalize`` also cleans names and turns
     NaN and infinities into NULL, as :func:`load_table` does.
     """
@@ -129,6 +132,11 @@ def scan_batch(spark: SparkSession, paths, fmt: str = "parquet", normalize: bool
         df = with_source_file(readers[fmt]())
     if normalize:
         df = normalize_table(df)
+    if unit == "folder":
+        folder = F.regexp_extract("source_file", r"^(.*)/[^/]*$", 1)
+        return df, quality_by(df.withColumn("source_folder", folder).drop("source_file"), "source_folder")
+    if unit != "file":
+        raise ValueError(f"unit must be 'file' or 'folder', not {unit!r}")
     return df, quality_by(df, "source_file")
 
 
