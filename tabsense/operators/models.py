@@ -8,18 +8,19 @@ All rows are used (no training-size cap).
 
 from __future__ import annotations
 
+import math
 import random
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsense.functions.schema import is_string, qcol
 from tabsense.functions.stats import stats_row
 from tabsense.operators import metrics as met
-from tabsense.operators import network
+from tabsense.operators import forest, network
 from tabsense.operators.features import (adaptive_test_fraction, label_encode, label_mapping, select_k_best,
                                          train_test_split)
 from tabsense.session import checkpoint_dir
@@ -34,10 +35,8 @@ MLP_ALPHA = 0.001
 VALIDATION_FRACTION = 0.1
 # Features tried per split, as the reference's forests do: all for regression, sqrt for classes.
 FEATURE_SUBSET = {"regression": "all", "classification": "sqrt"}
-# The reference's grid: trees 50/100, depth unlimited/10/20, minimum split 2/5.  Spark's depth
-# limit is 30 (stands for unlimited); a split needing 2 rows is 1 row per child, one needing 5
-# is approximated by at least 3 rows per child.
-TUNE_GRID = {"numTrees": [50, 100], "maxDepth": [30, 10, 20], "minInstancesPerNode": [1, 3]}
+# The reference's grid: trees 50/100, depth unlimited/10/20, minimum split 2/5.
+TUNE_GRID = {"trees": [50, 100], "max_depth": [None, 10, 20], "min_split": [2, 5]}
 TUNE_DRAWS = 5
 TUNE_FOLDS = 3
 MLP_TOL, MLP_PATIENCE = 1e-4, 10
@@ -177,52 +176,68 @@ def feature_importance(model, feats, top: int | None = None):
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
+def deep_forest(prepared: tuple[DataFrame, list[str]], task: str, n_trees: int = RF_TREES, max_depth: int | None = None,
+                min_split: int = 2, seed: int = DEFAULT_SEED, key_cols=None, rows: Column | None = None) -> forest.Forest:
+    """A forest of any depth with a minimum split in rows (see ``forest``), grown on the train split of a
+    prepared frame (on ``rows`` of it, if given)."""
+    data, feats = prepared
+    train = data.where("split = 'train'")
+    n_classes = 0 if task == "regression" else max(int(data.agg(F.max("_label")).first()[0]) + 1, 2)
+    tried = len(feats) if FEATURE_SUBSET[task] == "all" else max(int(math.sqrt(len(feats))), 1)
+    return forest.grow_forest(train if rows is None else train.where(rows), feats, "_label", n_classes, n_trees, max_depth,
+                              min_split, tried=tried, key_cols=key_cols, seed=seed)
+
+
+def deep_forest_metrics(grown: forest.Forest, data: DataFrame, task: str) -> DataFrame:
+    """One wide metrics row of a grown forest on the given rows."""
+    from pyspark.ml.functions import array_to_vector
+    pred = grown.predict(data)
+    if task != "regression":
+        pred = pred.withColumn("probability", array_to_vector("probability"))
+    return _evaluate(pred, task, grown.plan.classes or None)
+
+
+def random_forest_deep(df: DataFrame, features, label: str, task: str = "regression", n_trees: int = RF_TREES,
+                       max_depth: int | None = None, min_split: int = 2, seed: int = DEFAULT_SEED, key_cols=None,
+                       remove_outliers: bool = False, test_fraction: float | str = 0.2):
+    """As ``random_forest``, but without a depth limit (unless one is given) and with a minimum split in rows.
+    Returns (metrics (model, metric, value), grown forest)."""
+    prepared = prepare(df, features, label, task, key_cols, seed, test_fraction, remove_outliers)
+    grown = deep_forest(prepared, task, n_trees, max_depth, min_split, seed, key_cols)
+    return met.metrics_long(deep_forest_metrics(grown, prepared[0].where("split = 'test'"), task), "RandomForest"), grown
+
+
 def rf_tuned(df: DataFrame, features, label: str, task: str = "regression", draws: int = TUNE_DRAWS,
              folds: int = TUNE_FOLDS, seed: int = DEFAULT_SEED, key_cols=None) -> DataFrame:
     """Seeded random search over the grid with k-fold cross-validation on the train split; the draw
     with the best mean score is fitted again on the whole train split and tested.
 
-    Returns per draw: parameters, mean / std / min of the fold score (r2 or weighted f1),
-    ``is_best``, and for the best draw its score on the test split (else NULL)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-    from pyspark.ml.regression import RandomForestRegressor
-    data, feats = prepare(df, features, label, task, key_cols, seed)
+    Returns per draw: parameters (``max_depth`` NULL: no limit), mean / std / min of the fold score (r2 or
+    weighted f1), ``is_best``, and for the best draw its score on the test split (else NULL)."""
+    prepared = data, feats = prepare(df, features, label, task, key_cols, seed)
     keys = list(key_cols) if key_cols else feats + [label]
-    train = data.where("split = 'train'").withColumn(
-        "_fold", F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys], F.lit(seed + 1)), F.lit(folds))).persist()
-    grid = [(t, d, m) for t in TUNE_GRID["numTrees"] for d in TUNE_GRID["maxDepth"] for m in TUNE_GRID["minInstancesPerNode"]]
+    fold = F.pmod(F.xxhash64(*[qcol(k) for k in keys], F.lit(seed + 1)), F.lit(folds))
+    grid = [(t, d, m) for t in TUNE_GRID["trees"] for d in TUNE_GRID["max_depth"] for m in TUNE_GRID["min_split"]]
     picks = random.Random(seed).sample(grid, min(draws, len(grid)))
-    evaluator = (RegressionEvaluator(labelCol="_label", predictionCol="prediction", metricName="r2")
-                 if task == "regression" else
-                 MulticlassClassificationEvaluator(labelCol="_label", predictionCol="prediction", metricName="f1"))
-    est_cls = RandomForestRegressor if task == "regression" else RandomForestClassifier
+    score_name = "r2" if task == "regression" else "f1"
+
     def fold_score(args):
         (t, d, m), k = args
-        est = est_cls(featuresCol="_features", labelCol="_label", numTrees=t, maxDepth=d,
-                      minInstancesPerNode=m, featureSubsetStrategy=FEATURE_SUBSET[task], seed=seed)
-        model = Pipeline(stages=_assemble(train, feats) + [est]).fit(train.where(F.col("_fold") != k))
-        return float(evaluator.evaluate(model.transform(train.where(F.col("_fold") == k))))
-
-    jobs = [(p, k) for p in picks for k in range(folds)]
-    try:
-        with ThreadPoolExecutor(max_workers=FIT_THREADS) as pool:
-            scores = list(pool.map(fold_score, jobs))
-    finally:
-        train.unpersist()
+        grown = deep_forest(prepared, task, t, d, m, seed, keys, fold != k)
+        return float(deep_forest_metrics(grown, data.where((F.col("split") == "train") & (fold == k)), task).first()[score_name])
+
+    with ThreadPoolExecutor(max_workers=FIT_THREADS) as pool:
+        scores = list(pool.map(fold_score, [(p, k) for p in picks for k in range(folds)]))
     rows = []
     for i, (t, d, m) in enumerate(picks):
         sc = scores[i * folds:(i + 1) * folds]
         rows.append((t, d, m, float(np.mean(sc)), float(np.std(sc)), float(np.min(sc))))
     best = max(range(len(rows)), key=lambda i: rows[i][3])
     t, d, m = picks[best]
-    model, _ = fit_forest((data, feats), task, t, d, m, seed)
-    score = forest_test_metrics(model, data, task).first()["r2" if task == "regression" else "f1"]
+    score = deep_forest_metrics(deep_forest(prepared, task, t, d, m, seed, keys), data.where("split = 'test'"), task).first()[score_name]
     rows = [(*r, i == best, score if i == best else None) for i, r in enumerate(rows)]
-    spark = df.sparkSession
-    return spark.createDataFrame(rows, "num_trees int, max_depth int, min_instances int, cv_mean double, "
-                                       "cv_std double, cv_min double, is_best boolean, test_score double")
+    return df.sparkSession.createDataFrame(rows, "num_trees int, max_depth int, min_split int, cv_mean double, "
+                                                 "cv_std double, cv_min double, is_best boolean, test_score double")
 
 
 def _learning_rows(data: DataFrame, feats: list[str], keys: list[str], y, seed: int, stats: dict) -> DataFrame:

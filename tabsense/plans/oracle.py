@@ -753,6 +753,12 @@ ORACLE["sink_json"] = ORACLE["profile_report"]
 ORACLE["kmeans_separable"] = ORACLE["kmeans_mini_batch_separable"] = "SELECT l_orderkey, l_linenumber, CAST(l_linenumber % 3 AS INTEGER) AS cluster FROM lineitem"
 ORACLE["rf_separable"] = union([f"SELECT 'RandomForest' AS model, '{m}' AS metric, {R('1.0')} AS value"
                                 for m in ("accuracy", "precision", "recall", "f1", "roc_auc", "cohen_kappa")])
+ORACLE["rf_deep_separable"] = ORACLE["rf_separable"]
+ORACLE["rf_deep_recall"] = f"""SELECT l_orderkey, l_linenumber,
+    {R('avg(l_quantity) OVER (PARTITION BY l_orderkey, l_linenumber)')} AS prediction FROM lineitem"""
+ORACLE["rf_deep_min_split"] = f"""SELECT l_linenumber, {R('avg(l_quantity)')} AS prediction, count(*) AS n, true AS split_of_two
+    FROM lineitem GROUP BY l_linenumber UNION ALL
+    SELECT l_linenumber, {R('(SELECT avg(l_quantity) FROM lineitem)')}, count(*), false FROM lineitem GROUP BY l_linenumber"""
 ORACLE["mlp_separable"] = ORACLE["mlp_separable_text"] = ORACLE["rf_separable"].replace("'RandomForest'", "'MLP'")
 ORACLE["isolation_forest_planted"] = "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 200 = 0"
 

@@ -619,6 +619,7 @@ def q_sink_json(spark, sf):
 
 # ------------------------------------------------------------------ 2.8 / 2.9 models
 
+from tabsense.operators import forest  # noqa: E402
 from tabsense.operators import models as mdl  # noqa: E402
 
 PART_FEATURES = ["p_size", "p_brand", "p_type"]
@@ -731,6 +732,41 @@ def q_rf_separable(spark, sf):
     return rounded(metrics.where(F.col("metric").isin("accuracy", "precision", "recall", "f1", "roc_auc", "cohen_kappa")))
 
 
+@register("rf_deep_separable")
+def q_rf_deep_separable(spark, sf):
+    """The same label for a forest without a depth limit."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity",
+                                             (F.col("l_linenumber") > 3).cast("int").alias("late"))
+    metrics, _ = mdl.random_forest_deep(li, ["l_linenumber", "l_quantity"], "late", "classification", n_trees=15, min_split=5,
+                                        key_cols=["l_orderkey", "l_linenumber"])
+    return rounded(metrics.where(F.col("metric").isin("accuracy", "precision", "recall", "f1", "roc_auc", "cohen_kappa")))
+
+
+@register("rf_deep_recall")
+def q_rf_deep_recall(spark, sf):
+    """One tree without a depth limit, on all rows: every row gets the mean of the rows with its features."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("qty"))
+    grown = forest.grow_forest(li, ["l_orderkey", "l_linenumber"], "qty", trees=1, bootstrap=False,
+                               key_cols=["l_orderkey", "l_linenumber"])
+    return rounded(grown.predict(li).select("l_orderkey", "l_linenumber", "prediction"))
+
+
+@register("rf_deep_min_split")
+def q_rf_deep_min_split(spark, sf):
+    """One tree over the line numbers with a minimum split above every part of the table: the mean of all rows;
+    with a smaller one: the mean of each number."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("qty"))
+    least = li.groupBy("l_linenumber").count().agg(F.min("count")).first()[0]
+    out = None
+    for split in (2, li.count() + 1):
+        grown = forest.grow_forest(li, ["l_linenumber"], "qty", trees=1, min_split=split, bootstrap=False,
+                                   key_cols=["l_orderkey", "l_linenumber"], block_rows=max(least // 2, 1))
+        part = grown.predict(li).groupBy("l_linenumber").agg(F.avg("prediction").alias("prediction"), F.count(F.lit(1)).alias("n")) \
+            .withColumn("split_of_two", F.lit(split == 2))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out)
+
+
 def _mlp_separable(spark, sf, late):
     """Three classes far apart: the network's test metrics are perfect."""
     k = F.col("l_linenumber") % 3
