@@ -413,8 +413,8 @@ def _grow_tops(rows: DataFrame, plan: Plan, n: int, d: int, block: int, bins: in
     return tops
 
 
-def _finish(rows: DataFrame, plan: Plan, tops: list[Top], path: str) -> None:
-    """Writes (tree, node, nodes of the subtree) of every block."""
+def _finish(rows: DataFrame, plan: Plan, tops: list[Top], columns: int, path: str) -> None:
+    """Writes (tree, node, nodes of the subtree) of every block; ``columns`` of a row sent there: features, target, weight, hash."""
     routes = [t.route() for t in tops]
     at = [(np.array(t.key, np.uint64), np.array(t.depth)) for t in tops]
 
@@ -442,7 +442,6 @@ def _finish(rows: DataFrame, plan: Plan, tops: list[Top], path: str) -> None:
         return pa.table({"tree": pa.array([tree], pa.int32()), "node": pa.array([node], pa.int32()),
                          **{k: pa.array([made[k].tolist()], t) for k, t in _ARROW.items()}})
 
-    columns = len(rows.select("x").first()[0]) + 3
     (rows.select("x", "y", "h").mapInArrow(deal, "tree int, node int, data binary")
          .groupBy("tree", "node").applyInArrow(finish, f"tree int, node int, {_TREE}").write.parquet(path))
 
@@ -532,12 +531,13 @@ class Forest:
         schema = "tree int, node int, n long, ids binary, x binary"
         dealt = xs.mapInArrow(below, schema)
         # A node that many of these rows reach is dealt to several tasks, each with a copy of its subtree.
-        size = dealt.groupBy("tree", "node").agg(F.ceil(F.sum("n") / self.block).cast("int").alias("parts"))
-        shared = size.where("parts > 1")
-        many = F.coalesce(F.col("parts"), F.lit(1))
-        spread = dealt.join(shared, ["tree", "node"], "left").withColumn("part", F.pmod(F.xxhash64("ids"), many).cast("int")).drop("parts")
-        copies = self.subtrees(spark).join(shared, ["tree", "node"], "left") \
-            .withColumn("part", F.explode(F.sequence(F.lit(0), many - 1))).drop("parts")
+        spread, copies = dealt.withColumn("part", F.lit(0)), self.subtrees(spark).withColumn("part", F.lit(0))
+        if rows.count() > self.block:  # else no node is reached by more
+            shared = dealt.groupBy("tree", "node").agg(F.ceil(F.sum("n") / self.block).cast("int").alias("parts")).where("parts > 1")
+            many = F.coalesce(F.col("parts"), F.lit(1))
+            spread = dealt.join(shared, ["tree", "node"], "left").withColumn("part", F.pmod(F.xxhash64("ids"), many).cast("int")).drop("parts")
+            copies = self.subtrees(spark).join(shared, ["tree", "node"], "left") \
+                .withColumn("part", F.explode(F.sequence(F.lit(0), many - 1))).drop("parts")
         met = spread.groupBy("tree", "node", "part").cogroup(copies.groupBy("tree", "node", "part")).applyInArrow(score, out)
         whole = xs.mapInArrow(above, out).unionByName(met)
         means = whole.groupBy("_id").agg(*[(F.sum(F.col("_v")[k]) / F.sum(F.col("_v")[width])).alias(f"_m{k}") for k in range(width)])
@@ -580,5 +580,5 @@ def grow_forest(df: DataFrame, features, label: str, classes: int = 0, trees: in
     block = max(block_rows, math.ceil(4 * seen["n"] * trees / MOST_TOP))
     tops = _grow_tops(rows, plan, seen["n"], len(features), block, bins)
     out = scratch_path(spark, "forest-trees")
-    _finish(rows, plan, tops, out)
+    _finish(rows, plan, tops, len(features) + 3, out)
     return Forest(features, plan, tops, out, block)
