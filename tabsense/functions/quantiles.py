@@ -4,8 +4,9 @@ One path for every input.  A bounded sketch per group and column (``percentile_a
 before the shuffle) gives two bounds around each wanted rank; a second pass counts the values below
 the bounds; a third collapses the few values between them to ``(value, weight)`` and runs along them.
 The sketch's error is bounded, so the bounds enclose the rank; a group too small for that (fewer rows
-than half the sketch's accuracy) is run along whole.  No task holds more than the values between two
-bounds, a hot value is one row, and rows are never sorted or written.
+than half the sketch's accuracy) is run along whole.  Up to ``MOST_SENT`` groups are broadcast: rows
+stay where they are, unsorted, and only sums leave a task.  More groups are joined, each in ``SALTS``
+copies, to their distinct values and counts.  A hot value is one row.
 
 NULL and NaN group keys are ordinary groups; NULL values don't count.  ``accuracy=`` returns the
 sketch's own answer (relative rank error 1/accuracy) for callers that accept an approximation.
@@ -20,9 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabsense.functions.schema import qcol
+from tabsense.session import checkpoint_dir
 
 #: Accuracy of the sketch that bounds the ranks.
 SKETCH_ACCURACY = 10_000
+#: Groups that are broadcast; copies of each where there are more.
+MOST_SENT, SALTS = 20_000, 16
 
 
 def _long_form(df: DataFrame, cols, by) -> DataFrame:
@@ -35,11 +39,31 @@ def _long_form(df: DataFrame, cols, by) -> DataFrame:
               .where(F.col("v").isNotNull()))
 
 
-def _matched(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """``rows`` joined to one row per group; NULL and NaN keys match themselves."""
-    renamed = groups.select(*[F.col(k).alias(f"_m{k}") for k in keys], *[c for c in groups.columns if c not in keys])
-    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_m{k}")) for k in keys])
-    return rows.join(renamed, same, how).drop(*[f"_m{k}" for k in keys])
+def _matched(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner", sent: bool = False) -> DataFrame:
+    """``rows`` joined to one row per group (broadcast if ``sent``); NULL and NaN keys match themselves."""
+    renamed = groups.select(*[qcol(k).alias(f"_m{i}") for i, k in enumerate(keys)],
+                            *[qcol(c) for c in groups.columns if c not in keys])
+    same = reduce(lambda x, y: x & y, [qcol(k).eqNullSafe(F.col(f"_m{i}")) for i, k in enumerate(keys)])
+    return rows.join(F.broadcast(renamed) if sent else renamed, same, how).drop(*[f"_m{i}" for i in range(len(keys))])
+
+
+def kept_groups(groups: DataFrame) -> tuple[DataFrame, bool]:
+    """One row per group, worked out once, and whether they are few enough to broadcast."""
+    checkpoint_dir(groups.sparkSession)
+    kept = groups.checkpoint(eager=True)
+    return kept, kept.count() <= MOST_SENT
+
+
+def beside(rows: DataFrame, groups: DataFrame, keys: list[str], few: bool, spread: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to one row per group without shuffling a whole group into one task.
+
+    Few groups are broadcast; of more, rows meet one of ``SALTS`` copies by the hash of column ``spread``.
+    """
+    if few:
+        return _matched(rows, groups, keys, how, sent=True)
+    copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(qcol(spread)), F.lit(SALTS)).cast("int"))
+    return _matched(salted, copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def _rank(p: float) -> Column:
@@ -54,42 +78,50 @@ def exact_quantiles(df: DataFrame, cols, probs, by=()) -> DataFrame:
     long = _long_form(df, cols, by)
     slack = 2.0 / SKETCH_ACCURACY
     marks = [min(max(m, 0.0), 1.0) for p in probs for m in (p - slack, p + slack)]
-    sketch = long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile_approx("v", marks, SKETCH_ACCURACY).alias("_b"))
-    counted = _matched(long, sketch, keys).groupBy(*keys).agg(
-        F.first("_n").alias("_n"), F.first("_b").alias("_b"),
-        F.array(*[F.sum((F.col("v") < F.col("_b")[2 * i]).cast("long")) for i in range(len(probs))]).alias("_below"),
-        F.array(*[F.sum((F.col("v") <= F.col("_b")[2 * i + 1]).cast("long")) for i in range(len(probs))]).alias("_upto"))
+    sketch, few = kept_groups(long.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx("v", marks, SKETCH_ACCURACY).alias("_b")))
+    values = long.withColumn("n", F.lit(1).cast("long")) if few else \
+        long.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
+
+    def weight(test: Column) -> Column:
+        return F.sum(F.when(test, F.col("n")).otherwise(F.lit(0).cast("long")))
+
+    # Plain sums only: an aggregate that carries an array or struct along would sort all rows.
+    counted = beside(values, sketch, keys, few, "v").groupBy(*keys).agg(
+        *[weight(F.col("v") < F.col("_b")[2 * i]).alias(f"_below{i}") for i in range(len(probs))],
+        *[weight(F.col("v") <= F.col("_b")[2 * i + 1]).alias(f"_upto{i}") for i in range(len(probs))])
     wanted = []
     for i, p in enumerate(probs):
         low, high = F.floor(_rank(p)), F.ceil(_rank(p))
-        holds = (F.col("_below")[i] <= low) & (high < F.col("_upto")[i])
+        holds = (F.col(f"_below{i}") <= low) & (high < F.col(f"_upto{i}"))
         wanted.append(F.struct(
             F.lit(p).alias("prob"), _rank(p).alias("h"), low.alias("low"), high.alias("high"),
             F.when(holds, F.col("_b")[2 * i]).alias("from_v"), F.when(holds, F.col("_b")[2 * i + 1]).alias("to_v"),
-            F.when(holds, F.col("_below")[i]).otherwise(F.lit(0)).alias("before")))
-    bounds = counted.select(*keys, F.array(*wanted).alias("_w"))
+            F.when(holds, F.col(f"_below{i}")).otherwise(F.lit(0)).alias("before")))
+    bounds, _ = kept_groups(_matched(counted, sketch, keys, sent=few).select(*keys, F.array(*wanted).alias("_w")))
     inside = F.filter("_w", lambda w: w["from_v"].isNull() | ((F.col("v") >= w["from_v"]) & (F.col("v") <= w["to_v"])))
-    near = (_matched(long, bounds, keys).select(*keys, "v", F.explode(inside).alias("w"))
-            .groupBy(*keys, F.col("w.prob").alias("prob"), "v")
-            .agg(F.count(F.lit(1)).alias("n"), F.first("w").alias("w")))
+    near = (beside(values, bounds, keys, few, "v")
+            .select(*keys, "v", "n", F.explode(F.transform(inside, lambda w: w["prob"])).alias("prob"))
+            .groupBy(*keys, "prob", "v").agg(F.sum("n").alias("n")))
+    ranks = bounds.select(*keys, F.explode("_w").alias("w")).select(
+        *keys, *[F.col(f"w.{c}").alias(c) for c in ("prob", "h", "low", "high", "before")])
     along = Window.partitionBy(*keys, "prob").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    run = near.withColumn("end", F.sum("n").over(along) + F.col("w.before")).withColumn("start", F.col("end") - F.col("n"))
+    run = _matched(near, ranks, [*keys, "prob"], sent=few).withColumn("end", F.sum("n").over(along) + F.col("before")) \
+        .withColumn("start", F.col("end") - F.col("n"))
 
     def at(rank: str) -> Column:
-        r = F.col(f"w.{rank}")
-        return F.max(F.when((F.col("start") <= r) & (r < F.col("end")), F.col("v")))
+        return F.max(F.when((F.col("start") <= F.col(rank)) & (F.col(rank) < F.col("end")), F.col("v")))
 
     picked = run.groupBy(*keys, "prob").agg(
-        at("low").alias("lo"), at("high").alias("hi"), F.first("w.h").alias("h"), F.first("w.low").alias("low"),
-        F.first("w.high").alias("high"))
+        at("low").alias("lo"), at("high").alias("hi"), F.first("h").alias("h"), F.first("low").alias("low"),
+        F.first("high").alias("high"))
     value = F.when(F.col("low") == F.col("high"), F.col("lo")).otherwise(
         (F.col("high") - F.col("h")) * F.col("lo") + (F.col("h") - F.col("low")) * F.col("hi"))
     found = picked.select(*keys, "prob", value.alias("quantile"))
-    return _with_all_groups(df, found, cols, probs, by)
+    return _with_all_groups(df, found, cols, probs, by, sent=few)
 
 
-def _with_all_groups(df: DataFrame, found: DataFrame, cols, probs, by) -> DataFrame:
+def _with_all_groups(df: DataFrame, found: DataFrame, cols, probs, by, sent: bool = False) -> DataFrame:
     """One row for every group, column and prob, in the order (*by, column, prob, quantile)."""
     names = [f"_g{i}" for i in range(len(by))]
     every = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(p).alias("prob")) for c in cols for p in probs]))
@@ -98,7 +130,7 @@ def _with_all_groups(df: DataFrame, found: DataFrame, cols, probs, by) -> DataFr
     else:
         groups = df.sparkSession.range(1).select()
     skeleton = groups.select(*names, every.alias("_e")).select(*names, "_e.column", "_e.prob")
-    full = _matched(skeleton, found, [*names, "column", "prob"], "left")
+    full = _matched(skeleton, found, [*names, "column", "prob"], "left", sent)
     return full.select(*[F.col(n).alias(b) for n, b in zip(names, by)], "column", "prob", "quantile")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsense.functions.quantiles import quantiles
+from tabsense.functions.quantiles import beside, kept_groups, quantiles
 from tabsense.functions.schema import qcol
 from tabsense.functions.stats import count_if, stats_row
 from tabsense.operators.normalize import sample_rows
@@ -111,10 +111,10 @@ def _grouped(df: DataFrame, value: str, by: str | None) -> tuple[DataFrame, list
 
 
 def _per_group(data: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
-    """Each value with its group's statistics; AQE broadcasts the statistics when they are small."""
+    """Each value with its group's statistics, which are broadcast (joined in salted copies beyond ``MOST_SENT`` groups)."""
     if keys:
-        side = stats.withColumnRenamed("_g", "_sg")
-        return data.join(side, F.col("_g").eqNullSafe(F.col("_sg"))).drop("_sg")
+        kept, few = kept_groups(stats)
+        return beside(data, kept, keys, few, "_v")
     row = stats.first()
     return data.withColumns({f.name: F.lit(row[f.name] if row else None).cast(f.dataType) for f in stats.schema.fields})
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsense.functions.ordered import cumulative_sums
-from tabsense.functions.quantiles import quantiles
+from tabsense.functions.quantiles import beside, kept_groups, quantiles
 from tabsense.functions.schema import categorical_columns, numeric_columns, qcol
 from tabsense.functions.stats import stats_row
 from tabsense.operators.normalize import seeded_digest
@@ -154,8 +154,8 @@ def train_test_split(df: DataFrame, key_cols, test_fraction: float | str = 0.2,
     """Add ``split`` ('train' / 'test') from a seeded hash (MD5) of the key columns.
 
     Unstratified: hash share below the fraction.  Stratified: per class, the exact
-    ``test_fraction`` quantile of the hash is the cut; the per-class cuts join back as a
-    small aggregate (AQE broadcasts it when it is small).
+    ``test_fraction`` quantile of the hash is the cut; the cuts are broadcast, or joined in salted
+    copies where there are very many classes.
     """
     keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
     if test_fraction == "adaptive":
@@ -165,10 +165,9 @@ def train_test_split(df: DataFrame, key_cols, test_fraction: float | str = 0.2,
     tagged = df.withColumn("_u", u)
     if not stratify:
         return tagged.withColumn("split", F.when(F.col("_u") < test_fraction, "test").otherwise("train")).drop("_u")
-    # n_rows (when known) bounds the distinct hash count, which picks the quantile strategy
-    cuts = quantiles(tagged, ["_u"], [test_fraction], by=[stratify]) \
-        .select(qcol(stratify).alias("_s"), F.col("quantile").alias("_cut"))
-    joined = tagged.join(cuts, tagged[stratify].eqNullSafe(cuts["_s"]), "left").drop("_s")
+    cuts, few = kept_groups(quantiles(tagged, ["_u"], [test_fraction], by=[stratify])
+                            .select(qcol(stratify), F.col("quantile").alias("_cut")))
+    joined = beside(tagged, cuts, [stratify], few, "_u", "left")
     return joined.withColumn("split", F.when(F.col("_u") <= F.col("_cut"), "test").otherwise("train")) \
         .drop("_u", "_cut")
 

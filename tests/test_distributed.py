@@ -123,3 +123,36 @@ def test_auc_distributed_path_matches_local(spark, monkeypatch):
     pos, neg = s[y == 1], s[y == 0]
     brute = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
     assert local_auc == pytest.approx(brute, abs=1e-12)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quantiles_leave_rows_where_they_are(spark, skewed):
+    """No task gets, or sorts, all rows of a column or group, whatever the size estimates say."""
+    from tabsense.operators.features import train_test_split
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        split = train_test_split(skewed, ["id"], 0.2, stratify="k")
+        for df in (quantiles(skewed, ["v"], [0.5]), quantiles(skewed, ["v"], [0.5], by=["k"]), split):
+            assert "SortMergeJoin" not in _plan(df) and "SortAggregate" not in _plan(df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_quantiles_of_more_groups_than_are_broadcast(spark, skewed, monkeypatch):
+    from tabsense.functions import quantiles as qs
+    from tabsense.operators.charts import chart_box
+    from tabsense.operators.features import train_test_split
+    keyed = skewed.withColumn("g", F.when(F.col("k") == 1, None).when(F.col("k") == 2, float("nan")).otherwise(F.col("k").cast("double")))
+
+    def found():
+        q = quantiles(keyed, ["v", "id"], [0.25, 0.5], by=["g"])
+        split = train_test_split(keyed, ["id"], 0.2, stratify="g").select("id", "split")
+        return [sorted(map(str, df.collect())) for df in (q, split, chart_box(keyed, "id", "g"))]
+
+    sent = found()
+    monkeypatch.setattr(qs, "MOST_SENT", 0)
+    assert found() == sent
