@@ -41,13 +41,13 @@ from tabsense.llm.common import as_bytes, spill
 DEPTH, CLASS_BITS = 6, 8
 KINDS, _BITS = 1 << CLASS_BITS, DEPTH * CLASS_BITS
 #: Nodes up to depth ``TOP`` (65,536 contexts of two bytes at most) are mixed on the driver, subtrees below in the tasks.
-TOP, SUBTREE_CELLS = 2, 1 << 18
+TOP, SUBTREE_CELLS = 2, 1 << 17
 #: Cells whose logarithms are broadcast; all others go through a join, with equal results.
 HOT_CELLS = 1 << 21
 #: Binary decisions of all nodes that are worked out together.
 AT_A_TIME = 8
 FREQUENT, FREQUENT_BYTES = 200_000, 64
-SLICE_BYTES, FLUSH_WORDS, MERGE_CELLS = 1 << 19, 200_000, 1 << 20
+SLICE_ROWS, SLICE_BYTES, FLUSH_WORDS, MERGE_CELLS = 64, 1 << 18, 200_000, 1 << 20
 _PAD = b"\n" * DEPTH
 _SUBTREE = 8 + CLASS_BITS * (DEPTH - TOP - 1)  # bits of a cell below the root of its subtree
 
@@ -96,14 +96,16 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _batches_of_words(batch: pa.RecordBatch) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """Words of the batch's texts, some megabytes at a time, with the place of the first text."""
+    """Words of the batch's texts, about ``SLICE_BYTES`` at a time, with the place of the first text."""
     found, size, first = [], 0, 0
-    for k, t in enumerate(as_bytes(batch.column("text"))):
-        found.append(t.lower().split())
-        size += len(t)
-        if size >= SLICE_BYTES:
-            yield first, found
-            found, size, first = [], 0, k + 1
+    texts = batch.column("text")
+    for begin in range(0, len(texts), SLICE_ROWS):
+        for k, t in enumerate(as_bytes(texts.slice(begin, SLICE_ROWS)), begin):
+            found.append(t.lower().split())
+            size += len(t)
+            if size >= SLICE_BYTES:
+                yield first, found
+                found, size, first = [], 0, k + 1
     if found:
         yield first, found
 
@@ -134,7 +136,7 @@ def corpus_counts(texts: DataFrame, with_words: bool = True) -> DataFrame:
                 parts.append(_cells(lists))
                 if len(words) > FLUSH_WORDS:
                     yield of_words()
-                if len(parts) > 8:
+                if len(parts) > 16:
                     parts[:] = [_merged(parts)]
                     if len(parts[0][0]) > MERGE_CELLS:
                         yield of_cells()

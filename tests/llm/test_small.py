@@ -713,3 +713,18 @@ def test_pipeline_whole(spark):
 
 def test_digest_of_kept_text():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_lm_words_are_made_from_a_slice_of_a_batch_at_a_time(monkeypatch):
+    """A worker never holds a second copy of a whole batch's texts."""
+    import pyarrow as pa
+    from tabsense.llm import lm_scoring
+    sizes, whole = [], lm_scoring.as_bytes
+    monkeypatch.setattr(lm_scoring, "as_bytes", lambda column: sizes.append(len(column)) or whole(column))
+    monkeypatch.setattr(lm_scoring, "SLICE_BYTES", 1000)
+    texts = [f"Word{i} b " * (i % 7) for i in range(999)] + [None]
+    parts = list(lm_scoring._batches_of_words(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])))
+    assert sum((words for _, words in parts), []) == [(t or "").lower().encode().split() for t in texts]
+    begins = [first for first, _ in parts]
+    assert begins == [sum(len(w) for _, w in parts[:k]) for k in range(len(parts))]
+    assert sum(sizes) == 1000 and max(sizes) < 100
