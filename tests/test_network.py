@@ -66,3 +66,15 @@ def test_classes_as_numbers_and_as_text(spark, kind):
     found = {r["metric"]: r["value"] for r in metrics.collect()}
     assert found["accuracy"] == 1.0 and found["roc_auc"] == 1.0
     assert net.classes == 3 and net.epochs <= 80
+
+
+def test_a_block_is_worked_out_in_slices(monkeypatch):
+    rng = np.random.default_rng(2)
+    net = network.random_network([2, 5, 3], 3, 3)
+    x, y = rng.normal(size=(10_000, 2)), rng.integers(0, 3, 10_000).astype(float)
+    want_loss, want = net.loss_and_gradient(x, y)
+    sizes, whole = [], net.loss_and_gradient
+    monkeypatch.setattr(net, "loss_and_gradient", lambda a, b: sizes.append(len(b)) or whole(a, b))
+    loss, gradient = network._block_sums(net, x, y)
+    assert loss == pytest.approx(want_loss) and np.allclose(gradient, np.concatenate([g.ravel() for g in want]))
+    assert sum(sizes) == 10_000 and max(sizes) <= network.SLICE_ROWS
