@@ -6,12 +6,9 @@ by score, leftmost first.  Each candidate merge is skipped if a hash keyed by se
 chunk's ordinal and the merge's place falls below the dropout rate, so every occurrence has draws of its
 own, but any part of it can be recomputed.
 
-What is remembered doesn't depend on the draws: for a chunk and a set of skipped merges, the ids that
-come out if nothing else is skipped, and the candidates that this takes for granted.  An occurrence
-draws those; where none is skipped the ids hold, else the skipped ones lead to a further such state.
-
-Two forms of the agenda give equal results: all short chunks of a slice of texts advance together, one
-merge a chunk and round; a chunk of more than ``LONG`` characters has a heap of its own.
+Two forms of the agenda give equal results: the chunks of a slice of texts stand side by side as columns
+of an array and advance together, one merge a chunk and round; a chunk of more than ``LONG`` characters
+has a heap of its own.
 
 Decoding joins the pieces; characters outside the vocabulary are UTF-8 byte pieces, and so is a literal
 U+2581, which SentencePiece itself would take for a space.  Every text is therefore restored.
@@ -30,19 +27,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tabsense.llm.common import WordIndex, as_bytes, list_array, mix64
+from tabsense.llm.common import as_bytes, list_array, mix64
 
 MARK = "▁"
 DROPOUT = 0.1
-#: Chunks longer than this have their own heap; bytes of text encoded at a time; states remembered.
-LONG, SLICE_BYTES, STATE_CACHE = 48, 1 << 19, 150_000
-#: States with more candidates than this aren't remembered: their chunks are segmented wherever they occur.
-WIDE = 20
+#: Chunks longer than this have their own heap; bytes of text encoded, ids decoded and symbols advanced at a time.
+LONG, SLICE_BYTES, SLICE_IDS, CELLS = 250, 1 << 19, 1 << 18, 1 << 16
+#: Chunks remembered between slices: none, as the draws differ by occurrence.
+STATE_CACHE = 0
 _CHUNKS = re.compile(b" +[^ \n]*|[^ \n]+|\n")
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _FIRST_POINT = 1 << 18  # symbols from here on are code points outside the vocabulary
+_APART = _FIRST_POINT - 1  # stands for all of them, and for what lies outside a chunk, where only merges matter
+_NONE = np.int32((1 << 31) - 1)
 
 
 def _place_hash(key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -52,20 +52,49 @@ def _place_hash(key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.
 
 
 class Merges:
-    """The pairs of symbols that merge: ``(left << 20 | right, union)``, and the rank of each union."""
+    """The pairs of symbols that merge: ``(left << 20 | right, union)``, and the rank of each union.
+
+    A hash table holds them, an entry being ``left << 36 | right << 18 | union``.
+    """
 
     def __init__(self, pairs: list[tuple[int, int]], rank: np.ndarray) -> None:
-        pairs = sorted(pairs)
-        self.pair_keys = np.array([k for k, _ in pairs], np.int64)
-        self.pair_ids = np.array([i for _, i in pairs], np.int64)
-        self.rank = rank.astype(np.int64)
+        keys, unions = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+        self.rank = np.minimum(rank, 1 << 22).astype(np.int32)
+        self.bits = max((4 * len(pairs)).bit_length(), 4)
+        self.table = np.full(1 << self.bits, -1, np.int64)
+        key = keys >> 20 << 18 | keys & ((1 << 20) - 1)
+        slot, left, self.probes = self._slot(key), np.arange(len(key)), 0
+        while len(left):  # each round the first of those that want a free slot gets it
+            at = (slot[left] + self.probes) & (len(self.table) - 1)
+            free = np.flatnonzero(self.table[at] == -1)
+            taken, first = np.unique(at[free], return_index=True)
+            self.table[taken] = key[left[free[first]]] << 18 | unions[left[free[first]]]
+            left = np.delete(left, free[first])
+            self.probes += 1
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key.view(np.uint64) * _K[0]) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Id of each pair's union, or -1, for 64-bit symbols up to ``_APART``."""
+        key = left << 18 | right
+        slot = self._slot(key)
+        entry = self.table[slot]
+        out = np.where(entry >> 18 == key, entry & _APART, -1)
+        away = np.flatnonzero((out < 0) & (entry >= 0))
+        for k in range(1, self.probes):
+            if not len(away):
+                break
+            entry = self.table[(slot[away] + k) & (len(self.table) - 1)]
+            hit = entry >> 18 == key[away]
+            out[away[hit]] = entry[hit] & _APART
+            away = away[~hit & (entry >= 0)]
+        return out
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Id of each pair's union, or -1."""
-        key = left.astype(np.int64) << 20 | right
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        known = (self.pair_keys[at] == key) & (left < _FIRST_POINT) & (right < _FIRST_POINT)
-        return np.where(known, self.pair_ids[at], -1)
+        return self.find(*(np.minimum(x, _APART).astype(np.int64) for x in (left, right)))
 
 
 class Vocabulary(Merges):
@@ -119,116 +148,85 @@ def segment_one(vocab: Merges, symbols: np.ndarray, key: np.uint64, rate: np.uin
     return np.array([i for i in ids if i >= 0], np.int64)
 
 
-def segment_many(vocab: Merges, symbols: np.ndarray, lengths: np.ndarray, keys: np.ndarray, rate: np.uint64,
-                 skipped: np.ndarray | None = None, offered: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The agendas of many chunks at once; symbols in a row. Returns final symbols and their counts.
+def _advance(vocab: Merges, ids: np.ndarray, keys: np.ndarray, rate: np.uint64) -> None:
+    """Works off the agendas of chunks, one a column of ``ids``; the last row and what lies below a chunk is ``_APART``.
 
-    At a rate of 0 the keys don't matter and the merges of ``skipped``, in order, are skipped; the
-    candidates are added to ``offered``.  Both are ``chunk << 18 | start << 12 | middle << 6 | end``.
+    A union takes the place of its first symbol; the places that it swallows become -1.
     """
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    begin = np.arange(len(symbols)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    end = begin + 1
-    none = np.int64(1) << 40
-    ids = symbols.astype(np.int64)
-
-    def candidates(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Priority and union of the pairs (at, at + 1)."""
-        pair = at + 1 < len(ids)
-        nxt = np.where(pair, at + 1, at)
-        union = vocab.merged(ids[at], ids[nxt])
-        good = pair & (union >= 0) & (owner[at] == owner[nxt])
+    width, n = ids.shape[0] - 1, ids.shape[1]
+    flat, last = ids.reshape(-1), width * n
+    here = np.arange(flat.size)
+    after, before = np.minimum(here + n, last + here % n), here - n
+    before[:n] += last + n  # nothing merges with the last row
+    order, union = np.full(flat.size, _NONE, np.int32), np.zeros(flat.size, np.int64)
+    rows = order.reshape(width + 1, n)
+
+    def offer(a: np.ndarray, b: np.ndarray) -> None:
+        """Candidates of symbols and those after them: priority and union."""
+        both = vocab.find(flat[a], flat[b])
+        order[a] = _NONE
+        good = np.flatnonzero(both >= 0)
+        a, b, both = a[good], b[good], both[good]
+        row = a // n
         if rate:
-            good &= _place_hash(keys[owner[at]], begin[at], begin[nxt], end[nxt]) >= rate
-        if offered is not None:
-            place = owner[at] << 18 | begin[at] << 12 | begin[nxt] << 6 | end[nxt]
-            offered.append(place[good])
-            if len(skipped):
-                good &= skipped[np.minimum(np.searchsorted(skipped, place), len(skipped) - 1)] != place
-        return np.where(good, vocab.rank[union] << 8 | begin[at], none), union
-
-    order, union = candidates(np.arange(len(ids)))
-    done: list[tuple[np.ndarray, np.ndarray]] = []
-    while len(ids):
-        first = np.flatnonzero(np.diff(owner, prepend=-1))
-        count = np.diff(np.append(first, len(owner)))
-        best = np.minimum.reduceat(order, first)
-        stuck = np.repeat(best == none, count)
-        if stuck.any():
-            done.append((owner[stuck], ids[stuck]))
-            go = ~stuck
-            ids, owner, begin, end, order, union = ids[go], owner[go], begin[go], end[go], order[go], union[go]
-            best, count = best[best != none], count[best != none]
-            if not len(ids):
-                break
-        at = np.flatnonzero(order == np.repeat(best, count))
-        ids[at] = union[at]
-        end[at] = end[at + 1]
-        stay = np.ones(len(ids), bool)
-        stay[at + 1] = False
-        now = np.cumsum(stay) - 1
-        ids, owner, begin, end, order, union = ids[stay], owner[stay], begin[stay], end[stay], order[stay], union[stay]
-        at = now[at]
-        left = at[at > 0] - 1
-        touched = np.concatenate([at, left])
-        order[touched], union[touched] = candidates(touched)
-    if not done:
-        return np.zeros(0, np.int64), np.zeros(len(lengths), np.int64)
-    owner, ids = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
-    order = np.argsort(owner, kind="stable")
-    return ids[order], np.bincount(owner, minlength=len(lengths))
-
-
-class Lists:
-    """Many lists of integers in one array."""
-
-    def __init__(self, kind: type) -> None:
-        self.flat, self.start, self.length = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.length = np.concatenate([self.length, lengths])
-        self.flat = np.concatenate([self.flat, flat.astype(self.flat.dtype)])
-
-    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lengths = self.length[rows]
-        spread = np.repeat(self.start[rows] - (np.cumsum(lengths) - lengths), lengths)
-        return self.flat[spread + np.arange(len(spread))], lengths
-
-    def keep(self, rows: np.ndarray) -> None:
-        self.flat, self.length = self.take(rows)
-        self.start = np.cumsum(self.length) - self.length
+            drawn = np.flatnonzero(_place_hash(keys[a - row * n], row, b // n, after[b] // n) >= rate)
+            a, both, row = a[drawn], both[drawn], row[drawn]
+        order[a] = vocab.rank[both] << 8 | row
+        union[a] = both
+
+    offer(here[:last], here[n:])
+    while True:
+        best = np.minimum.reduce(rows[:width], axis=0)
+        column = np.flatnonzero(best < _NONE)
+        if not len(column):
+            return
+        a = (best[column] & 255).astype(np.int64) * n + column
+        b = after[a]
+        end, left = after[b], before[a]
+        flat[a], flat[b], order[b] = union[a], -1, _NONE
+        after[a], before[end] = end, a
+        offer(np.concatenate([a, left]), np.concatenate([end, a]))
 
 
-class Encoder:
-    """Ids of whole texts, with a bounded memory of chunks and of the states that skipped merges lead to.
+def segment_many(vocab: Merges, symbols: np.ndarray, lengths: np.ndarray, keys: np.ndarray, rate: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The agendas of many chunks at once; symbols in a row. Returns final symbols and their counts.
 
-    A state's name is its chunk, if nothing is skipped, or ``state << WIDE | skipped candidates of that state``.
+    At a rate of 0 the keys don't matter.  No chunk has more than ``LONG`` symbols.
     """
+    lengths = np.asarray(lengths, np.int64)
+    begins = np.cumsum(lengths) - lengths
+    small = np.minimum(symbols, _APART).astype(np.int64)
+    out = small.copy()
+    by_length = np.argsort(lengths.astype(np.uint8), kind="stable")
+    ordered = lengths[by_length]
+    first = int(np.searchsorted(ordered, 2))
+    while first < len(ordered):
+        # columns of nearly equal length: none below nine tenths of the longest
+        stop = int(np.searchsorted(ordered, ordered[first] * 10 // 9, side="right"))
+        stop = min(stop, first + max(CELLS // int(ordered[stop - 1]), 1))
+        own, width = by_length[first:stop], int(ordered[stop - 1])
+        inside = np.arange(width + 1)[:, None] < lengths[own]
+        at = np.where(inside, begins[own] + np.arange(width + 1)[:, None], 0)
+        ids = np.where(inside, small[at], _APART)
+        _advance(vocab, ids, keys[own] if rate else keys, rate)
+        out[at[inside]] = ids[inside]
+        first = stop
+    kept = out >= 0
+    out = np.where(out == _APART, symbols, out)[kept]
+    upto = np.concatenate([[0], np.cumsum(kept)])
+    return out, upto[begins + lengths] - upto[begins]
+
+
+class Encoder:
+    """Ids of whole texts."""
 
     def __init__(self, path: str, dropout: float, seed: int) -> None:
         self.vocab = Vocabulary(path)
         self.rate = np.uint64(min(int(dropout * 2.0 ** 64), 2 ** 64 - 1))
         self.seed = mix64(np.array([seed & (2 ** 64 - 1)], np.uint64))[0]
-        self.index = WordIndex([])
-        self.names: list[bytes | int] = []
-        self.used, self.direct = np.zeros(0, np.int64), np.zeros(0, bool)
-        # of each state: symbols, ids, candidates to draw, and drawn ones (place << 1 | skipped)
-        self.symbols, self.ids, self.open, self.drawn = Lists(np.int32), Lists(np.int32), Lists(np.int32), Lists(np.int32)
-
-    def shrink(self) -> None:
-        """Forget all but the half of the states that were used most; a state is used as often as those it leads to."""
-        keep = np.sort(np.argsort(-self.used, kind="stable")[:STATE_CACHE // 2])
-        now = np.full(len(self.used), -1, np.int64)
-        now[keep] = np.arange(len(keep))
-        names = [self.names[k] for k in keep]
-        self.names = [n if isinstance(n, bytes) else int(now[n >> WIDE]) << WIDE | n & ((1 << WIDE) - 1) for n in names]
-        self.index = WordIndex(self.names)
-        self.used, self.direct = self.used[keep] // 2, self.direct[keep]
-        for lists in (self.symbols, self.ids, self.open, self.drawn):
-            lists.keep(keep)
 
     def _symbols(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of chunks in a row, their numbers, and a fingerprint of each chunk."""
         texts = [c.decode("utf-8", "replace") for c in chunks]
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
@@ -238,53 +236,21 @@ class Encoder:
             prints = np.add.reduceat(weight, begins) if len(points) else np.zeros(0, np.uint64)
         return self.vocab.symbol[points], lengths, prints
 
-    def _chunks(self, chunks: list[bytes]) -> None:
-        """States of new chunks."""
-        symbols, lengths, _ = self._symbols(chunks)
-        self._grow(symbols, lengths, np.zeros(0, np.int64), np.zeros(len(chunks), np.int64))
-
-    def _after_skips(self, names: np.ndarray) -> None:
-        """States that skipped candidates lead to."""
-        parent, mask = names >> WIDE, names & ((1 << WIDE) - 1)
-        drawn, n_drawn = self.drawn.take(parent)
-        place, n_open = self.open.take(parent)
-        owner = np.repeat(np.arange(len(names)), n_open)
-        nth = np.arange(len(place)) - np.repeat(np.cumsum(n_open) - n_open, n_open)
-        order = np.argsort(np.concatenate([np.repeat(np.arange(len(names)), n_drawn), owner]), kind="stable")
-        every = np.concatenate([drawn, place.astype(np.int64) << 1 | mask[owner] >> nth & 1])[order]
-        self._grow(*self.symbols.take(parent), every, n_drawn + n_open)
-
-    def _grow(self, symbols: np.ndarray, lengths: np.ndarray, drawn: np.ndarray, n_drawn: np.ndarray) -> None:
-        self.names += self.index.fresh
-        self.index.fresh = []
-        short = lengths <= LONG
-        owner = np.repeat(np.arange(len(lengths)), n_drawn)
-        known = np.sort(owner << 18 | drawn >> 1)
-        offered: list[np.ndarray] = []
-        ids, counts = segment_many(self.vocab, symbols[np.repeat(short, lengths)], np.where(short, lengths, 0), np.zeros(0),
-                                   np.uint64(0), np.sort((owner << 18 | drawn >> 1)[(drawn & 1) > 0]), offered)
-        fresh = np.sort(np.concatenate(offered))
-        fresh = fresh[np.diff(fresh, prepend=-1) != 0]
-        if len(known):
-            fresh = fresh[known[np.minimum(np.searchsorted(known, fresh), len(known) - 1)] != fresh]
-        n_open = np.bincount(fresh >> 18, minlength=len(lengths))
-        direct = ~short | ((n_open > WIDE) & (self.rate > 0))
-        self.symbols.add(symbols, lengths)
-        self.ids.add(*self._spelled(ids, counts))
-        self.open.add((fresh & ((1 << 18) - 1))[~direct[fresh >> 18]], np.where(direct, 0, n_open))
-        self.drawn.add(drawn, n_drawn)
-        self.direct = np.concatenate([self.direct, direct])
-        self.used = np.concatenate([self.used, np.zeros(len(lengths), np.int64)])
-
     def _spelled(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids with characters outside the vocabulary as byte pieces."""
-        if not (ids >= _FIRST_POINT).any():
+        apart = np.flatnonzero(ids >= _FIRST_POINT)
+        if not len(apart):
             return ids.astype(np.int32), counts
-        owner = np.repeat(np.arange(len(counts)), counts)
-        spelled = [[int(i)] if i < _FIRST_POINT else self.vocab.byte_ids[list(chr(i - _FIRST_POINT).encode())].tolist()
-                   for i in ids.tolist()]
-        sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
-        return np.array([x for s in spelled for x in s], np.int32), np.bincount(owner, sizes, len(counts)).astype(np.int64)
+        raw = [chr(i - _FIRST_POINT).encode() for i in ids[apart].tolist()]
+        sizes = np.ones(len(ids), np.int64)
+        sizes[apart] = np.fromiter(map(len, raw), np.int64, len(raw))
+        bytewise = np.zeros(len(ids), bool)
+        bytewise[apart] = True
+        out = np.repeat(ids, sizes).astype(np.int32)
+        out[np.repeat(bytewise, sizes)] = self.vocab.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ends = np.cumsum(counts)
+        return out, upto[ends] - upto[ends - counts]
 
     def _segment(self, symbols: np.ndarray, lengths: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks by their own keys."""
@@ -293,67 +259,39 @@ class Encoder:
         ids, counts = segment_many(self.vocab, symbols[inside], lengths[~long], keys[~long], self.rate)
         if long.any():
             begins = np.cumsum(lengths) - lengths
-            short = iter(np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else [])
-            parts = [segment_one(self.vocab, symbols[b:b + n], k, self.rate) if far else next(short)
-                     for b, n, k, far in zip(begins, lengths, keys, long)]
-            ids, counts = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+            short = np.cumsum(~long) - ~long  # short chunks before each chunk
+            upto = np.concatenate([[0], np.cumsum(counts)])
+            parts, sizes, done = [], np.zeros(len(lengths), np.int64), 0
+            sizes[~long] = counts
+            for k in np.flatnonzero(long).tolist():
+                far = segment_one(self.vocab, symbols[begins[k]:begins[k] + lengths[k]], keys[k], self.rate)
+                parts += [ids[done:upto[short[k]]], far]
+                sizes[k], done = len(far), upto[short[k]]
+            ids, counts = np.concatenate([*parts, ids[done:]]), sizes
         return self._spelled(ids, counts)
 
-    def _states(self, every: list[bytes], keys: np.ndarray) -> np.ndarray:
-        """The state that each chunk's draws lead to."""
-        state = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
-        if self.index.fresh:
-            self._chunks(self.index.fresh)
-        self.used += np.bincount(state, minlength=len(self.used))
-        going = np.flatnonzero(self.open.length[state]) if self.rate else np.zeros(0, np.int64)
-        while len(going):
-            place, n_open = self.open.take(state[going])
-            first = np.cumsum(n_open) - n_open
-            nth = np.arange(len(place)) - np.repeat(first, n_open)
-            place = place.astype(np.int64)
-            skip = _place_hash(np.repeat(keys[going], n_open), place >> 12, place >> 6 & 63, place & 63) < self.rate
-            mask = np.add.reduceat(skip.astype(np.int64) << nth, first)
-            going, mask = going[mask > 0], mask[mask > 0]
-            if not len(going):
-                break
-            names, which = np.unique(state[going] << WIDE | mask, return_inverse=True)
-            found = np.fromiter(map(self.index.__getitem__, names.tolist()), np.int64, len(names))
-            if self.index.fresh:
-                self._after_skips(np.array(self.index.fresh, np.int64))
-            state[going] = found[which]
-            self.used += np.bincount(state[going], minlength=len(self.used))
-            going = going[self.open.length[state[going]] > 0]
-        return state
-
     def encode(self, texts: list[bytes], documents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number for each text; ``documents`` are the keys of the texts."""
-        if len(self.index) > STATE_CACHE:
-            self.shrink()
-        every: list[bytes] = []
-        n_chunks = np.zeros(len(texts), np.int64)
-        for k, t in enumerate(texts):
-            if t:
-                own = _CHUNKS.findall(b" " + t)
-                every += own
-                n_chunks[k] = len(own)
-        if not every:
+        marked = [" " + t.decode("utf-8", "replace") if t else "" for t in texts]
+        sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+        points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not len(points):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        ordinal = np.arange(len(every)) - np.repeat(np.cumsum(n_chunks) - n_chunks, n_chunks)
+        # chunks as _CHUNKS cuts them: at line feeds and after them, and at the first of a run of spaces
+        space, feed = points == 0x20, points == 0x0A
+        starts = feed | (space & ~np.append(False, space[:-1])) | np.append(False, feed[:-1])
+        begins = np.cumsum(sizes) - sizes
+        starts[begins[sizes > 0]] = True
+        upto = np.concatenate([[0], np.cumsum(starts)])
+        first, n_chunks = upto[begins], upto[begins + sizes] - upto[begins]
+        at = np.flatnonzero(starts)
+        ordinal = np.arange(len(at)) - np.repeat(first, n_chunks)
         with np.errstate(over="ignore"):
             keys = mix64(np.repeat(mix64(documents.astype(np.int64).view(np.uint64) ^ self.seed), n_chunks)
                          + ordinal.astype(np.uint64) * _K[0])
-        state = self._states(every, keys)
-        lengths, start, pool = self.ids.length[state], self.ids.start[state], self.ids.flat
-        own = np.flatnonzero(self.direct[state])
-        if len(own):
-            ids, counts = self._segment(*self.symbols.take(state[own]), keys[own])
-            lengths[own], start[own] = counts, len(pool) + np.cumsum(counts) - counts
-            pool = np.concatenate([pool, ids])
-        ends = np.cumsum(lengths)
-        spread = np.repeat(start - (ends - lengths), lengths)
-        ids = pool[spread + np.arange(len(spread))]
-        upto = np.concatenate([[0], ends])[np.cumsum(n_chunks)]
-        return ids, np.diff(upto, prepend=0)
+        ids, counts = self._segment(self.vocab.symbol[points], np.diff(np.append(at, len(points))), keys)
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        return ids, upto[first + n_chunks] - upto[first]
 
 
 @functools.lru_cache(maxsize=2)
@@ -394,16 +332,18 @@ def decode(encoded: DataFrame, model_path: str, ids: str = "ids", name: str = "d
     at = encoded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _piece_bytes(model_path)
+        pieces = pa.array(_piece_bytes(model_path), pa.large_binary())
         for batch in batches:
-            lists = batch.column(at)
-            texts = []
-            for k in range(len(lists)):
-                row = lists[k]
-                raw = b"".join(map(pieces.__getitem__, row.values.to_pylist())) if row.is_valid else b""
-                texts.append(raw[1:])  # the mark before the first word
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())],
-                                             [*batch.schema.names, name])
+            offsets, values, first = batch.column(at).offsets.to_numpy(), batch.column(at).values, 0
+            while first < batch.num_rows:
+                last = max(int(np.searchsorted(offsets, offsets[first] + SLICE_IDS, side="right")) - 1, first + 1)
+                own = offsets[first:last + 1] - offsets[first]
+                spelled = pieces.take(values.slice(offsets[first], own[-1]))
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(own), spelled), pa.scalar(b"", pa.large_binary()))
+                texts = [x[1:] for x in joined.to_pylist()]  # without the mark before the first word
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, last - first).columns, pa.array(texts, pa.binary()).cast(pa.string())],
+                                                 [*batch.schema.names, name])
+                first = last
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(name, T.StringType())]))
 

@@ -124,6 +124,38 @@ def test_every_occurrence_has_its_own_draws(monkeypatch):
     assert abs(skipped / (2 * len(of) * len(documents)) - 0.1) < 0.01  # "of" has one candidate merge
 
 
+def _calls(run):
+    """Function calls that a run makes: work that Python does item by item."""
+    import cProfile
+    import pstats
+    profile = cProfile.Profile()
+    profile.runcall(run)
+    return pstats.Stats(profile).total_calls
+
+
+def test_words_never_seen_cost_no_python_each():
+    words = [f"{a}{b}{c}ing" for a in "kltmbz" for b in ("ar", "onu", "ei", "est") for c in ("v", "thr", "qu", "mm", "s", "ck", "pl")]
+    texts = [" ".join(w + x for w in words for x in words[k::12]).encode() for k in range(12)]
+    encoder = subwords.Encoder(MODEL, 0.1, 0)
+    assert _calls(lambda: encoder.encode(texts, np.arange(12))) < len(words) ** 2  # 28,224 different words
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.3])
+def test_long_chunks_stand_among_short_ones(rate):
+    """Chunks of any length, as many heaps would do them; characters outside the vocabulary between them."""
+    texts = ["a" * 60 + " " + "na" * 100 + " \U0001F600b " + "the" * 90, "", "\n\n  x\n", "日\U00020000本" * 100, "of" * 125]
+    encoder = subwords.Encoder(MODEL, rate, 3)
+    ids, n = encoder.encode([t.encode() for t in texts], np.arange(len(texts)))
+    for doc, (t, got) in enumerate(zip(texts, np.split(ids, np.cumsum(n)[:-1]))):
+        chunks = subwords._CHUNKS.findall(b" " + t.encode()) if t else []
+        with np.errstate(over="ignore"):
+            keys = subwords.mix64(subwords.mix64(np.array([doc]).view(np.uint64) ^ encoder.seed)
+                                  + np.arange(len(chunks)).astype(np.uint64) * subwords._K[0])
+        want = [subwords.segment_one(encoder.vocab, encoder._symbols([c])[0], k, encoder.rate) for c, k in zip(chunks, keys)]
+        flat = np.concatenate([np.zeros(0, np.int64), *want])
+        assert got.tolist() == encoder._spelled(flat, np.array([len(flat)]))[0].tolist()
+
+
 # 2: HTML
 
 def test_html(spark):
