@@ -18,7 +18,6 @@ and cut wherever a sequence ends; other columns are not read.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +33,13 @@ SLICE_BYTES, WORD_CACHE = 1 << 20, 400_000
 #: Seed of the random projection of token ids.
 PROJECTION_SEED = 20_240_601
 _END = b" "  # no word holds a blank
-#: Words that the tokenizer's pattern cuts into at most two parts, whatever its normalization does.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]{0,60})[!-&(-/:-@[-`{-~]{0,60}")
+#: Letters and punctuation by code point: words of up to 60 letters, then up to 60 punctuation marks are cut into
+#: at most two parts by the tokenizer's pattern, whatever its normalization does.
+_PART = 60
+_POINTS = np.arange(0x130)
+_LETTER = np.array([chr(c).isalpha() and (c < 128 or 0xC0 <= c) for c in _POINTS])
+_PUNCT = np.array([33 <= c < 127 and not chr(c).isalnum() and c != 39 for c in _POINTS])
+_LOWER = np.array([ord(chr(c).lower()) if _LETTER[c] else c for c in _POINTS], np.int64)
 
 
 class WordEncoder:
@@ -79,19 +83,36 @@ class WordEncoder:
         Plain words (Latin letters, then ASCII punctuation) are merged together in arrays, by the
         tokenizer's own merges; the tokenizer takes all others.
         """
-        texts = [w.decode("utf-8", "replace") for w in words]
-        cut = [_PLAIN.fullmatch(t) for t in texts]
-        plain = np.array([m is not None for m in cut])
-        parts = [x.encode() for t, m in zip(texts, cut) if m for x in (t[:m.end(1)].lower(), t[m.end(1):])]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        letters = np.frombuffer(b"".join(parts), np.uint8)
+        joined = b"".join([w + _END for w in words]).decode("utf-8", "replace")
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        ends = np.flatnonzero(points == _END[0])
+        begins = np.append(0, ends[:-1] + 1)
+        known = np.minimum(points, len(_POINTS) - 1)
+        low = points < len(_POINTS)
+        letter, punct = _LETTER[known] & low, _PUNCT[known] & low
+        n_letters, n_punct = (np.add.reduceat(k.astype(np.int64), begins) for k in (letter, punct))
+        turns = np.append(False, punct[:-1]) & letter  # a letter after a mark
+        plain = ((n_letters + n_punct == ends - begins) & (n_letters <= _PART) & (n_punct <= _PART)
+                 & ~np.logical_or.reduceat(turns, begins))
+        # bytes of the plain words, and the last of each part
+        own = np.repeat(plain, ends - begins + 1)
+        own[ends] = False
+        chosen = _LOWER[points[own]]
+        wide = chosen >= 128
+        letters = np.repeat(chosen, 1 + wide)
+        second = np.cumsum(1 + wide)[wide] - 1
+        letters[second - 1], letters[second] = 0xC0 | chosen[wide] >> 6, 0x80 | chosen[wide] & 63
         symbols = self.inside[letters]
+        bytes_of_letters = np.bincount(np.repeat(np.arange(len(words)), ends - begins + 1)[own],
+                                       np.where(punct[own], 0, 1 + wide), len(words)).astype(np.int64)[plain]
+        sizes = np.column_stack([bytes_of_letters, n_punct[plain]]).ravel()
         last = np.cumsum(sizes)[sizes > 0] - 1
         symbols[last] = self.final[letters[last]]
         ids, counts = segment_many(self.merges, symbols, sizes[sizes > 0], np.zeros(1, np.uint64), np.uint64(0))
-        per_part = np.zeros(len(parts), np.int64)
+        per_part = np.zeros(len(sizes), np.int64)
         per_part[sizes > 0] = counts
-        rest = [e.ids for e in self.tokenizer.encode_batch_fast([t for t, m in zip(texts, cut) if not m], add_special_tokens=False)]
+        others = [joined[a:b] for a, b in zip(begins[~plain].tolist(), ends[~plain].tolist())]
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
         lengths = np.zeros(len(words), np.int64)
         lengths[plain] = per_part.reshape(-1, 2).sum(axis=1)
         lengths[~plain] = np.fromiter(map(len, rest), np.int64, len(rest))

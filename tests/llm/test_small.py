@@ -639,6 +639,18 @@ def test_packing(docs, none, rows):
     assert packing.pack_on_curve(none, TOKENIZER).count() == 0
 
 
+def test_new_words_are_encoded_together():
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    words = ["Été", "a" * 60, "a" * 61, "É!", "!!", "!" * 61, "İ", "it's", "x9", "日本", "Ÿ", "ß,", "a!b", "ā" * 60 + "." * 60]
+    encoder = packing.WordEncoder(TOKENIZER, 1)
+    ids, n = encoder._encode_words([w.encode() for w in words])
+    for w, got in zip(words, np.split(ids, np.cumsum(n)[:-1])):
+        assert got.tolist() == tokenizer.encode(w, add_special_tokens=False).ids, w
+    many = [f"{a}{b}ou{c}".encode() for a in "abcdefghijklmn" for b in "lmnoprst" for c in "aeiouvwxyz"]
+    assert _calls(lambda: encoder._encode_words(many)) < 2 * len(many)
+
+
 def test_hilbert_curve_visits_every_cell_by_steps():
     points = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)], np.uint64)
     order = np.argsort(packing.hilbert_index(points, 3))
