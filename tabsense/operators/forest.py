@@ -1,9 +1,10 @@
 """Random forests without a depth limit and with a minimum split, counted in rows.
 
-A forest grows in two phases.  While a node holds more than a block of rows, one Spark job a level adds up
-histograms of all such nodes of all trees (combined before the shuffle) and a task per node picks the split
-among the cuts, which are quantiles of each feature; a node whose rows all fall between two cuts gets cuts of
-its own.  Once a node's rows fit a block they are sent to one task, which finishes the subtree with every
+A forest grows in two phases.  While a node holds more than a block of rows, its split is picked among the
+cuts, which are quantiles of each feature; a node whose rows all fall between two cuts gets cuts of its own.
+Where the cuts of all features cross in at most ``MOST_CELLS`` cells, the rows are added up by cell once and
+a task a node grows all levels from the cells; else one Spark job a level adds up histograms of all such
+nodes of all trees (combined before the shuffle) and a task per node picks the split.  Once a node's rows fit a block they are sent to one task, which finishes the subtree with every
 distinct value as a candidate.  Subtrees stay a written table, as the number of leaves grows with the rows;
 only the nodes above them (``MOST_TOP`` at most) are held by the driver and go to the tasks.
 
@@ -37,6 +38,8 @@ BLOCK_ROWS, CUTS, OWN_CUTS = 50_000, 1024, 64
 #: Nodes above the blocks, in all trees: blocks hold more rows where these would not suffice.
 MOST_TOP = 1 << 20
 ACCURACY = 10_000
+#: Cells of crossed cuts that one task grows nodes from, and that a task adds up before it hands them on.
+MOST_CELLS, HELD_CELLS = 1 << 18, 1 << 19
 
 _TREE = "feature array<int>, threshold array<double>, left array<int>, value array<double>, rows array<long>, gain array<double>"
 
@@ -377,6 +380,171 @@ def _own_cuts(rows: DataFrame, plan: Plan, tops: list[Top], stuck: set[tuple[int
     return found
 
 
+def _sides(cuts: list[np.ndarray]) -> list[int]:
+    """Bins of each feature: between the cuts, above them, and NaN."""
+    return [len(c) + 2 for c in cuts]
+
+
+def _combined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Cells with equal (tree, node, code) added up."""
+    col = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+    order = np.lexsort((col["code"], col["node"], col["tree"]))
+    col = {c: v[order] for c, v in col.items()}
+    starts = np.flatnonzero(np.append(True, np.any([np.diff(col[c]) != 0 for c in ("tree", "node", "code")], axis=0)))
+    fold = {"lo": np.fmin, "hi": np.fmax}
+    return {c: v[starts] if c in ("tree", "node", "code") else fold.get(c[1:3], np.add).reduceat(v, starts) for c, v in col.items()}
+
+
+def _cells(rows: DataFrame, plan: Plan, tops: list[Top], cuts: list[list[np.ndarray]]) -> DataFrame:
+    """(tree, node, code, rows, w, s, least and greatest target and features) of every cell of crossed cuts of the nodes to be split."""
+    routes, of_cuts, width, d = [t.route() for t in tops], [np.array(t.cuts) for t in tops], plan.width, len(cuts[0])
+    kinds = {"tree": pa.int32(), "node": pa.int32(), "code": pa.int64(), "rows": pa.int64()}
+    ends = ["y", *map(str, range(d))]
+
+    def added_up(x: np.ndarray, y: np.ndarray, w: np.ndarray, tree: int, node: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
+        of = of_cuts[tree][node]
+        order = np.argsort(of, kind="stable")
+        for r in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+            own, code = cuts[of[r[0]]], np.zeros(len(r), np.int64)
+            for f, n in enumerate(_sides(own)):
+                v = x[r, f]
+                code = code * n + np.where(np.isnan(v), n - 1, np.searchsorted(own[f], v, side="left"))
+            s = plan.sums(y[r], w[r])
+            yield {"tree": np.full(len(r), tree, np.int32), "node": node[r].astype(np.int32), "code": code, "rows": np.ones(len(r), np.int64), "w": w[r],
+                   **{f"s{k}": s[:, k] for k in range(width)},
+                   **{f"_{e}_{c}": v for c, v in (("y", y[r]), *((str(f), x[r, f]) for f in range(d))) for e in ("lo", "hi")}}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, settled = [], 0, 0
+        for batch in batches:
+            x, y, h = matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
+            for tree, (feature, threshold, left, state) in enumerate(routes):
+                if not len(y) or not (state == 0).any():
+                    continue
+                w = plan.weights(h, tree)
+                node = walk(x, feature, threshold, left)
+                own = np.flatnonzero((state[node] == 0) & (w > 0))
+                if len(own):
+                    held.append(_combined(list(added_up(x[own], y[own], w[own], tree, node[own]))))
+                    size += len(held[-1]["w"])
+                if size > HELD_CELLS and size > 2 * settled:
+                    held = [_combined(held)]
+                    size = settled = len(held[0]["w"])
+                    if size > HELD_CELLS:
+                        yield from tables(held[0])
+                        held, size, settled = [], 0, 0
+        if held:
+            yield from tables(_combined(held))
+
+    def tables(col: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(col["w"]), 1 << 16):
+            yield pa.RecordBatch.from_pydict({c: pa.array(v[a:a + (1 << 16)], kinds.get(c, pa.float64())) for c, v in col.items()})
+
+    names = ["w", *[f"s{k}" for k in range(width)], *[f"_{e}_{c}" for c in ends for e in ("lo", "hi")]]
+    found = rows.select("x", "y", "h").mapInArrow(run, "tree int, node int, code long, rows long, " + ", ".join(f"{c} double" for c in names))
+    fold = {"lo": F.min, "hi": F.max}
+    return found.groupBy("tree", "node", "code").agg(F.sum("rows").alias("rows"), *[fold.get(c[1:3], F.sum)(c).alias(c) for c in names])
+
+
+def _grow_cells(plan: Plan, col: dict[str, np.ndarray], cuts: list[np.ndarray], key: int, depth: int, block: int, owned: bool) -> dict[str, np.ndarray]:
+    """The levels below one node as far as its cells tell: what ``Top`` holds of each node, the first of them that node.
+
+    ``owned``: the cuts are the node's own; where they don't part it, it is a leaf.  Any other stays to be split.
+    """
+    d, code = len(cuts), col["code"]
+    order = np.argsort(code)
+    col, code = {c: v[order] for c, v in col.items()}, code[order]
+    bins: list[np.ndarray] = []
+    for n in reversed(_sides(cuts)):
+        b = (code % n).astype(float)
+        bins.insert(0, np.where(b == n - 1, np.nan, b))
+        code = code // n
+    rows, w = col["rows"].astype(float), col["w"]
+    s = np.stack([col[f"s{k}"] for k in range(plan.width)], axis=1)
+    nodes: dict[str, list] = {k: [] for k in ("feature", "threshold", "left", "state", "depth", "key", "value", "gain")}
+    at, g, keys, made, root = np.arange(len(w)), np.zeros(len(w), int), np.array([key], np.uint64), 1, True
+    while len(keys):
+        n = len(keys)
+        first = _starts(g, n)
+        count, weight, total = np.add.reduceat(rows[at], first), np.add.reduceat(w[at], first), np.add.reduceat(s[at], first, axis=0)
+        one = np.minimum.reduceat(col["_lo_y"][at], first) == np.maximum.reduceat(col["_hi_y"][at], first)
+        differs = np.any([np.fmin.reduceat(col[f"_lo_{f}"][at], first) < np.fmax.reduceat(col[f"_hi_{f}"][at], first) for f in range(d)], axis=0)
+        leaf = (count < plan.min_split) | one | plan.deep(depth)
+        state = np.where(leaf, 2, np.where((count <= block) & (not root), 1, 0))
+        opened = state == 0
+        feature, threshold, gain, left, last = np.full(n, -1), np.full(n, np.nan), np.zeros(n), np.full(n, -1), np.zeros(n)
+        if opened.any():
+            number = np.cumsum(opened) - 1
+            at = at[opened[g]]
+            g = g[opened[g]]
+            scores, marks = [], []
+            for f in range(d):
+                r = at[np.lexsort((bins[f][at], g))]
+                b, t = _best_splits(bins[f][r], number[g], int(opened.sum()), rows[r], w[r], s[r], plan.min_leaf)
+                scores.append(b)
+                marks.append(t)
+            chosen = _draw(np.array(scores), keys[opened], plan.tried)
+            f = chosen.argmax(axis=0)
+            top = chosen[f, np.arange(len(f))]
+            split = top > -np.inf
+            state[opened] = np.where(split, 3, np.where(differs[opened] & ~(owned and root), 0, 2))
+            feature[opened] = np.where(split, f, -1)
+            gain[opened] = np.where(split, top - _purity(weight, total)[opened], 0.0)
+            mark = np.array(marks)[f, np.arange(len(f))]
+            for k, i, m in zip(np.flatnonzero(opened)[split].tolist(), f[split].tolist(), mark[split].tolist()):
+                last[k] = len(cuts[i]) if math.isinf(m) else math.floor(m)  # bins up to this one go left
+                threshold[k] = math.inf if math.isinf(m) else cuts[i][int(last[k])]
+        inner = feature >= 0
+        left[inner] = made + 2 * np.arange(inner.sum())
+        made += 2 * int(inner.sum())
+        for k, v in (("feature", feature), ("threshold", threshold), ("left", left), ("state", state), ("depth", np.full(n, depth)),
+                     ("key", keys.view(np.int64)), ("value", plan.value(weight, total)), ("gain", gain)):
+            nodes[k].append(v)
+        if not inner.any():
+            break
+        keep = inner[g]
+        at, g = at[keep], g[keep]
+        own = np.array(bins)[feature[g], at]
+        g = 2 * (np.cumsum(inner) - 1)[g] + ~(own <= last[g])
+        order = np.argsort(g, kind="stable")
+        at, g = at[order], g[order]
+        keys = np.stack([_child(keys[inner], 0), _child(keys[inner], 1)], axis=1).ravel()
+        depth, root = depth + 1, False
+    return {k: np.concatenate(v) for k, v in nodes.items()}
+
+
+def _from_cells(rows: DataFrame, plan: Plan, tops: list[Top], cuts: list[list[np.ndarray]], block: int, own: set[tuple[int, int]]) -> set[tuple[int, int]]:
+    """Grows all nodes to be split from their cells; returns those that need cuts of their own."""
+    at = [(np.array(t.key, np.uint64), t.depth, t.cuts) for t in tops]
+    kinds = {"feature": pa.int32(), "threshold": pa.float64(), "left": pa.int32(), "state": pa.int32(), "depth": pa.int32(),
+             "key": pa.int64(), "value": pa.float64(), "gain": pa.float64()}
+    names = {pa.int32(): "int", pa.int64(): "long", pa.float64(): "double"}
+
+    def run(group: pa.Table) -> pa.Table:
+        col = {c: group.column(c).to_numpy() for c in group.column_names}
+        tree, node = int(col["tree"][0]), int(col["node"][0])
+        keys, depths, of_cuts = at[tree]
+        made = _grow_cells(plan, col, cuts[of_cuts[node]], keys[node], depths[node], block, (tree, node) in own)
+        return pa.table({"tree": pa.array([tree], pa.int32()), "node": pa.array([node], pa.int32()),
+                         **{k: pa.array([made[k].ravel()], pa.list_(t)) for k, t in kinds.items()}})
+
+    schema = "tree int, node int, " + ", ".join(f"{k} array<{names[t]}>" for k, t in kinds.items())
+    stuck = set()
+    for r in _cells(rows, plan, tops, cuts).groupBy("tree", "node").applyInArrow(run, schema).collect():  # MOST_TOP nodes at most
+        top, node = tops[r["tree"]], r["node"]
+        base, value = len(top.state) - 1, np.array(r["value"]).reshape(-1, plan.width).tolist()
+        for k in range(len(r["state"])):
+            place = node if not k else base + k
+            if k:
+                top.add(0, r["depth"][k], r["key"][k] & (1 << 64) - 1, top.cuts[node], None)
+            top.feature[place], top.threshold[place], top.state[place] = r["feature"][k], r["threshold"][k], r["state"][k]
+            top.left[place] = base + r["left"][k] if r["left"][k] >= 0 else -1
+            top.value[place], top.gain[place] = value[k], r["gain"][k]
+            if not r["state"][k]:
+                stuck.add((r["tree"], place))
+    return stuck
+
+
 def _grow_tops(rows: DataFrame, plan: Plan, n: int, d: int, block: int, bins: int) -> list[Top]:
     tops = [Top(key=[int(plan.root_key(t))]) for t in range(plan.trees)]
     if n <= block:
@@ -386,7 +554,11 @@ def _grow_tops(rows: DataFrame, plan: Plan, n: int, d: int, block: int, bins: in
         t.state[0] = 0
     while any(0 in t.state for t in tops):
         stuck: set[tuple[int, int]] = set()
-        for r in _pick(_histograms(rows, plan, tops, cuts), plan, tops, cuts):
+        open_cuts = {c for t in tops for c, state in zip(t.cuts, t.state) if state == 0}
+        crossed = max(math.prod(_sides(cuts[c])) for c in open_cuts) <= MOST_CELLS
+        if crossed:
+            stuck = _from_cells(rows, plan, tops, cuts, block, own)
+        for r in [] if crossed else _pick(_histograms(rows, plan, tops, cuts), plan, tops, cuts):
             top, node = tops[r["tree"]], r["node"]
             depth, key = top.depth[node], np.uint64(top.key[node])
             ends = r["l_rows"] + r["r_rows"] < plan.min_split or plan.deep(depth) or r["one"]

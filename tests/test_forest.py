@@ -119,3 +119,22 @@ def test_importances_and_draws(spark):
         assert abs(sum(imp) - 1) < 1e-9 and imp[1] > 0.99
     w = np.concatenate([forest.row_weights(np.arange(20_000), t, 1) for t in range(3)])
     assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.05 and abs((w == 0).mean() - np.exp(-1)) < 0.01
+
+
+@pytest.mark.parametrize("classes,tried", [(0, 3), (3, 2)])
+def test_rows_are_read_once_for_all_levels(spark, monkeypatch, classes, tried):
+    """From the cells of crossed cuts come the levels that a job each would give; nodes between cuts included."""
+    rng = np.random.default_rng(11)
+    x, y = rng.integers(0, 30, (500, 3)).astype(float), rng.integers(0, classes or 40, 500)
+    x[rng.random((500, 3)) < 0.1] = np.nan
+    df, names = frame(spark, x, y)
+    made, jobs = [], []
+    levels = forest._histograms
+    monkeypatch.setattr(forest, "_histograms", lambda *a: jobs.append(1) or levels(*a))
+    for most in (forest.MOST_CELLS, 0):
+        monkeypatch.setattr(forest, "MOST_CELLS", most)
+        monkeypatch.setattr(forest, "HELD_CELLS", 50)
+        f = forest.grow_forest(df.repartition(3), names, "y", classes, trees=3, tried=tried, key_cols=["id"], block_rows=15, bins=8)
+        assert bool(jobs) == (not most)
+        made.append(predicted(f, df))
+    assert (made[0] == made[1]).all()
