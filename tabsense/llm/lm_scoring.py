@@ -7,8 +7,10 @@ all depths: a node's weighted probability is half its own estimate and half the
 children's.  A cell, six bytes of context and the next byte, is 56 bits of a long.
 
 All of that depends on counts alone, so training is a distributed count of cells, ``(context, byte)``,
-over all training text, and the tree has every context that occurs.  Cells are dealt out by the first
-``TOP + 1`` bytes of their context, so that each task has whole subtrees: it passes their log-weights up
+over all training text, and the tree has every context that occurs.  A task sorts the cells of its texts
+and hands on their counts as arrays, one row for each of 2,048 buckets; rows of a bucket meet in one
+task, which adds them up.  Cells are dealt out by the first ``TOP + 1`` bytes of their context, so that
+each task has whole subtrees: it passes their log-weights up
 to depth ``TOP``, whose nodes (65,536 at most) are mixed on the driver, and a second pass brings the
 mixture down to every cell of any text.  The logarithms of the ``HOT_CELLS`` most used cells are
 broadcast (32 MB at most) and summed where the text is; a text's other cells go to a join with the table
@@ -27,16 +29,15 @@ an empty table gives no rows; texts of any length are scored whole; other column
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabsense.llm.common import as_bytes, spill
+from tabsense.llm.common import BLANKS, as_bytes, spill
 
 DEPTH, CLASS_BITS = 6, 8
 KINDS, _BITS = 1 << CLASS_BITS, DEPTH * CLASS_BITS
@@ -47,9 +48,18 @@ HOT_CELLS = 1 << 21
 #: Binary decisions of all nodes that are worked out together.
 AT_A_TIME = 8
 FREQUENT, FREQUENT_BYTES = 200_000, 64
-SLICE_ROWS, SLICE_BYTES, FLUSH_WORDS, MERGE_CELLS = 64, 1 << 18, 200_000, 1 << 20
-_PAD = b"\n" * DEPTH
+#: Texts that are worked out together: their number fits a byte beside the 56 bits of a cell.
+SLICE_ROWS, SLICE_BYTES, SLICE_TEXTS = 64, 1 << 19, 256
+#: Bytes of text whose words are looked up together.
+SPAN_BYTES = 1 << 22
+#: Places and bytes of words that are held until their counts are handed on, and rows of buckets in a batch.
+HELD_PLACES, HELD_WORD_BYTES, BUCKET_ROWS = 1 << 23, 1 << 24, 1 << 8
+_PAD = b"\n" * (DEPTH + 1)
+_BLANK = np.isin(np.arange(256), list(BLANKS))
 _SUBTREE = 8 + CLASS_BITS * (DEPTH - TOP - 1)  # bits of a cell below the root of its subtree
+_SUBTREES = CLASS_BITS * (TOP + 1)  # bits of a subtree's name
+_IN_BUCKET = _SUBTREES - 11  # bits of a subtree's name, after ``_dealt``, below its bucket's
+_FACTOR = 0x9E3779
 
 
 def byte_classes() -> np.ndarray:
@@ -57,96 +67,217 @@ def byte_classes() -> np.ndarray:
     return np.arange(256, dtype=np.int32)
 
 
-def _stream_cells(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``context << 8 | byte`` of every place of texts in a row, nearest class highest, and where texts begin and end.
+def _laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Cells of all places of texts in a row, their number in each text, the words in a row, and their number in each text.
 
-    Each text but the first has ``DEPTH`` places of padding before it.
+    A cell is ``context << 8 | byte``, nearest byte of the context highest.  Before each text lie
+    ``DEPTH + 1`` line ends, the first of which ends the text before it.
     """
-    texts = [b" ".join(w) + b"\n" for w in words]
-    stream = np.frombuffer(_PAD + _PAD.join(texts), np.uint8)
-    kinds, n = byte_classes()[stream], len(stream)
-    cells = stream[DEPTH:].astype(np.int64)
-    for back in range(1, DEPTH + 1):
-        cells |= kinds[DEPTH - back:n - back].astype(np.int64) << (8 + CLASS_BITS * (DEPTH - back))
+    stream = np.frombuffer(bytearray((_PAD + _PAD.join(texts) + b"\n").lower()), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    begins = np.cumsum(sizes + DEPTH) - sizes - DEPTH
-    return cells, begins, begins + sizes
-
-
-def _cells(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct cells of texts and their counts."""
-    cells, begins, _ = _stream_cells(words)
-    inside = np.ones(len(cells), bool)
-    for gap in range(DEPTH):
-        inside[begins[1:] - 1 - gap] = False
-    return np.unique(cells[inside], return_counts=True)
-
-
-def _sums(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Sums of the texts' values."""
-    return np.add.reduceat(np.append(values, 0.0).astype(np.float64), np.stack([begins, ends], axis=1).ravel())[::2]
-
-
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    cells = np.concatenate([c for c, _ in parts])
-    order = np.argsort(cells, kind="stable")
-    cells, counts = cells[order], np.concatenate([n for _, n in parts])[order]
-    first = np.flatnonzero(np.diff(cells, prepend=-1))
-    return cells[first], np.add.reduceat(counts, first)
-
-
-def _batches_of_words(batch: pa.RecordBatch) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """Words of the batch's texts, about ``SLICE_BYTES`` at a time, with the place of the first text."""
+    begins = np.cumsum(sizes + len(_PAD)) - sizes
+    keep = ~_BLANK[stream]
+    change = np.flatnonzero(keep[1:] != keep[:-1])  # the stream begins and ends with a blank
+    before, last = change[::2], change[1::2]  # the blank before each word, and the word's last byte
+    offsets = np.zeros(len(before) + 1, np.int32)
+    np.cumsum(last - before, out=offsets[1:])
+    words = pa.BinaryArray.from_buffers(pa.binary(), len(before), [None, pa.py_buffer(offsets), pa.py_buffer(stream[keep])])
+    first = np.searchsorted(before, begins - 1)
+    n_words = np.diff(first, append=len(before))
+    single = np.ones(len(before), bool)
+    single[first[n_words > 0]] = False
+    single = before[single]
+    stream[single], keep[single] = 0x20, True
+    keep[(begins[:, None] - 1 - np.arange(len(_PAD))).ravel()] = True
+    keep[-1] = True
+    stream = stream[keep]
+    places = np.add.reduceat(keep, begins, dtype=np.int64) - DEPTH
+    places[-1] += DEPTH  # no line ends follow the last text
+    # Eight bytes up to each place: one too many, the context from far to near, and the byte, highest.
+    cells = np.ndarray(len(stream) - len(_PAD), "<i8", stream, strides=(1,)) & ~np.int64(255) & (1 << 8 + _BITS) - 1
+    cells |= stream[len(_PAD):]
+    gaps = np.cumsum(places[:-1] + DEPTH)[:, None] - 1 - np.arange(DEPTH)
+    return np.delete(cells, gaps.ravel()), places, words, n_words
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+    """The batch's texts, about ``SLICE_BYTES`` and at most ``SLICE_TEXTS`` at a time, with the place of the first."""
     found, size, first = [], 0, 0
     texts = batch.column("text")
     for begin in range(0, len(texts), SLICE_ROWS):
         for k, t in enumerate(as_bytes(texts.slice(begin, SLICE_ROWS)), begin):
-            found.append(t.lower().split())
+            found.append(t)
             size += len(t)
-            if size >= SLICE_BYTES:
+            if size >= SLICE_BYTES or len(found) == SLICE_TEXTS:
                 yield first, found
                 found, size, first = [], 0, k + 1
     if found:
         yield first, found
 
 
-def corpus_counts(texts: DataFrame, with_words: bool = True) -> DataFrame:
-    """``(word, cell, n)``: counts of words (``cell`` null) and of context-and-byte cells (``word`` null)."""
-    names = ["word", "cell", "n"]
+def _batches_of_words(batch: pa.RecordBatch) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """Words of the texts of each slice."""
+    for first, texts in _slices(batch):
+        yield first, [t.lower().split() for t in texts]
+
+
+def _spans(batch: pa.RecordBatch) -> Iterator[tuple[int, Iterator[list[bytes]]]]:
+    """The batch's slices, those of about ``SPAN_BYTES`` in a row, with the place of the first text."""
+    slices = _slices(batch)
+
+    def span(texts: list[bytes]) -> Iterator[list[bytes]]:
+        size = 0
+        while texts:
+            yield texts
+            size += sum(map(len, texts))
+            texts = next(slices, (0, []))[1] if size < SPAN_BYTES else []
+
+    for first, texts in slices:
+        yield first, span(texts)
+
+
+def _dealt(cells: np.ndarray, factor: int = _FACTOR) -> np.ndarray:
+    """Cells with the names of their subtrees multiplied, which spreads subtrees evenly and keeps each one together."""
+    names = (cells >> _SUBTREE) * factor & (1 << _SUBTREES) - 1
+    return names << _SUBTREE | cells & (1 << _SUBTREE) - 1
+
+
+def _undealt(cells: np.ndarray) -> np.ndarray:
+    return _dealt(cells, pow(_FACTOR, -1, 1 << _SUBTREES))
+
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where each distinct value begins."""
+    change = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=change[1:])
+    return np.flatnonzero(change)
+
+
+def _planes(*columns: np.ndarray) -> np.ndarray:
+    """Bytes of columns of integers, one row for the first byte of each value, one for the second and so on."""
+    return np.concatenate([c.view(np.uint8).reshape(len(c), c.itemsize).T for c in columns])
+
+
+def _column(planes: np.ndarray, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64)
+
+
+def corpus_parts(texts: DataFrame) -> DataFrame:
+    """``(word, n, bucket, cells)`` of ``(text, held_out)``: partial counts of training words, and of all cells.
+
+    A word has a row (``bucket`` null) wherever it was counted; cells have one for each bucket (``word``
+    null), ``n`` of them in order of the dealt cells, compressed: 16-bit steps from one subtree's name to the
+    next, the 32 bits of a cell below its subtree, and its count with a last bit that is set for held-out texts.
+    """
+    names = ["word", "n", "bucket", "cells"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        held, filled = np.empty(HELD_PLACES, np.int64), 0
+        words: list[pa.Array] = []
+        size = 0
 
-        def of_words() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()),
-                                              pa.array(list(words.values()), pa.int64())], names)
+        def of_words() -> Iterator[pa.RecordBatch]:
+            found = pa.chunked_array(words, pa.binary()).value_counts()
             words.clear()
-            return out
-
-        def of_cells() -> pa.RecordBatch:
-            cells, n = _merged(parts)
-            parts.clear()
-            return pa.RecordBatch.from_arrays([pa.nulls(len(cells), pa.binary()), pa.array(cells), pa.array(n)], names)
+            m = len(found)
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts"), pa.nulls(m, pa.int32()),
+                                              pa.nulls(m, pa.binary())], names)
+
+        def of_cells() -> Iterator[pa.RecordBatch]:
+            own = held[:filled]
+            own.sort()
+            first = _starts(own)
+            n = np.diff(first, append=filled).astype(np.uint32) << 1 | (own[first] & 1).astype(np.uint32)
+            cells = own[first] >> 1
+            name = cells >> _SUBTREE
+            bucket = (name >> _IN_BUCKET).astype(np.int32)
+            begins = _starts(bucket)
+            steps = np.diff(name, prepend=0)
+            steps[begins] = name[begins] & (1 << _IN_BUCKET) - 1
+            planes, ends = _planes(steps.astype(np.uint16), cells.astype(np.uint32), n), np.append(begins[1:], len(n))
+            for k in range(0, len(begins), BUCKET_ROWS):
+                some = list(zip(begins[k:k + BUCKET_ROWS], ends[k:k + BUCKET_ROWS]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(len(some), pa.binary()), pa.array([e - b for b, e in some], pa.int64()),
+                     pa.array(bucket[begins[k:k + BUCKET_ROWS]]),
+                     pa.array([pa.compress(planes[:, b:e].tobytes(), codec="zstd", asbytes=True) for b, e in some], pa.binary())], names)
 
         for batch in batches:
-            for _, lists in _batches_of_words(batch):
-                for own in lists if with_words else []:
-                    words.update(own)
-                parts.append(_cells(lists))
-                if len(words) > FLUSH_WORDS:
-                    yield of_words()
-                if len(parts) > 16:
-                    parts[:] = [_merged(parts)]
-                    if len(parts[0][0]) > MERGE_CELLS:
-                        yield of_cells()
+            is_held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            for at, slice_ in _slices(batch):
+                cells, places, own, n_words = _laid_out(slice_)
+                apart = is_held[at:at + len(slice_)]
+                keys = _dealt(cells) << 1 | np.repeat(apart.astype(np.int64), places)
+                while len(keys):
+                    some = keys[:HELD_PLACES - filled]
+                    held[filled:filled + len(some)] = some
+                    keys, filled = keys[len(some):], filled + len(some)
+                    if filled == HELD_PLACES:
+                        yield from of_cells()
+                        filled = 0
+                if apart.any():
+                    own = own.filter(pa.array(np.repeat(~apart, n_words)))
+                words.append(own)
+                size += sum(map(len, slice_))
+                if size >= HELD_WORD_BYTES:
+                    yield from of_words()
+                    size = 0
         if words:
-            yield of_words()
-        if parts:
-            yield of_cells()
+            yield from of_words()
+        if filled:
+            yield from of_cells()
+
+    return texts.select("text", "held_out").mapInArrow(count, "word binary, n long, bucket int, cells binary")
+
+
+def word_counts(parts: DataFrame) -> DataFrame:
+    """``(word, n)`` of all training words."""
+    return parts.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def cell_counts(parts: DataFrame) -> DataFrame:
+    """``(cell, n, used)`` of all cells: their counts in training texts, 0 for cells that only other texts have, and in all texts."""
+    names = ["cell", "n", "used"]
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, n, trained = [np.zeros(0, np.int64)] * 3
+
+        def whole(cells: np.ndarray, n: np.ndarray, trained: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (_undealt(cells), trained, n)], names)
+
+        for batch in (b.slice(k, BUCKET_ROWS) for b in batches for k in range(0, b.num_rows, BUCKET_ROWS)):
+            sizes = batch.column("n").to_numpy()
+            planes = np.concatenate([np.frombuffer(pa.decompress(x, 10 * size, "zstd"), np.uint8).reshape(10, size)
+                                     for x, size in zip(batch.column("cells").to_pylist(), sizes.tolist())], axis=1)
+            steps, ends, counts = [_column(planes[at], kind) for at, kind in (
+                (slice(2), np.uint16), (slice(2, 6), np.uint32), (slice(6, 10), np.uint32))]
+            begins = np.cumsum(sizes) - sizes
+            bucket = batch.column("bucket").to_numpy().astype(np.int64)
+            name = np.cumsum(steps)
+            name += np.repeat((bucket << _IN_BUCKET) - (name[begins] - steps[begins]), sizes)
+            cells = np.concatenate([cells, name << _SUBTREE | ends])
+            n, trained = np.concatenate([n, counts >> 1]), np.concatenate([trained, np.where(counts & 1, 0, counts >> 1)])
+            order = np.argsort(cells, kind="stable")
+            cells = cells[order]
+            first = _starts(cells)
+            cells, n, trained = cells[first], np.add.reduceat(n[order], first), np.add.reduceat(trained[order], first)
+            bits = _SUBTREE + _IN_BUCKET
+            cut = np.searchsorted(cells, cells[-1] >> bits << bits)  # more of the last bucket may follow
+            if cut:
+                yield whole(cells[:cut], n[:cut], trained[:cut])
+            cells, n, trained = cells[cut:], n[cut:], trained[cut:]
+        if len(cells):
+            yield whole(cells, n, trained)
 
-    parts = texts.select("text").mapInArrow(count, "word binary, cell long, n long")
-    return parts.groupBy("word", "cell").agg(F.sum("n").alias("n"))
+    dealt = parts.where(F.col("bucket").isNotNull()).select("bucket", "n", "cells").repartition("bucket")
+    return dealt.sortWithinPartitions("bucket").mapInArrow(merge, "cell long, n long, used long")
+
+
+def corpus_counts(texts: DataFrame) -> DataFrame:
+    """``(word, cell, n)``: counts of words (``cell`` null) and of context-and-byte cells (``word`` null)."""
+    parts = spill(corpus_parts(texts.select("text", F.lit(False).alias("held_out"))), "lm-parts")
+    words = word_counts(parts).select("word", F.lit(None).cast("long").alias("cell"), "n")
+    return words.union(cell_counts(parts).select(F.lit(None).cast("binary"), "cell", "n"))
 
 
 def frequent_contexts(counts: DataFrame, max_nodes: int) -> DataFrame:
@@ -271,12 +402,13 @@ class Tree:
 
     def score(self, words: list[list[bytes]]) -> np.ndarray:
         """log10 probability of each text."""
-        cells, begins, ends = _stream_cells(words)
+        cells, places, _, _ = _laid_out([b" ".join(w) for w in words])
         state = np.zeros(len(cells), np.int32)
         for back in range(1, DEPTH + 1):
             state = self.step[state * KINDS + (cells >> (8 + CLASS_BITS * (DEPTH - back)) & (KINDS - 1))]
         state %= self.size
-        return _sums(self.rows.ravel()[state.astype(np.int64) << 8 | cells & 255], begins, ends)
+        logs = self.rows.ravel()[state.astype(np.int64) << 8 | cells & 255].astype(np.float64)
+        return np.add.reduceat(logs, np.cumsum(places) - places)
 
 
 def context_tree(counts: DataFrame, max_nodes: int = 1 << 16) -> Tree:
@@ -418,23 +550,36 @@ def _hot_cells(cells: DataFrame) -> tuple[np.ndarray, np.ndarray, Column]:
     return cell[order], logp[order], chosen
 
 
-def _score_hot(words: list[list[bytes]], hot: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of the hot cells of each text; text, cell and number of the others."""
-    cells, begins, ends = _stream_cells(words)
-    inside = np.ones(len(cells), bool)
-    for gap in range(DEPTH):
-        inside[begins[1:] - 1 - gap] = False
-    own, place = np.unique(cells, return_inverse=True)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
-        known = hot[at] == own
-        sums = _sums(np.where(known, logp[at], 0.0)[place], begins, ends)
-    else:
-        known, sums = np.zeros(len(own), bool), np.zeros(len(words))
-    rare = np.flatnonzero(inside & ~known[place])
-    text = np.searchsorted(begins, rare, side="right") - 1
-    name, number = np.unique(text * len(own) + place[rare], return_counts=True)
-    return sums, name // len(own), own[name % len(own)], number
+def _score_hot(cells: np.ndarray, places: np.ndarray, hot: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of the hot cells of each of ``SLICE_TEXTS`` texts at most; text, cell and number of the others."""
+    pairs = cells.astype(np.uint64) << 8 | np.repeat(np.arange(len(places), dtype=np.uint64), places)
+    pairs.sort()
+    first = _starts(pairs)
+    pairs, number = pairs[first], np.diff(first, append=len(pairs))
+    cells, text = (pairs >> 8).astype(np.int64), (pairs & 255).astype(np.int64)
+    if not len(hot):
+        return np.zeros(len(places)), text, cells, number
+    first = _starts(cells)
+    at = np.minimum(np.searchsorted(hot, cells[first]), len(hot) - 1)
+    at = np.repeat(np.where(hot[at] == cells[first], at, -1), np.diff(first, append=len(cells)))
+    known, rare = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+    sums = np.bincount(text[known], number[known] * logp[at[known]], len(places))
+    return sums, text[rare], cells[rare], number[rare]
+
+
+def _score_frequent(words: pa.Array, n_words: np.ndarray, frequent: pa.Array,
+                    logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Sums of logarithms and number of the frequent words of each text; text, word and number of the others."""
+    at = pc.index_in(words, value_set=frequent)
+    is_rare = at.is_null()
+    rare = words.filter(is_rare).dictionary_encode()
+    is_rare = is_rare.to_numpy(zero_copy_only=False)
+    text = np.repeat(np.arange(len(n_words)), n_words)
+    known = text[~is_rare]
+    sums = np.bincount(known, logs[at.drop_null().to_numpy()], len(n_words))
+    size = max(len(rare.dictionary), 1)
+    name, number = np.unique(text[is_rare] * size + rare.indices.to_numpy(), return_counts=True)
+    return sums, np.bincount(known, minlength=len(n_words)), name // size, rare.dictionary.take(pa.array(name % size)), number
 
 
 def _cell_keys(cells: np.ndarray) -> pa.Array:
@@ -445,8 +590,8 @@ def _cell_keys(cells: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(9), len(cells), [None, pa.py_buffer(raw)]).cast(pa.binary())
 
 
-def _frequent(vocabulary: DataFrame) -> tuple[dict[bytes, int], np.ndarray, Column]:
-    """The frequent words with their numbers (from 2), their counts, and the condition that picks them.
+def _frequent(vocabulary: DataFrame) -> tuple[pa.Array, np.ndarray, Column]:
+    """The frequent words, their counts, and the condition that picks them.
 
     Short words of the highest bands of counts that hold ``FREQUENT`` words together are taken.
     """
@@ -455,7 +600,7 @@ def _frequent(vocabulary: DataFrame) -> tuple[dict[bytes, int], np.ndarray, Colu
     lowest = _lowest_band(vocabulary.where(short).groupBy(band.alias("band")).count().collect(), FREQUENT)
     chosen = F.lit(False) if lowest is None else short & (band >= lowest)
     taken = vocabulary.where(chosen).select("word", "n").toArrow()
-    return dict(zip(taken.column(0).to_pylist(), range(2, taken.num_rows + 2))), taken.column(1).to_numpy(), chosen
+    return taken.column(0).combine_chunks().cast(pa.binary()), taken.column(1).to_numpy(), chosen
 
 
 def score_documents(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -466,60 +611,56 @@ def score_documents(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", t
     spark = docs.sparkSession
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
                          F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    training = chosen.where(~F.col("held_out"))
-    counts = spill(corpus_counts(training), "lm-counts")
-    vocabulary = counts.where(F.col("word").isNotNull()).select("word", "n")
-    n_ends = training.count()
+    parts = spill(corpus_parts(chosen), "lm-parts")
+    vocabulary = spill(word_counts(parts), "lm-words")
+    n_ends = chosen.where(~F.col("held_out")).count()
     size = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).head()
     n_all, n_distinct = size["n"] + n_ends, size["v"] + (1 if n_ends else 0)
 
-    trained = counts.where(F.col("cell").isNotNull()).select("cell", "n", F.col("n").alias("used"))
-    others = corpus_counts(chosen.where("held_out"), with_words=False).select("cell", F.lit(0).cast("long"), "n")
-    cells = spill(trained.union(others).groupBy("cell").agg(F.sum("n").alias("n"), F.sum("used").alias("used")), "lm-cells")
+    cells = spill(cell_counts(parts), "lm-cells")
     cells = spill(cell_scores(cells), "lm-scores")
     hot, hot_logp, is_hot = _hot_cells(cells)
     common, common_counts, is_common = _frequent(vocabulary)
-    logs = np.log10(np.concatenate([[1, n_ends + 1], common_counts + 1.0]))
-    shared = spark.sparkContext.broadcast((hot, hot_logp, common, logs))
+    shared = spark.sparkContext.broadcast((hot, hot_logp, common, np.log10(common_counts + 1.0)))
     del hot, hot_logp, common
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, hot_logp, index, log_counts = shared.value
-        get, row = index.get, TaskContext.get().partitionId() << 36
+        hot, hot_logp, frequent, log_counts = shared.value
+        row = TaskContext.get().partitionId() << 36
+
+        def joined(owner: np.ndarray, key: pa.Array, times: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(owner), key, pa.array(times), pa.nulls(len(owner), kind)], names)
+
         for batch in batches:
-            for first, lists in _batches_of_words(batch):
-                sums, text_of, cell, times = _score_hot(lists, hot, hot_logp)
-                rare: list[Counter] = []
-                base, known = np.empty(len(lists)), np.empty(len(lists), np.int64)
-                for k, own in enumerate(lists):
-                    at = np.fromiter(map(get, own, repeat(0)), np.int64, len(own))
-                    base[k] = log_counts[at].sum() + log_counts[1]
-                    known[k] = np.count_nonzero(at) + (n_ends > 0)
-                    rare.append(Counter([own[i] for i in np.flatnonzero(at == 0)]))
-                rows = row + np.arange(len(lists))
-                row += len(lists)
-                n = len(lists)
+            for first, slices in _spans(batch):
+                parts, begin = [], row
+                for texts in slices:
+                    cells, places, *words = _laid_out(texts)
+                    score, text, cell, times = _score_hot(cells, places, hot, hot_logp)
+                    yield joined(row + text, _cell_keys(cell), times)
+                    parts.append((score, *words))
+                    row += len(texts)
+                score, words, n_words = zip(*parts)
+                n_words, n = np.concatenate(n_words), row - begin
+                base, known, text, word, times = _score_frequent(pa.concat_arrays(words), n_words, frequent, log_counts)
+                yield joined(begin + text, word, times)
+                rows = np.arange(begin, row)
+                doc = pa.StructArray.from_arrays(
+                    [batch.column("doc_id").slice(first, n), batch.column("held_out").slice(first, n), pa.array(n_words + 1),
+                     pa.array(known + (n_ends > 0)), pa.array(base + math.log10(n_ends + 1)), pa.array(np.concatenate(score))],
+                    fields=list(kind))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows), pa.array([b" %d" % r for r in rows], pa.binary()), pa.array(np.ones(n, np.int64)),
-                     batch.column("doc_id").slice(first, n), batch.column("held_out").slice(first, n),
-                     pa.array(np.fromiter((len(w) + 1 for w in lists), np.int64, n)), pa.array(known), pa.array(base),
-                     pa.array(sums)], names)
-                owner = np.repeat(rows, np.fromiter(map(len, rare), np.int64, n))
-                for joined in ([pa.array(owner), pa.array([w for c in rare for w in c], pa.binary()),
-                                pa.array([v for c in rare for v in c.values()], pa.int64())],
-                               [pa.array(rows[text_of]), _cell_keys(cell), pa.array(times)]):
-                    m = len(joined[0])
-                    yield pa.RecordBatch.from_arrays(
-                        [*joined, pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()),
-                         pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names)
-
-    names = ["row", "key", "m", "doc_id", "held_out", "n_tokens", "known", "base", "score"]
-    parts = chosen.mapInArrow(score, "row long, key binary, m long, doc_id long, held_out boolean, "
-                                     "n_tokens long, known long, base double, score double")
+                    [pa.array(rows), pa.array([b" %d" % r for r in rows], pa.binary()), pa.array(np.ones(n, np.int64)), doc], names)
+
+    names = ["row", "key", "m", "doc"]
+    kind = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()),
+                      ("base", pa.float64()), ("score", pa.float64())])
+    parts = chosen.mapInArrow(score, "row long, key binary, m long, doc struct<doc_id long, held_out boolean, "
+                                     "n_tokens long, known long, base double, score double>")
     rare_words = vocabulary.where(~is_common).select("word", "n", F.lit(None).cast("double").alias("logp"))
     rare_cells = cells.where(~is_hot).select(
         F.concat(F.expr("X'20'"), F.unhex(F.lpad(F.hex("cell"), 16, "0"))), F.lit(None).cast("long"), "logp")
-    joined = parts.join(rare_words.union(rare_cells), F.col("key") == F.col("word"), "left")
+    joined = parts.join(rare_words.union(rare_cells), F.col("key") == F.col("word"), "left").select("row", "doc.*", "m", "n", "logp")
     rare_known = F.when(F.col("n").isNotNull(), F.col("m"))
     per_row = joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),

@@ -772,3 +772,31 @@ def test_lm_words_are_made_from_a_slice_of_a_batch_at_a_time(monkeypatch):
     begins = [first for first, _ in parts]
     assert begins == [sum(len(w) for _, w in parts[:k]) for k in range(len(parts))]
     assert sum(sizes) == 1000 and max(sizes) < 100
+
+
+def test_cells_and_words_are_counted_exactly_from_few_rows(spark, monkeypatch):
+    """Cells reach the shuffle as arrays, one row for a bucket, not one row for each cell and task."""
+    rng = np.random.default_rng(11)
+    letters = [*"abcdefgABC", "é", "日", " ", " ", "\n", "\t", "\r", "\x0b", "\x0c"]
+    text = ["".join(rng.choice(letters, n)) for n in (0, 1, 7, 40, 3000, 2500, 2500, 4000)] + [None, "  \n ", "ab AB ab", "ab AB ab"]
+    rows = [(t, k % 3 == 1) for k, t in enumerate(text * 2)]
+    table = spark.createDataFrame(rows, "text string, held_out boolean").repartition(3)
+    words, trained, used = Counter(), Counter(), Counter()
+    for t, held in rows:
+        own = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        words.update([] if held else [w.encode() for w in own])
+        s = b"\n" * lm_scoring.DEPTH + " ".join(own).encode() + b"\n"
+        cells = [int.from_bytes(s[k - lm_scoring.DEPTH:k][::-1] + s[k:k + 1], "big") for k in range(lm_scoring.DEPTH, len(s))]
+        used.update(cells)
+        trained.update([] if held else cells)
+    few = lm_scoring.corpus_parts(table.coalesce(1)).where("word is null").count()
+    assert few < len(used) / 2
+    for places, size, rows_at_once in ((lm_scoring.HELD_PLACES, lm_scoring.HELD_WORD_BYTES, lm_scoring.BUCKET_ROWS), (1000, 500, 3)):
+        monkeypatch.setattr(lm_scoring, "HELD_PLACES", places)
+        monkeypatch.setattr(lm_scoring, "HELD_WORD_BYTES", size)
+        monkeypatch.setattr(lm_scoring, "BUCKET_ROWS", rows_at_once)
+        parts = lm_scoring.corpus_parts(table)
+        assert {bytes(r["word"]): r["n"] for r in lm_scoring.word_counts(parts).collect()} == words
+        found = lm_scoring.cell_counts(parts).collect()
+        assert len(found) == len(used)
+        assert {r["cell"]: (r["n"], r["used"]) for r in found} == {c: (trained[c], n) for c, n in used.items()}
