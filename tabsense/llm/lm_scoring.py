@@ -52,13 +52,14 @@ FREQUENT, FREQUENT_BYTES = 200_000, 64
 SLICE_ROWS, SLICE_BYTES, SLICE_TEXTS = 64, 1 << 19, 256
 #: Bytes of text whose words are looked up together.
 SPAN_BYTES = 1 << 22
-#: Places and bytes of words that are held until their counts are handed on, and rows of buckets in a batch.
+#: Places and bytes of words that are held until their counts are handed on, and rows of buckets that are added up at a time.
 HELD_PLACES, HELD_WORD_BYTES, BUCKET_ROWS = 1 << 23, 1 << 24, 1 << 8
 _PAD = b"\n" * (DEPTH + 1)
 _BLANK = np.isin(np.arange(256), list(BLANKS))
 _SUBTREE = 8 + CLASS_BITS * (DEPTH - TOP - 1)  # bits of a cell below the root of its subtree
 _SUBTREES = CLASS_BITS * (TOP + 1)  # bits of a subtree's name
 _IN_BUCKET = _SUBTREES - 11  # bits of a subtree's name, after ``_dealt``, below its bucket's
+_N_BUCKETS, _TOGETHER = 1 << _SUBTREES - _IN_BUCKET, 64  # buckets in all, and those packed at a time
 _FACTOR = 0x9E3779
 
 
@@ -186,21 +187,26 @@ def corpus_parts(texts: DataFrame) -> DataFrame:
         def of_cells() -> Iterator[pa.RecordBatch]:
             own = held[:filled]
             own.sort()
+            edges = np.searchsorted(own, np.arange(0, _N_BUCKETS + 1, _TOGETHER) << _SUBTREE + _IN_BUCKET + 1)
+            for some in np.split(own, edges[1:-1]):  # little is held besides
+                if len(some):
+                    yield of_buckets(some)
+
+        def of_buckets(own: np.ndarray) -> pa.RecordBatch:
             first = _starts(own)
-            n = np.diff(first, append=filled).astype(np.uint32) << 1 | (own[first] & 1).astype(np.uint32)
-            cells = own[first] >> 1
+            keys = own[first]
+            n = np.diff(first, append=len(own)).astype(np.uint32) << 1 | (keys & 1).astype(np.uint32)
+            cells = keys >> 1
             name = cells >> _SUBTREE
             bucket = (name >> _IN_BUCKET).astype(np.int32)
             begins = _starts(bucket)
             steps = np.diff(name, prepend=0)
             steps[begins] = name[begins] & (1 << _IN_BUCKET) - 1
-            planes, ends = _planes(steps.astype(np.uint16), cells.astype(np.uint32), n), np.append(begins[1:], len(n))
-            for k in range(0, len(begins), BUCKET_ROWS):
-                some = list(zip(begins[k:k + BUCKET_ROWS], ends[k:k + BUCKET_ROWS]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(some), pa.binary()), pa.array([e - b for b, e in some], pa.int64()),
-                     pa.array(bucket[begins[k:k + BUCKET_ROWS]]),
-                     pa.array([pa.compress(planes[:, b:e].tobytes(), codec="zstd", asbytes=True) for b, e in some], pa.binary())], names)
+            sizes = np.diff(begins, append=len(n))
+            planes = _planes(steps.astype(np.uint16), cells.astype(np.uint32), n)
+            packed = [pa.compress(planes[:, b:b + size].tobytes(), codec="zstd", asbytes=True) for b, size in zip(begins, sizes)]
+            return pa.RecordBatch.from_arrays([pa.nulls(len(begins), pa.binary()), pa.array(sizes), pa.array(bucket[begins]),
+                                               pa.array(packed, pa.binary())], names)
 
         for batch in batches:
             is_held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
