@@ -6,7 +6,8 @@ term's first ``L`` bytes.  A document that holds a term holds all its prefixes,
 ``least`` documents is discarded with every term that it begins; the next level, of twice the bytes, counts
 only what extends a kept prefix.  The refinement ends when complete terms alone are left.
 
-A level is one scan.  Tasks count the texts that they hold together and shuffle one row per language and prefix.  The kept
+A level is one scan.  Tasks count the texts that they hold together and shuffle one row per language and prefix.  A scan
+numbers only terms longer than the prefixes of the level before, cut to what tells their keys, in arrays.  The kept
 prefixes reach the next scan as a Bloom filter of at most ``BLOOM_BITS``: a wrongly passed prefix costs a
 count and changes no result, as every complete term's documents are counted in full before it is kept.
 
@@ -18,10 +19,12 @@ of the item; other columns than doc_id are not read; texts and terms may have an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -35,8 +38,8 @@ FIRST_LEVEL = 6
 BLOOM_BITS, BITS_A_KEY = 1 << 26, 16
 #: Bytes of text that a task counts together, and of a text that is counted in pieces.
 TASK_BYTES, LONG_TEXT = 32 << 20, 8 << 20
-#: Terms of a language whose keys a task remembers, and the longest of them.
-TASK_TERMS, LONG_TERM = 300_000, 64
+#: Terms whose keys are looked up together.
+TASK_TERMS = 300_000
 #: Counts of one block of the pairwise sums, and cells of a matrix of shares.
 BLOCK_COUNTS, BLOCK_CELLS = 200_000, 1 << 20
 #: Shares are in billionths.
@@ -47,21 +50,25 @@ _LETTERS = {*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _PLAIN = bytes(32 if b not in _LETTERS else b + 32 if b < 0x5B else b for b in range(256))
 
 
-def number_terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Every occurrence's term number and text number, and the terms.
+def number_terms(texts: list[bytes], above: int = 0, width: int | None = None) -> tuple[np.ndarray, np.ndarray, pa.BinaryArray]:
+    """The term number and text number of every occurrence of more than ``above`` bytes, and the terms cut to ``width``.
 
     Terms are runs of letters and non-ASCII bytes, only A-Z lower-cased.
     """
     data = np.frombuffer(b" ".join([*texts, b""]).translate(_PLAIN), np.uint8)
-    letter = data != 32
-    edge = np.flatnonzero(np.diff(letter, prepend=False, append=False))
-    first, last = edge[::2], edge[1::2]
-    ends = np.concatenate([[0], np.cumsum(last - first)]).astype(np.int32)
-    runs = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(data[letter])])
-    coded = runs.dictionary_encode()
-    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    per_text = np.diff(np.searchsorted(first, begins))
-    return coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), per_text), coded.dictionary.to_pylist()
+    edge = np.flatnonzero(np.diff(data != 32, prepend=False, append=False))
+    first, length = edge[::2], edge[1::2] - edge[::2]
+    if above:
+        first, length = first[length > above], length[length > above]
+    per_text = np.diff(np.searchsorted(first, np.cumsum([0, *(len(t) + 1 for t in texts)])))
+    if width:
+        length = np.minimum(length, width)
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[first], inside[first + length] = 1, -1
+    letters = data[np.cumsum(inside, out=inside)[:-1].view(bool)]
+    ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+    coded = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(letters)]).dictionary_encode()
+    return coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), per_text), coded.dictionary
 
 
 def pieces(text: bytes) -> Iterator[bytes]:
@@ -77,15 +84,11 @@ def pieces(text: bytes) -> Iterator[bytes]:
 
 # ----------------------------------------------------------------------------- the filter of kept prefixes
 
-def _places(salt: bytes, key: bytes, last: int) -> tuple[int, int, int]:
-    """Three bits of a key, in a filter whose last bit is number ``last``; ``salt`` names the language."""
-    h = xxhash.xxh3_64_intdigest(salt + key)
-    step = h >> 32 | 1
-    return h & last, h + step & last, h + 2 * step & last
-
-
-def _salt(lang: str) -> bytes:
-    return lang.encode() + b"\0"
+def _places(seeds: Iterable[int], keys: pa.Array, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Three bits of each key, in a filter whose last bit is number ``last``; a seed is the hash of the key's language."""
+    h = np.array([xxhash.xxh3_64_intdigest(k, seed) for k, seed in zip(keys.to_numpy(zero_copy_only=False), seeds)], np.uint64)
+    step, bits = h >> np.uint64(32) | np.uint64(1), np.uint64(last)
+    return tuple((h + np.uint64(k) * step & bits).astype(np.int64) for k in range(3))
 
 
 def bloom_filter(keys: DataFrame, n_keys: int) -> bytes:
@@ -94,9 +97,7 @@ def bloom_filter(keys: DataFrame, n_keys: int) -> bytes:
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = [p for lang, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                      for p in _places(_salt(lang), key, bits - 1)]
-            at = np.sort(np.array(places, np.int64))
+            at = np.sort(np.concatenate(_places(map(xxhash.xxh3_64_intdigest, batch.column(0).to_pylist()), batch.column(1), bits - 1)))
             first = np.flatnonzero(np.diff(at >> 3, prepend=-1))
             word = at[first] >> 3
             value = np.bitwise_or.reduceat(1 << (at & 7), first) if len(at) else at
@@ -109,38 +110,42 @@ def bloom_filter(keys: DataFrame, n_keys: int) -> bytes:
     return out.tobytes()
 
 
-class _Known(dict):
-    """The key under which a language's terms count: None where the filter lacks them."""
+class _Known:
+    """The keys under which a language's terms count: null where the filter lacks them."""
 
     def __init__(self, lang: str, before: int, level: int | None, kept: bytes | None) -> None:
-        super().__init__()
-        self.salt, self.before, self.level, self.kept = _salt(lang), before, level, kept
-
-    def __missing__(self, term: bytes) -> bytes | None:
-        key: bytes | None = None
-        if self.kept is None or self._passes(term):
-            key = term if self.level is None or len(term) <= self.level else term[:self.level] + _OPEN
-        if len(self) >= TASK_TERMS or len(term) > LONG_TERM:
-            return key
-        self[term] = key
-        return key
-
-    def _passes(self, term: bytes) -> bool:
-        if self.level is None:  # the complete term
-            sought = term
-        elif len(term) <= self.before:  # counted at an earlier level
-            return False
-        else:
-            sought = term[:self.before] + _OPEN
-        kept = self.kept
-        a, b, c = _places(self.salt, sought, (len(kept) << 3) - 1)
-        return bool(kept[a >> 3] >> (a & 7) & kept[b >> 3] >> (b & 7) & kept[c >> 3] >> (c & 7) & 1)
-
-
-def _batch(group: tuple, keys: list[bytes], n: np.ndarray) -> pa.RecordBatch:
-    names = [pa.array([x] * len(keys), pa.string()) for x in group]
-    return pa.RecordBatch.from_arrays([*names, pa.array(keys, pa.binary()), pa.array(n, pa.int64())],
-                                      names=[*("lang", "source")[:len(group)], "key", "n"])
+        self.seed, self.before, self.level = xxhash.xxh3_64_intdigest(lang), before, level
+        self.kept = None if kept is None else np.frombuffer(kept, np.uint8)
+
+    def __getitem__(self, term: bytes) -> bytes | None:
+        return self.keys(pa.array([term], pa.binary()))[0].as_py()
+
+    def keys(self, terms: pa.Array) -> pa.Array:
+        out = terms if self.level is None else _open(terms, self.level)
+        if self.kept is None:
+            return out
+        sought = (terms if self.level is None else _open(terms, self.before)).dictionary_encode()
+        passes = pa.array(self._passes(sought.dictionary)).take(sought.indices)
+        return pc.if_else(passes, out, pa.scalar(None, out.type))
+
+    def _passes(self, sought: pa.Array) -> np.ndarray:
+        out = np.ones(len(sought), bool)
+        for at in _places(repeat(self.seed), sought, (len(self.kept) << 3) - 1):
+            out &= (self.kept[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        if self.level is not None:  # a term without a mark was counted at an earlier level
+            out &= pc.ends_with(sought, _OPEN).to_numpy(zero_copy_only=False)
+        return out
+
+
+def _open(terms: pa.Array, level: int) -> pa.Array:
+    """Terms of more than ``level`` bytes as the marked prefix, others as they are."""
+    cut = pc.binary_join_element_wise(pc.binary_slice(terms, 0, level), _OPEN, b"")
+    return pc.if_else(pc.greater(pc.binary_length(terms), level), cut, terms)
+
+
+def _batch(group: tuple, keys: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    names = [pa.repeat(pa.scalar(x, pa.string()), len(keys)) for x in group]
+    return pa.RecordBatch.from_arrays([*names, keys, pa.array(n, pa.int64())], names=[*("lang", "source")[:len(group)], "key", "n"])
 
 
 class _Texts:
@@ -148,7 +153,6 @@ class _Texts:
 
     def __init__(self, before: int, level: int | None, kept: bytes | None) -> None:
         self.args = (before, level, kept)
-        self.known: dict[str, _Known] = {}
         self.texts: dict[tuple, list[bytes]] = {}
         self.held = 0
 
@@ -156,21 +160,23 @@ class _Texts:
         self.texts.setdefault(group, []).append(text)
         self.held += len(text)
 
-    def _keys(self, lang: str, terms: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    def _number(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.BinaryArray]:
+        """Terms longer than the last level's prefixes, with one byte more than this level's: enough to tell their keys."""
+        before, level, _ = self.args
+        return number_terms(texts, before, None if level is None else level + 1)
+
+    def _keys(self, lang: str, terms: pa.Array) -> tuple[np.ndarray, pa.Array]:
         """The number of each term's key (-1: none), and the keys."""
-        if lang not in self.known:
-            if len(self.known) >= 64:
-                self.known.clear()
-            self.known[lang] = _Known(lang, *self.args)
-        number: dict[bytes, int] = {}
-        at = [-1 if key is None else number.setdefault(key, len(number)) for key in map(self.known[lang].__getitem__, terms)]
-        return np.array(at, np.int64), list(number)
+        known = _Known(lang, *self.args)
+        parts = [known.keys(terms.slice(k, TASK_TERMS)) for k in range(0, len(terms), TASK_TERMS)]
+        keys = pa.concat_arrays([pa.array([], pa.binary()), *parts]).dictionary_encode()
+        return keys.indices.fill_null(-1).to_numpy(), keys.dictionary
 
     def documents(self) -> Iterator[pa.RecordBatch]:
         """In how many of the held texts each key stands."""
         for group, texts in self.texts.items():
             short = [t for t in texts if len(t) <= LONG_TEXT]
-            code, owner, terms = number_terms(short)
+            code, owner, terms = self._number(short)
             at, keys = self._keys(group[0], terms)
             key = at[code]
             here = key >= 0
@@ -181,15 +187,15 @@ class _Texts:
                 if len(text) > LONG_TEXT:
                     found: set[bytes] = set()
                     for piece in pieces(text):
-                        found.update(self._keys(group[0], number_terms([piece])[2])[1])
-                    yield _batch(group, list(found), np.ones(len(found), np.int64))
+                        found.update(self._keys(group[0], self._number([piece])[2])[1].to_pylist())
+                    yield _batch(group, pa.array(list(found), pa.binary()), np.ones(len(found), np.int64))
         self.texts, self.held = {}, 0
 
     def occurrences(self) -> Iterator[pa.RecordBatch]:
         """How often each key stands in the held texts."""
         for group, texts in self.texts.items():
             for part in [[t for t in texts if len(t) <= LONG_TEXT], *([p] for t in texts if len(t) > LONG_TEXT for p in pieces(t))]:
-                code, _, terms = number_terms(part)
+                code, _, terms = self._number(part)
                 at, keys = self._keys(group[0], terms)
                 key = at[code]
                 yield _batch(group, keys, np.bincount(key[key >= 0], minlength=len(keys)))

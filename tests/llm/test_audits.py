@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -259,3 +260,21 @@ def test_shares_are_exact():
     for size in ([10**9, 11, 3 * 10**12, 5 * 10**15, 9], [10**9, 11, 3 * 10**12, 1 << 60, 9]):
         got = term_divergence._shares(count, np.array(size, np.int64))
         assert got.tolist() == [1 + 10**9 * (int(c) + 2) // s for c, s in zip(count, size)]
+
+
+def test_levels_number_only_what_they_count(monkeypatch):
+    texts = [b"Abcdef abcdefg, abcdefGH!", b"", "\xe4".encode() * 4 + b"@xyz " + b"q" * 40, b"abcdefgh1abcdefgh"]
+    lower = bytes(b + 32 if 0x41 <= b < 0x5B else b for b in range(256))
+    for above, width in ((0, None), (0, 7), (6, 13), (12, 25), (24, 49), (40, 99)):
+        code, owner, terms = term_divergence.number_terms(texts, above, width)
+        want = [(k, t[:width]) for k, text in enumerate(texts)
+                for t in re.findall(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text.translate(lower)) if len(t) > above]
+        assert list(zip(owner.tolist(), [terms[c].as_py() for c in code.tolist()])) == want
+        assert len(terms) == len({t for _, t in want})
+    # the filter is asked once for a prefix, however many terms begin with it
+    asked, places = [], term_divergence._places
+    monkeypatch.setattr(term_divergence, "_places", lambda seeds, keys, last: asked.extend(keys.to_pylist()) or places(seeds, keys, last))
+    terms = [b"abcdef" + bytes([97 + k]) for k in range(20)]
+    number, keys = term_divergence._Texts(6, 12, b"\xff" * 8192)._keys("x", pa.array([*terms, b"abc"], pa.binary()))
+    assert number.tolist() == [*range(20), -1] and keys.to_pylist() == terms
+    assert sorted(asked) == [b"abc", b"abcdef*"]
