@@ -49,6 +49,32 @@ def test_euclidean_silhouette(spark, vectors, monkeypatch, blocks):
     assert len(some) == 40 and all(some[i] == pytest.approx(want[i], abs=1e-7) for i in some)
 
 
+def test_silhouette_blocks_are_sent_once_a_group(spark, vectors, monkeypatch):
+    """Not once a block; each pair of rows is met once, however few sums a task holds."""
+    x, labels = vectors
+    rows = spark.createDataFrame([(i, v.tolist(), [str(c), str(i % 2)]) for i, (v, c) in enumerate(zip(x, labels))],
+                                 "_row long, _x array<double>, _labels array<string>")
+    dealt, tiles = silhouette._dealt(rows, 180, 2, None, 180)
+    groups = int((2 * tiles) ** 0.5)
+    assert tiles == groups * (groups + 1) // 2 and groups < 30
+    blocks = rows.select(F.pmod(F.xxhash64("_row"), F.lit(90))).distinct().count()
+    assert dealt.count() == blocks * groups
+    batches = dealt.toArrow().to_batches()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for most in (silhouette.MOST_SUMS, 40):
+        monkeypatch.setattr(silhouette, "MOST_SUMS", most)
+        got = {}
+        for batch in silhouette._sums(iter(batches)):
+            for r in batch.to_pylist():
+                key = r["row"], r["labelling"], r["label"]
+                got[key] = got.get(key, 0.0) + r["total"]
+                assert r["own"] == (r["label"] == (str(labels[r["row"]]), str(r["row"] % 2))[r["labelling"]])
+        assert len(got) == 180 * (len(set(labels)) + 2)
+        for (i, k, name), total in got.items():
+            mine = labels.astype(str) == name if k == 0 else (np.arange(180) % 2).astype(str) == name
+            assert total == pytest.approx(d[i, mine].sum(), rel=1e-9, abs=1e-6)
+
+
 def test_silhouette_edges(spark):
     one = spark.createDataFrame([(1.0, "a"), (2.0, "a")], "x double, c string")
     assert clustering.cluster_silhouette(one, ["x"], "c").first()[0] == 0.0
