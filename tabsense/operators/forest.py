@@ -40,6 +40,8 @@ MOST_TOP = 1 << 20
 ACCURACY = 10_000
 #: Cells of crossed cuts that one task grows nodes from, and that a task adds up before it hands them on.
 MOST_CELLS, HELD_CELLS = 1 << 18, 1 << 19
+#: Bytes of the answers for the rows that one task adds up.
+ANSWER_BYTES = 1 << 25
 
 _TREE = "feature array<int>, threshold array<double>, left array<int>, value array<double>, rows array<long>, gain array<double>"
 
@@ -142,21 +144,53 @@ def _best_splits(xs: np.ndarray, g: np.ndarray, n: int, rows: np.ndarray, w: np.
     last = np.append(first[1:], len(g)) - 1
     cr, cw, cs = np.cumsum(rows), np.cumsum(w), np.cumsum(s, axis=0)
     r0, w0, s0 = cr[first] - rows[first], cw[first] - w[first], cs[first] - s[first]
-    lr, lw, ls = cr - r0[g], cw - w0[g], cs - s0[g]
-    tr, tw, ts = (cr[last] - r0)[g], (cw[last] - w0)[g], (cs[last] - s0)[g]
     nxt = np.append(xs[1:], np.nan)
     nxt[last] = np.nan
     # a value followed by NaN inside its node also ends a side: NaN goes right
     nan_next = np.append(np.isnan(xs[1:]), False) & ~np.isnan(xs)
     nan_next[last] = False
-    ok = ((xs < nxt) | nan_next) & (lr >= least) & (tr - lr >= least)
-    score = np.where(ok, _purity(lw, ls) + _purity(tw - lw, ts - ls), -np.inf)
-    best = np.maximum.reduceat(score, first)
-    at = np.minimum.reduceat(np.where(ok & (score == best[g]), np.arange(len(g)), len(g)), first)
-    found = at < len(g)
-    at = np.where(found, at, 0)
-    threshold = np.where(nan_next[at], np.inf, _middle(xs[at], nxt[at]))
-    return np.where(found, best, -np.inf), np.where(found, threshold, np.nan)
+    at = np.flatnonzero((xs < nxt) | nan_next)  # only where a value ends is there anything to score
+    lr, tr = cr[at] - r0[g[at]], (cr[last] - r0)[g[at]]
+    at = at[(lr >= least) & (tr - lr >= least)]
+    out, threshold = np.full(n, -np.inf), np.full(n, np.nan)
+    if len(at):
+        of = g[at]
+        lw, ls = cw[at] - w0[of], cs[at] - s0[of]
+        score = _purity(lw, ls) + _purity((cw[last] - w0)[of] - lw, (cs[last] - s0)[of] - ls)
+        starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        node = of[starts]
+        out[node] = np.maximum.reduceat(score, starts)
+        at = np.minimum.reduceat(np.where(score == out[of], at, len(g)), starts)
+        node, at = node[at < len(g)], at[at < len(g)]
+        threshold[node] = np.where(nan_next[at], np.inf, _middle(xs[at], nxt[at]))
+        out[np.isnan(threshold)] = -np.inf
+    return out, threshold
+
+
+def _sorted(g: np.ndarray, rank: np.ndarray, values: int) -> np.ndarray:
+    """The order by node and rank of the value; equal ones stay in their order."""
+    bits = int(len(g)).bit_length()
+    if (int(g[-1]) + 1) * values >= 1 << 62 - bits:
+        return np.lexsort((rank, g))
+    code = (g * values + rank << bits) + np.arange(len(g))
+    code.sort()
+    return code & (1 << bits) - 1
+
+
+def _tried(plan: Plan, keys: np.ndarray, d: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Features to look at, each with its nodes, and where their scores go: by a node's hashed order until ``plan.tried`` have a split."""
+    found = np.zeros(len(keys), int)
+    if plan.tried >= d:
+        for f in range(d):
+            yield f, np.arange(len(keys)), found
+        return
+    order = np.argsort(_mix(keys[None, :] ^ _mix(np.arange(1, d + 1))[:, None]) >> np.uint64(1), axis=0, kind="stable")
+    for turn in order:
+        wanting = found < plan.tried
+        for f in range(d):
+            nodes = np.flatnonzero(wanting & (turn == f))
+            if len(nodes):
+                yield f, nodes, found
 
 
 def grow(plan: Plan, x: np.ndarray, y: np.ndarray, w: np.ndarray, key: int, depth: int) -> dict[str, np.ndarray]:
@@ -169,7 +203,8 @@ def grow(plan: Plan, x: np.ndarray, y: np.ndarray, w: np.ndarray, key: int, dept
     nodes: dict[str, list] = {k: [] for k in ("feature", "threshold", "left", "value", "rows", "gain")}
     at = np.arange(len(y))
     g = np.zeros(len(y), int)
-    keys, made = np.array([key], np.uint64), 1
+    keys, made, d = np.array([key], np.uint64), 1, x.shape[1]
+    values, ranks = zip(*[np.unique(x[:, f], return_inverse=True) for f in range(d)])
     while len(keys):
         n = len(keys)
         first = _starts(g, n)
@@ -183,18 +218,22 @@ def grow(plan: Plan, x: np.ndarray, y: np.ndarray, w: np.ndarray, key: int, dept
             own = splits[g]
             number = np.cumsum(splits) - 1
             at, g, open_keys = at[own], number[g[own]], keys[splits]
-            scores, cuts = [], []
-            for f in range(x.shape[1]):
-                order = np.lexsort((x[at, f], g))
-                r = at[order]
-                b, t = _best_splits(x[r, f], g[order], len(open_keys), np.ones(len(r)), w[r], s[r], plan.min_leaf)
-                scores.append(b)
-                cuts.append(t)
-            chosen = _draw(np.array(scores), open_keys, plan.tried)
+            chosen, cuts = np.full((d, len(open_keys)), -np.inf), np.full((d, len(open_keys)), np.nan)
+            for f, some, found in _tried(plan, open_keys, d):
+                r, h = at, g
+                if len(some) < len(open_keys):
+                    place = np.full(len(open_keys), -1)
+                    place[some] = np.arange(len(some))
+                    h = place[g]
+                    r, h = at[h >= 0], h[h >= 0]
+                order = _sorted(h, ranks[f][r], len(values[f]))
+                r = r[order]
+                chosen[f, some], cuts[f, some] = _best_splits(x[r, f], h[order], len(some), np.ones(len(r)), w[r], s[r], plan.min_leaf)
+                found[some] += chosen[f, some] > -np.inf
             f = chosen.argmax(axis=0)
             top = chosen[f, np.arange(len(f))]
             feature[splits] = np.where(top > -np.inf, f, -1)
-            threshold[splits] = np.array(cuts)[f, np.arange(len(f))]
+            threshold[splits] = cuts[f, np.arange(len(f))]
             gain[splits] = np.where(top > -np.inf, top - _purity(weight, total)[splits], 0.0)
         inner = feature >= 0
         left = np.full(n, -1)
@@ -241,16 +280,42 @@ class Top:
     cuts: list[int] = field(default_factory=lambda: [0])
     value: list = field(default_factory=lambda: [None])
     gain: list[float] = field(default_factory=lambda: [0.0])
+    rows: list[int] = field(default_factory=lambda: [0])
 
-    def add(self, state: int, depth: int, key: int, cuts: int, value) -> None:
+    def add(self, state: int, depth: int, key: int, cuts: int, value, rows: int) -> None:
         for name, v in (("feature", -1), ("threshold", math.nan), ("left", -1), ("state", state), ("depth", depth),
-                        ("key", key), ("cuts", cuts), ("value", value), ("gain", 0.0)):
+                        ("key", key), ("cuts", cuts), ("value", value), ("gain", 0.0), ("rows", rows)):
             getattr(self, name).append(v)
 
     def route(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         return np.array(self.feature), np.array(self.threshold), np.array(self.left), np.array(self.state)
 
 
+@dataclass(frozen=True)
+class View:
+    """A forest within a grown one: its first ``trees``, cut off at a depth and below a minimum split.
+
+    Draws depend on the seed, the tree and the path only, so it is the forest that would grow under these limits.
+    """
+    trees: int
+    max_depth: int | None = None
+    min_split: int = 2
+
+    def stops(self, feature: np.ndarray, left: np.ndarray, rows: np.ndarray, depth: int) -> np.ndarray:
+        """Where each node's rows end: the node itself, or the first above it that the limits make a leaf."""
+        out = np.arange(len(feature))
+        level = np.zeros(1, int)
+        while len(level):
+            inner = level[feature[level] >= 0]
+            closed = (out[inner] != inner) | (rows[inner] < self.min_split)
+            if self.max_depth is not None and depth >= self.max_depth:
+                closed[:] = True
+            for child in (left[inner], left[inner] + 1):
+                out[child] = np.where(closed, out[inner], child)
+            level, depth = np.concatenate([left[inner], left[inner] + 1]), depth + 1
+        return out
+
+
 def _quantile_cuts(marks: list[float] | None) -> np.ndarray:
     v = np.unique(np.array([m for m in marks or [] if m is not None and not math.isnan(m)]))
     return _middle(v[:-1], v[1:]) if len(v) > 1 else np.zeros(0)
@@ -461,7 +526,7 @@ def _grow_cells(plan: Plan, col: dict[str, np.ndarray], cuts: list[np.ndarray],
         code = code // n
     rows, w = col["rows"].astype(float), col["w"]
     s = np.stack([col[f"s{k}"] for k in range(plan.width)], axis=1)
-    nodes: dict[str, list] = {k: [] for k in ("feature", "threshold", "left", "state", "depth", "key", "value", "gain")}
+    nodes: dict[str, list] = {k: [] for k in ("feature", "threshold", "left", "state", "depth", "key", "value", "gain", "rows")}
     at, g, keys, made, root = np.arange(len(w)), np.zeros(len(w), int), np.array([key], np.uint64), 1, True
     while len(keys):
         n = len(keys)
@@ -498,7 +563,7 @@ def _grow_cells(plan: Plan, col: dict[str, np.ndarray], cuts: list[np.ndarray],
         left[inner] = made + 2 * np.arange(inner.sum())
         made += 2 * int(inner.sum())
         for k, v in (("feature", feature), ("threshold", threshold), ("left", left), ("state", state), ("depth", np.full(n, depth)),
-                     ("key", keys.view(np.int64)), ("value", plan.value(weight, total)), ("gain", gain)):
+                     ("key", keys.view(np.int64)), ("value", plan.value(weight, total)), ("gain", gain), ("rows", count.astype(np.int64))):
             nodes[k].append(v)
         if not inner.any():
             break
@@ -517,7 +582,7 @@ def _from_cells(rows: DataFrame, plan: Plan, tops: list[Top], cuts: list[list[np
     """Grows all nodes to be split from their cells; returns those that need cuts of their own."""
     at = [(np.array(t.key, np.uint64), t.depth, t.cuts) for t in tops]
     kinds = {"feature": pa.int32(), "threshold": pa.float64(), "left": pa.int32(), "state": pa.int32(), "depth": pa.int32(),
-             "key": pa.int64(), "value": pa.float64(), "gain": pa.float64()}
+             "key": pa.int64(), "value": pa.float64(), "gain": pa.float64(), "rows": pa.int64()}
     names = {pa.int32(): "int", pa.int64(): "long", pa.float64(): "double"}
 
     def run(group: pa.Table) -> pa.Table:
@@ -536,10 +601,10 @@ def _from_cells(rows: DataFrame, plan: Plan, tops: list[Top], cuts: list[list[np
         for k in range(len(r["state"])):
             place = node if not k else base + k
             if k:
-                top.add(0, r["depth"][k], r["key"][k] & (1 << 64) - 1, top.cuts[node], None)
+                top.add(0, r["depth"][k], r["key"][k] & (1 << 64) - 1, top.cuts[node], None, 0)
             top.feature[place], top.threshold[place], top.state[place] = r["feature"][k], r["threshold"][k], r["state"][k]
             top.left[place] = base + r["left"][k] if r["left"][k] >= 0 else -1
-            top.value[place], top.gain[place] = value[k], r["gain"][k]
+            top.value[place], top.gain[place], top.rows[place] = value[k], r["gain"][k], r["rows"][k]
             if not r["state"][k]:
                 stuck.add((r["tree"], place))
     return stuck
@@ -561,14 +626,14 @@ def _grow_tops(rows: DataFrame, plan: Plan, n: int, d: int, block: int, bins: in
         for r in [] if crossed else _pick(_histograms(rows, plan, tops, cuts), plan, tops, cuts):
             top, node = tops[r["tree"]], r["node"]
             depth, key = top.depth[node], np.uint64(top.key[node])
-            ends = r["l_rows"] + r["r_rows"] < plan.min_split or plan.deep(depth) or r["one"]
+            top.rows[node] = r["l_rows"] + r["r_rows"]
+            top.value[node] = plan.value(np.array([r["l_w"] + r["r_w"]]), (np.array(r["l_s"]) + np.array(r["r_s"]))[None])[0].tolist()
+            ends = top.rows[node] < plan.min_split or plan.deep(depth) or r["one"]
             if r["feature"] < 0 or ends:
                 if not ends and r["differs"] and (r["tree"], node) not in own:
                     stuck.add((r["tree"], node))
                     continue
-                sums = np.array(r["l_s"]) + np.array(r["r_s"])
                 top.state[node] = 2
-                top.value[node] = plan.value(np.array([r["l_w"] + r["r_w"]]), sums[None])[0].tolist()
                 continue
             top.feature[node], top.threshold[node], top.gain[node] = r["feature"], r["threshold"], r["gain"]
             top.left[node], top.state[node] = len(top.state), 3
@@ -576,7 +641,7 @@ def _grow_tops(rows: DataFrame, plan: Plan, n: int, d: int, block: int, bins: in
                 count = r[f"{side}_rows"]
                 leaf = count < plan.min_split or r[f"{side}_one"] or plan.deep(depth + 1)
                 value = plan.value(np.array([r[f"{side}_w"]]), np.array(r[f"{side}_s"])[None])[0].tolist()
-                top.add(2 if leaf else 1 if count <= block else 0, depth + 1, int(_child(key, right)), top.cuts[node], value)
+                top.add(2 if leaf else 1 if count <= block else 0, depth + 1, int(_child(key, right)), top.cuts[node], value, count)
         if stuck:
             for (tree, node), c in sorted(_own_cuts(rows, plan, tops, stuck, d).items()):
                 tops[tree].cuts[node] = len(cuts)
@@ -650,32 +715,47 @@ class Forest:
         total = sums.sum(axis=1, keepdims=True)
         return np.divide(sums, total, out=np.zeros_like(sums), where=total > 0).mean(axis=0).tolist()
 
-    def predict(self, df: DataFrame) -> DataFrame:
-        """``df`` with ``prediction`` (and, for classes, ``probability`` as an array) from the mean over the trees."""
+    def predict(self, df: DataFrame, views: list[View] | None = None) -> DataFrame:
+        """``df`` with ``prediction`` (and, for classes, ``probability`` as an array) from the mean over the trees.
+
+        Given ``views``, each has its own: ``prediction_0``, ``probability_0``, ...  All are scored by one pass.
+        """
         spark, plan = df.sparkSession, self.plan
         path = scratch_path(spark, "forest-rows")
         df.withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
-        rows = spark.read.parquet(path)
+        rows = _spread(spark.read.parquet(path), "forest-rows")
+        asked = views or [View(plan.trees)]
         routes = [t.route() for t in self.tops]
+        depths = [np.array(t.depth) for t in self.tops]
+        # where a top's rows end, by tree and view; a tree that a view doesn't have answers nothing
+        ends = [[v.stops(r[0], r[2], np.array(t.rows), 0) for v in asked] for t, r in zip(self.tops, routes)]
         values = [np.array([v if v is not None else [0.0] * plan.width for v in t.value]) for t in self.tops]
         width, d = plan.width, len(self.features)
-        out = "_id long, _v array<double>"
-
-        def answers(ids: np.ndarray, v: np.ndarray, trees: np.ndarray) -> pa.RecordBatch:
-            """Sums of values, and from how many trees: one that drew no row at all has no answer."""
-            both = np.column_stack([v, trees])
-            ends = np.arange(0, both.size + 1, width + 1, dtype=np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(both.ravel()))], ["_id", "_v"])
+        across = len(asked) * (width + 1)
+        bits = max(4, int(math.log2(ANSWER_BYTES / (8 * across * (plan.trees + 1)))))  # of a row's number: rows of a part
+        out = "tree int, part long, ids binary, v binary"
+
+        def answers(tree: int, ids: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+            """Values and numbers of answers of each row and view, by parts of the rows: a tree that drew no row at all has none."""
+            order = np.argsort(ids, kind="stable")
+            ids, v = ids[order], v[order]
+            pieces = np.split(np.arange(len(ids)), np.flatnonzero(np.diff(ids >> bits)) + 1) if len(ids) else []
+            return pa.RecordBatch.from_pydict({
+                "tree": pa.array([tree] * len(pieces), pa.int32()), "part": pa.array([int(ids[p[0]] >> bits) for p in pieces], pa.int64()),
+                "ids": pa.array([ids[p].tobytes() for p in pieces], pa.binary()), "v": pa.array([v[p].tobytes() for p in pieces], pa.binary())})
 
         def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, x = batch.column(0).to_numpy(), matrix(batch.column(1))
-                total, trees = np.zeros((len(ids), width)), np.zeros(len(ids))
-                for (feature, threshold, left, state), v in zip(routes, values):
+                total = np.zeros((len(ids), len(asked), width + 1))
+                for tree, ((feature, threshold, left, state), value) in enumerate(zip(routes, values)):
                     node = walk(x, feature, threshold, left)
-                    total += np.where((state[node] == 2)[:, None], v[node], 0.0)
-                    trees += state[node] == 2
-                yield answers(ids, total, trees)
+                    for k, view in enumerate(asked):
+                        end = ends[tree][k][node]
+                        here = ((state[node] == 2) | (end != node)) & (tree < view.trees)
+                        total[here, k, :width] += value[end[here]]
+                        total[here, k, width] += 1
+                yield answers(-1, ids, total.reshape(len(ids), across))
 
         def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -692,12 +772,34 @@ class Forest:
 
         def score(left_table: pa.Table, right_table: pa.Table) -> pa.Table:
             if not len(left_table) or not len(right_table):
-                return pa.Table.from_batches([answers(np.zeros(0, np.int64), np.zeros((0, width)), np.zeros(0))])
-            one = {k: right_table.column(k)[0].values.to_numpy() for k in ("feature", "threshold", "left", "value")}
+                return pa.Table.from_batches([answers(0, np.zeros(0, np.int64), np.zeros((0, across)))])
+            one = {k: right_table.column(k)[0].values.to_numpy() for k in ("feature", "threshold", "left", "value", "rows")}
+            tree, top = right_table.column("tree")[0].as_py(), right_table.column("node")[0].as_py()
             ids = np.concatenate([np.frombuffer(b.as_py(), np.int64) for b in left_table.column("ids")])
             x = np.concatenate([np.frombuffer(b.as_py()).reshape(-1, d) for b in left_table.column("x")])
             node = walk(x, one["feature"], one["threshold"], one["left"])
-            return pa.Table.from_batches([answers(ids, one["value"].reshape(-1, width)[node], np.ones(len(ids)))])
+            value, total = one["value"].reshape(-1, width), np.zeros((len(ids), len(asked), width + 1))
+            for k, view in enumerate(asked):
+                if tree < view.trees and ends[tree][k][top] == top:
+                    total[:, k, :width] = value[view.stops(one["feature"], one["left"], one["rows"], int(depths[tree][top]))[node]]
+                    total[:, k, width] = 1
+            return pa.Table.from_batches([answers(tree, ids, total.reshape(len(ids), across))])
+
+        def added(group: pa.Table) -> pa.Table:
+            """Means of a part's rows; the answers are added in the order of the trees, so that it is the same in every run."""
+            first = group.column("part")[0].as_py() << bits
+            total, seen = np.zeros((1 << bits, across)), np.zeros(1 << bits, bool)
+            for r in np.argsort(group.column("tree").to_numpy(), kind="stable").tolist():
+                at = np.frombuffer(group.column("ids")[r].as_py(), np.int64) - first
+                total[at] += np.frombuffer(group.column("v")[r].as_py()).reshape(len(at), across)
+                seen[at] = True
+            at = np.flatnonzero(seen)
+            total = total[at].reshape(len(at), len(asked), width + 1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                mean = total[:, :, :width] / total[:, :, width:]
+            best = mean.argmax(axis=2).astype(float) if plan.classes else mean[:, :, 0]
+            return pa.table({"_id": pa.array(at + first, pa.int64()), "_best": pa.array(best.tolist(), pa.list_(pa.float64())),
+                             "_mean": pa.array(mean.reshape(len(at), -1).tolist(), pa.list_(pa.float64()))})
 
         xs = rows.select("_id", _vector(self.features).alias("x"))
         schema = "tree int, node int, n long, ids binary, x binary"
@@ -711,14 +813,24 @@ class Forest:
             copies = self.subtrees(spark).join(shared, ["tree", "node"], "left") \
                 .withColumn("part", F.explode(F.sequence(F.lit(0), many - 1))).drop("parts")
         met = spread.groupBy("tree", "node", "part").cogroup(copies.groupBy("tree", "node", "part")).applyInArrow(score, out)
-        whole = xs.mapInArrow(above, out).unionByName(met)
-        means = whole.groupBy("_id").agg(*[(F.sum(F.col("_v")[k]) / F.sum(F.col("_v")[width])).alias(f"_m{k}") for k in range(width)])
-        mean = F.array(*[F.col(f"_m{k}") for k in range(width)])
+        means = xs.mapInArrow(above, out).unionByName(met).groupBy("part").applyInArrow(added, "_id long, _best array<double>, _mean array<double>")
         joined = rows.join(means, "_id")
-        if not plan.classes:
-            return joined.withColumn("prediction", F.col("_m0")).drop("_id", "_m0")
-        best = (F.array_position(mean, F.array_max(mean)) - 1).cast("double")
-        return joined.withColumn("prediction", best).withColumn("probability", mean).drop("_id", *[f"_m{k}" for k in range(width)])
+        for k in range(len(asked)):
+            end = f"_{k}" if views else ""
+            joined = joined.withColumn(f"prediction{end}", F.col("_best")[k])
+            if plan.classes:
+                joined = joined.withColumn(f"probability{end}", F.slice("_mean", k * width + 1, width))
+        return joined.drop("_id", "_best", "_mean")
+
+
+def _spread(rows: DataFrame, name: str) -> DataFrame:
+    """A written table in a partition a core at least: the work on a row is by tree, so a few MB are work for all cores."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() >= cores:
+        return rows
+    path = scratch_path(rows.sparkSession, name)
+    rows.repartition(cores).write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def _vector(features: list[str]) -> Column:
@@ -743,7 +855,7 @@ def grow_forest(df: DataFrame, features, label: str, classes: int = 0, trees: in
     (df.where(qcol(label).isNotNull() & ~F.isnan(qcol(label).cast("double")))
        .select(_vector(features).alias("x"), qcol(label).cast("double").alias("y"),
                F.xxhash64(*[qcol(k) for k in keys]).alias("h")).write.parquet(path))
-    rows = spark.read.schema("x array<double>, y double, h long").parquet(path)
+    rows = _spread(spark.read.schema("x array<double>, y double, h long").parquet(path), "forest-train")
     seen = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("m")).first()
     if not seen["n"]:
         raise ValueError("no labelled rows")

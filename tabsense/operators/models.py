@@ -23,7 +23,7 @@ from tabsense.operators import metrics as met
 from tabsense.operators import forest, network
 from tabsense.operators.features import (adaptive_test_fraction, label_encode, label_mapping, select_k_best,
                                          train_test_split)
-from tabsense.session import checkpoint_dir
+from tabsense.session import checkpoint_dir, scratch_path
 
 DEFAULT_SEED = 42
 # The reference's model settings.
@@ -188,13 +188,26 @@ def deep_forest(prepared: tuple[DataFrame, list[str]], task: str, n_trees: int =
                               min_split, tried=tried, key_cols=key_cols, seed=seed)
 
 
-def deep_forest_metrics(grown: forest.Forest, data: DataFrame, task: str) -> DataFrame:
-    """One wide metrics row of a grown forest on the given rows."""
+def deep_forest_metrics(grown: forest.Forest, data: DataFrame, task: str, views: list[forest.View] | None = None):
+    """One wide metrics row of a grown forest on the given rows; given ``views`` of it, a list of one for each.
+
+    The rows are scored once and written: every metric reads the predictions.
+    """
     from pyspark.ml.functions import array_to_vector
-    pred = grown.predict(data)
-    if task != "regression":
-        pred = pred.withColumn("probability", array_to_vector("probability"))
-    return _evaluate(pred, task, grown.plan.classes or None)
+    spark, n_classes = data.sparkSession, grown.plan.classes or None
+    found = grown.predict(data, views)
+    ends = [f"_{k}" for k in range(len(views))] if views else [""]
+    found = found.select("_label", *[f"{c}{e}" for e in ends for c in (["prediction", "probability"] if n_classes else ["prediction"])])
+    path = scratch_path(spark, "forest-predictions")
+    found.write.parquet(path)
+    found = spark.read.schema(found.schema).parquet(path)
+
+    def metrics(end: str) -> DataFrame:
+        pred = found.select("_label", F.col(f"prediction{end}").alias("prediction"),
+                            *([array_to_vector(f"probability{end}").alias("probability")] if n_classes else []))
+        return _evaluate(pred, task, n_classes)
+
+    return [metrics(e) for e in ends] if views else metrics("")
 
 
 def random_forest_deep(df: DataFrame, features, label: str, task: str = "regression", n_trees: int = RF_TREES,
@@ -221,13 +234,18 @@ def rf_tuned(df: DataFrame, features, label: str, task: str = "regression", draw
     picks = random.Random(seed).sample(grid, min(draws, len(grid)))
     score_name = "r2" if task == "regression" else "f1"
 
-    def fold_score(args):
-        (t, d, m), k = args
-        grown = deep_forest(prepared, task, t, d, m, seed, keys, fold != k)
-        return float(deep_forest_metrics(grown, data.where((F.col("split") == "train") & (fold == k)), task).first()[score_name])
+    # A fold's draws are parts of one forest under the widest of their limits: it is grown and scored once for all.
+    views = [forest.View(*p) for p in picks]
+    depth = None if any(v.max_depth is None for v in views) else max(v.max_depth for v in views)
+
+    def fold_scores(k: int) -> list[float]:
+        grown = deep_forest(prepared, task, max(v.trees for v in views), depth, min(v.min_split for v in views), seed, keys, fold != k)
+        held_out = data.where((F.col("split") == "train") & (fold == k))
+        return [float(r.first()[score_name]) for r in deep_forest_metrics(grown, held_out, task, views)]
 
     with ThreadPoolExecutor(max_workers=FIT_THREADS) as pool:
-        scores = list(pool.map(fold_score, [(p, k) for p in picks for k in range(folds)]))
+        by_fold = list(pool.map(fold_scores, range(folds)))
+    scores = [by_fold[k][i] for i in range(len(picks)) for k in range(folds)]
     rows = []
     for i, (t, d, m) in enumerate(picks):
         sc = scores[i * folds:(i + 1) * folds]

@@ -138,3 +138,53 @@ def test_rows_are_read_once_for_all_levels(spark, monkeypatch, classes, tried):
         assert bool(jobs) == (not most)
         made.append(predicted(f, df))
     assert (made[0] == made[1]).all()
+
+
+@pytest.mark.parametrize("classes,most,block", [(0, 1 << 18, 60), (3, 0, 150)])
+def test_views_are_the_forests_under_their_limits(spark, monkeypatch, classes, most, block):
+    """Cut off above the blocks and within them, one pass for all."""
+    monkeypatch.setattr(forest, "MOST_CELLS", most)
+    rng = np.random.default_rng(12)
+    x, y = rng.integers(0, 30, (400, 3)).astype(float), rng.integers(0, classes or 40, 400)
+    df, names = frame(spark, x, y)
+    def grown(trees, depth, split):
+        return forest.grow_forest(df, names, "y", classes, trees, depth, split, tried=2, key_cols=["id"], block_rows=block, bins=64)
+    views = [forest.View(3), forest.View(2, 1, 2), forest.View(3, 6, 5), forest.View(2, None, 90)]
+    column = "probability" if classes else "prediction"
+    got = grown(3, None, 2).predict(df, views).orderBy("id").collect()
+    for k, v in enumerate(views):
+        want = grown(v.trees, v.max_depth, v.min_split).predict(df).orderBy("id").collect()
+        assert np.allclose([r[f"{column}_{k}"] for r in got], [r[column] for r in want], atol=1e-12)
+
+
+def test_a_fold_is_grown_once_for_all_draws(spark, monkeypatch):
+    """Under the widest limits of the draws, and the best draw on the whole train split."""
+    from tabsense.operators import models
+
+    class Score(dict):
+        def first(self):
+            return self
+
+    data = spark.createDataFrame([(1, "train")], "id int, split string")
+    grown, asked = [], []
+    monkeypatch.setattr(models, "prepare", lambda *a: (data, ["id"]))
+    monkeypatch.setattr(models, "deep_forest", lambda prepared, task, t, d, m, *a: grown.append((t, d, m)))
+
+    def metrics(forest_, rows, task, views=None):
+        asked.append(views)
+        return [Score(f1=v.trees + (v.max_depth or 0) / 100) for v in views] if views else Score(f1=0.5)
+
+    monkeypatch.setattr(models, "deep_forest_metrics", metrics)
+    out = models.rf_tuned(data, ["id"], "y", "classification", key_cols=["id"]).collect()
+    draws = [(r.num_trees, r.max_depth, r.min_split) for r in out]
+    widest = (max(t for t, _, _ in draws), None if any(d is None for _, d, _ in draws) else max(d for _, d, _ in draws), min(m for _, _, m in draws))
+    best = next(r for r in out if r.is_best)
+    assert grown == [widest] * 3 + [(best.num_trees, best.max_depth, best.min_split)] and best.test_score == 0.5
+    assert all([(v.trees, v.max_depth, v.min_split) for v in views] == draws for views in asked[:3])
+    assert [r.cv_mean for r in out] == pytest.approx([t + (d or 0) / 100 for t, d, _ in draws])
+
+
+def test_few_bytes_are_work_for_all_cores(spark):
+    rows = spark.range(100).coalesce(1)
+    assert forest._spread(rows, "t").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert forest._spread(rows, "t").count() == 100
